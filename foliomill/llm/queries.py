@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, language, toxicity
 
 QUERIES = {
+    "op4_language": language.op4_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
