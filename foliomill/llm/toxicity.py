@@ -27,7 +27,7 @@ from .session import bounded_batches, table
 
 #: Features are hashed to this many weights; leads are in bytes; labelled rows that are fitted on, at most.
 WIDTH, LEADS, SAMPLE = 1 << 18, (4, 5, 6, 7, 8), 8_000
-STEPS, RATE, L1, L2, SWAP = 160, 0.08, 2e-5, 1e-5, 1.0
+STEPS, RATE, L1, L2, SWAP = 160, 0.08, 4e-4, 1e-4, 1.0
 
 # Terms that name a group, in the four languages of the corpus; fixed values.
 IDENTITY = (
