@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, toxicity
+from . import decontaminate, fingerprint, language, toxicity
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op4_language": language.op4_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
