@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, toxicity
+from . import decontaminate, fingerprint, language, licences, mixing, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op4_language": language.op4_language,
+    "op5_licences": licences.op5_licences,
+    "op6_mixing": mixing.op6_mixing,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op5_licences": licences.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
