@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, licences, mixing, toxicity
+from . import decontaminate, fingerprint, language, licences, mixing, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
+    "op2_warc": warc.op2_warc,
     "op4_language": language.op4_language,
     "op5_licences": licences.op5_licences,
     "op6_mixing": mixing.op6_mixing,
