@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, licences, mixing, toxicity, warc
+from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language": language.op4_language,
     "op5_licences": licences.op5_licences,
     "op6_mixing": mixing.op6_mixing,
+    "op7_html": html_blocks.op7_html,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
