@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, toxicity, warc
+from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, neardup, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_licences": licences.op5_licences,
     "op6_mixing": mixing.op6_mixing,
     "op7_html": html_blocks.op7_html,
+    "op8_neardup": neardup.op8_neardup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op5_licences": licences.ORACLE_SQL,
+    "op8_neardup": neardup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
