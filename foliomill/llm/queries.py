@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, neardup, toxicity, warc
+from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, neardup, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_warc": warc.op2_warc,
+    "op3_repeats": suffixes.op3_repeats,
     "op4_language": language.op4_language,
     "op5_licences": licences.op5_licences,
     "op6_mixing": mixing.op6_mixing,
