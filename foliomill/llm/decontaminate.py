@@ -251,6 +251,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out if spans else out.drop("spans")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+    """Batches (rest..., text) to (rest..., text without the hit words, whether anything went)."""
+    for batch in batches:
+        rest, texts = batch.columns[:-1], batch.column(batch.num_columns - 1)
+        found = pa.Table.from_batches(list(hits(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], ["row", "text"])]), windows, True))) if batch.num_rows else None
+        out, touched = texts.to_pylist(), [False] * batch.num_rows
+        for row, n, spans in zip(*(found.column(c).to_pylist() for c in ("doc_id", "n_hit", "spans")), strict=True) if found else ():
+            if not n:
+                continue
+            raw = out[row].encode("utf-8", "surrogatepass")
+            data = np.frombuffer(raw, np.uint8)
+            starts, ends = K.words(K.lowered(data), np.array([0, len(data)]), IS_WORD)
+            kept, at = [], 0
+            for s in spans:
+                kept.append(raw[at : int(starts[s["first"]])])
+                at = int(ends[s["last"]])
+            out[row], touched[row] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass"), True
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(touched, pa.bool_())], [*batch.schema.names[:-1], "text__cut", "touched__cut"])
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with the hit words cut from the texts; chars_col is counted anew where something went. Items beyond ITEM_BYTES go in blocks, pass by pass."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    items = benchmark.select(F.col("item_id"), F.col("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > ITEM_BYTES:
+        raise ValueError(f"the items have {size} bytes; cleaned() takes at most ITEM_BYTES. decontaminate(spans=True) has no such limit")
+    shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+    kinds = dict(docs.dtypes)
+    rest = [c for c in docs.columns if c != text_col]
+    out = docs.select(*rest, text_col).mapInArrow(lambda x: _cut(x, shared.value), ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", text__cut string, touched__cut boolean")
+    columns = [F.col("text__cut").alias(c) if c == text_col else F.when(F.col("touched__cut"), F.length("text__cut").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
+    return out.select(*columns)
+
+
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     from .session import table
 
