@@ -212,7 +212,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
         values = band_values(registers)
         held.append((values.ravel(), np.repeat(batch.column(0).to_numpy(), BANDS)))
         size += values.size
-        if size > 3_000_000:
+        if size > 1_000_000:
             yield flush()
             size = 0
     if held:
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = family.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("component", "f")
     members = members.join(sizes, F.col("component") == F.col("f")).select("node", "component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     members = written(members, "members")
-    sets = rows.join(members, rows.doc_id == members.node).select("node", "component", "chunks", "text").mapInArrow(_with_sets, "node bigint, component bigint, chunks int, shingles binary")
+    sets = rows.join(members.hint("merge"), rows.doc_id == members.node).select("node", "component", "chunks", "text").mapInArrow(_with_sets, "node bigint, component bigint, chunks int, shingles binary")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "shingles")
