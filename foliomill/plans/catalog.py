@@ -1,6 +1,501 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, and the same in SQL.
+
+A book is a source of `documents`, a page one document, an element a line of its text, and a heading a line of 1 to 39 characters. Its level is
+1 plus the length modulo 3.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import candidates, metrics, references, reports, segmentation, trees
+from ..sources import layout_xml, outlines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+
+
+def as_layout(rows: DataFrame) -> DataFrame:
+    """Lines as positioned elements: one on each line of the page."""
+    return rows.select("book", "page", "seq", F.col("seq").alias("top"), F.col("text").alias("text_head"), F.col("text").alias("text_inline"))
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = elements(spark, sf_dir).where(F.length("text").between(1, 39))
+    order = Window.partitionBy("book").orderBy("page", "seq")
+    return rows.select("book", "page", (F.row_number().over(order) - 1).alias("seq"), (F.length("text") % 3 + 1).alias("level"), F.col("text").alias("heading"))
+
+
+def big(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+OUTER, NOT_WORD = T.OUTER, T.NOT_WORD
+EL = "el AS (SELECT book, page, i - 1 AS seq, l[i] AS text FROM (SELECT book, page, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source AS book, doc_id AS page, string_split(text, chr(10)) AS l FROM documents)))"
+HD = EL + ", hd AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page, seq) - 1 AS seq, length(text) % 3 + 1 AS level, text AS heading FROM el WHERE length(text) BETWEEN 1 AND 39)"
+
+
+def sql_trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '{OUTER}', '', 'g')"
+
+
+def sql_exact(x: str) -> str:
+    return f"replace(lower({sql_trimmed(x)}), ' ', '')"
+
+
+def sql_loose(x: str) -> str:
+    return f"lower({sql_trimmed(f"regexp_replace({x}, '{NOT_WORD}', '', 'g')")})"
+
+
+def sql_clean(x: str) -> str:
+    return f"translate(trim({x}, chr(13) || chr(10)), '/“”’)(\"''', '')"
+
+
+def sql_match(t: str, h: str) -> str:
+    return f"({t}_e = {h}_e OR contains({t}_l, {h}_l) OR (length({t}_l) > 0 AND contains({h}_l, {t}_l)))"
+
+
+# ---- scalar functions -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {EL} SELECT book, page, CAST(seq AS BIGINT) AS seq, text FROM el WHERE text <> ''")
+def elements_scan(spark, sf_dir):
+    return elements(spark, sf_dir).where("text <> ''").select("book", "page", *big("seq"), "text")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\p{C}', '', 'g') AS stripped FROM documents")
+def control_char_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_control("text").alias("stripped"))
+
+
+@query(f"WITH {EL} SELECT page, CAST(seq AS BIGINT) AS seq, trim(trim(trim(text, '\"'), chr(13) || chr(10)), ' ') AS trimmed, {sql_clean('text')} AS cleaned FROM el")
+def heading_clean(spark, sf_dir):
+    return elements(spark, sf_dir).select("page", *big("seq"), T.trim_chain("text").alias("trimmed"), T.heading_clean("text").alias("cleaned"))
+
+
+@query(f"WITH {EL} SELECT page, CAST(seq AS BIGINT) AS seq, {sql_exact('text')} AS match_key FROM el")
+def match_key_exact(spark, sf_dir):
+    return elements(spark, sf_dir).select("page", *big("seq"), T.key_exact("text").alias("match_key"))
+
+
+@query(f"WITH {EL} SELECT page, CAST(seq AS BIGINT) AS seq, {sql_loose('text')} AS match_key FROM el")
+def match_key_loose(spark, sf_dir):
+    return elements(spark, sf_dir).select("page", *big("seq"), T.key_loose("text").alias("match_key"))
+
+
+@query("SELECT page_id, TRY_CAST(regexp_extract(url, '/([^/]*)$', 1) AS INTEGER) AS page FROM pages")
+def safe_page_cast(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_int(F.regexp_extract("url", "/([^/]*)$", 1)).alias("page"))
+
+
+@query(f"SELECT doc_id, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE len(string_split_regex(t, '[\\s{T.WIDE}]+')) END AS BIGINT) AS tokens FROM (SELECT doc_id, {sql_trimmed('text')} AS t FROM documents)")
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count("text").cast("bigint").alias("tokens"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(source, '[0-9]+$', ''), '_+$', '') AS slug, trim(source || '_fdp.pdf', '.pdf') AS quirk FROM documents")
+def slug_forms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug_trimmed("source").alias("slug"), T.slug_with_tool_quirk(F.concat("source", F.lit("_fdp.pdf"))).alias("quirk"))
+
+
+# ---- outline files ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {HD}, ln AS (SELECT book, seq, string_split(level || ',' || heading || ',' || page, ',') AS f FROM hd) SELECT book, CAST(seq AS BIGINT) AS seq, TRY_CAST(f[1] AS INTEGER) AS level, {sql_clean('f[2]')} AS heading_naive FROM ln")
+def outline_parse_naive(spark, sf_dir):
+    line = headings(spark, sf_dir).select("book", "seq", F.split(F.concat_ws(",", "level", "heading", "page"), ",").alias("f"))
+    return line.select("book", *big("seq"), T.safe_int(F.get("f", F.lit(0))).alias("level"), T.heading_clean(F.get("f", F.lit(1))).alias("heading_naive"))
+
+
+@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, level AS level, heading, page FROM (SELECT book, seq, CAST(level AS INTEGER) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\\'))")
+def outline_parse_strict(spark, sf_dir):
+    """Lines are written with quotes where needed and parsed again; a fourth field rejects a line."""
+    lines = outlines.entry_lines(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit("\\"))))
+    found = lines.select("book", "seq", F.from_csv("line", F.lit("level string, heading string, page string, more string"), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("f"))
+    return found.where("f.page is not null and f.more is null").select("book", *big("seq"), T.safe_int("f.level").alias("level"), "f.heading", T.safe_int("f.page").alias("page"))
+
+
+@query(
+    f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS VARCHAR) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\"') AND page % 3 > 0"
+)
+def response_validate(spark, sf_dir):
+    """Every third page number is spelt wrongly, so its row has no page and isn't valid."""
+    rows = headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit('"')))
+    page = F.when(F.col("page") % 3 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.col("page").cast("string"))
+    raw = rows.select("book", "seq", F.format_string('"%d","%s","%s"', "level", "heading", page).alias("raw"))
+    good, _ = candidates.parsed_response(raw)
+    return candidates.valid(good).select("book", *big("seq"), "level", "heading", "page")
+
+
+@query(f"WITH {HD} SELECT book, heading, page, CAST(min(seq) AS BIGINT) AS seq FROM hd GROUP BY book, heading, page")
+def candidate_dedup(spark, sf_dir):
+    return candidates.unique_candidates(headings(spark, sf_dir)).select("book", "heading", "page", *big("seq"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def book_semi_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@query("SELECT doc_id AS book FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id = d.doc_id)")
+def pending_books(spark, sf_dir):
+    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"))
+    done, failed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book")), table(spark, sf_dir, "pages").select(F.col("page_id").alias("book"))
+    return outlines.pending(books, done, failed)
+
+
+@query(f"WITH {EL} SELECT book, page, CAST(seq AS BIGINT) AS seq, {sql_trimmed('text')} AS text_full, seq % 4 = 0 AS bold, CASE WHEN seq % 4 = 0 THEN {sql_trimmed('text')} ELSE '' END AS text_inline FROM el")
+def xml_elements(spark, sf_dir):
+    """Documents as positioned-text XML, every fourth line bold, parsed again."""
+    line = F.replace(F.replace(F.replace(F.col("x"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = elements(spark, sf_dir).withColumn("x", F.col("text")).withColumn("x", line)
+    body = F.when(F.col("seq") % 4 == 0, F.concat(F.lit("<b>"), "x", F.lit("</b>"))).otherwise(F.col("x"))
+    one = F.concat(F.lit('<text top="'), F.col("seq").cast("string"), F.lit('" left="0" font="f">'), body, F.lit("</text>"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("t")))), lambda p: p["t"])
+    files = rows.groupBy("book", "page").agg(F.concat(F.lit('<pdf2xml><page number="1"><fontspec id="f" size="9"/>'), F.array_join(parts, ""), F.lit("</page></pdf2xml>")).alias("content"))
+    found = layout_xml.elements(files.select(F.concat_ws("\t", "book", "page").alias("book"), "content"))
+    key = F.split("book", "\t")
+    return found.select(key[0].alias("book"), key[1].cast("bigint").alias("page"), *big("seq"), "text_full", "bold", "text_inline")
+
+
+# ---- candidates -------------------------------------------------------------------------------------------------
+
+TAGS = "tg AS (SELECT book, page_id * 1000000 + i AS seq, t[i] AS tag FROM (SELECT book, page_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS book, page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) AS t FROM pages)))"
+HIST = TAGS + ", hi AS (SELECT book, tag, count(*) AS n, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(seq)) AS rank FROM tg GROUP BY book, tag)"
+
+
+def tags(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
+    rows = pages.select(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("book"), "page_id", F.posexplode(found).alias("i", "tag"))
+    return rows.select("book", (F.col("page_id") * 1_000_000 + F.col("i") + 1).alias("seq"), "tag")
+
+
+@query(f"WITH {HIST} SELECT book, tag, CAST(n AS BIGINT) AS n, CAST(rank AS BIGINT) AS rank FROM hi")
+def tag_histogram(spark, sf_dir):
+    return candidates.histogram(tags(spark, sf_dir), "tag").select("book", "tag", *big("n", "rank"))
+
+
+@query(f"WITH {HIST} SELECT book, tag, CAST(n AS BIGINT) AS n FROM hi a WHERE n > 0.5 * (SELECT max(n) FROM hi b WHERE b.book = a.book)")
+def baseline_tags(spark, sf_dir):
+    return candidates.baseline(candidates.histogram(tags(spark, sf_dir), "tag")).select("book", "tag", *big("n"))
+
+
+@query(f"WITH {EL} SELECT book, page, CAST(seq AS BIGINT) AS seq, text FROM (SELECT *, count(*) OVER (PARTITION BY book, text) AS n FROM el) WHERE n <= 2")
+def rare_candidates(spark, sf_dir):
+    return candidates.rare(elements(spark, sf_dir), "text", 2).select("book", "page", *big("seq"), "text")
+
+
+@query("SELECT conv_id AS book, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def last_per_level(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "book")
+    return candidates.last_per_level(rows, "role", "turn").select("book", "turn", "role", *big("recency"))
+
+
+LIMIT = 120
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn,
+  CASE WHEN length(t) = 0 THEN 0 ELSE len(string_split_regex(t, '[\\s{T.WIDE}]+')) END AS n FROM (SELECT conv_id, turn, {sql_trimmed('text')} AS t FROM conversations)),
+r AS (SELECT conv_id, k, turn, n AS used, CASE WHEN n > {LIMIT} THEN 1 ELSE 0 END AS batch FROM c WHERE k = 1
+  UNION ALL SELECT c.conv_id, c.k, c.turn, CASE WHEN r.used + c.n > {LIMIT} THEN c.n ELSE r.used + c.n END, r.batch + CASE WHEN r.used + c.n > {LIMIT} THEN 1 ELSE 0 END
+  FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)
+SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch FROM r"""
+)
+def token_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("n", T.token_count("text"))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("items"))
+    numbered = lists.withColumn("batch", candidates.batch_numbers(F.transform("items", lambda x: x["n"]), LIMIT))
+    return numbered.select("conv_id", F.explode(F.arrays_zip("items", "batch")).alias("z")).select("conv_id", "z.items.turn", F.col("z.batch").cast("bigint").alias("batch"))
+
+
+# ---- matching and segmentation ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT conv_id AS book, role AS top, CAST(min(turn) AS BIGINT) AS line, {sql_trimmed("coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (text <> ''), '')")} AS text FROM conversations GROUP BY conv_id, role")
+def line_combine(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.lit(0).alias("page"), F.col("turn").alias("seq"), F.col("role").alias("top"), F.col("text").alias("text_inline"))
+    return segmentation.lines(rows).select("book", "top", *big("line"), "text")
+
+
+def _between(tag: str) -> str:
+    return f"(?s)<{tag}>(.*?)<"
+
+
+@query(
+    "WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)<', 1) AS t, regexp_extract(html, '(?s)<h1>(.*?)<', 1) AS h, regexp_extract(html, '(?s)<b>(.*?)<', 1) AS b FROM pages) "
+    f"SELECT page_id, {sql_exact('t')} = {sql_exact('h')} AS title_is_h1, {sql_exact('t')} = {sql_exact('b')} AS title_is_bold FROM p"
+)
+def title_h1_exact_match(spark, sf_dir):
+    title, h1, bold = (F.regexp_extract("html", _between(t), 1) for t in ("title", "h1", "b"))
+    return table(spark, sf_dir, "pages").select("page_id", T.matches_exact(title, h1).alias("title_is_h1"), T.matches_exact(title, bold).alias("title_is_bold"))
+
+
+@query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {sql_loose('text')} AS d FROM documents) JOIN (SELECT item_id, {sql_loose('text')} AS h FROM benchmark) ON contains(d, h)")
+def heading_contains_match(spark, sf_dir):
+    """Items that a document contains. The pairs come from an equality join on an item's words 2 to 4, found among all triples of words; contains() confirms."""
+    white = f"[\\s{T.WIDE}]+"
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.key_loose("text").alias("h")).withColumn("gram", F.array_join(F.slice(F.split("h", white), 2, 3), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.key_loose("text").alias("d")).withColumn("w", F.split("d", white))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 3), " "))
+    found = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    sure = found.join(docs.select("doc_id", "d"), "doc_id").join(items.select("item_id", "h"), "item_id")
+    return sure.where(F.contains("d", "h")).select("doc_id", "item_id")
+
+
+KEYS = HD + f", ek AS (SELECT book, page, seq AS el, text, {sql_exact('text')} AS t_e, {sql_loose('text')} AS t_l FROM el), hk AS (SELECT *, {sql_exact('heading')} AS h_e, {sql_loose('heading')} AS h_l FROM hd)"
+HITS = KEYS + f", ht AS (SELECT hk.book, hk.seq, min(el) AS hit FROM hk JOIN ek USING (book, page) WHERE {sql_match('t', 'h')} GROUP BY hk.book, hk.seq)"
+
+
+@query(f"WITH {HITS} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(hit AS BIGINT) AS hit FROM ht")
+def heading_first_hit(spark, sf_dir):
+    el = elements(spark, sf_dir).withColumnRenamed("seq", "el")
+    return segmentation.first_hits(headings(spark, sf_dir), el, ["text"], "el").select("book", *big("seq", "hit"))
+
+
+@query(
+    f"""WITH {KEYS}, nx AS (SELECT DISTINCT book, page, lead(page) OVER (PARTITION BY book ORDER BY page) AS next FROM (SELECT DISTINCT source AS book, doc_id AS page FROM documents)),
+mv AS (SELECT hk.book, hk.seq, nx.next AS page, heading, h_e, h_l FROM hk JOIN nx USING (book, page) WHERE next IS NOT NULL)
+SELECT book, page, CAST(seq AS BIGINT) AS seq, heading FROM mv WHERE NOT EXISTS (SELECT 1 FROM ek WHERE ek.book = mv.book AND ek.page = mv.page AND {sql_match('ek.t', 'mv.h')})"""
+)
+def unmatched_headings(spark, sf_dir):
+    """Headings looked for on the page after their own."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page")).distinct()
+    after = pages.withColumn("next", F.lead("page").over(Window.partitionBy("book").orderBy("page")))
+    moved = headings(spark, sf_dir).join(after, ["book", "page"]).where("next is not null").drop("page").withColumnRenamed("next", "page")
+    return segmentation.unmatched(moved, as_layout(elements(spark, sf_dir))).select("book", "page", *big("seq"), "heading")
+
+
+@query(
+    f"""WITH {HD}, t AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY level, page, seq) - 1 AS seq FROM hd),
+b AS (SELECT *, sum(CASE WHEN page < lg THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stall FROM (SELECT *, lag(page) OVER (PARTITION BY book ORDER BY seq) AS lg FROM t))
+SELECT book, CAST(seq AS BIGINT) AS seq, page FROM b WHERE stall = 0"""
+)
+def toc_reachable(spark, sf_dir):
+    order = Window.partitionBy("book").orderBy("level", "page", "seq")
+    toc = headings(spark, sf_dir).withColumn("s", F.row_number().over(order) - 1).drop("seq").withColumnRenamed("s", "seq")
+    return segmentation.reachable(toc, elements(spark, sf_dir)).select("book", *big("seq"), "page")
+
+
+@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(last_value(CASE WHEN length(heading) % 2 = 0 THEN seq END IGNORE NULLS) OVER (PARTITION BY book ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS owner FROM hd")
+def section_owner(spark, sf_dir):
+    return segmentation.owners(headings(spark, sf_dir).withColumn("opens", F.length("heading") % 2 == 0)).select("book", *big("seq", "owner"))
+
+
+@query(
+    f"""WITH {HD}, o AS (SELECT book, page, seq, text, max(CASE WHEN length(text) BETWEEN 1 AND 39 THEN page * 100000 + seq END) OVER (PARTITION BY book ORDER BY page, seq ROWS UNBOUNDED PRECEDING) AS owner FROM el)
+SELECT book, owner, CAST(count(*) AS BIGINT) AS n_items, md5(string_agg(text, chr(10) ORDER BY page, seq)) AS content_md5 FROM o WHERE owner IS NOT NULL AND NOT length(text) BETWEEN 1 AND 39 GROUP BY book, owner"""
+)
+def section_content(spark, sf_dir):
+    """Every line in the section of the last heading before it, across pages."""
+    order = Window.partitionBy("book").orderBy("page", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_heading = F.length("text").between(1, 39)
+    rows = elements(spark, sf_dir).withColumn("is_heading", is_heading).withColumn("owner", F.last(F.when(F.col("is_heading"), F.col("page") * 100_000 + F.col("seq")), ignorenulls=True).over(order))
+    body = rows.where("owner is not null and not is_heading").groupBy("book", "owner").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("page", "seq", "text"))).alias("c"))
+    return body.select("book", "owner", "n_items", F.md5(F.array_join(F.transform("c", lambda x: x["text"]), "\n")).alias("content_md5"))
+
+
+@query(
+    f"""WITH {HITS}, m AS (SELECT hd.*, hit, lag(hd.seq) OVER (PARTITION BY book ORDER BY hd.seq) AS owner FROM hd JOIN ht USING (book, seq)),
+c AS (SELECT m.book, m.owner, m.seq AS a, e.seq AS c, e.text FROM m JOIN el e USING (book, page) WHERE e.seq < m.hit AND m.owner IS NOT NULL),
+g AS (SELECT book, owner, count(*) AS n, string_agg(text, chr(10) ORDER BY a, c) AS s FROM c GROUP BY book, owner)
+SELECT m.book, CAST(row_number() OVER (PARTITION BY m.book ORDER BY m.seq) AS BIGINT) AS sec_seq, CAST(level AS BIGINT) AS level, heading, CAST(coalesce(n, 0) AS BIGINT) AS n_items, md5(coalesce(s, '')) AS content_md5
+FROM m LEFT JOIN g ON g.book = m.book AND g.owner = m.seq
+UNION ALL SELECT DISTINCT book, 0, NULL, NULL, NULL, NULL FROM m"""
+)
+def section_compat_prefix(spark, sf_dir):
+    found = segmentation.segment(headings(spark, sf_dir), as_layout(elements(spark, sf_dir)), mode="compat")
+    return found.select("book", *big("sec_seq", "level"), "heading", F.size("content").cast("bigint").alias("n_items"), F.md5(F.array_join("content", "\n")).alias("content_md5")).withColumn("n_items", F.when(F.col("heading").isNotNull(), F.col("n_items")))
+
+
+@query(f"WITH {HITS}, n AS (SELECT book, count(*) AS n FROM ht GROUP BY book HAVING count(*) >= 70) SELECT book, CAST(n AS BIGINT) AS n_matched FROM n")
+def accepted_books(spark, sf_dir):
+    el = elements(spark, sf_dir).withColumnRenamed("seq", "el")
+    return segmentation.first_hits(headings(spark, sf_dir), el, ["text"], "el").groupBy("book").agg(F.count(F.lit(1)).alias("n_matched")).where("n_matched >= 70")
+
+
+# ---- scores -----------------------------------------------------------------------------------------------------
+
+SIDES = "hs AS (SELECT lang, doc_id, heading FROM (SELECT lang, doc_id, " + sql_clean("unnest(string_split(text, chr(10)))") + " AS heading FROM documents) WHERE length(heading) BETWEEN 1 AND 39), gt AS (SELECT lang, heading FROM hs WHERE doc_id % 2 = 0), sy AS (SELECT lang, heading FROM hs WHERE doc_id % 2 = 1)"
+
+
+def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(system, truth): the headings of odd and of even documents by language."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("x"))
+    rows = rows.select("lang", "doc_id", T.heading_clean("x").alias("heading")).where(F.length("heading").between(1, 39))
+    return rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0")
+
+
+@query(
+    f"""WITH {SIDES}, a AS (SELECT lang, count(*) AS n, avg(CASE WHEN EXISTS (SELECT 1 FROM gt WHERE gt.lang = sy.lang AND gt.heading = sy.heading) THEN 1.0 ELSE 0.0 END) AS p FROM sy GROUP BY lang),
+b AS (SELECT lang, count(*) AS n, avg(CASE WHEN EXISTS (SELECT 1 FROM sy WHERE gt.lang = sy.lang AND gt.heading = sy.heading) THEN 1.0 ELSE 0.0 END) AS r FROM gt GROUP BY lang)
+SELECT b.lang, CAST(b.n AS BIGINT) AS n_truth, CAST(coalesce(a.n, 0) AS BIGINT) AS n_system, round(coalesce(p, 0.0), 9) AS "precision", round(r, 9) AS recall FROM b LEFT JOIN a USING (lang)"""
+)
+def outline_precision_recall(spark, sf_dir):
+    got = metrics.precision_recall(*sides(spark, sf_dir), key="lang")
+    return got.select("lang", *big("n_truth", "n_system"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+ASCII = "^[\\x20-\\x7E]+$"
+
+
+@query(
+    f"""WITH {SIDES.replace('BETWEEN 1 AND 39', f"BETWEEN 1 AND 39 AND regexp_matches(heading, '{ASCII}')")},
+dg AS (SELECT DISTINCT lang, heading FROM gt), ds AS (SELECT DISTINCT lang, heading FROM sy),
+nr AS (SELECT DISTINCT dg.lang, dg.heading AS g, ds.heading AS s FROM dg JOIN ds ON dg.lang = ds.lang AND abs(length(dg.heading) - length(ds.heading)) <= 1 AND levenshtein(dg.heading, ds.heading) <= 1)
+SELECT lang, round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = sy.lang AND nr.s = sy.heading) THEN 1.0 ELSE 0.0 END) FROM sy WHERE sy.lang = l.lang), 9) AS tolerant_precision,
+  round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = gt.lang AND nr.g = gt.heading) THEN 1.0 ELSE 0.0 END) FROM gt WHERE gt.lang = l.lang), 9) AS tolerant_recall
+FROM (SELECT DISTINCT lang FROM gt) l"""
+)
+def tolerant_precision_recall(spark, sf_dir):
+    """Headings of printable ASCII, where bytes and characters are the same in every engine."""
+    system, truth = (x.where(F.col("heading").rlike(ASCII)) for x in sides(spark, sf_dir))
+    got = metrics.precision_recall(system, truth, key="lang")
+    return got.select("lang", F.round("tolerant_precision", 9).alias("tolerant_precision"), F.round("tolerant_recall", 9).alias("tolerant_recall"))
+
+
+BOUNDS = """{n} AS (SELECT doc_id, max(e) - 1 AS total, list(e - 1 ORDER BY e) FILTER (i < n) AS pos, count(*) - 1 AS c FROM (SELECT doc_id, i, n, sum(length(replace(l[i], ' ', '')) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e
+  FROM (SELECT doc_id, l, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {l} AS l FROM documents))) GROUP BY doc_id)"""
+BOTH = BOUNDS.format(n="ba", l="string_split(text, chr(10))") + ", " + BOUNDS.format(n="bb", l="string_split(replace(text, chr(10), ''), '.')")
+WINDOW = BOTH + ", k AS (SELECT doc_id, greatest(ba.total, bb.total) AS total, ba.pos AS a, bb.pos AS b, CAST(CASE WHEN ba.c > 0 AND bb.c > 0 THEN floor((greatest(ba.total, bb.total) / ba.c + greatest(ba.total, bb.total) / bb.c) / 2) ELSE 5 END AS BIGINT) AS k FROM ba JOIN bb USING (doc_id))"
+
+
+def both_boundaries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Boundaries of lines and of sentences of each document."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    sentences = docs.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("")), "\\.")).alias("pos", "text"))
+    return tuple(metrics.boundaries(x, book="doc_id", order=("pos",)) for x in (lines, sentences))
+
+
+@query("WITH " + BOTH + " SELECT doc_id, CAST(total AS BIGINT) AS total, coalesce(array_to_string(pos, ','), '') AS positions FROM ba")
+def boundary_positions(spark, sf_dir):
+    a, _ = both_boundaries(spark, sf_dir)
+    return a.select("doc_id", *big("total"), F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query("WITH " + WINDOW + " SELECT doc_id, CAST(total AS BIGINT) AS total, k FROM k")
+def window_size_k(spark, sf_dir):
+    a, b = both_boundaries(spark, sf_dir)
+    both = a.join(b.select("doc_id", F.col("total").alias("t2"), F.col("positions").alias("p2")), "doc_id").withColumn("total", F.greatest("total", "t2"))
+    return both.select("doc_id", *big("total"), metrics.window_size(F.col("total"), F.size("positions"), F.size("p2")).cast("bigint").alias("k"))
+
+
+SERIES = WINDOW + """, pl AS (SELECT doc_id, unnest(range(0, CAST(total AS BIGINT))) AS p FROM k), flag AS (SELECT pl.doc_id, pl.p, CASE WHEN x.p IS NULL THEN 0 ELSE 1 END AS fa, CASE WHEN y.p IS NULL THEN 0 ELSE 1 END AS fb
+  FROM pl LEFT JOIN (SELECT doc_id, unnest(pos) AS p FROM ba) x ON x.doc_id = pl.doc_id AND x.p = pl.p LEFT JOIN (SELECT doc_id, unnest(pos) AS p FROM bb) y ON y.doc_id = pl.doc_id AND y.p = pl.p),
+cum AS (SELECT doc_id, p, sum(fa) OVER w AS ca, sum(fb) OVER w AS cb, fa, fb FROM flag WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+win AS (SELECT lo.doc_id, hi.ca - lo.ca + lo.fa AS na, hi.cb - lo.cb + lo.fb AS nb FROM cum lo JOIN k USING (doc_id) JOIN cum hi ON hi.doc_id = lo.doc_id AND hi.p = lo.p + k.k - 1)"""
+
+
+@query("WITH " + SERIES + " SELECT doc_id, round(s, 9) AS pk FROM k LEFT JOIN (SELECT doc_id, avg(CASE WHEN (na > 0) <> (nb > 0) THEN 1.0 ELSE 0.0 END) AS s FROM win GROUP BY doc_id) USING (doc_id)")
+def pk_score(spark, sf_dir):
+    return metrics.segmentation_scores(*both_boundaries(spark, sf_dir), book="doc_id").select("doc_id", F.round("pk", 9).alias("pk"))
+
+
+@query("WITH " + SERIES + " SELECT doc_id, round(s, 9) AS windowdiff FROM k LEFT JOIN (SELECT doc_id, avg(CASE WHEN na <> nb THEN 1.0 ELSE 0.0 END) AS s FROM win GROUP BY doc_id) USING (doc_id)")
+def windowdiff_score(spark, sf_dir):
+    return metrics.segmentation_scores(*both_boundaries(spark, sf_dir), book="doc_id").select("doc_id", F.round("windowdiff", 9).alias("windowdiff"))
+
+
+# ---- trees ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {HD} SELECT book, CAST(max(level) AS BIGINT) AS depth, CAST(max(level) + 1 AS BIGINT) AS compat_depth FROM hd GROUP BY book")
+def outline_depth(spark, sf_dir):
+    toc = headings(spark, sf_dir)
+    return trees.depth(toc).join(trees.depth(toc, compat_plus_one=True).withColumnRenamed("depth", "compat_depth"), "book").select("book", *big("depth", "compat_depth"))
+
+
+@query(f"WITH {HD} SELECT book, CAST(sum(CASE WHEN level > b + 1 THEN 1 ELSE 0 END) AS BIGINT) AS skips FROM (SELECT *, coalesce(lag(level) OVER (PARTITION BY book ORDER BY seq), 0) AS b FROM hd) GROUP BY book")
+def level_skip_check(spark, sf_dir):
+    return trees.skips(headings(spark, sf_dir)).select("book", *big("skips"))
+
+
+@query(f"WITH {HD} SELECT a.book, CAST(a.seq AS BIGINT) AS seq, CAST(max(b.seq) AS BIGINT) AS parent FROM hd a LEFT JOIN hd b ON b.book = a.book AND b.seq < a.seq AND b.level < a.level GROUP BY a.book, a.seq")
+def tree_parent(spark, sf_dir):
+    return trees.parents(headings(spark, sf_dir)).select("book", *big("seq", "parent"))
+
+
+@query()
+def tree_edit_distance(spark, sf_dir):
+    """Outlines of odd against even pages of each book. No SQL expresses the kernel; tests hold it against a recursive definition."""
+    toc = headings(spark, sf_dir)
+    number = F.col("page") - F.pmod(F.col("page"), F.lit(20))
+    return trees.edit_distances(toc.where(number % 40 == 20), toc.where(number % 40 == 0), mode="full").select("book", "etd")
+
+
+# ---- references and reports -----------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS custkey, CAST(n_regionkey + 1 AS INTEGER) AS page FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def ref_resolve(spark, sf_dir):
+    """customer -> nation -> region, where the region has the page."""
+    none = F.lit(None)
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("ref"), F.lit("objref").alias("kind"), F.concat(F.lit("n"), "c_nationkey").alias("next_ref"), none.cast("int").alias("page"))
+    rows = rows.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("ref"), F.lit("dict").alias("kind"), F.concat(F.lit("r"), "n_regionkey").alias("next_ref"), none.cast("int").alias("page")))
+    rows = rows.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("ref"), F.lit("list").alias("kind"), none.cast("string").alias("next_ref"), (F.col("r_regionkey") + 1).cast("int").alias("page")))
+    found = references.resolve(rows.withColumn("book", F.lit("all")), most_steps=2)
+    return found.where(F.startswith("ref", F.lit("c"))).select(F.substr("ref", F.lit(2)).cast("bigint").alias("custkey"), "page")
+
+
+SCORES = f"{EL}, sc AS (SELECT lang AS system, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS value, d % 3 + 1 AS gt_depth FROM (SELECT lang, text, length(text) AS d FROM documents))"
+
+
+@query(
+    f"""WITH {SCORES} SELECT system, CAST(gt_depth AS BIGINT) AS gt_depth, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) AS mean, min(value) AS least,
+  round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS most
+FROM sc GROUP BY GROUPING SETS ((system, gt_depth), (system))"""
+)
+def depth_distribution(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scores = docs.select(F.col("lang").alias("system"), F.lit("lines").alias("metric"), F.size(F.split("text", "\n")).cast("double").alias("value"), (F.length("text") % 3 + 1).alias("gt_depth"))
+    got = reports.by_depth(scores)
+    return got.select("system", *big("gt_depth", "n"), *[F.round(c, 6).alias(c) for c in ("mean",)], "least", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "most")
+
+
+@query("SELECT lang, min(n_chars) - 0.05 * (max(n_chars) - min(n_chars)) AS low, max(n_chars) + 0.05 * (max(n_chars) - min(n_chars)) AS high FROM (SELECT lang, CAST(n_chars AS DOUBLE) AS n_chars FROM documents) GROUP BY lang")
+def axis_limits(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.col("n_chars").cast("double").alias("value"))
+    return reports.axis_limits(rows, keys=("lang",))
+
+
+@query("SELECT s_suppkey AS book, s_acctbal AS value, n_name AS publisher_group, CAST((dense_rank() OVER (ORDER BY n_name) - 1) % 8 AS BIGINT) AS marker FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def dimension_join_rank(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier")
+    groups = suppliers.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("book"), F.col("n_name").alias("publisher_group"))
+    return reports.with_group(suppliers.select(F.col("s_suppkey").alias("book"), F.col("s_acctbal").alias("value")), groups).select("book", "value", "publisher_group", *big("marker"))
+
+
+@query(f"WITH {HD} SELECT heading, min(page) AS page FROM hd GROUP BY heading")
+def first_seen_labels(spark, sf_dir):
+    return reports.first_seen(headings(spark, sf_dir), "heading", "page")
+
+
+@query("SELECT lang AS system, min(value) AS low, max(value) AS high, arg_min(doc_id, (value, doc_id)) AS low_book, arg_max(doc_id, (value, doc_id)) AS high_book FROM (SELECT lang, doc_id, CAST(n_chars AS DOUBLE) AS value FROM documents) GROUP BY lang")
+def score_extremes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("system"), F.lit("chars").alias("metric"), F.col("doc_id").alias("book"), F.col("n_chars").cast("double").alias("value"))
+    return reports.extremes(rows).select("system", "low", "low_book", "high", "high_book")
