@@ -1,12 +1,12 @@
 """Licence scans by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form: ASCII capitals to small letters, lines that state a copyright dropped, equivalent
+A text is brought to a canonical form: capitals to small letters, lines that state a copyright dropped, equivalent
 spellings made one, everything but letters and digits to single spaces. The SHA-256 of the canonical form of the entire
-text is hash-joined to the digests of the known licences; so is that of every line to the digests of known notices, which
-are one line each. Both lists are fixed and small, so they are broadcast.
+text is hash-joined to the digests of the known licences; that of every line is looked up
+among the digests of known notices, which are one line each. Both lists are fixed and small.
 
 Edge cases: a null or empty text, or one of punctuation and copyright lines only, matches nothing and has the digest of the
-empty string; several notices are listed once each, sorted; rows that repeat an id are kept apart by their digest; other columns are ignored.
+empty string; several notices are listed once each, sorted; repeated rows are each answered; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .session import table
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 # Spellings that count as one; fixed values.
 SPELLINGS = [
@@ -75,7 +74,7 @@ NOTICES = [
 
 def _lines_kept(text: Column) -> Column:
     """The canonical form but for line ends, which are kept."""
-    x = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    x = F.lower(F.coalesce(text, F.lit("")))
     x = F.regexp_replace(x, COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
@@ -96,15 +95,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lic
     spark = docs.sparkSession
     known = spark.createDataFrame(list((licences or LICENCES).items()), "license string, known_text string")
     known = known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("text_digest")).groupBy("text_digest").agg(F.min("license").alias("license"))
-    lines_known = spark.createDataFrame(notices or NOTICES, "named string, known_line string")
-    lines_known = lines_known.select("named", F.sha2(canonical(F.col("known_line")), 256).alias("line_digest")).distinct()
-
+    listed = notices or NOTICES
+    # One pass over a text: its lines are looked up in a small constant map of notice digests, and only the digest of the whole goes on to the join.
+    named = F.map_from_entries(F.array(*[F.struct(F.sha2(canonical(F.lit(line)), 256), F.lit(name)) for line, name in sorted({_key(line): (line, name) for name, line in reversed(listed)}.values())]))
     rows = docs.select(F.col(id_col).alias("doc_id"), _lines_kept(F.col(text_col)).alias("lines"))
-    rows = rows.select("doc_id", F.sha2(_entire(F.col("lines")), 256).alias("text_digest"), "lines")
-    whole = rows.select("doc_id", "text_digest").join(F.broadcast(known), "text_digest", "left")
-    each = rows.select("doc_id", "text_digest", F.explode(F.split("lines", "\n")).alias("line")).select("doc_id", "text_digest", F.sha2(F.trim("line"), 256).alias("line_digest"))
-    found = each.join(F.broadcast(lines_known), "line_digest").groupBy("doc_id", "text_digest").agg(F.array_join(F.array_sort(F.collect_set("named")), ",").alias("notices"))
-    return whole.join(found, ["doc_id", "text_digest"], "left").select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    found = F.transform(F.split("lines", "\n"), lambda x: F.try_element_at(named, F.sha2(F.trim(x), 256)))
+    rows = rows.select("doc_id", F.sha2(_entire(F.col("lines")), 256).alias("text_digest"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("notices"))
+    return rows.join(F.broadcast(known), "text_digest", "left").select("doc_id", "text_digest", "license", "notices")
+
+
+def _key(line: str) -> str:
+    """Notices that have the same words count as one; the first in the list names it."""
+    return "".join(c for c in line.lower() if c.isalnum())
 
 
 def op5_licences(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ def _sql_text(x: str) -> str:
 
 
 def _sql_lines(x: str) -> str:
-    x = f"regexp_replace(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '{COPYRIGHT}', '\\1', 'g')"
+    x = f"regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT}', '\\1', 'g')"
     for a, b in SPELLINGS:
         x = f"replace({x}, {_sql_text(a)}, {_sql_text(b)})"
     return f"regexp_replace({x}, '[^a-z0-9\\n]+', ' ', 'g')"
