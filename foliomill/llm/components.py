@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import bounded_batches, written
 
+#: Into so many parts the edges of each node are cut where they are joined.
+SALTS = 32
+#: Edges in one file of a step, about.
+FILE_ROWS = 250_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for the nodes that aren't the smallest."""
@@ -57,11 +62,11 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def connected_components(edges: DataFrame, most_steps: int = 40) -> DataFrame:
-    """(node, component) for every node of edges (a, b) of bigint ids but the smallest of each component.
+def connected_components(edges: DataFrame, about: int, most_steps: int = 40) -> DataFrame:
+    """(node, component) for every node of edges (a, b) of bigint ids but the smallest of each component. about: how many edges there are, roughly.
 
-    Minima are aggregated before they are shuffled, and the joins are plain ones, whose hot keys adaptive execution splits. Each step is
-    written to the shared folder, so lineage stays short and a lost executor costs no more than its tasks.
+    Minima are aggregated before they are shuffled. Each step is written to the shared folder, in files of about FILE_ROWS rows, so lineage
+    stays short and a lost executor costs no more than its tasks.
     """
     bounded_batches(edges.sparkSession)
     flat = edges.where("a <> b").mapInArrow(_local, "a bigint, b bigint")
@@ -69,15 +74,18 @@ def connected_components(edges: DataFrame, most_steps: int = 40) -> DataFrame:
     for _ in range(most_steps):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = large.join(least, F.col("a") == F.col("n"))
-        small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(small, "edges")
-        # done when each node has one edge and no root has one
-        mark = now.agg(F.count(F.lit(1)), F.countDistinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        # A node with very many larger neighbours is mostly the smallest of them all, and its edges stay; those of any node are salted.
+        moved = least.where("m < n").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        large = both.where("b > a").withColumn("t", F.pmod(F.hash("b"), F.lit(SALTS))).join(moved, (F.col("a") == F.col("n")) & (F.col("t") == F.col("s")), "left")
+        large = large.select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).where("a <> b").distinct()
+        # From here on a is the larger end, which has few edges: one for each smallest neighbour that its own neighbours have.
+        low = F.min("b").over(Window.partitionBy("a"))
+        small = large.withColumn("m", low)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        now = written(small.coalesce(about // FILE_ROWS + 1), "edges")
+        # done when a step changes nothing
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == seen:
             break
-        seen = tuple(mark)
+        seen, about = mark, 2 * mark[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

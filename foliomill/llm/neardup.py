@@ -277,9 +277,8 @@ def _compared(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def families(classes: DataFrame) -> DataFrame:
-    """(a, b): edges between nodes that share a band value, as stars."""
-    n = classes.count()
+def families(classes: DataFrame, n: int) -> DataFrame:
+    """(a, b): edges between nodes that share a band value, as stars. n: the number of classes."""
     parts = max(64, -(-n * BANDS * 16 // PART_BYTES))
     blobs = classes.select("node", "registers").mapInArrow(lambda x: _band_rows(x, parts), "part int, values binary, nodes binary")
     spread = F.when(F.col("part") < 0, -1 - F.pmod(F.hash("values"), F.lit(parts))).otherwise(F.col("part"))
@@ -294,7 +293,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     described = written(rows.mapInArrow(_described, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, registers binary"), "sketches")
     known = described.where("n_shingles > 0 and doc_id is not null")
     classes = written(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "classes")
-    family = connected_components(families(classes))
+    n = classes.count()
+    family = connected_components(families(classes, n), n)
     # the smallest node of a family is a member too
     members = family.unionAll(family.select(F.col("component").alias("node"), "component").distinct())
     sizes = family.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("component", "f")
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "shingles")
     links = dealt.groupBy("component", "low", "high").applyInArrow(_compared, "a bigint, b bigint")
-    linked = connected_components(links)
+    linked = connected_components(links, n)
     final = classes.select("k1", "k2", F.col("n_shingles").alias("n"), "node").join(linked, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
     out = described.select("doc_id", "n_shingles", F.col("k1").alias("x1"), F.col("k2").alias("x2")).join(final, (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2")) & (F.col("n_shingles") == F.col("n")), "left")
     # rows that share an id have the smallest component of any of them only if they are one class; a row without a class is alone
