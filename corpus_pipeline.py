@@ -31,10 +31,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 50 that also start in a document with a smaller id are cut from the texts; every row stays."""
-    cut = suffixes.without_repeats(docs, carry=COLUMNS[1:], text=True)
+    cut = suffixes.without_repeats(docs, carry=COLUMNS[2:], text=True)
     changed = F.col("n_removed") > 0
     return cut.select(
-        "doc_id", F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        "doc_id", F.col("kept_text").alias("text"), "lang", "source",
         F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
     )
 

@@ -37,7 +37,9 @@ from .session import bounded_batches, table
 
 LEAST, GRAM = 50, 16
 #: Bytes of text in a block, bytes of hashes in a part, runs of an anchor in one part, and bytes hashed at once.
-BLOCK_BYTES, PART_BYTES, HOT, PIECE = 4 << 20, 4 << 20, 256, 1 << 18
+BLOCK_BYTES, PART_BYTES, HOT, PIECE = 4 << 20, 2 << 20, 256, 1 << 18
+#: Suffixes that are sorted at once.
+GROUP = 50_000
 U = np.uint64
 _LOW = U((1 << 20) - 1)
 _GRAMS, _SPANS = K.byte_values(3), K.byte_values(33)
@@ -55,7 +57,7 @@ def suffix_array(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np
     length = ends - at
     width = int(length.max())
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]  # a copy
     rows[np.arange(width)[None, :] >= length[:, None]] = 0
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
     rows, length = rows[order], length[order]
@@ -111,14 +113,28 @@ def window_masks(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, least
     """For each snippet the windows, as bits, that also start in a snippet with a smaller owner; a snippet has at most 64 windows."""
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     count = lengths.astype(np.int64) - least + 1
-    at = K.aranges(bounds[:-1], count)
-    of = np.repeat(np.arange(len(lengths)), count)
+    starts = K.aranges(bounds[:-1], count)
+    masks = np.zeros(len(lengths), U)
+    if not len(starts):
+        return masks
+    # Suffixes with a common prefix of GRAM bytes are in one group, and groups are small enough to be sorted in little memory.
+    groups = -(-len(starts) // GROUP)
+    group = (K.span_hashes(data, starts, starts + GRAM, _SPANS) % U(groups)).astype(np.int64) if groups > 1 else np.zeros(len(starts), np.int64)
+    by_group = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[by_group], np.arange(groups + 1))
+    for g in range(groups):
+        _mark(data, bounds, starts[by_group[edges[g] : edges[g + 1]]], owner, least, masks)
+    return masks
+
+
+def _mark(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, owner: np.ndarray, least: int, masks: np.ndarray) -> None:
+    """Sets the bits of the windows among the suffixes `at` that also start in a snippet with a smaller owner."""
+    of = np.searchsorted(bounds, at, "right") - 1
     order, lcp = suffix_array(data, at, bounds[of + 1])
     at, of = at[order], of[order]
     start = at - bounds[of]
     left = np.where(start > 0, data[at - 1].astype(np.int64), -1)
     owners = owner[of]
-    masks = np.zeros(len(lengths), U)
     for length, a, b in maximal_repeats(lcp, left, least):
         if b == a + 1:
             if owners[a] == owners[b]:
@@ -130,7 +146,6 @@ def window_masks(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, least
         later = owners[some] > owners[some].min()
         if later.any():
             np.bitwise_or.at(masks, of[some][later], U((1 << (length - least + 1)) - 1) << start[some][later].astype(U))
-    return masks
 
 
 # ---- runs of a block -----------------------------------------------------------------------------------------
@@ -372,11 +387,12 @@ def _finish(rows: pa.Table, answers: pa.Table, parts: int, least: int, carried:
     total, spans = np.concatenate([[0], np.cumsum(covered)]), np.concatenate([[0], np.cumsum(begins)])
     removed = total[o[1:]] - total[o[:-1]]
     digests, kept = [], []
-    for a, b, r in zip(o[:-1].tolist(), o[1:].tolist(), removed.tolist(), strict=True):
+    null = block.rows.column("text").is_null().to_pylist()
+    for a, b, r, none in zip(o[:-1].tolist(), o[1:].tolist(), removed.tolist(), null, strict=True):
         left = block.data[a:b] if not r else block.data[a:b][~covered[a:b]]
         digests.append(hashlib.sha256(left.tobytes()).hexdigest())
         if text:
-            kept.append(left.tobytes().decode("utf-8", "ignore"))
+            kept.append(None if none else left.tobytes().decode("utf-8", "ignore"))
     out = {"doc_id": block.rows.column("doc_id"), "n_bytes": pa.array(np.diff(o), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans[o[1:]] - spans[o[:-1]], pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
     if text:
         out["kept_text"] = pa.array(kept, pa.string())
@@ -387,7 +403,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, carried columns]) for every row.
 
     Removed is each byte in a string of `least` bytes that also starts in a document with a smaller id. In kept_text, what a cut leaves
-    of a character of several bytes is dropped.
+    of a character of several bytes is dropped, and null stays null.
     """
     if not GRAM < least <= GRAM + 63:
         raise ValueError(f"least must be in {GRAM + 1}..{GRAM + 63}")

@@ -26,8 +26,8 @@ from . import kernels as K
 from .session import bounded_batches, table
 
 #: Features are hashed to this many weights; leads are in bytes; labelled rows that are fitted on, at most.
-WIDTH, LEADS, SAMPLE = 1 << 18, (4, 5, 6, 7, 8), 8_000
-STEPS, RATE, L1, L2, SWAP = 160, 0.08, 4e-4, 1e-4, 1.0
+WIDTH, LEADS, SAMPLE = 1 << 18, (4, 5, 6, 7, 8), 5_000
+STEPS, RATE, L1, L2, SWAP = 100, 0.08, 4e-4, 1e-4, 1.0
 
 # Terms that name a group, in the four languages of the corpus; fixed values.
 IDENTITY = (
@@ -88,19 +88,29 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
             change_row += [i] * len(terms[t])
             change_feature += terms[t].tolist()
             change_sign += [sign] * len(terms[t])
-    used, at = np.unique(np.concatenate([feature, np.array(change_feature, np.int64)]), return_inverse=True)
-    f, cf = at[: len(feature)], at[len(feature) :]
+    # Features of a single text get no weight; the others, and those of the terms, are numbered anew.
+    seen = np.bincount(feature, minlength=WIDTH)
+    frequent = seen >= 2
+    keep = frequent[feature]
+    row, feature = row[keep].astype(np.int32), feature[keep].astype(np.int32)
+    cf = np.array(change_feature, np.int64)
+    known = frequent.copy()
+    known[cf] = True
+    used = np.flatnonzero(known)
+    number = np.zeros(WIDTH, np.int32)
+    number[used] = np.arange(len(used))
+    f, cf = number[feature], number[cf]
+    del feature, keep
     cr, cs = np.array(change_row), np.array(change_sign)
-    seen = np.bincount(f, minlength=len(used))
-    rare = seen < 2
-    w, b = np.zeros(len(used)), float(np.log(share / (1 - share)))
+    rare = ~frequent[used]
+    w, b = np.zeros(len(used), np.float32), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y = labels.astype(float)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     weight /= weight.mean()
     for step in range(1, steps + 1):
         z = np.clip(b + np.bincount(row, w[f], n), -50, 50)
-        error = weight * (1 / (1 + np.exp(-z)) - y) / n
+        error = (weight * (1 / (1 + np.exp(-z)) - y) / n).astype(np.float32)
         g = np.bincount(f, error[row], len(used)) + L2 * w
         moved = np.bincount(cr, w[cf] * cs, n)
         g += np.bincount(cf, 2 * swap * moved[cr] * cs / n, len(used))
@@ -110,7 +120,7 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         scale = RATE / (np.sqrt(v / c2) + 1e-6)
         w -= scale * m / c1
-        w = np.sign(w) * np.maximum(0, np.abs(w) - scale * L1)
+        w = (np.sign(w) * np.maximum(0, np.abs(w) - scale * L1)).astype(np.float32)
         w[rare] = 0
         b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     out = np.zeros(WIDTH, np.float32)
@@ -118,7 +128,7 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
     return out, b
 
 
-def scores(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+def scores(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, name: str = "score") -> Iterator[pa.RecordBatch]:
     """Batches whose last column is the text get their other columns and a score."""
     for batch in batches:
         data, offsets = K.column_bytes(batch.column(batch.num_columns - 1))
@@ -127,7 +137,7 @@ def scores(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float)
             row, feature = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             z[i:j] += np.bincount(row, weights[feature], j - i)
         score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        names = [*batch.schema.names[:-1], "score"]
+        names = [*batch.schema.names[:-1], name]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names)
 
 
@@ -163,18 +173,20 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     order = sorted(range(got.num_rows), key=lambda k, a=got.column("id").to_pylist(), f=got.column("features").to_pylist(): (a[k], f[k]))
     got = got.take(pa.array(order, pa.int64()))
     each = [np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()]
-    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    feature = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+    feature = np.concatenate(each) if each else np.zeros(0, np.int32)
     return fit(got.column("label").to_numpy().astype(int), row, feature, got.column("mentions").to_pylist())
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row and its score."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns `keep` of every row and its score, which needs a name that none of them has."""
+    if score_col in keep:
+        raise ValueError(f"{score_col} is a column already; name another score_col")
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col(text_col).alias("text__scored")).mapInArrow(lambda x: scores(x, *shared.value), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return docs.select(*keep, F.col(text_col).alias("text__scored")).mapInArrow(lambda x: scores(x, *shared.value, score_col), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + f", `{score_col}` double")
 
 
 def _fold(modulus: int):
