@@ -98,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 if open_tag in ("ul", "ol", "table", "div", "section", "article", "body", "dl"):
                     break
         attributes = m[4] or m[7] or ""
-        stack.append((tag, tag + " " + " ".join(" ".join(x) for x in NAMES.findall(attributes)).lower() if "=" in attributes else tag))
+        stack.append((tag, tag + " " + " ".join("".join(x) for x in NAMES.findall(attributes)).lower() if "=" in attributes else tag))
     if at < len(page):
         pieces.append(page[at:])
         if links:
@@ -361,7 +361,11 @@ def _named(r: np.random.Generator, tag: str, kind: str, name: str, inside: str)
 
 
 # Elements and names that mark the parts of a page in its own markup; fixed values.
-MAIN, REST = {"article", "main"}, {"nav", "aside", "footer", "header", "form", "ad", "ads", "advert", "comments", "comment", "sidebar", "menu", "cookie", "banner", "share", "related"}
+MAIN = {"article", "main"}
+REST = set(
+    "nav navbar navigation breadcrumb menu aside sidebar footer header masthead form ad ads advert advertisement sponsored promo comments comment reply responses discussion cookie consent notice "
+    "alert banner share social tags related widget newsletter copyright legal".split()
+)
 
 
 def marked(found: list[tuple[str, tuple[str, ...], float]]) -> list[int] | None:

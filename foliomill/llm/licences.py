@@ -61,6 +61,37 @@ LICENCES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL,
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _ISC_TAIL,
 }
+LICENCES |= {
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We "
+        "make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+        f"{_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+        "For more information, please refer to <https://unlicense.org>"
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n"
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions:\n"
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required.\n"
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+}
+# Titles that may stand before a text; fixed values.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "Zlib": ["zlib License", "The zlib/libpng License"], "Unlicense": ["The Unlicense"],
+}
+#: (licence, text) for each text as it is and after each of its titles.
+KNOWN = [(name, title + text) for name, text in LICENCES.items() for title in ["", *(t + "\n" for t in TITLES.get(name, []))]]
 # One-line notices and the licence they name; fixed values.
 NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -90,10 +121,10 @@ def canonical(text: Column) -> Column:
     return _entire(_lines_kept(text))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", licences: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, text_digest, license, notices) for every row: the licence that is the entire text, or null, and the licences that whole lines name."""
     spark = docs.sparkSession
-    known = spark.createDataFrame(list((licences or LICENCES).items()), "license string, known_text string")
+    known = spark.createDataFrame(licences or KNOWN, "license string, known_text string")
     known = known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("text_digest")).groupBy("text_digest").agg(F.min("license").alias("license"))
     listed = notices or NOTICES
     # One pass over a text: its lines are looked up in a small constant map of notice digests, and only the digest of the whole goes on to the join.
@@ -129,7 +160,7 @@ def _sql_entire(x: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH known AS (SELECT sha256({_sql_entire(_sql_lines("t"))}) AS text_digest, min(l) AS license FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in LICENCES.items())}) v(l, t) GROUP BY 1),
+WITH known AS (SELECT sha256({_sql_entire(_sql_lines("t"))}) AS text_digest, min(l) AS license FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN)}) v(l, t) GROUP BY 1),
 notice AS (SELECT DISTINCT sha256({_sql_entire(_sql_lines("t"))}) AS line_digest, l AS named FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in NOTICES)}) v(l, t)),
 rows AS (SELECT doc_id, {_sql_lines("text")} AS lines FROM documents),
 digests AS (SELECT doc_id, sha256({_sql_entire("lines")}) AS text_digest, lines FROM rows),
