@@ -27,7 +27,8 @@ from .session import bounded_batches, table
 
 #: Features are hashed to this many weights; leads are in bytes; labelled rows that are fitted on, at most.
 WIDTH, LEADS, SAMPLE = 1 << 18, (4, 5, 6, 7, 8), 5_000
-STEPS, RATE, L1, L2, SWAP = 100, 0.08, 4e-4, 1e-4, 1.0
+#: L1 is in texts: a feature of so many texts, or fewer, hardly gets a weight, whatever the size of the sample.
+STEPS, RATE, L1, L2, SWAP = 100, 0.08, 1.5, 1e-4, 1.0
 
 # Terms that name a group, in the four languages of the corpus; fixed values.
 IDENTITY = (
@@ -120,7 +121,7 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         scale = RATE / (np.sqrt(v / c2) + 1e-6)
         w -= scale * m / c1
-        w = (np.sign(w) * np.maximum(0, np.abs(w) - scale * L1)).astype(np.float32)
+        w = (np.sign(w) * np.maximum(0, np.abs(w) - scale * (L1 / n))).astype(np.float32)
         w[rare] = 0
         b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     out = np.zeros(WIDTH, np.float32)
