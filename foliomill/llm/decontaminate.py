@@ -231,58 +231,78 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     if many <= 1:
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
         return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda x: hits(x, shared.value, spans), with_spans if spans else schema)
+    keyed = docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = _in_blocks(keyed, items, many, window)
+    out = out.select(F.col("doc_id.id").alias("doc_id"), "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
+    return out if spans else out.drop("spans")
+
+
+def _key(id_col: str, text_col: str):
+    return F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
+
+
+def _in_blocks(keyed: DataFrame, items: DataFrame, many: int, window: int) -> DataFrame:
+    """(doc_id, n_words, items, spans) for each distinct doc_id, a struct of id and text hash: the items go through in blocks, and the answers are merged."""
+    spark = keyed.sparkSession
+    schema = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<first: bigint, last: bigint>>"
     parts = []
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h")).alias("doc_id"), F.col(text_col).alias("text"))
-    inner = with_spans.replace(f"doc_id {dict(docs.dtypes)[id_col]}", f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}")
     for k in range(many):
         block = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k).collect()], window))
-        parts.append(keyed.mapInArrow(lambda x, b=block: hits(x, b.value, True), inner))
+        parts.append(keyed.mapInArrow(lambda x, b=block: hits(x, b.value, True), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.array_sort(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)"),
         lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] >= s["first"] - 1), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(a, F.array(s))),
     )
-    out = out.withColumn("items", F.array_distinct("items")).withColumn("spans", merged)
-    out = out.select(F.col("doc_id.id").alias("doc_id"), "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
-    return out if spans else out.drop("spans")
+    return out.withColumn("spans", merged)
+
+
+def _without(text: str, spans: list[dict]) -> str:
+    """The text without the words of the spans; what stands around them stays."""
+    raw = text.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends = K.words(K.lowered(data), np.array([0, len(data)]), IS_WORD)
+    kept, at = [], 0
+    for s in spans:
+        kept.append(raw[at : int(starts[s["first"]])])
+        at = int(ends[s["last"]])
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
-    """Batches (rest..., text) to (rest..., text without the hit words, whether anything went)."""
+def _cut(batches: Iterator[pa.RecordBatch], windows: Windows | None) -> Iterator[pa.RecordBatch]:
+    """Batches (rest..., text[, spans]) to (rest..., text without the hit words, whether anything went). Without windows the spans are given."""
     for batch in batches:
-        rest, texts = batch.columns[:-1], batch.column(batch.num_columns - 1)
-        found = pa.Table.from_batches(list(hits(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], ["row", "text"])]), windows, True))) if batch.num_rows else None
-        out, touched = texts.to_pylist(), [False] * batch.num_rows
-        for row, n, spans in zip(*(found.column(c).to_pylist() for c in ("doc_id", "n_hit", "spans")), strict=True) if found else ():
-            if not n:
-                continue
-            raw = out[row].encode("utf-8", "surrogatepass")
-            data = np.frombuffer(raw, np.uint8)
-            starts, ends = K.words(K.lowered(data), np.array([0, len(data)]), IS_WORD)
-            kept, at = [], 0
-            for s in spans:
-                kept.append(raw[at : int(starts[s["first"]])])
-                at = int(ends[s["last"]])
-            out[row], touched[row] = b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass"), True
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(touched, pa.bool_())], [*batch.schema.names[:-1], "text__cut", "touched__cut"])
-
-
-def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
-    """docs with the hit words cut from the texts; chars_col is counted anew where something went. Items beyond ITEM_BYTES go in blocks, pass by pass."""
+        if windows is None:
+            rest, texts, spans = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
+        else:
+            rest, texts = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), texts], ["row", "text"])
+            spans = [s for part in hits(iter([numbered]), windows, True) for s in part.column(5).to_pylist()]
+        out = [_without(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array([bool(s) for s in spans], pa.bool_())], [*batch.schema.names[: len(rest)], "text__cut", "touched__cut"])
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with the hit words cut from the texts; chars_col is counted anew where something went. No row is shuffled up to ITEM_BYTES of items; beyond, spans are joined by id and text hash."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id"), F.col("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > ITEM_BYTES:
-        raise ValueError(f"the items have {size} bytes; cleaned() takes at most ITEM_BYTES. decontaminate(spans=True) has no such limit")
-    shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+    many = -(-size // ITEM_BYTES)
     kinds = dict(docs.dtypes)
     rest = [c for c in docs.columns if c != text_col]
-    out = docs.select(*rest, text_col).mapInArrow(lambda x: _cut(x, shared.value), ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", text__cut string, touched__cut boolean")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text__cut string", "touched__cut boolean"])
+    if many <= 1:
+        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+        out = docs.select(*rest, text_col).mapInArrow(lambda x: _cut(x, shared.value), schema)
+    else:
+        spans = _in_blocks(docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text")), items, many, window).select(F.col("doc_id").alias("k__"), F.col("spans").alias("spans__"))
+        here = docs.withColumn("key__", _key(id_col, text_col))
+        out = here.join(spans, F.col("key__").eqNullSafe(F.col("k__")), "left").select(*rest, text_col, "spans__").mapInArrow(lambda x: _cut(x, None), schema)
     columns = [F.col("text__cut").alias(c) if c == text_col else F.when(F.col("touched__cut"), F.length("text__cut").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
     return out.select(*columns)
 

@@ -74,7 +74,9 @@ def test_op9_is_brute_force(spark, docs, monkeypatch, shard, most):
     assert got == brute(rows, items)
 
 
-def test_spans_and_cleaned_texts(spark, docs):
+@pytest.mark.parametrize("most", [32 << 20, 600])
+def test_spans_and_cleaned_texts(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(D, "ITEM_BYTES", most)
     rows, items = corpus()
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(rows, items)

@@ -32,7 +32,7 @@ def corpus():
         rows[k + 1][1] += "\n" + item
     rows += [[900, None, "en", "a"], [901, "", None, None]]
     rows = [(*x, len(x[1] or "")) for x in rows]
-    return rows, [(x[0], 1, int("grolk" in (x[1] or ""))) for x in rows if x[0] % 3], [(1, item), (2, prose(12))], passage, item
+    return rows, [(x[0], 1, int("grolk" in (x[1] or ""))) for x in rows if x[0] % 5], [(1, item), (2, prose(12))], passage, item
 
 
 def test_stages_and_run(spark, tmp_path):
