@@ -74,8 +74,10 @@ def window_scores(total: int, a: np.ndarray, b: np.ndarray, k: int) -> tuple[flo
     return float(np.mean((sums[0] > 0) != (sums[1] > 0))), float(np.mean(sums[0] != sums[1]))
 
 
-def segmentation_scores(truth: DataFrame, system: DataFrame, book: str = "book") -> DataFrame:
-    """(book, total, k, pk, windowdiff) for the books of both boundary tables; the shorter one is padded."""
+def segmentation_scores(truth: DataFrame, system: DataFrame, book: str = "book", exclude: list[str] | None = None) -> DataFrame:
+    """(book, total, k, pk, windowdiff) for the books of both boundary tables but those in `exclude`; the shorter one is padded."""
+    if exclude:
+        truth = truth.where(~F.col(book).isin(exclude))
     importable(truth.sparkSession)
     both = truth.select(book, F.col("total").alias("t1"), F.col("positions").alias("a")).join(system.select(book, F.col("total").alias("t2"), F.col("positions").alias("b")), book)
     both = both.withColumn("total", F.greatest("t1", "t2")).withColumn("k", window_size(F.col("total"), F.size("a"), F.size("b")))

@@ -44,3 +44,8 @@ def pivoted(scores: DataFrame, metrics: list[str]) -> DataFrame:
 def extremes(scores: DataFrame, keys: tuple[str, ...] = ("system", "metric")) -> DataFrame:
     """The lowest and highest score of each system and metric, with a book that has it."""
     return scores.groupBy(*keys).agg(F.min(F.struct("value", "book")).alias("low"), F.max(F.struct("value", "book")).alias("high")).select(*keys, F.col("low.value").alias("low"), F.col("low.book").alias("low_book"), F.col("high.value").alias("high"), F.col("high.book").alias("high_book"))
+
+
+def rebucketed(scores: DataFrame, depths: DataFrame, **options) -> DataFrame:
+    """by_depth() with the depth of each book taken from another table (book, depth); a book without one is left out."""
+    return by_depth(scores.drop("gt_depth").join(depths.withColumnRenamed("depth", "gt_depth"), "book"), **options)

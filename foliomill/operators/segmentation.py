@@ -75,12 +75,14 @@ def _collected(headings: DataFrame, content: DataFrame) -> DataFrame:
     return rows.select("book", F.row_number().over(order).alias("sec_seq"), "level", "heading", "content")
 
 
-def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None, *, mode: str = "compat", strict_unopened: bool = False) -> DataFrame:
+def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None, *, mode: str = "compat", strict_unopened: bool = False, exclude: list[str] | None = None) -> DataFrame:
     """Sections (book, sec_seq, level, heading, content) of the books with at least one matched heading; in compat sec_seq 0 is the empty first segment.
 
-    strict_unopened drops books in which a line would be appended before any section is open, as one variant of the procedure fails there.
+    exclude names books that are left out. strict_unopened drops books in which a line would be appended before any section is open, as one variant of the procedure fails there.
     """
     pages = elements if pages is None else pages
+    if exclude:
+        toc = toc.where(~F.col("book").isin(exclude))
     good = toc.join(rejected_books(toc), "book", "left_anti")
     if mode == "full":
         return _full(good, elements)

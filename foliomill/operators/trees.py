@@ -134,3 +134,13 @@ def edit_distances(system: DataFrame, truth: DataFrame, *, mode: str = "compat",
 
     both = packed(system, "a").join(packed(truth, "b"), list(keys))
     return both.select(*keys, distance("a", "b").alias("etd"))
+
+
+def books_by_depth(toc: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
+    """(depth, n, least, most): how many books are of each depth, and the first and last of their names."""
+    return depth(toc, keys=keys).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.min(keys[0]).alias("least"), F.max(keys[0]).alias("most"))
+
+
+def headings_by_level(toc: DataFrame) -> DataFrame:
+    """(book, level, n, first): the number of headings of each level and the first of them."""
+    return toc.groupBy("book", "level").agg(F.count(F.lit(1)).alias("n"), F.min_by("heading", "seq").alias("first"))

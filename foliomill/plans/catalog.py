@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import candidates, metrics, references, reports, segmentation, trees
-from ..sources import layout_xml, outlines
+from ..sources import layout_xml, outlines, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -499,3 +499,48 @@ def first_seen_labels(spark, sf_dir):
 def score_extremes(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("system"), F.lit("chars").alias("metric"), F.col("doc_id").alias("book"), F.col("n_chars").cast("double").alias("value"))
     return reports.extremes(rows).select("system", "low", "low_book", "high", "high_book")
+
+
+@query(f"WITH {HD} SELECT book, CAST(level AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS n, arg_min(heading, seq) AS first FROM hd GROUP BY book, level")
+def headings_by_level(spark, sf_dir):
+    return trees.headings_by_level(headings(spark, sf_dir)).select("book", *big("level", "n"), "first")
+
+
+@query(f"WITH {HD} SELECT CAST(d AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS n, min(book) AS least, max(book) AS most FROM (SELECT book, max(level) AS d FROM hd GROUP BY book) GROUP BY d")
+def books_by_depth(spark, sf_dir):
+    return trees.books_by_depth(headings(spark, sf_dir)).select(*big("depth", "n"), "least", "most")
+
+
+@query(
+    f"""WITH {SCORES}
+SELECT system, CAST(gt_depth AS BIGINT) AS gt_depth, CAST(count(*) AS BIGINT) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median
+FROM (SELECT lang AS system, CAST(n_chars AS DOUBLE) AS n_chars, length(text) % 3 + 1 AS gt_depth FROM documents) GROUP BY GROUPING SETS ((system, gt_depth), (system))"""
+)
+def scores_rebucketed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scores = docs.select(F.col("doc_id").alias("book"), F.col("lang").alias("system"), F.lit("chars").alias("metric"), F.col("n_chars").cast("double").alias("value"))
+    depths = docs.select(F.col("doc_id").alias("book"), (F.length("text") % 3 + 1).alias("depth"))
+    return reports.rebucketed(scores, depths).select("system", *big("gt_depth", "n"), F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+@query(
+    f"""WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, trim(trim(trim(regexp_replace(heading, '\\p{{C}}', '', 'g'), '"'), chr(13) || chr(10)), ' ') AS heading,
+  CAST(CASE WHEN seq % 4 < 3 THEN page END AS INTEGER) AS page FROM hd WHERE trim(trim(trim(regexp_replace(heading, '\\p{{C}}', '', 'g'), '"'), chr(13) || chr(10)), ' ') <> ''"""
+)
+def outline_from_destinations(spark, sf_dir):
+    """Each heading's page through one of three references, of which every fourth heading has none."""
+    toc = headings(spark, sf_dir)
+    name = F.concat_ws(":", F.lit("p"), "page")
+    raw = toc.select("book", "seq", "level", F.col("heading").alias("title"), *[F.when(F.col("seq") % 4 == k, F.concat(name, F.lit(":" + c))).otherwise(F.lit("")).alias(c) for k, c in enumerate(("dest", "action", "element"))])
+    pages = toc.select("book", "page").distinct()
+    none = F.lit(None)
+    refs = pages.select("book", name.alias("ref"), F.lit("objref").alias("kind"), none.cast("string").alias("next_ref"), F.col("page").cast("int").alias("page"))
+    for c in ("dest", "action", "element"):
+        refs = refs.unionByName(pages.select("book", F.concat(name, F.lit(":" + c)).alias("ref"), F.lit("dict").alias("kind"), name.alias("next_ref"), none.cast("int").alias("page")))
+    return pdf.outline_rows(raw, refs, "gt").select("book", *big("seq"), "heading", "page")
+
+
+@query("SELECT s AS source FROM (SELECT DISTINCT source AS s FROM documents) ORDER BY s LIMIT 4 OFFSET 3")
+def part_of_a_run(spark, sf_dir):
+    """Books number 3 to 7 by name: the limit is the operator."""
+    return outlines.nth(table(spark, sf_dir, "documents").select(F.col("source").alias("book")), 3, 7).select(F.col("book").alias("source"))

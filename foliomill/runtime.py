@@ -1,11 +1,15 @@
-"""What every Python function of this package needs on the workers."""
+"""What functions of this package need of a session: the import path of the workers, the shared folder, a time limit."""
 
 from __future__ import annotations
 
 import os
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -16,3 +20,36 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor and the driver reach."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file:/tmp/foliomill-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives the loss of an executor."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Jobs that are started inside are cancelled after so many seconds; the action that waits for them then fails."""
+    sc, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    timer = threading.Timer(seconds, sc.cancelJobsWithTag, [tag])
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+        sc.setInterruptOnCancel(False)

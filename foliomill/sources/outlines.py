@@ -72,3 +72,8 @@ def pending(books: DataFrame, *done: DataFrame) -> DataFrame:
     for d in done:
         books = books.join(d.select("book").distinct(), "book", "left_anti")
     return books
+
+
+def nth(books: DataFrame, first: int, last: int) -> DataFrame:
+    """Books number first to last, without the last, in the order of their names: a part of a long run."""
+    return books.select("book").distinct().orderBy("book").offset(first).limit(last - first)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliomill.operators import trees
-from foliomill.sources import layout_xml, outlines, segments
+from foliomill.runtime import time_limit
+from foliomill.sources import layout_xml, outlines, pdf, segments
 from foliomill.streaming import ingest
 
 
@@ -109,3 +110,41 @@ def test_column_choice(spark):
     rows = spark.createDataFrame([("a", "b"), ("", "b"), (None, "b")], "text_head string, text_inline string")
     assert [r[0] for r in rows.select(layout_xml.content_choice().alias("x")).collect()] == ["a", "b", "b"]
     assert rows.select(F.lit(1)).count() == 3
+
+
+def test_A2_conversion_is_pluggable(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    (tmp_path / "b.pdf").write_bytes(b"?")
+
+    def convert(content):
+        if content == b"?":
+            raise ValueError("empty")
+        return f"<pdf2xml><page number='1'><text>{content.decode()}</text></page></pdf2xml>"
+
+    rows = {r.book: r for r in pdf.read_pdfs(spark, str(tmp_path), convert).collect()}
+    assert rows["a"].problem is None and "one" in rows["a"].content and rows["b"].problem == "ValueError: empty"
+    assert layout_xml.elements(pdf.read_pdfs(spark, str(tmp_path), convert).where("problem is null")).first().text_full == "one"
+
+
+def test_A3_outline_entries(spark):
+    raw = spark.createDataFrame([("b", 0, 1, '"Intro" \x00', "d1", None, None), ("b", 1, 1, "Index", None, "d1", ""), ("b", 2, 2, "Part", None, "", "gone"), ("b", 3, 2, '""', None, None, None)], "book string, seq int, level int, title string, dest string, action string, element string")
+    refs = spark.createDataFrame([("b", "d1", "objref", None, 5)], "book string, ref string, kind string, next_ref string, page int")
+    got = [(r.seq, r.heading, r.page) for r in pdf.outline_rows(raw, refs, "gt", ["index"]).orderBy("seq").collect()]
+    assert got == [(0, 'Intro"', 5), (2, "Part", None)]
+
+
+def test_D12_part_of_a_run(spark):
+    books = spark.createDataFrame([(x,) for x in "dbca"], "book string")
+    assert [r.book for r in outlines.nth(books, 1, 3).collect()] == ["b", "c"]
+
+
+def test_S12_time_limit(spark):
+    import time
+
+    slow = spark.range(4).repartition(4).select(F.udf(lambda x: time.sleep(20) or x, "long")("id").alias("x"))
+    began = time.time()
+    with pytest.raises(Exception), time_limit(spark, 1):  # noqa: B017
+        slow.collect()
+    assert time.time() - began < 15
+    with time_limit(spark, 60):
+        assert spark.range(3).count() == 3

@@ -265,3 +265,13 @@ def test_golden_tree_edit_distance(sides):
     found = {r.book: r.etd for r in trees.edit_distances(llm, gt).where("etd is not null").collect()}
     assert len(found) == 26 and round(sum(found.values()) / 26, 2) == 232.12
     assert 523 in found.values()
+
+
+def test_E4_E7_F10_F12(spark):
+    toc = spark.createDataFrame([("a", 0, 1, "x"), ("a", 1, 2, "y"), ("b", 0, 1, "z")], "book string, seq int, level int, heading string")
+    assert {r.depth: (r.n, r.least) for r in trees.books_by_depth(toc).collect()} == {2: (1, "a"), 1: (1, "b")}
+    assert {(r.book, r.level): (r.n, r.first) for r in trees.headings_by_level(toc).collect()}[("a", 2)] == (1, "y")
+    scores = spark.createDataFrame([("a", "s", "m", 1.0), ("b", "s", "m", 3.0), ("c", "s", "m", 9.0)], "book string, system string, metric string, value double")
+    assert {r.gt_depth: r.n for r in reports.rebucketed(scores, trees.depth(toc)).collect()} == {2: 1, 1: 1, None: 2}
+    b = spark.createDataFrame([("a", 9, [3]), ("b", 9, [3])], "book string, total bigint, positions array<bigint>")
+    assert [r.book for r in M.segmentation_scores(b, b, exclude=["a"]).collect()] == ["b"]
