@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.ORACLE_SQL,
+    "op3_repeats": suffixes.ORACLE_SQL,
     "op5_licences": licences.ORACLE_SQL,
     "op8_neardup": neardup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,

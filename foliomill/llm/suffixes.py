@@ -430,3 +430,17 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+# Windows as hexadecimal strings; a byte is removed if one of the 50 windows that cover it also starts in a smaller document.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2)) AS p FROM d),
+w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS b, CASE WHEN 2 * p + 100 <= length(x) THEN md5_number(substr(x, 2 * p + 1, 100)) END AS g FROM p),
+m AS (SELECT *, CASE WHEN g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id THEN 1 ELSE 0 END AS dup FROM w),
+c AS (SELECT doc_id, p, b, max(dup) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS cut FROM m),
+s AS (SELECT *, cut = 1 AND coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0 AS begins FROM c),
+a AS (SELECT doc_id, count(*) AS n_bytes, sum(cut) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (cut = 0), '') AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""

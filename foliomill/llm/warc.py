@@ -239,3 +239,14 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
         F.nullif(page("record_id"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page("refers_to").cast("long")).alias("refers_to"), F.col("uri").alias("url"), "problem",
     )
+
+
+# A Base32 character is 5 bits, so 5 hexadecimal digits are 4 of them.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url, CAST(NULL AS VARCHAR) AS problem
+FROM f
+"""
