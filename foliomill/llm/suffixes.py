@@ -117,9 +117,15 @@ def window_masks(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, least
     masks = np.zeros(len(lengths), U)
     if not len(starts):
         return masks
-    # Suffixes with a common prefix of GRAM bytes are in one group, and groups are small enough to be sorted in little memory.
-    groups = -(-len(starts) // GROUP)
-    group = (K.span_hashes(data, starts, starts + GRAM, _SPANS) % U(groups)).astype(np.int64) if groups > 1 else np.zeros(len(starts), np.int64)
+    # A suffix that shares its first `least` bytes with no other is in no interval, so only the others are sorted. Those that share them
+    # are in one group, and groups are small enough to be sorted in little memory.
+    h = K.span_hashes(data, starts, starts + least, _SPANS)
+    order = np.argsort(h)
+    alike = h[order[1:]] == h[order[:-1]]
+    order = np.sort(order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])])
+    starts, h = starts[order], h[order]
+    groups = max(1, -(-len(starts) // GROUP))
+    group = (h % U(groups)).astype(np.int64)
     by_group = np.argsort(group, kind="stable")
     edges = np.searchsorted(group[by_group], np.arange(groups + 1))
     for g in range(groups):
