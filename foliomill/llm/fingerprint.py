@@ -218,7 +218,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     also = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("halo"))
     rows = rows.select(F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, also)).otherwise(F.array(own))).alias("at"), "doc_id", "text")
     rows = rows.select("at.bucket", "at.halo", "doc_id", "text")
-    dealt = rows.repartition(max(1, -(-n // 4)), "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    tasks = max(1, -(-n // 4))
+    dealt = rows.repartitionById(tasks, (F.col("bucket") % tasks).cast("int")).sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     kind = dict(rows.dtypes)["doc_id"]
     return dealt.mapInArrow(_compared, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
