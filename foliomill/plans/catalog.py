@@ -132,24 +132,43 @@ def outline_parse_naive(spark, sf_dir):
 
 @query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, level AS level, heading, page FROM (SELECT book, seq, CAST(level AS INTEGER) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\\'))")
 def outline_parse_strict(spark, sf_dir):
+    """The lines without a backslash; outline_parse_strict_all has all."""
+    return _parsed(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit("\\"))))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
     """Lines are written with quotes where needed and parsed again; a fourth field rejects a line."""
-    lines = outlines.entry_lines(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit("\\"))))
+    lines = outlines.entry_lines(rows)
     found = lines.select("book", "seq", F.from_csv("line", F.lit("level string, heading string, page string, more string"), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("f"))
     return found.where("f.page is not null and f.more is null").select("book", *big("seq"), T.safe_int("f.level").alias("level"), "f.heading", T.safe_int("f.page").alias("page"))
 
 
+@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS INTEGER) AS level, heading, CAST(page AS INTEGER) AS page FROM hd")
+def outline_parse_strict_all(spark, sf_dir):
+    return _parsed(headings(spark, sf_dir))
+
+
 @query(
     f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS VARCHAR) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\"') AND page % 3 > 0"
 )
 def response_validate(spark, sf_dir):
-    """Every third page number is spelt wrongly, so its row has no page and isn't valid."""
-    rows = headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit('"')))
+    """The headings without a quote; response_validate_all has all."""
+    return _validated(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit('"'))))
+
+
+def _validated(rows: DataFrame) -> DataFrame:
+    """Every third page number is spelt wrongly, so its row has no page and isn't valid. A quote is doubled."""
     page = F.when(F.col("page") % 3 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.col("page").cast("string"))
-    raw = rows.select("book", "seq", F.format_string('"%d","%s","%s"', "level", "heading", page).alias("raw"))
+    raw = rows.select("book", "seq", F.format_string('"%d","%s","%s"', "level", F.replace("heading", F.lit('"'), F.lit('""')), page).alias("raw"))
     good, _ = candidates.parsed_response(raw)
     return candidates.valid(good).select("book", *big("seq"), "level", "heading", "page")
 
 
+@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS VARCHAR) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE page % 3 > 0")
+def response_validate_all(spark, sf_dir):
+    return _validated(headings(spark, sf_dir))
+
+
 @query(f"WITH {HD} SELECT book, heading, page, CAST(min(seq) AS BIGINT) AS seq FROM hd GROUP BY book, heading, page")
 def candidate_dedup(spark, sf_dir):
     return candidates.unique_candidates(headings(spark, sf_dir)).select("book", "heading", "page", *big("seq"))
@@ -372,12 +391,29 @@ SELECT lang, round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang
 FROM (SELECT DISTINCT lang FROM gt) l"""
 )
 def tolerant_precision_recall(spark, sf_dir):
-    """Headings of printable ASCII, where bytes and characters are the same in every engine."""
-    system, truth = (x.where(F.col("heading").rlike(ASCII)) for x in sides(spark, sf_dir))
+    """Headings of printable ASCII, where bytes and characters are the same in every engine; tolerant_precision_recall_all has all."""
+    return _tolerant(*(x.where(F.col("heading").rlike(ASCII)) for x in sides(spark, sf_dir)))
+
+
+def _tolerant(system: DataFrame, truth: DataFrame) -> DataFrame:
     got = metrics.precision_recall(system, truth, key="lang")
     return got.select("lang", F.round("tolerant_precision", 9).alias("tolerant_precision"), F.round("tolerant_recall", 9).alias("tolerant_recall"))
 
 
+# DuckDB's levenshtein counts bytes. Distance 0 or 1 in code points: after a common beginning, one character is replaced, left out or put in.
+@query(
+    f"""WITH {SIDES},
+dg AS (SELECT DISTINCT lang, heading AS g FROM gt), ds AS (SELECT DISTINCT lang, heading AS s FROM sy),
+nr AS (SELECT dg.lang, g, s FROM dg JOIN ds ON dg.lang = ds.lang AND abs(length(g) - length(s)) <= 1 AND (g = s OR len(list_filter(range(greatest(length(g), length(s))), lambda i:
+  left(g, i) = left(s, i) AND (substr(g, i + 2) = substr(s, i + 2) OR substr(g, i + 2) = substr(s, i + 1) OR substr(g, i + 1) = substr(s, i + 2)))) > 0))
+SELECT lang, round(coalesce((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = sy.lang AND nr.s = sy.heading) THEN 1.0 ELSE 0.0 END) FROM sy WHERE sy.lang = l.lang), 0.0), 9) AS tolerant_precision,
+  round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = gt.lang AND nr.g = gt.heading) THEN 1.0 ELSE 0.0 END) FROM gt WHERE gt.lang = l.lang), 9) AS tolerant_recall
+FROM (SELECT DISTINCT lang FROM gt) l"""
+)
+def tolerant_precision_recall_all(spark, sf_dir):
+    return _tolerant(*sides(spark, sf_dir))
+
+
 BOUNDS = """{n} AS (SELECT doc_id, max(e) - 1 AS total, list(e - 1 ORDER BY e) FILTER (i < n) AS pos, count(*) - 1 AS c FROM (SELECT doc_id, i, n, sum(length(replace(l[i], ' ', '')) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e
   FROM (SELECT doc_id, l, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {l} AS l FROM documents))) GROUP BY doc_id)"""
 BOTH = BOUNDS.format(n="ba", l="string_split(text, chr(10))") + ", " + BOUNDS.format(n="bb", l="string_split(replace(text, chr(10), ''), '.')")
