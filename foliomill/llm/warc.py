@@ -10,7 +10,8 @@ Reading: archives are framed by Content-Length alone. Records in one piece are d
 grouped by origin, ordered by number, checked for gaps and against the total length, and then decoded.
 
 Edge cases: a null page is the empty payload and an empty payload is written and revisited as any other; a null or repeated url is
-written as it is; repeated ids are not records of their own and raise no error: each gives a row; an incomplete or inconsistent
+written as written as it is; every row is a record of its own: where several rows have one id, or none, a record's name is the id, the
+payload's SHA-1 and a number among the rows that are equal in both; a null id is written as None, and is never a revisit; an incomplete or inconsistent
 set of segments, and a framing that does not parse, is returned with its `problem` and without a digest; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,10 +92,15 @@ def page_records(page: object, url: str | None, payload: bytes, refers_to: objec
 
 
 def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
+    equal: Counter = Counter()  # rows that are equal in id and payload are all in one task
     for batch in batches:
         out = []
-        for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out += page_records(page, url, (html or "").encode("utf-8", "surrogatepass"), refers, segment)
+        for name, sha, url, html, repeated, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            record_name = name
+            if repeated:
+                record_name = f"{name};{sha};{equal[name, sha]}"
+                equal[name, sha] += 1
+            out += page_records(record_name, url, (html or "").encode("utf-8", "surrogatepass"), refers, segment)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
@@ -105,17 +112,25 @@ def plan(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", l
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT, least_revisit: int = 0, archive: int = ARCHIVE) -> None:
-    """Writes gzip archives of about `archive` payload bytes. The html is shuffled once, dealt by the id."""
+    """Writes gzip archives of about `archive` payload bytes. The html is shuffled once, dealt by the id and payload."""
     spark = pages.sparkSession
     bounded_batches(spark)
     size = pages.agg(F.coalesce(F.sum(F.octet_length(html_col) + 600), F.lit(0))).first()[0]
     first = plan(pages, id_col=id_col, html_col=html_col, least_revisit=least_revisit)
-    light = pages.select(F.col(id_col).alias("page_id"), F.sha1(F.coalesce(html_col, F.lit(""))).alias("payload_sha1"))
-    # ids that revisit another record; a join of narrow rows, whose hot payloads adaptive execution can split
-    again = light.join(first, "payload_sha1").where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    n = max(1, -(-size // archive))
-    rows = rows.repartition(n, "page_id").join(again.repartition(n, "page_id"), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    sha = F.sha1(F.coalesce(html_col, F.lit("")))
+    light = pages.select(F.col(id_col).alias("page_id"), name(id_col).alias("page_name"), sha.alias("payload_sha1"))
+    repeated = light.groupBy("page_name").count().where("count > 1").select("page_name", F.lit(True).alias("repeated"))
+    # the name of the record that others refer to: the first of the equal rows, if its id is repeated
+    first = first.withColumn("page_name", name("refers_to")).join(repeated, "page_name", "left")
+    first = first.select("payload_sha1", "refers_to", F.when(F.col("repeated"), F.concat_ws(";", "page_name", "payload_sha1", F.lit("0"))).otherwise(F.col("page_name")).alias("target"))
+    # ids and payloads that revisit another record; a join of narrow rows, whose hot payloads adaptive execution can split
+    again = light.join(first, "payload_sha1").where(F.col("page_id") != F.col("refers_to")).select("page_name", "payload_sha1", "target", F.lit(None).cast("boolean").alias("repeated"))
+    twice = light.join(repeated, "page_name").select("page_name", "payload_sha1", F.lit(None).cast("string").alias("target"), "repeated")
+    marks = again.unionAll(twice).groupBy("page_name", "payload_sha1").agg(F.max("target").alias("target"), F.max("repeated").alias("repeated"))
+    rows = pages.select(name(id_col).alias("page_name"), sha.alias("payload_sha1"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    n, key = max(1, -(-size // archive)), ["page_name", "payload_sha1"]
+    rows = rows.repartition(n, *key).join(marks.repartition(n, *key), key, "left").select(*key, "url", "html", "repeated", "target")
     lines = rows.mapInArrow(lambda x: _written(x, segment), "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(folder)
 
@@ -234,7 +249,7 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     write_archives(pages, folder)
     found = read_archives(spark, folder)
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)(?:;[^>]*)?>", 1)
     return found.select(
         F.nullif(page("record_id"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page("refers_to").cast("long")).alias("refers_to"), F.col("uri").alias("url"), "problem",

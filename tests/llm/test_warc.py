@@ -65,3 +65,30 @@ def test_broken_archives_are_reported(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     W.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert W.read_archives(spark, str(tmp_path / "w")).count() == 0
+
+
+@pytest.mark.parametrize("segment", [64, 1 << 16])
+def test_repeated_and_null_ids(spark, tmp_path, segment):
+    long = {c: c * 70_000 for c in "ABCDE"}
+    rows = [(5, long["A"]), (5, long["B"]), (3, long["B"]), (7, long["C"]), (7, long["C"]), (8, long["C"]), (None, long["D"]), (None, long["D"]), (None, long["E"]), (None, None), (9, "x"), (2, long["E"])]
+    rows = [(i, f"http://x/{k}", t) for k, (i, t) in enumerate(rows)]
+    W.write_archives(pages(spark, rows), str(tmp_path / "w"), segment=segment, archive=100_000)
+    got = W.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len({x.record_id for x in got}) == len(got) == len(rows) and not any(x.problem for x in got)
+    by_url, by_id = {x.uri: x for x in got}, {x.record_id: x for x in got}
+    for i, url, t in rows:
+        b, x = (t or "").encode(), by_url[url]
+        assert (x.payload_bytes, x.payload_digest) == (len(b), sha(b)) and x.record_id.startswith(f"<urn:page:{i}")
+        first = min((k for k, _, u in rows if u == t and k is not None), default=None)
+        assert x.record_type == ("response" if i is None or i == first else "revisit")
+        if x.refers_to:
+            of = by_id[x.refers_to]
+            assert of.record_type == "response" and of.payload_digest == sha(b) and of.record_id.startswith(f"<urn:page:{first}")
+    assert by_url["http://x/9"].record_id != by_url["http://x/8"].record_id and by_url["http://x/10"].record_id == "<urn:page:9>"
+
+
+def test_op2_gives_repeated_ids_as_they_are(spark, tmp_path):
+    rows = [(5, "u", "A" * 70_000), (5, "v", "B" * 70_000), (3, "w", "B" * 70_000), (None, "x", "C"), (None, "y", "C")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x.url: (x.page_id, x.record_type, x.refers_to, x.payload_bytes, x.problem) for x in W.op2_warc(spark, str(tmp_path)).collect()}
+    assert got == {"u": (5, "response", None, 70_000, None), "v": (5, "revisit", 3, 70_000, None), "w": (3, "response", None, 70_000, None), "x": (None, "response", None, 1, None), "y": (None, "response", None, 1, None)}
