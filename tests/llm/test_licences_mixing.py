@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,42 @@ def test_op6_edges(spark, docs):
         M.mix(docs([(1, "a", "en", "s")]), {"s": 0})
     ordered = M.mix(docs([(k, "x", "en", f"s{k % 3}") for k in range(50)]), {}, block=1, order_rows=True)
     assert ordered.count() == 50 and ordered.agg(F.max("mix_slot")).first()[0] == 49
+
+
+def placed(spans, slots):
+    """(source, block): slot, from the tables of a schedule."""
+    at = {(x["p"], x["c"], x["k"]): x["at"] for x in slots}
+    out = {}
+    for x in spans:
+        for n in range(x["blocks"]):
+            number = n * x["members"] + x["rank"]
+            q, k = divmod(number, x["w"] * x["members"])
+            key = x["s"], x["first_block"] + n
+            assert key not in out
+            out[key] = x["first_slot"] + q * x["period"] + at[x["phase"], x["class"], k]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_phases_are_the_sequential_schedule(monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(M, "PART", r.choice([7, 1_000_000]))
+    blocks = {s: r.choice([1, 1, 2, 3, r.randint(1, 60)]) for s in [None, *(f"s{k}" for k in range(r.randint(0, 14)))]}
+    weights = {s: r.choice([1, 1, 1, 2, 3, 4]) * r.choice([1, 1, 2]) for s in blocks if r.random() < 0.8}
+    parts = list(M.phases(blocks, weights))
+    got = placed(*([row for p in parts for row in p[i].to_pylist()] for i in (0, 1)))
+    assert got == {b: k for k, b in enumerate(sequential(blocks, weights))}
+    assert all(sum(p[i].num_rows for p in parts) <= sum(blocks.values()) for i in (0, 1))
+
+
+def test_op6_schedules_thousands_of_sources(docs, monkeypatch):
+    rows = [(k, "t", "en", f"s{min(k % 3_000, k % 1_700)}") for k in range(7_000)]
+    of = {k: s for k, _, _, s in rows}
+    blocks = {s: -(-n // 2) for s, n in Counter(of.values()).items()}
+    weights = {"s5": 3, "s6": 2}
+    line = placed(*(t.to_pylist() for t in next(M.phases(blocks, weights))))
+    assert sorted(line.values()) == list(range(sum(blocks.values())))
+    for most in (200_000, 100):
+        monkeypatch.setattr(M, "MOST_SHARED", most)
+        got = M.mix(docs(rows, extra=False), weights, block=2).collect()
+        assert len(got) == 7_000 and all(x.mix_slot == line[x.source, x.mix_block] for x in got)
