@@ -218,8 +218,8 @@ def hits(batches: Iterator[pa.RecordBatch], windows: Windows, spans: bool) -> It
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spans: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items[, spans]) for each document: spans are word ranges to remove.
 
-    Items of at most ITEM_BYTES together go through the corpus once. More go in blocks, and the answers for a row are
-    merged by (id, text hash); there, rows that are equal in both are answered once.
+    Items of at most ITEM_BYTES together go through the corpus once. More go in blocks, the answers are merged by (id, text
+    hash) and joined back to the rows, so that every row has its answer either way.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -232,7 +232,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
         return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda x: hits(x, shared.value, spans), with_spans if spans else schema)
     keyed = docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _in_blocks(keyed, items, many, window)
+    found = _in_blocks(keyed, items, many, window).withColumnRenamed("doc_id", "k__")
+    out = keyed.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("k__")), "left")
     out = out.select(F.col("doc_id.id").alias("doc_id"), "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
     return out if spans else out.drop("spans")
 

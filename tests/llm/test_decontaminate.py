@@ -96,3 +96,16 @@ def test_nothing(spark, docs):
     assert [tuple(x) for x in D.decontaminate(docs([(1, "a b")]), none).select("n_words", "n_hit", "n_items").collect()] == [(2, 0, 0)]
     assert D.decontaminate(docs([]), none).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("most", [32 << 20, 600])
+def test_every_repeated_row_has_its_answer(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(D, "ITEM_BYTES", most)
+    rows, items = corpus()
+    some = rows[:20]
+    rows = [*some, *some[:7], some[0], (some[1][0], some[2][1]), (None, some[3][1]), (None, some[3][1]), (None, None), (None, ""), (901, ""), (901, None), (901, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(((k, *brute([(k, t)], items)[k]) for k, t in rows), key=repr)
+    got = D.decontaminate(docs(rows), bench, spans=True).collect()
+    assert sorted(((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in got), key=repr) == want
+    assert all(sum(s["last"] - s["first"] + 1 for s in x.spans) == x.n_hit for x in got)
