@@ -274,16 +274,34 @@ def title_h1_exact_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.matches_exact(title, h1).alias("title_is_h1"), T.matches_exact(title, bold).alias("title_is_bold"))
 
 
+#: Bytes of items of fewer than five words that are broadcast at once.
+SHORT_BYTES = 8 << 20
+
+
 @query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {sql_loose('text')} AS d FROM documents) JOIN (SELECT item_id, {sql_loose('text')} AS h FROM benchmark) ON contains(d, h)")
 def heading_contains_match(spark, sf_dir):
-    """Items that a document contains. The pairs come from an equality join on an item's words 2 to 4, found among all triples of words; contains() confirms."""
+    """Items that a document contains.
+
+    For items of five words or more the pairs come from an equality join on an item's words 2 to 4, which stand whole in any text that contains
+    it, found among all triples of words; contains() confirms. Items of fewer words may match parts of words only: their list is broadcast, in
+    blocks of about SHORT_BYTES, and each is looked for in each document.
+    """
     white = f"[\\s{T.WIDE}]+"
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.key_loose("text").alias("h")).withColumn("gram", F.array_join(F.slice(F.split("h", white), 2, 3), " "))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.key_loose("text").alias("h")).where("h is not null")
+    words = F.split("h", white)
+    long = items.where(F.size(words) >= 5).withColumn("gram", F.array_join(F.slice(words, 2, 3), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", T.key_loose("text").alias("d")).withColumn("w", F.split("d", white))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 3), " "))
-    found = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(items.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    sure = found.join(docs.select("doc_id", "d"), "doc_id").join(items.select("item_id", "h"), "item_id")
-    return sure.where(F.contains("d", "h")).select("doc_id", "item_id")
+    found = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(grams)).alias("gram")).join(long.select(F.col("item_id").alias("item"), "gram"), "gram").select("doc", "item").distinct()
+    sure = found.join(docs.select("doc_id", "d"), F.col("doc").eqNullSafe(F.col("doc_id"))).join(long.select("item_id", "h"), F.col("item").eqNullSafe(F.col("item_id")))
+    out = sure.where(F.contains("d", "h")).select("doc_id", "item_id")
+    short = items.where(F.size(words) < 5)
+    size = short.agg(F.coalesce(F.sum(F.octet_length("h") + 16), F.lit(0))).first()[0]
+    many = -(-size // SHORT_BYTES)
+    for k in range(many):
+        block = short.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(many)) == k)
+        out = out.unionAll(docs.select("doc_id", "d").join(F.broadcast(block), F.contains("d", "h")).select("doc_id", "item_id"))
+    return out
 
 
 KEYS = HD + f", ek AS (SELECT book, page, seq AS el, text, {sql_exact('text')} AS t_e, {sql_loose('text')} AS t_l FROM el), hk AS (SELECT *, {sql_exact('heading')} AS h_e, {sql_loose('heading')} AS h_l FROM hd)"

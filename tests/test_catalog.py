@@ -55,3 +55,14 @@ def test_parsing_of_headings_with_backslash_and_quote(spark, tables):
     assert rows("outline_parse_strict_all", spark, sf_dir) == want == oracle("outline_parse_strict_all", sf_dir)
     want = [(b, k, str(level), h, p) for b, k, level, h, p in want]
     assert rows("response_validate_all", spark, sf_dir) == want == oracle("response_validate_all", sf_dir)
+
+
+@pytest.mark.parametrize("most", [8 << 20, 60])
+def test_items_of_any_number_of_words(spark, tables, monkeypatch, most):
+    monkeypatch.setattr(catalog, "SHORT_BYTES", most)
+    docs = [(1, "one two three four five six"), (2, "someone two three fourteen"), (3, ""), (4, None), (5, "x"), (5, "two  three"), (None, "one two three four fives")]
+    texts = ["", "...", None, "two", "one two", "one two three", "one two three four", "one two three four five", "e two three four five s", "two three", "two  three", "One, two!", "zzz"]
+    sf_dir = tables([(k, t, "en", "s") for k, t in docs], [*enumerate(texts), (None, "ne two three four fiv")])
+    keys = [(k, "".join(c for c in t or "" if c.isalnum() or c == " ").strip().lower()) for k, t in [*enumerate(texts), (None, "ne two three four fiv")] if t is not None]
+    want = sorted(((d, k) for d, t in docs if t is not None for k, h in keys if h in t), key=repr)
+    assert rows("heading_contains_match", spark, sf_dir) == want == oracle("heading_contains_match", sf_dir)
