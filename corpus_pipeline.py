@@ -24,9 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest id stays."""
-    rest = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(rest.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row with the smallest id stays, one without an id only if no row of the group has one.
+
+    Where ids are repeated or null, the rows get numbers in the order of their ids, and the operator groups these.
+    """
+    rows, by = docs, "doc_id"
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("at__").asc()]
+        sorted_rows = docs.select(*COLUMNS).withColumn("at__", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows, by = written(sorted_rows.withColumn("row__", F.monotonically_increasing_id()), "rows"), "row__"
+    rest = neardup.near_duplicates(rows, id_col=by).where("not kept").select(F.col("doc_id").alias(by))
+    return rows.join(rest, by, "left_anti").select(*COLUMNS)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,23 @@ def test_threshold_is_the_scores(spark, tmp_path):
     model = toxicity.trained(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     low = toxicity.scored(docs, model, keep=["doc_id"]).where("score < 0.5").count()
     assert low == C.drop_toxic(spark, docs, str(tmp_path)).count()
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark, docs):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(3, b), (5, a), (5, b), (6, c), (6, c), (7, c + " more"), (None, d), (None, d + " more"), (None, d), (None, e), (9, e), (9, e + " more"), (None, None), (None, None), (8, "")]
+
+    def alike(x, y):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in (x, y))
+        return bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min(group[j] for j in range(len(rows)) if j == i or alike(rows[i][1], rows[j][1])) for i in range(len(rows))]
+    want = []
+    for g in set(group):
+        of = [r for r, k in zip(rows, group, strict=True) if k == g]
+        want.append(min((9999 if k is None else k) for k, _ in of))
+    got = C.one_of_each(spark, docs(rows, extra=False), "").collect()
+    assert sorted(9999 if r.doc_id is None else r.doc_id for r in got) == sorted(want) == [3, 5, 6, 8, 9, 9999, 9999, 9999]
+    assert [r.text for r in got if r.doc_id == 5] == [a] and [r.text for r in got if r.doc_id == 3] == [b]
