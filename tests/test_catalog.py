@@ -66,3 +66,8 @@ def test_items_of_any_number_of_words(spark, tables, monkeypatch, most):
     keys = [(k, "".join(c for c in t or "" if c.isalnum() or c == " ").strip().lower()) for k, t in [*enumerate(texts), (None, "ne two three four fiv")] if t is not None]
     want = sorted(((d, k) for d, t in docs if t is not None for k, h in keys if h in t), key=repr)
     assert rows("heading_contains_match", spark, sf_dir) == want == oracle("heading_contains_match", sf_dir)
+
+
+def test_books_with_one_matched_heading_are_accepted(spark, tables):
+    sf_dir = tables([(1, "one heading\n" + "x" * 50, "en", "small"), (2, "\n".join(f"heading {k}" for k in range(75)), "en", "large"), (3, "y" * 60, "en", "none")])
+    assert rows("accepted_books_any", spark, sf_dir) == [("large", 75), ("small", 1)] == oracle("accepted_books_any", sf_dir)
