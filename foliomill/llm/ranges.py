@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import written
+
 #: Splits that are taken from a quantile sketch; more ranges than that divide each of them evenly.
 SPLITS = 1024
 
@@ -29,3 +31,12 @@ def range_buckets(df: DataFrame, id_col: str, text_col: str, most_bytes: int) ->
         high = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), at + 1)
         at = at * fine + F.least(F.lit(fine - 1), F.floor((x - low).cast("double") * fine / (high - low)).cast("int"))
     return F.when(x.isNull(), 0).otherwise(at).cast("int"), fine * (len(edges) - 1)
+
+
+def numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """df with a bigint column whose order is that of the id: the id itself if it is an integer, otherwise a number for each distinct id. Null stays null."""
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(name, F.col(id_col).cast("bigint"))
+    ids = df.select(F.col(id_col).alias("id__")).where("id__ is not null").distinct()
+    ids = written(ids.repartitionByRange("id__").sortWithinPartitions("id__").select("id__", F.monotonically_increasing_id().alias(name)), "numbers")
+    return df.join(ids, F.col(id_col) == F.col("id__"), "left").drop("id__")

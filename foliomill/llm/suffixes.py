@@ -1,22 +1,24 @@
 """Passages that repeat across documents, by enhanced suffix arrays.
 
-Every window of `least` bytes belongs to the run of its anchor, the smallest hash of GRAM bytes in it; the windows of one
-anchor are consecutive, so a text is about one run for each (least - GRAM + 2) / 2 bytes, and equal windows have equal anchors at equal
-places. That deals suffixes out by content:
-
-1. Documents are dealt to blocks by ranges of the id, so that the order of blocks is the order of ids. A block sends, of each distinct
-   run, a hash of its bytes and one of its anchor, once. The answer says whether a smaller block has the run, and if not,
-   whether its anchor occurs in other runs too.
-2. Only such runs, one copy of each, are sent as bytes, to the part of their anchor; those of an anchor with more than HOT runs go window by window
-   to the part of the window, so that no anchor's runs meet in one task. A part builds the suffix array of its runs, the longest common
-   prefixes of neighbours, scans the intervals of common prefixes of at least `least` bytes with a stack, and keeps those whose suffixes are
-   preceded by different bytes: the maximal repeats, with all their occurrences. It answers which windows also start in a smaller document.
-3. Blocks turn the answers into spans of bytes.
-
-Answers come in the order of what was asked, so neither ids nor positions travel. The texts move once; the three passes share that exchange.
+Every window of `least` bytes belongs to the run of its anchor, the smallest hash of GRAM bytes in it. The windows of a run that reach
+far enough to the left of the anchor have one context of bytes in common, the others one to the right; these two halves are the
+snippets that suffixes are dealt by: equal windows are in snippets with equal contexts, whatever their documents. Hashes only say where a snippet goes:
+
+1. Documents are dealt to blocks by a hash of id and text. A block sends the hash of each distinct context once, and hears which occur
+   in other blocks too, and which of those in very many snippets. A context that occurs once holds no repeat.
+2. The snippets of the others are sent as bytes to the part of their context, each distinct one of a block once, with its smallest document and whether it
+   has another; those of a context with very many go window by window to the part of the window, so that no context has to fit into
+   one task. A part builds the suffix array of its distinct snippets and the longest common prefixes of neighbours, scans the intervals of common
+   prefixes of at least `least` bytes with a stack, and keeps those whose suffixes are preceded by different bytes: the maximal repeats, with all their
+   occurrences. The smallest document of an interval marks the windows of the others; nothing else removes a byte.
+3. Blocks turn the marks into spans of bytes.
+
+Answers come in the order of what was asked, so positions don't travel. The texts move once; the three passes share that exchange.
+`repeat_occurrences` gives the maximal repeats of the parts as a table.
 
 Edge cases: null is the empty text; a text of fewer bytes than `least` keeps all; rows that share an id are one document; a null id is smaller than
-any other; repeats within one document are kept; bytes are compared as they are, without case folding; other columns can be carried along and are otherwise ignored.
+any other; ids that aren't integers are numbered in their order first; repeats within one document are kept; bytes are compared as they are, without case folding;
+other columns can be carried along and are otherwise ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .ranges import range_buckets
+from .ranges import numbered
 from .session import bounded_batches, table
 
 LEAST, GRAM = 50, 16
-#: Bytes of text in a block, bytes of hashes in a part, runs of an anchor in one part, and bytes hashed at once.
-BLOCK_BYTES, PART_BYTES, HOT, PIECE = 4 << 20, 2 << 20, 256, 1 << 18
-#: Suffixes that are sorted at once.
-GROUP = 50_000
+#: Bytes of text in a block, bytes of hashes in a part, and bytes hashed at once.
+BLOCK_BYTES, PART_BYTES, PIECE = 4 << 20, 8 << 20, 1 << 18
+#: A context in more blocks than this, or in more distinct snippets of one block, goes window by window.
+HOT_BLOCKS, HOT_SNIPPETS = 512, 64
+#: Suffixes that are sorted at once, and padded bytes of snippets that are.
+GROUP, PADDED = 50_000, 16 << 20
 U = np.uint64
 _LOW = U((1 << 20) - 1)
 _GRAMS, _SPANS = K.byte_values(3), K.byte_values(33)
@@ -76,14 +80,13 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[t
     held = lcp >= least
     starts = np.flatnonzero(held & ~np.concatenate([[False], held[:-1]]))  # the second suffix of each outermost interval
     ends = np.flatnonzero(held & ~np.concatenate([held[1:], [False]]))
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if s == e:
-            if unlike[s + 1] > unlike[s]:
-                yield int(lcp[s]), s - 1, s
-            continue
+    two = starts == ends  # intervals of two suffixes hold no other
+    pair = starts[two]
+    pair = pair[unlike[pair + 1] > unlike[pair]]
+    yield from zip(lcp[pair].tolist(), (pair - 1).tolist(), pair.tolist(), strict=True)
+    for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
         stack: list[tuple[int, int]] = []  # (length, first)
-        for i in range(s, e + 2):
-            here = int(lcp[i]) if i <= e else 0
+        for i, here in enumerate([*lcp[s : e + 1].tolist(), 0], s):
             first = i - 1
             while stack and stack[-1][0] > here:
                 length, first = stack.pop()
@@ -109,49 +112,122 @@ def repeat_groups(texts: list[bytes], least: int = LEAST) -> list[tuple[bytes, l
     return sorted(out)
 
 
-def window_masks(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """For each snippet the windows, as bits, that also start in a snippet with a smaller owner; a snippet has at most 64 windows."""
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    count = lengths.astype(np.int64) - least + 1
-    starts = K.aranges(bounds[:-1], count)
-    masks = np.zeros(len(lengths), U)
-    if not len(starts):
-        return masks
-    # A suffix that shares its first `least` bytes with no other is in no interval, so only the others are sorted. Those that share them
-    # are in one group, and groups are small enough to be sorted in little memory.
-    h = K.span_hashes(data, starts, starts + least, _SPANS)
-    order = np.argsort(h)
-    alike = h[order[1:]] == h[order[:-1]]
-    order = np.sort(order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])])
-    starts, h = starts[order], h[order]
-    groups = max(1, -(-len(starts) // GROUP))
-    group = (h % U(groups)).astype(np.int64)
-    by_group = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[by_group], np.arange(groups + 1))
-    for g in range(groups):
-        _mark(data, bounds, starts[by_group[edges[g] : edges[g + 1]]], owner, least, masks)
-    return masks
-
-
-def _mark(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, owner: np.ndarray, least: int, masks: np.ndarray) -> None:
-    """Sets the bits of the windows among the suffixes `at` that also start in a snippet with a smaller owner."""
-    of = np.searchsorted(bounds, at, "right") - 1
-    order, lcp = suffix_array(data, at, bounds[of + 1])
-    at, of = at[order], of[order]
-    start = at - bounds[of]
-    left = np.where(start > 0, data[at - 1].astype(np.int64), -1)
-    owners = owner[of]
-    for length, a, b in maximal_repeats(lcp, left, least):
-        if b == a + 1:
-            if owners[a] == owners[b]:
-                continue
-            k = b if owners[b] > owners[a] else a
-            masks[of[k]] |= U(((1 << (length - least + 1)) - 1) << int(start[k]))
+def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct snippet, the distinct snippet of each), by the bytes themselves."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    width = int(lengths.max())
+    # Equal snippets are in the same slice, which some of their bytes pick; slices keep the padded bytes few.
+    many = max(1, -(-n * (width + 1) // PADDED))
+    of = np.zeros(n, np.int64)
+    for k in range(0, int(lengths.min()), 5) if many > 1 else ():
+        of = (of * 31 + data[starts + k]) % (1 << 40)
+    of %= many
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)
+    by = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[by], np.arange(many + 1))
+    first, each, have = [], np.zeros(n, np.int64), 0
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        some = by[a:b]
+        if not len(some):
             continue
-        some = slice(a, b + 1)
-        later = owners[some] > owners[some].min()
-        if later.any():
-            np.bitwise_or.at(masks, of[some][later], U((1 << (length - least + 1)) - 1) << start[some][later].astype(U))
+        rows = np.empty((len(some), width + 1), np.uint8)
+        rows[:, 0] = lengths[some]  # which tells apart what only padding makes equal
+        rows[:, 1:] = view[starts[some]]
+        rows[:, 1:][np.arange(width)[None, :] >= lengths[some][:, None]] = 0
+        _, once, at = np.unique(rows.view(f"S{width + 1}").ravel(), return_index=True, return_inverse=True)
+        first.append(some[once])
+        each[some] = at + have
+        have += len(once)
+    return np.concatenate(first), each
+
+
+class Snippets:
+    """The distinct snippets of a part, the smallest document of each and whether it occurs again, and the repeats among them."""
+
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, again: np.ndarray, least: int):
+        self.data, self.least = data, least
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        once, self.each = distinct(data, bounds[:-1], lengths)
+        self.starts, self.lengths = bounds[once], lengths[once].astype(np.int64)
+        n = len(once)
+        self.owner = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(self.owner, self.each, owner)
+        self.copies = np.bincount(self.each, 1 + again, n).astype(np.int64)
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Groups of maximal repeats (length, first, last, snippet of each suffix in order, start of each suffix in its snippet)."""
+        least = self.least
+        count = self.lengths - least + 1
+        at = K.aranges(self.starts, count)
+        of = np.repeat(np.arange(len(count)), count)
+        # Suffixes that share `least` bytes are in one group, and a group is sorted in little memory; a hash deals them out and decides nothing.
+        groups = max(1, -(-len(at) // GROUP))
+        if groups > 1:
+            order = np.argsort(at, kind="stable")
+            h = np.empty(len(at), U)
+            h[order] = K.span_hashes(self.data, at[order], at[order] + least, _SPANS)
+            group = (h % U(groups)).astype(np.int64)
+            by = np.argsort(group, kind="stable")
+            edges = np.searchsorted(group[by], np.arange(groups + 1))
+        else:
+            by, edges = np.arange(len(at)), np.array([0, len(at)])
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            some = by[x:y]
+            order, lcp = suffix_array(self.data, at[some], self.starts[of[some]] + self.lengths[of[some]])
+            some = some[order]
+            snippet, start = of[some], at[some] - self.starts[of[some]]
+            left = np.where(start > 0, self.data[np.maximum(at[some] - 1, 0)].astype(np.int64), -1)
+            found = np.array(list(maximal_repeats(lcp, left, least)), np.int64).reshape(-1, 3)
+            # a whole snippet that occurs more than once is a repeat of its own, at its first suffix
+            own = np.flatnonzero((start == 0) & (self.copies[snippet] > 1))
+            found = np.concatenate([found, np.stack([self.lengths[snippet[own]], own, own], 1)])
+            yield found[:, 0], found[:, 1], found[:, 2], snippet, start
+
+    def smallest(self) -> np.ndarray:
+        """For each window of the distinct snippets, in order, the smallest document of the repeats that hold it."""
+        count = self.lengths - self.least + 1
+        begin = np.concatenate([[0], np.cumsum(count)])
+        low = np.full(int(begin[-1]), np.iinfo(np.int64).max)
+        for length, first, last, snippet, start in self.repeats():
+            if not len(length):
+                continue
+            owners = self.owner[snippet]
+            least = np.minimum.reduceat(np.append(owners, np.iinfo(np.int64).max), np.stack([first, last + 1], 1).ravel())[::2]
+            each = K.aranges(first, last - first + 1)
+            of = np.repeat(np.arange(len(length)), last - first + 1)
+            windows = length[of] - self.least + 1
+            np.minimum.at(low, K.aranges(begin[snippet[each]] + start[each], windows), np.repeat(least[of], windows))
+        self.begin = begin
+        return low
+
+
+#: The bit of an answer that stands for the other documents of the asking block with this snippet.
+_OTHERS = 31
+
+
+def window_masks(data: np.ndarray, lengths: np.ndarray, owner: np.ndarray, again: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """For each snippet, of at most 31 windows, the windows as bits that a repeat with a smaller document than `owner` holds; and
+    whether repeats hold all its windows, which is what counts for other documents of the same block (`again`)."""
+    part = Snippets(data, lengths, owner, again, least)
+    if not len(part.lengths):
+        return np.zeros(0, np.uint32)
+    low = part.smallest()
+    masks = np.zeros(len(lengths), np.uint32)
+    step = 1 << 17
+    for i in range(0, len(lengths), step):
+        d = part.each[i : i + step]
+        own, count = owner[i : i + step], part.lengths[d] - least + 1
+        window = low[K.aranges(part.begin[d], count)]
+        of = np.repeat(np.arange(len(d)), count)
+        bit = np.uint32(1) << (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint32)
+        cut = np.cumsum(count) - count
+        masks[i : i + step] = np.bitwise_or.reduceat(np.where(window < own[of], bit, np.uint32(0)), cut)
+        all_held = np.logical_and.reduceat(window <= own[of], cut)
+        masks[i : i + step] |= (all_held & again[i : i + step].astype(bool)).astype(np.uint32) << np.uint32(_OTHERS)
+    return masks
 
 
 # ---- runs of a block -----------------------------------------------------------------------------------------
@@ -165,9 +241,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, hash of the bytes) of the runs, in order of position."""
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+def halves(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, hash of the context) of the half runs."""
+    half = (least - GRAM) // 2
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for i, j in K.slices(offsets, PIECE):
         for low in range(int(offsets[i]), max(int(offsets[j]) - least + 1, int(offsets[i]) + 1), PIECE):
             high = min(int(offsets[j]), low + PIECE + least - 1) if j == i + 1 else int(offsets[j])
@@ -188,115 +265,112 @@ def runs(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.
             end = np.repeat(inner[1:], np.diff(inner))[: len(m)]
             p = np.flatnonzero(np.arange(len(m)) + least <= end)
             if len(p):
-                a = m[p]
-                new = np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])
-                first = p[new]
-                last = p[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
+                anchor = (m[p] & _LOW).astype(np.int64)
+                right = anchor - p <= half
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1) | (right[1:] != right[:-1])])
+                first, last = p[new], p[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
+                anchor, right = anchor[new], right[new]
+                # the bytes that all windows of a half contain
+                key = np.empty(len(first), U)
+                for side, before, after in ((right, 0, least - half), (~right, half + 1, GRAM)):
+                    key[side] = K.span_hashes(part, anchor[side] - before, anchor[side] + after, _SPANS)
                 out[0].append(np.searchsorted(offsets, first + low, "right") - 1)
                 out[1].append(first + low)
                 out[2].append(last + low)
-                out[3].append(K.mix(a[new] >> U(20)))
-                out[4].append(K.span_hashes(part, first, last + least, _SPANS))
+                out[3].append(K.mix(key + right.astype(U)))
             if j > i + 1:
                 break
     if not out[0]:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, none.astype(U)
     return tuple(np.concatenate(x) for x in out)
 
 
+_IDENTITY = U((1 << 39) - 1)
+
+
 class Block:
-    """The rows of a block in order of the id, and its distinct runs in the order in which they are asked about."""
+    """The rows of a block and its half runs, with the distinct contexts in the order in which they are asked about."""
 
     def __init__(self, rows: pa.Table, parts: int, least: int = LEAST):
-        order = pa.compute.sort_indices(rows.select(["doc_id"]), sort_keys=[("doc_id", "ascending")], null_placement="at_start")
-        self.rows = rows.take(order)
-        ids = self.rows.column("doc_id")
-        text = self.rows.column("text").cast(pa.large_string()).combine_chunks()
+        self.rows, self.least, self.parts = rows, least, parts
+        text = rows.column("text").cast(pa.large_string()).combine_chunks()
         self.data, self.offsets = K.column_bytes(text)
-        n = len(ids)
-        values = ids.to_pylist()
-        self.rank = np.cumsum([0] + [values[k] != values[k - 1] for k in range(1, n)]) if n else np.zeros(0, np.int64)
-        self.least, self.parts = least, parts
-        self.row, self.first, self.last, anchor, bytes_hash = runs(self.data, self.offsets, least)
-        _, once, each = np.unique(bytes_hash, return_index=True, return_inverse=True)
-        part = (anchor[once] >> U(32)).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        #: of each distinct run: its first place, its part, its hash and its anchor; of each run: its distinct run
-        self.once, self.part = once[order], part[order]
-        self.hash, self.anchor = bytes_hash[self.once], anchor[self.once]
-        self.each = back[each]
-
-    def cuts(self, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            yield int(part[a]), int(a), int(b)
+        self.owner = rows.column("number").fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
+        self.row, self.first, self.last, key = halves(self.data, self.offsets, least)
+        self.key, self.each, count = np.unique(key, return_inverse=True, return_counts=True)
+        self.count = count
+        self.part = self._part(self.key)
+
+    def _part(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> U(32)) * U(self.parts) >> U(32)).astype(np.int64)
+
+    def contexts(self) -> Iterator[tuple[int, bytes]]:
+        """(part, 5 bytes for each distinct context: 39 bits of its hash, and whether very many half runs here have it)."""
+        five = (self.key & _IDENTITY) | (self.count > HOT_SNIPPETS).astype(U) << U(39)
+        raw = five.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        for part, a, b in cuts(self.part):
+            yield part, raw[a:b].tobytes()
 
     def flags(self, answers: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(self.once), np.uint8)
-        for part, a, b in self.cuts(self.part):
+        """Of each distinct context: 0 nobody has it elsewhere, 1 other blocks do, 2 very many snippets do."""
+        out = np.zeros(len(self.key), np.uint8)
+        for part, a, b in cuts(self.part):
             out[a:b] = np.frombuffer(zlib.decompress(answers[part]), np.uint8)
         return out
 
-    def asked(self, flags: np.ndarray) -> dict[str, np.ndarray]:
-        """The snippets to be compared: runs of flag 2 whole, those of flag 3 as distinct windows; in order of part and hash."""
-        cold, hot = np.flatnonzero(flags == 2), np.flatnonzero(flags == 3)
-        at = self.first[self.once[hot]]
-        count = self.last[self.once[hot]] - at + 1
-        window = K.aranges(at, count)
-        of = np.repeat(hot, count)
-        order = np.argsort(window, kind="stable")
-        window, of = window[order], of[order]
-        h, once, each = np.unique(K.span_hashes(self.data, window, window + self.least, _SPANS), return_index=True, return_inverse=True)
-        start = np.concatenate([self.first[self.once[cold]], window[once]])
-        length = np.concatenate([self.last[self.once[cold]] - self.first[self.once[cold]] + self.least, np.full(len(h), self.least)])
-        part = np.concatenate([(self.anchor[cold] >> U(8)) % U(self.parts), (h >> U(8)) % U(self.parts)]).astype(np.int64)
-        rank = self.rank[np.searchsorted(self.offsets, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
-        order = np.lexsort((np.concatenate([self.hash[cold], h]), part))
-        return {"start": start[order], "length": length[order], "part": part[order], "rank": rank[order], "order": order, "cold": cold, "window": window, "of": of, "each": each}
+    def asked(self, flags: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct snippets to be compared, in order of their part, and of each half run or single window that is asked about its
+        snippet: (part, place, length, smallest document, whether it has others, first window, last window, row, snippet)."""
+        flag = flags[self.each]
+        cold = np.flatnonzero((flag == 1) | (flag == 0) & (self.count[self.each] > 1))
+        hot = np.flatnonzero(flag == 2)
+        size = self.last[hot] - self.first[hot] + 1
+        window, window_row = K.aranges(self.first[hot], size), np.repeat(self.row[hot], size)
+        first, last = np.concatenate([self.first[cold], window]), np.concatenate([self.last[cold], window])
+        row = np.concatenate([self.row[cold], window_row])
+        key = np.concatenate([self.key[self.each[cold]], K.span_hashes(self.data, window, window + self.least, _SPANS)])
+        length = last - first + self.least
+        once, each = distinct(self.data, first, length)
+        low = np.full(len(once), np.iinfo(np.int64).max)
+        np.minimum.at(low, each, self.owner[row])
+        high = np.full(len(once), np.iinfo(np.int64).min)
+        np.maximum.at(high, each, self.owner[row])
+        part = self._part(key[once])
+        order = np.argsort(part, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        once = once[order]
+        return part[order], first[once], length[once], low[order], high[order] > low[order], first, last, row, back[each]
 
     def covered(self, flags: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
         """Whether each byte is in a window that also starts in a smaller document."""
-        low = self.rank[self.row[self.once]] if len(self.once) else np.zeros(0, np.int64)
-        whole = (flags[self.each] == 1) | (self.rank[self.row] > low[self.each]) if len(self.each) else np.zeros(0, bool)
-        starts, ends = [self.first[whole]], [self.last[whole] + self.least]
-        q = self.asked(flags)
-        masks = np.zeros(len(q["order"]), U)
-        for part, a, b in self.cuts(q["part"]):
-            masks[q["order"][a:b]] = np.frombuffer(answers[part], U)
-        # runs that aren't covered as a whole, of distinct runs with an answer
-        single = np.flatnonzero(~whole)
-        place = np.full(len(flags), -1)
-        place[q["cold"]] = np.arange(len(q["cold"]))
-        some = single[place[self.each[single]] >= 0]
-        mask = masks[place[self.each[some]]]
-        for bit in range(64):
-            on = (mask >> U(bit) & U(1)).astype(bool)
-            if on.any():
-                starts.append(self.first[some[on]] + bit)
-                ends.append(self.first[some[on]] + bit + self.least)
-        if len(q["window"]):
-            # Windows of hot runs: of the distinct window, whether a smaller block has it, or a smaller document here.
-            window_mask, each = masks[len(q["cold"]) :], q["each"]
-            least_rank = np.full(len(window_mask), np.iinfo(np.int64).max)
-            rank = self.rank[np.searchsorted(self.offsets, q["window"], "right") - 1]
-            np.minimum.at(least_rank, each, rank)
-            hit = (window_mask[each] & U(1)).astype(bool) | (rank > least_rank[each])
-            offset = q["window"] - self.first[self.once[q["of"]]]
-            wide = np.zeros(len(flags), U)
-            np.bitwise_or.at(wide, q["of"][hit], U(1) << offset[hit].astype(U))
-            some = single[flags[self.each[single]] == 3]
-            mask = wide[self.each[some]]
-            for bit in range(64):
-                on = (mask >> U(bit) & U(1)).astype(bool)
-                if on.any():
-                    starts.append(self.first[some[on]] + bit)
-                    ends.append(self.first[some[on]] + bit + self.least)
+        part, _, _, low, _, first, last, row, each = self.asked(flags)
+        masks = np.zeros(len(part), np.uint32)
+        for p, a, b in cuts(part):
+            masks[a:b] = np.frombuffer(answers[p], np.uint32)
+        mine = masks[each]
+        own = mine & np.uint32((1 << _OTHERS) - 1)
+        later = self.owner[row] > low[each]
+        whole = later & (mine >> np.uint32(_OTHERS) > 0)
+        starts, ends = [first[whole]], [last[whole] + self.least]
+        some = np.flatnonzero(~whole & (own > 0))
+        for bit in range(_OTHERS):
+            on = some[(own[some] >> np.uint32(bit) & np.uint32(1)) > 0]
+            starts.append(first[on] + bit)
+            ends.append(first[on] + bit + self.least)
         n = len(self.data)
-        edge = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
-        return np.cumsum(edge[:n]) > 0
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, np.concatenate(starts), 1)
+        np.add.at(edge, np.concatenate(ends), -1)
+        return np.cumsum(edge[:n], dtype=np.int32) > 0
+
+
+def cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, after the last) of the stretches of equal values."""
+    edge = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield int(part[a]), int(a), int(b)
 
 
 # ---- exchanges -------------------------------------------------------------------------------------------------
@@ -308,13 +382,9 @@ _ASK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("payload", pa.bi
 _ANSWER = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
-def _ask_runs(rows: pa.Table, parts: int, least: int) -> pa.Table:
-    block = Block(rows, parts, least)
+def _ask_contexts(rows: pa.Table, parts: int, least: int) -> pa.Table:
     number = rows.column("block")[0].as_py()
-    out = []
-    for part, a, b in block.cuts(block.part):
-        out.append({"part": part, "block": number, "payload": K.pack(block.hash[a:b], (block.anchor[a:b] & U(0xFFFFFFFF)).astype(np.uint32))})
-    return pa.Table.from_pylist(out, _ASK)
+    return pa.Table.from_pylist([{"part": part, "block": number, "payload": p} for part, p in Block(rows, parts, least).contexts()], _ASK)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
@@ -331,20 +401,21 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int]
         yield now, blocks, payloads
 
 
-def _answer_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """1: a smaller block has the run; 2: none has, and the anchor has other runs; 3: it has more than HOT; 0: otherwise."""
+def _answer_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """1: other blocks have the context; 2: so many, or one of them so often, that it is to go window by window; 0: otherwise."""
     for part, blocks, payloads in _by_part(batches):
-        sizes = [len(p) // 12 for p in payloads]
-        h = np.concatenate([np.frombuffer(p, U, n) for p, n in zip(payloads, sizes, strict=True)])
-        anchor = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in zip(payloads, sizes, strict=True)])
-        block = np.repeat(np.array(blocks), sizes)
-        order = np.lexsort((block, h))
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        first = order[new]
-        _, of, runs_of = np.unique(anchor[first], return_inverse=True, return_counts=True)
-        flag = np.ones(len(h), np.uint8)
-        many = runs_of[of]
-        flag[first] = np.where(many > HOT, 3, np.where(many > 1, 2, 0))
+        sizes = [len(p) // 5 for p in payloads]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 5)
+        five = wide.view("<u8").ravel()
+        order = np.argsort(five & _IDENTITY, kind="stable")
+        five = five[order]
+        new = np.concatenate([[True], (five[1:] & _IDENTITY) != (five[:-1] & _IDENTITY)])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(five)))
+        often = np.maximum.reduceat(five >> U(39), first) > 0
+        flag = np.empty(len(five), np.uint8)
+        flag[order] = np.repeat(np.where((count > HOT_BLOCKS) | often, 2, np.where(count > 1, 1, 0)), count)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         yield pa.RecordBatch.from_pylist([{"block": b, "kind": 0, "part": part, "payload": zlib.compress(flag[x:y].tobytes(), 1)} for b, x, y in zip(blocks, cut[:-1], cut[1:], strict=True)], _ANSWER)
 
@@ -358,25 +429,30 @@ def _ask_windows(rows: pa.Table, answers: pa.Table, parts: int, least: int) -> p
         return pa.Table.from_pylist([], _ASK)
     block = Block(rows, parts, least)
     number = rows.column("block")[0].as_py()
-    q = block.asked(block.flags(_answers_of(answers, 0)))
+    part, place, length, low, others, *_ = block.asked(block.flags(_answers_of(answers, 0)))
     out = []
-    for part, a, b in block.cuts(q["part"]):
-        text = block.data[K.aranges(q["start"][a:b], q["length"][a:b])]
-        owner = (np.int64(number) << np.int64(32)) | q["rank"][a:b]
-        out.append({"part": part, "block": number, "payload": K.pack(np.array([b - a], np.int64), owner, q["length"][a:b].astype(np.uint8), text)})
+    for p, a, b in cuts(part):
+        text = block.data[K.aranges(place[a:b], length[a:b])]
+        out.append({"part": p, "block": number, "payload": K.pack(np.array([b - a], np.int64), low[a:b], length[a:b].astype(np.uint8), others[a:b].astype(np.uint8), text)})
     return pa.Table.from_pylist(out, _ASK)
 
 
+def _snippets(payloads: list[bytes]) -> tuple[list[int], tuple[np.ndarray, ...]]:
+    sizes, owners, lengths, others, texts = [], [], [], [], []
+    for p in payloads:
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        sizes.append(n)
+        owners.append(np.frombuffer(p, np.int64, n, 8))
+        lengths.append(np.frombuffer(p, np.uint8, n, 8 + 8 * n))
+        others.append(np.frombuffer(p, np.uint8, n, 8 + 9 * n))
+        texts.append(np.frombuffer(p, np.uint8, -1, 8 + 10 * n))
+    return sizes, (np.concatenate(texts), np.concatenate(lengths).astype(np.int64), np.concatenate(owners), np.concatenate(others))
+
+
 def _answer_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for part, blocks, payloads in _by_part(batches):
-        sizes, owners, lengths, texts = [], [], [], []
-        for p in payloads:
-            n = int(np.frombuffer(p, np.int64, 1)[0])
-            sizes.append(n)
-            owners.append(np.frombuffer(p, np.int64, n, 8))
-            lengths.append(np.frombuffer(p, np.uint8, n, 8 + 8 * n))
-            texts.append(np.frombuffer(p, np.uint8, -1, 8 + 9 * n))
-        masks = window_masks(np.concatenate(texts), np.concatenate(lengths), np.concatenate(owners), least)
+        sizes, snippets = _snippets(payloads)
+        masks = window_masks(*snippets, least)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         yield pa.RecordBatch.from_pylist([{"block": b, "kind": 1, "part": part, "payload": masks[x:y].tobytes()} for b, x, y in zip(blocks, cut[:-1], cut[1:], strict=True)], _ANSWER)
 
@@ -405,35 +481,103 @@ def _finish(rows: pa.Table, answers: pa.Table, parts: int, least: int, carried:
     return pa.table(out | {c: block.rows.column(c) for c in carried})
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str, least: int, carry: list[str]) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text, carried columns, number, block) dealt to blocks, and the number of parts."""
+    if not GRAM < least <= GRAM + 61:
+        raise ValueError(f"least must be in {GRAM + 1}..{GRAM + 61}")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c__{c}") for c in carry])
+    rows = numbered(rows, "doc_id", "number")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // BLOCK_BYTES))
+    parts = max(8, -(-size * 2 * 5 // ((least - GRAM + 2) // 2) // PART_BYTES))
+    block = F.pmod(F.xxhash64("number", "text"), F.lit(n)).cast("int")
+    return rows.withColumn("block", block).repartition(max(1, -(-n // 2)), "block"), parts
+
+
+def _meet(asked: DataFrame, parts: int, answer, schema: str) -> DataFrame:
+    return asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, schema)
+
+
+def _asked(dealt: DataFrame, parts: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(answers about contexts, snippets to be compared)."""
+    answers = _meet(dealt.groupBy("block").applyInArrow(lambda t: _ask_contexts(t, parts, least), ASK), parts, _answer_contexts, ANSWER)
+    return answers, dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _ask_windows(a, b, parts, least), ASK)
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, carry: list[str] | None = None, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, carried columns]) for every row.
 
     Removed is each byte in a string of `least` bytes that also starts in a document with a smaller id. In kept_text, what a cut leaves
     of a character of several bytes is dropped, and null stays null.
     """
-    if not GRAM < least <= GRAM + 63:
-        raise ValueError(f"least must be in {GRAM + 1}..{GRAM + 63}")
-    bounded_batches(docs.sparkSession)
     carry = carry or []
     kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c__{c}") for c in carry])
-    block, n = range_buckets(rows, "doc_id", "text", BLOCK_BYTES)
-    parts = max(8, -(-n * BLOCK_BYTES * 2 * 12 // (least - GRAM + 2) // PART_BYTES))
-    dealt = rows.withColumn("block", block.cast("int")).repartition(max(1, -(-n // 2)), "block")
+    dealt, parts = _dealt(docs, id_col, text_col, least, carry)
     carried = [f"c__{c}" for c in carry]
-
-    def meet(asked: DataFrame, answer) -> DataFrame:
-        return asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, ANSWER)
-
-    run_answers = meet(dealt.groupBy("block").applyInArrow(lambda t: _ask_runs(t, parts, least), ASK), _answer_runs)
-    asked = dealt.groupBy("block").cogroup(run_answers.groupBy("block")).applyInArrow(lambda a, b: _ask_windows(a, b, parts, least), ASK)
-    window_answers = meet(asked, lambda x: _answer_windows(x, least))
+    context_answers, asked = _asked(dealt, parts, least)
+    window_answers = _meet(asked, parts, lambda x: _answer_windows(x, least), ANSWER)
     result = f"doc_id {kinds[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text + "".join(f", `c__{c}` {kinds[c]}" for c in carry)
-    both = run_answers.unionAll(window_answers)
+    both = context_answers.unionAll(window_answers)
     out = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda a, b: _finish(a, b, parts, least, carried, text), result)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * text, *[F.col(f"c__{c}").alias(c) for c in carry])
 
 
+OCCURRENCES = "repeat binary, owner bigint, first long"
+_OCCURRENCES = pa.schema([("repeat", pa.binary()), ("owner", pa.int64()), ("first", pa.int64())])
+
+
+def _ask_places(rows: pa.Table, answers: pa.Table, parts: int, least: int) -> pa.Table:
+    """As _ask_windows, with every occurrence and its place in its text."""
+    if not rows.num_rows:
+        return pa.Table.from_pylist([], _ASK)
+    block = Block(rows, parts, least)
+    number = rows.column("block")[0].as_py()
+    part, _, _, _, _, first, last, row, each = block.asked(block.flags(_answers_of(answers, 0)))
+    part = part[each]
+    order = np.argsort(part, kind="stable")
+    part, first, row, length = part[order], first[order], row[order], (last - first)[order] + least
+    out = []
+    for p, a, b in cuts(part):
+        text = block.data[K.aranges(first[a:b], length[a:b])]
+        payload = K.pack(np.array([b - a], np.int64), block.owner[row[a:b]], length[a:b].astype(np.uint8), np.zeros(b - a, np.uint8), text, first[a:b] - block.offsets[row[a:b]])
+        out.append({"part": p, "block": number, "payload": payload})
+    return pa.Table.from_pylist(out, _ASK)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for _, _, payloads in _by_part(batches):
+        sizes = [int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads]
+        places = np.concatenate([np.frombuffer(p[len(p) - 8 * n :], np.int64) for p, n in zip(payloads, sizes, strict=True)])
+        _, (text, lengths, owners, others) = _snippets([p[: len(p) - 8 * n] for p, n in zip(payloads, sizes, strict=True)])
+        part = Snippets(text, lengths, owners, others, least)
+        by = np.argsort(part.each, kind="stable")
+        edge = np.searchsorted(part.each[by], np.arange(len(part.lengths) + 1))
+        for length, first, last, snippet, start in part.repeats():
+            for n, a, b in zip(length.tolist(), first.tolist(), last.tolist(), strict=True):
+                at = part.starts[snippet[a]] + start[a]
+                count = edge[snippet[a : b + 1] + 1] - edge[snippet[a : b + 1]]
+                who = by[K.aranges(edge[snippet[a : b + 1]], count)]
+                where = places[who] + np.repeat(start[a : b + 1], count)
+                bytes_ = part.data[at : at + n].tobytes()
+                for i in range(0, len(who), 2_000):
+                    some = who[i : i + 2_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes_] * len(some), pa.binary()), pa.array(owners[some]), pa.array(where[i : i + 2_000])], _OCCURRENCES.names)
+
+
+def repeat_occurrences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(repeat, doc_id, first): the maximal repeats of the parts, a row for each occurrence, first being its first byte. doc_id is the id, or for ids that
+    aren't integers its number in their order; the smallest bigint stands for a null id.
+
+    A snippet is at most least + (least - GRAM) / 2 bytes long, and so is a repeat; one that is longer comes as overlapping repeats, and their
+    union is all bytes in strings of `least` bytes that occur more than once.
+    """
+    dealt, parts = _dealt(docs, id_col, text_col, least, [])
+    answers, _ = _asked(dealt, parts, least)
+    places = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _ask_places(a, b, parts, least), ASK)
+    return _meet(places, parts, lambda x: _listed(x, least), OCCURRENCES).select("repeat", F.col("owner").alias("doc_id"), "first").distinct()
+
+
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 

@@ -70,19 +70,73 @@ def corpus(seed, n=40):
     return rows + [(1, None), (2, ""), (4, "ab" * 400), (5, "ab" * 300), (7, "x" * 49), (8, "x" * 50), (10, "x" * 51), (11, "é" * 200), (500, passages[0] * 20)]
 
 
-@pytest.mark.parametrize(("block", "hot", "piece", "group"), [(500, 256, 1 << 18, 50_000), (500, 1, 1 << 18, 40), (1 << 20, 2, 300, 50_000)])
-def test_op3_is_brute_force(docs, monkeypatch, block, hot, piece, group):
-    for name, value in (("BLOCK_BYTES", block), ("HOT", hot), ("PIECE", piece), ("GROUP", group)):
-        monkeypatch.setattr(S, name, value)
-    rows = corpus(hot)
+def answers(df):
     got = {}
-    for x in S.without_repeats(docs(rows), text=True, carry=["lang", "score"]).collect():
+    for x in df.collect():
         got.setdefault(x.doc_id, []).append((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    return {i: sorted(v) for i, v in got.items()}
+
+
+@pytest.mark.parametrize(("block", "hot", "often", "piece", "group", "padded"), [(500, 512, 64, 1 << 18, 50_000, 1 << 24), (500, 1, 64, 1 << 18, 40, 2_000), (1 << 20, 512, 1, 300, 50_000, 1 << 24), (300, 3, 2, 1 << 18, 90, 5_000)])
+def test_op3_is_brute_force(docs, monkeypatch, block, hot, often, piece, group, padded):
+    for name, value in (("BLOCK_BYTES", block), ("HOT_BLOCKS", hot), ("HOT_SNIPPETS", often), ("PIECE", piece), ("GROUP", group), ("PADDED", padded)):
+        monkeypatch.setattr(S, name, value)
+    rows = corpus(hot + often)
+    out = S.without_repeats(docs(rows), text=True, carry=["lang", "score"])
+    for x in out.collect():
         text = dict(rows)[x.doc_id]
         assert x.score == x.doc_id and x.lang == "en" and (x.kept_text is None) == (text is None)
         if text and text.isascii():
             assert hashlib.sha256(x.kept_text.encode()).hexdigest() == x.kept_sha256
-    assert {i: sorted(v) for i, v in got.items()} == brute(rows)
+    assert answers(out) == brute(rows)
+
+
+@pytest.mark.parametrize("least", [20, 33, 77])
+def test_other_lengths(docs, monkeypatch, least):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 600)
+    rows = corpus(least)
+    assert answers(S.without_repeats(docs(rows), least=least)) == brute(rows, least)
+
+
+def test_without_the_suffix_array_nothing_is_removed():
+    rows = corpus(3)
+    text = [(t or "").encode() for _, t in rows]
+    blank = S.Block(table_of(rows), 8)
+    flags = np.ones(len(blank.key), np.uint8)
+    part, *_ = blank.asked(flags)
+    assert len(part) and not blank.covered(flags, {p: bytes(4 * (b - a)) for p, a, b in S.cuts(part)}).any()
+    assert sum(map(len, text)) == len(blank.data)
+
+
+def table_of(rows):
+    import pyarrow as pa
+
+    return pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "number": pa.array([i for i, _ in rows], pa.int64())})
+
+
+def test_occurrences_are_all_those_of_each_repeat(docs, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 700)
+    rows = [r for r in corpus(9) if r[0] not in (4, 5, 10)]
+    groups = {}
+    for x in S.repeat_occurrences(docs(rows)).collect():
+        groups.setdefault(bytes(x.repeat), set()).add((x.doc_id, x.first))
+    texts = {i: (t or "").encode() for i, t in rows}
+    assert groups
+    for r, places in groups.items():
+        assert places == {(i, p) for i, t in texts.items() for p in range(len(t) - len(r) + 1) if t[p : p + len(r)] == r} and len(places) > 1
+    # every window that occurs twice is in one of them
+    windows = {}
+    for i, t in texts.items():
+        for p in range(len(t) - S.LEAST + 1):
+            windows.setdefault(t[p : p + S.LEAST], set()).add((i, p))
+    held = {r[k : k + S.LEAST] for r in groups for k in range(len(r) - S.LEAST + 1)}
+    assert held == {w for w, at in windows.items() if len(at) > 1}
+
+
+def test_ids_of_other_types(docs, spark):
+    rows = corpus(5)[:30]
+    named = spark.createDataFrame([(f"d{i:05d}", t) for i, t in rows], "doc_id string, text string")
+    assert answers(S.without_repeats(named)) == {f"d{i:05d}": v for i, v in brute(rows).items()}
 
 
 def test_repeated_null_and_missing_rows(docs):
@@ -100,7 +154,7 @@ def test_runs_cover_every_window_once():
     texts = [bytes(r.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 400, 3, 1000)]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    row, first, last, _, _ = S.runs(data, offsets)
+    row, first, last, _ = S.halves(data, offsets)
     windows = sorted(p for a, b in zip(first, last, strict=True) for p in range(a, b + 1))
     assert windows == [int(o) + k for o, t in zip(offsets, texts, strict=False) for k in range(len(t) - 49)]
     assert all(offsets[x] <= a and b + 50 <= offsets[x + 1] for x, a, b in zip(row, first, last, strict=True))
