@@ -3,11 +3,13 @@
 Writing: every page becomes a response record, or a revisit of the record with the smallest id that has the same payload, if
 the payload has at least `least_revisit` bytes. A payload goes out in chunked transfer framing, and a block longer than
 `segment` bytes is cut: a first record with WARC-Segment-Number 1 and continuation records that name it in
-WARC-Segment-Origin-ID; the last of them has the total length. Spark's text writer writes the archives (a record ends
-with two line ends, its line separator), so they go to any file system and a lost task is written again.
+WARC-Segment-Origin-ID; the last of them has the total length. Each record is a gzip member of its own (several, beyond MEMBER bytes).
+Spark's text writer writes the archives, so they go to any file system and a lost task is written again: a member of less than 64 KiB
+ends with two zero bytes, the upper half of its length, and these are the line separator.
 
-Reading: archives are framed by Content-Length alone. Records in one piece are decoded where they are read. Segments are
-grouped by origin, ordered by number, checked for gaps and against the total length, and then decoded.
+Reading: archives, plain or of any number of gzip members, are framed by Content-Length alone. Records in one piece are decoded
+where they are read. Segments are dealt by origin, ordered by number, checked for gaps and against the total length, and then
+decoded. A revisit has the length of the response it refers to, and a problem if there is none or its digest is another.
 
 Edge cases: a null page is the empty payload and an empty payload is written and revisited as any other; a null or repeated url is
 written as written as it is; every row is a record of its own: where several rows have one id, or none, a record's name is the id, the
@@ -24,14 +26,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, shared_folder, table
+from .session import bounded_batches, shared_folder, table, written
 
-#: Bytes of a block above which it is cut, bytes of a transfer chunk, and bytes of payload in one archive.
-SEGMENT, CHUNK, ARCHIVE = 64 << 10, 8 << 10, 8 << 20
-END = b"\r\n\r\n"
+#: Bytes of a block above which it is cut, bytes of a transfer chunk, bytes of payload in one archive, and bytes of a record in one gzip member.
+SEGMENT, CHUNK, ARCHIVE, MEMBER = 4 << 10, 1 << 10, 8 << 20, 60_000
+END, MEMBER_END = b"\r\n\r\n", b"\0\0"
 
 
 def digest(payload: bytes) -> str:
@@ -69,6 +72,32 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block
 
 
+def members(record: bytes) -> list[bytes]:
+    """gzip members without their last two bytes, which are MEMBER_END."""
+    out = []
+    for i in range(0, len(record), MEMBER):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        one = z.compress(record[i : i + MEMBER]) + z.flush()
+        out.append(one.removesuffix(MEMBER_END))
+    return out
+
+
+def unzipped(raw: bytes) -> bytes:
+    """An archive as it is, or the content of all its gzip members."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, at, view = [], 0, memoryview(raw)
+    while at < len(raw):
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            if at >= len(raw):
+                raise ValueError("gzip member cut short")
+            fed = view[at : at + (64 << 10)]
+            out.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+    return b"".join(out)
+
+
 def _clean(value: str | None) -> str:
     return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
@@ -100,8 +129,9 @@ def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.Rec
             if repeated:
                 record_name = f"{name};{sha};{equal[name, sha]}"
                 equal[name, sha] += 1
-            out += page_records(record_name, url, (html or "").encode("utf-8", "surrogatepass"), refers, segment)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            for one in page_records(record_name, url, (html or "").encode("utf-8", "surrogatepass"), refers, segment):
+                out += members(one + END)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def plan(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least_revisit: int = 0) -> DataFrame:
@@ -131,8 +161,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     rows = pages.select(name(id_col).alias("page_name"), sha.alias("payload_sha1"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     n, key = max(1, -(-size // archive)), ["page_name", "payload_sha1"]
     rows = rows.repartition(n, *key).join(marks.repartition(n, *key), key, "left").select(*key, "url", "html", "repeated", "target")
-    lines = rows.mapInArrow(lambda x: _written(x, segment), "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(folder)
+    lines = rows.mapInArrow(lambda x: _written(x, segment), "member binary").select(F.col("member").cast("string").alias("value"))
+    lines.write.option("lineSep", MEMBER_END.decode()).text(folder)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -155,7 +185,9 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def payload_of(block: bytes) -> bytes:
-    """The payload of an HTTP response: the body, freed of chunked framing."""
+    """The payload of an HTTP response: the body, freed of chunked framing. Any other block is its own payload."""
+    if not block.startswith(b"HTTP/"):
+        return block
     head, _, body = block.partition(END)
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
@@ -200,8 +232,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = raw.as_py()
             whole, part = [], []
             try:
-                data = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
-                for head, block in records(data):
+                for head, block in records(unzipped(raw)):
                     number = head.get("warc-segment-number")
                     if number is None:
                         whole.append(_answer(head, block))
@@ -219,25 +250,73 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pylist([{"whole": x, "part": None} if kind == "whole" else {"whole": None, "part": x} for x in rows], both)
 
 
-def _joined(key: tuple, group: pa.Table) -> pa.Table:
-    rows = group.to_pylist()
-    heads = [r["head"] for r in rows if r["number"] == 1 and r["head"]]
-    head = dict(x.split(":", 1) for x in heads[0].split("\n")) if heads else {"warc-record-id": key[0].as_py()}
-    try:
-        out = _answer(head, reassembled([(r["number"], r["total"], r["piece"]) for r in rows]))
-    except ValueError as e:
-        out = {"record_id": key[0].as_py(), "record_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "problem": str(e)}
-    return pa.Table.from_pylist([out], _RESULT)
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments in order of origin to a row for each origin."""
+    origin, rows, found = None, [], []
+
+    def close() -> None:
+        heads = [r["head"] for r in rows if r["number"] == 1 and r["head"]]
+        head = dict(x.split(":", 1) for x in heads[0].split("\n")) if heads else {"warc-record-id": origin}
+        try:
+            found.append(_answer(head, reassembled([(r["number"], r["total"], r["piece"]) for r in rows])))
+        except ValueError as e:
+            found.append({"record_id": origin, "record_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "problem": str(e)})
+        rows.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["origin"] != origin and rows:
+                close()
+            origin = row["origin"]
+            rows.append(row)
+        if found:
+            yield pa.RecordBatch.from_pylist(found, _RESULT)
+            found.clear()
+    if rows:
+        close()
+        yield pa.RecordBatch.from_pylist(found, _RESULT)
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """A row for each record of the archives below a folder: RESULT. Only segments are shuffled."""
+    """A row for each record of the archives below a folder: RESULT. Only segments and what revisits name are shuffled."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     both = files.mapInArrow(_read, f"whole struct<{_ddl(RESULT)}>, part struct<{_ddl(PIECE)}>")
-    whole = both.where("whole is not null").select("whole.*")
-    joined = both.where("part is not null").select("part.*").groupBy("origin").applyInArrow(_joined, RESULT)
-    return whole.unionByName(joined)
+    # One pass over the archives: what needs no joining goes to the origin null, spread by its own id.
+    dealt = both.repartition(F.coalesce("part.origin", "whole.record_id"))
+    found = written(dealt.sortWithinPartitions("part.origin", "part.number").mapInArrow(_either, RESULT), "records")
+    revisit = F.col("record_type") == "revisit"
+    named = found.where(F.coalesce(~revisit, F.lit(True)) & F.col("problem").isNull()).select(F.col("record_id").alias("target"), F.col("payload_bytes").alias("its_bytes"), F.col("payload_digest").alias("its_digest"))
+    named = named.groupBy("target").agg(F.min(F.struct("its_bytes", "its_digest")).alias("its")).select("target", "its.*")
+    checked = found.where(revisit & F.col("problem").isNull()).join(named, F.col("refers_to") == F.col("target"), "left")
+    good = F.coalesce(F.col("its_digest") == F.col("payload_digest"), F.lit(False)) & F.coalesce(F.col("its_bytes") == F.col("payload_bytes"), F.lit(False))
+    wrong = F.when(F.col("target").isNull(), "no response with this id").otherwise("the response has another payload")
+    names = ["record_id", "uri", "record_type", "refers_to"]
+    checked = checked.select(*names, F.when(good, F.col("its_bytes")).alias("payload_bytes"), F.when(good, F.col("its_digest")).alias("payload_digest"), F.when(~good, wrong).alias("problem"))
+    return found.where(F.coalesce(~revisit, F.lit(True)) | F.col("problem").isNotNull()).unionByName(checked)
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records as they are, segments through _joined."""
+
+    def segments() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_part = batch.column(1).is_valid()
+            whole = batch.column(0).filter(pa.compute.invert(is_part))
+            if len(whole):
+                held.append(pa.RecordBatch.from_arrays(whole.flatten(), _RESULT.names))
+            parts = batch.column(1).filter(is_part)
+            if len(parts):
+                yield pa.RecordBatch.from_arrays(parts.flatten(), _PIECE.names)
+            elif held:
+                yield pa.RecordBatch.from_pylist([], _PIECE)
+
+    held: list[pa.RecordBatch] = []
+    for out in _joined(segments()):
+        yield from held
+        held.clear()
+        yield out
+    yield from held
 
 
 def _ddl(x: str) -> str:

@@ -1,6 +1,7 @@
 """op2: an exact round trip, segments in any order, and what is wrong with broken ones."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -62,6 +63,29 @@ def test_broken_archives_are_reported(spark, tmp_path):
     assert got["<o>"].problem and got["part-2"].problem and got["<r>"].problem and not got["<r>"].payload_digest
 
 
+def test_members(spark, tmp_path):
+    """Other tools read the archives as gzip, record by record; archives of several members are read whole."""
+    r = random.Random(3)
+    rows = [(k, "http://x/" + "u" * r.choice([5, 70_000]), "".join(r.choices("ab é", k=r.choice([0, 10, 9_000, 200_000])))) for k in range(25)]
+    W.write_archives(pages(spark, rows), str(tmp_path / "w"))
+    records = [x for f in (tmp_path / "w").glob("part-*") for x in W.records(gzip.decompress(f.read_bytes()))]
+    segmented = {h["warc-segment-origin-id"] for h, _ in records if "warc-segment-origin-id" in h}
+    assert len(segmented) > 5 and all(len(b) <= W.SEGMENT for _, b in records)
+    plain = [W.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{k}>")], b"x" * k) + W.END for k in range(300)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "part-1").write_bytes(b"".join(map(gzip.compress, plain)))
+    (tmp_path / "m" / "part-2").write_bytes(gzip.compress(plain[0])[:-3])
+    got = {x.record_id.rsplit("/", 1)[-1]: x for x in W.read_archives(spark, str(tmp_path / "m")).collect()}
+    assert len(got) == 301 and all(got[f"<{k}>"].payload_digest == sha(b"x" * k) for k in range(300)) and got["part-2"].problem
+
+
+def test_revisits_are_checked(spark, tmp_path):
+    one = list(W.page_records(1, "u", b"abc", None, 2)) + list(W.page_records(2, "u", b"abc", 1, 9)) + list(W.page_records(3, "u", b"abd", 1, 9)) + list(W.page_records(4, "u", b"abc", 9, 9))
+    (tmp_path / "part-1").write_bytes(b"".join(x + W.END for x in one))
+    got = {x.record_id: (x.payload_bytes, x.problem) for x in W.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {"<urn:page:1>": (3, None), "<urn:page:2>": (3, None), "<urn:page:3>": (None, "the response has another payload"), "<urn:page:4>": (None, "no response with this id")}
+
+
 def test_empty_table(spark, tmp_path):
     W.write_archives(pages(spark, []), str(tmp_path / "w"))
     assert W.read_archives(spark, str(tmp_path / "w")).count() == 0
