@@ -7,7 +7,8 @@ located, and the hit words of a document are the union of the spans.
 
 Edge cases: a null or empty text has no words and no hits; an item without words is ignored; an item shorter than the
 window is one window; repeated rows are each answered; equal items are each counted; an empty benchmark hits nothing;
-columns other than the two named are ignored. No row is shuffled.
+an item without an id is named by the empty string;
+columns other than the two named are ignored. No row is shuffled, but for benchmarks of more than ITEM_BYTES.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from .session import bounded_batches
 WINDOW = 10
 #: Bytes of text in one FM-index, and the distance of the sampled suffix positions.
 SHARD_BYTES, SAMPLE = 8 << 20, 8
-#: The items are broadcast below this size and go through the corpus in blocks of this size beyond it.
-ITEM_BYTES = 32 << 20
+#: The items are broadcast below this size and go through the corpus in blocks of this size beyond it. Their windows take 8 bytes a byte
+#: (a word of 6 bytes is a row of 40), and about 20 while they are made.
+ITEM_BYTES = 4 << 20
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x80:] = IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = True
@@ -45,26 +47,32 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.window = window
-        coded = []
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            coded.append((str(item), word_hashes(data, np.array([0, len(data)]))[2]))
-        self.vocabulary = np.unique(np.concatenate([c for _, c in coded])) if coded else np.zeros(0, np.uint64)
-        owners: dict[bytes, set[str]] = {}
-        for item, c in coded:
-            codes = (np.searchsorted(self.vocabulary, c) + 1).astype(np.int32)
-            for i in range(max(1, len(codes) - window + 1) if len(codes) else 0):
-                owners.setdefault(codes[i : i + window].tobytes(), set()).add(item)
-        keys = list(owners)
-        self.items = sorted({x for s in owners.values() for x in s})
+        self.items = sorted({"" if i is None else str(i) for i, t in items})
         at = {x: k for k, x in enumerate(self.items)}
-        self.owners = [np.array(sorted(at[x] for x in owners[k]), np.int32) for k in keys]
-        self.length = np.array([len(k) // 4 for k in keys], np.int64)
-        self.codes = np.zeros((len(keys), window), np.int32)
-        for row, k in zip(self.codes, keys, strict=True):
-            c = np.frombuffer(k, np.int32)
-            row[window - len(c) :] = c
-        self.least = int(self.length.min()) if len(keys) else window
+        hashes = [word_hashes(data, np.array([0, len(data)]))[2] for data in (np.frombuffer((t or "").encode(), np.uint8) for _, t in items)]
+        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        size = np.array([len(h) for h in hashes], np.int64)
+        codes = np.searchsorted(self.vocabulary, np.concatenate(hashes)).astype(np.int32) + np.int32(1) if hashes else np.zeros(0, np.int32)
+        del hashes
+        item = np.array([at["" if i is None else str(i)] for i, _ in items], np.int32)
+        first = np.cumsum(size) - size
+        count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+        start, of = K.aranges(first, count), np.repeat(np.arange(len(size)), count)
+        length = np.minimum(size, window)[of]
+        rows = np.zeros((len(start), window), np.int32)
+        for k in range(window):  # right-aligned
+            some = length > window - 1 - k
+            rows[some, k] = codes[(start + length - window + k)[some]]
+        if len(rows):
+            _, once, each = np.unique(rows.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        else:
+            once = each = np.zeros(0, np.int64)
+        self.codes, self.length = rows[once], length[once]
+        #: the items of window w are owner[cut[w] : cut[w + 1]]
+        pair = np.unique(each.astype(np.int64) * max(len(self.items), 1) + item[of])
+        self.owner = (pair % max(len(self.items), 1)).astype(np.int32)
+        self.cut = np.searchsorted(pair // max(len(self.items), 1), np.arange(len(once) + 1))
+        self.least = int(self.length.min()) if len(once) else window
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -192,10 +200,12 @@ def hits(batches: Iterator[pa.RecordBatch], windows: Windows, spans: bool) -> It
             n_hit = total[first[1:]] - total[first[:-1]]
             names: list[list[str]] = [[] for _ in range(j - i)]
             if len(at):
-                pairs = np.unique(np.stack([doc[at], which], 1), axis=0)
-                for d in np.unique(pairs[:, 0]):
-                    of = np.unique(np.concatenate([windows.owners[w] for w in pairs[pairs[:, 0] == d, 1]]))
-                    names[d] = sorted(windows.items[k] for k in of)
+                pair = np.unique(doc[at].astype(np.int64) * len(windows.codes) + which)
+                d, w = np.divmod(pair, len(windows.codes))
+                count = windows.cut[w + 1] - windows.cut[w]
+                found = np.unique(np.repeat(d, count) * len(windows.items) + windows.owner[K.aranges(windows.cut[w], count)])
+                for x, k in zip(*(z.tolist() for z in np.divmod(found, len(windows.items))), strict=True):
+                    names[x].append(windows.items[k])
             out = [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64())]
             out.append(pa.array(names, pa.list_(pa.string())))
             fields = ["doc_id", "n_words", "n_hit", "n_items", "items"]

@@ -37,7 +37,7 @@ def brute(rows, items, window=10):
     for item, t in items:
         w = words(t)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            grams.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+            grams.setdefault(tuple(w[i : i + window]), set()).add("" if item is None else str(item))
     out = {}
     for k, t in rows:
         w, hit, found = words(t), set(), set()
@@ -53,7 +53,7 @@ def brute(rows, items, window=10):
 def corpus():
     r = random.Random(9)
     v = [f"{c}{k}" for k in range(25) for c in "aÉ"]
-    items = [(k, " ".join(r.choices(v, k=r.randrange(1, 40)))) for k in range(30)] + [(100, None), (101, "..."), (102, "x1 x2 x3"), (103, "X1, x2; x3")]
+    items = [(k, " ".join(r.choices(v, k=r.randrange(1, 40)))) for k in range(30)] + [(100, None), (101, "..."), (102, "x1 x2 x3"), (103, "X1, x2; x3"), (None, "x1 x2 x3")]
     rows = []
     for k in range(60):
         t = r.choices(v + ["zz", "yy"], k=r.randrange(0, 80))
