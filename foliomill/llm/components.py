@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, written
+from .session import bounded_batches, discard, written
 
 #: Into so many parts the edges of each node are cut where they are joined.
 SALTS = 32
@@ -62,16 +62,16 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def connected_components(edges: DataFrame, about: int, most_steps: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, about: int) -> DataFrame:
     """(node, component) for every node of edges (a, b) of bigint ids but the smallest of each component. about: how many edges there are, roughly.
 
-    Minima are aggregated before they are shuffled. Each step is written to the shared folder, in files of about FILE_ROWS rows, so lineage
+    Steps go on until one changes nothing, which is after about log2 of the longest path. Minima are aggregated before they are shuffled. Each step is written to the shared folder, in files of about FILE_ROWS rows, so lineage
     stays short and a lost executor costs no more than its tasks.
     """
     bounded_batches(edges.sparkSession)
     flat = edges.where("a <> b").mapInArrow(_local, "a bigint, b bigint")
     now, seen = written(flat, "edges"), None
-    for _ in range(most_steps):
+    while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         # A node with very many larger neighbours is mostly the smallest of them all, and its edges stay; those of any node are salted.
@@ -82,7 +82,8 @@ def connected_components(edges: DataFrame, about: int, most_steps: int = 40) ->
         low = F.min("b").over(Window.partitionBy("a"))
         small = large.withColumn("m", low)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = written(small.coalesce(about // FILE_ROWS + 1), "edges")
+        before, now = now, written(small.coalesce(about // FILE_ROWS + 1), "edges")
+        discard(before)
         # done when a step changes nothing
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:

@@ -12,7 +12,8 @@ to the driver is a count for each source. Spans and slots are broadcast while th
 into the shared folder, PART at a time, and joined.
 
 Edge cases: a null source is a source of its own; a source without a weight gets weight 1; weights must be positive integers; repeated rows
-are each scheduled, ties ordered by a hash of the text; an empty table gives an empty schedule; other columns are kept.
+are each scheduled, ties ordered by a hash of the text; an empty table gives an empty schedule; other columns are kept,
+whatever their names, but columns named mix_block, mix_slot and mix_position are replaced, and names that begin with mix__ are the operator's own.
 """
 
 from __future__ import annotations
@@ -156,33 +157,36 @@ def mix(docs: DataFrame, weights: dict | None = None, *, block: int = BLOCK, id_
     """docs with mix_block (number in its source), mix_slot (number in the mix) and mix_position (place in the block)."""
     spark = docs.sparkSession
     weights = WEIGHTS if weights is None else weights
+    docs = docs.drop("mix_block", "mix_slot", "mix_position")
     sized = docs.withColumn("mix__source", F.col(source_col).cast("string")).withColumn("mix__order", F.xxhash64(F.lit("mix"), F.col(id_col)))
     counts = {r[0]: r[1] for r in sized.groupBy("mix__source").count().collect()}
     span, slot, small = _schedule(spark, phases({s: -(-n // block) for s, n in counts.items()}, {s: weights.get(s, 1) for s in counts}))
+    # Every column of the schedule gets a name that no column of docs has.
+    span, slot = (t.toDF(*(f"mix__{c}" for c in t.columns)) for t in (span, slot))
     # A row's number in its source: the rows of the ranges before its own, and its number in the range.
     ranges = max(64, -(-max(counts.values(), default=0) // ROWS))
     sized = sized.withColumn("mix__range", F.floor((F.shiftrightunsigned("mix__order", 33) * ranges) / (1 << 31)).cast("int"))
     before = sized.groupBy("mix__source", "mix__range").count().withColumn("mix__before", F.sum("count").over(Window.partitionBy("mix__source").orderBy("mix__range").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    before = before.select(F.col("mix__source").alias("s_"), F.col("mix__range").alias("r_"), F.coalesce("mix__before", F.lit(0)).alias("mix__before"))
+    before = before.select(F.col("mix__source").alias("mix__s_"), F.col("mix__range").alias("mix__r_"), F.coalesce("mix__before", F.lit(0)).alias("mix__before"))
     own = Window.partitionBy("mix__source", "mix__range").orderBy("mix__order", id_col, F.xxhash64(text_col))
     numbered = sized.withColumn("mix__row", F.row_number().over(own) - 1)
-    numbered = numbered.join(before, F.col("mix__source").eqNullSafe(F.col("s_")) & (F.col("mix__range") == F.col("r_")), "left")
+    numbered = numbered.join(before, F.col("mix__source").eqNullSafe(F.col("mix__s_")) & (F.col("mix__range") == F.col("mix__r_")), "left")
     numbered = numbered.withColumn("mix__row", F.col("mix__row") + F.col("mix__before")).withColumn("mix_block", F.floor(F.col("mix__row") / block)).withColumn("mix_position", (F.col("mix__row") % block).cast("int"))
-    n = F.col("block_") - F.col("first_block")
-    number = n * F.col("members") + F.col("rank")
-    in_period = F.col("w") * F.col("members")
-    here = (F.col("phase") == F.col("p")) & (F.col("class") == F.col("c")) & (number % in_period == F.col("k"))
-    its_slot = F.col("first_slot") + F.floor(number / in_period) * F.col("period") + F.col("at")
+    n = F.col("mix__number") - F.col("mix__first_block")
+    number = n * F.col("mix__members") + F.col("mix__rank")
+    in_period = F.col("mix__w") * F.col("mix__members")
+    here = (F.col("mix__phase") == F.col("mix__p")) & (F.col("mix__class") == F.col("mix__c")) & (number % in_period == F.col("mix__k"))
+    its_slot = F.col("mix__first_slot") + F.floor(number / in_period) * F.col("mix__period") + F.col("mix__at")
     if small:
         # An equality join to all phases of the source and a residual range, both on broadcast tables of bounded size.
-        rows = numbered.withColumn("block_", F.col("mix_block"))
-        placed = rows.join(F.broadcast(span), F.col("mix__source").eqNullSafe(F.col("s")) & (F.col("block_") >= F.col("first_block")) & (F.col("block_") < F.col("first_block") + F.col("blocks")))
+        rows = numbered.withColumn("mix__number", F.col("mix_block"))
+        placed = rows.join(F.broadcast(span), F.col("mix__source").eqNullSafe(F.col("mix__s")) & (F.col("mix__number") >= F.col("mix__first_block")) & (F.col("mix__number") < F.col("mix__first_block") + F.col("mix__blocks")))
         placed = placed.join(F.broadcast(slot), here).withColumn("mix_slot", its_slot)
     else:
         # One row for each block, so that no row meets the other phases of its source.
-        each = span.withColumn("block_", F.explode(F.sequence("first_block", F.col("first_block") + F.col("blocks") - 1)))
-        each = each.join(slot, here).select("s", "block_", its_slot.alias("mix_slot"))
-        placed = numbered.join(each, F.col("mix__source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("block_")))
+        each = span.withColumn("mix__number", F.explode(F.sequence("mix__first_block", F.col("mix__first_block") + F.col("mix__blocks") - 1)))
+        each = each.join(slot, here).select("mix__s", "mix__number", its_slot.alias("mix_slot"))
+        placed = numbered.join(each, F.col("mix__source").eqNullSafe(F.col("mix__s")) & (F.col("mix_block") == F.col("mix__number")))
     out = placed.select(*[F.col(c) for c in docs.columns], "mix_block", "mix_slot", "mix_position")
     return out.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_position") if order_rows else out
 

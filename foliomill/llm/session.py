@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import importable, shared_folder, written  # noqa: F401  (the operators take both from here)
+from ..runtime import discard, importable, shared_folder, written  # noqa: F401  (the operators take both from here)
 
 #: Rows and bytes of one Arrow batch, so that a Python worker holds a few tens of MB whatever the length of a text.
 BATCH_ROWS, BATCH_BYTES = 1_000, 6 << 20
