@@ -5,7 +5,7 @@ names), of its words (hashed) and a few lengths. A bidirectional LSTM in numpy r
 each is labelled in the context of the whole page, and blocks labelled as main text are joined.
 
 The labeller is fitted here, on pages made up by `made_page` (many layouts; the words of main text and of the rest come from the
-same vocabulary) and on a bounded sample of at most SAMPLE real pages whose markup names its parts.
+same vocabulary) and on a bounded sample: at most SAMPLE real pages of at most SAMPLE_BYTES bytes whose markup names its parts. Extraction reads every page whole.
 
 Edge cases: a null or empty page has the text ''; text without tags is one block; unclosed and stray tags, and a page that
 ends inside a tag, are read as browsers do in the main; repeated rows are each answered; other columns are ignored.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import bounded_batches, table
 
-PATHS, WORDS, NUMBERS, HIDDEN, SAMPLE = 96, 32, 6, 24, 200
+PATHS, WORDS, NUMBERS, HIDDEN = 96, 32, 6, 24
+#: Real pages that are fitted on, at most, and the bytes of each, at most.
+SAMPLE, SAMPLE_BYTES = 200, 100_000
 MADE, EPOCHS, RATE, TOGETHER = 700, 10, 0.01, 24
 
 # Elements that run inside a block, that have no content, whose content is no text, and that end an open element of the same kind; fixed values.
@@ -391,7 +393,7 @@ def fit(real: list[str], *, made: int = MADE, epochs: int = EPOCHS, seed: int =
         pages.append(found)
         labels.append(np.array([known.get(b[0], 0) for b in found], np.float32))
     for page in real:
-        found = blocks(page)[:400]
+        found = blocks(page)
         if found and (y := marked(found)):
             pages.append(found)
             labels.append(np.array(y, np.float32))
@@ -443,13 +445,16 @@ def _extracted(batches: Iterator[pa.RecordBatch], model: Labeller) -> Iterator[p
 _models: dict[tuple, Labeller] = {}
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(page_id, url, text, n_chars) for every page."""
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(page_id, url, text, n_chars) for every page. The labeller is fitted on at most `sample` of the pages of at most `sample_bytes` bytes."""
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    few = rows.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    real = [r[1] or "" for r in sorted(rows.join(F.broadcast(few.distinct()), "page_id").where(F.octet_length("html") < 100_000).select("page_id", "html").collect())]
+    short = rows.where(F.octet_length("html") <= sample_bytes).where("page_id is not null")
+    short = short.withColumn("h", F.xxhash64("page_id")).withColumn("g", F.xxhash64("html"))
+    few = short.select("page_id", "h", "g").distinct().orderBy("h", "page_id", "g").limit(sample)
+    pairs = short.join(F.broadcast(few), ["page_id", "h", "g"]).select("page_id", "html")
+    real = [r[1] for r in sorted(pairs.distinct().limit(sample).collect())]
     key = (len(real), hash(tuple(real)))
     if key not in _models:
         _models.clear()

@@ -26,6 +26,8 @@ from .session import bounded_batches, table
 DIMENSIONS, SYMBOLS, SAMPLE, SHARPNESS = 1024, 128, 20_000, 25.0
 #: Code points worked on at once.
 PIECE = 1 << 18
+#: Code points beyond the table that are letters: the ideographs of the supplementary planes, which count as one letter.
+WIDE = (0x20000, 0x323B0)
 
 _letters: list[np.ndarray] = []
 _bound: list[np.ndarray] = []
@@ -89,18 +91,19 @@ def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         size = 0
 
     for k, text in enumerate(texts):
+        # The symbols of the whole text, one byte each; trigrams are then counted piece by piece, each once.
+        parts = [np.zeros(1, np.uint8)]
         for i in range(0, len(text or ""), PIECE):
-            points = np.frombuffer(text[max(0, i - 2) : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
-            wide = points >= len(symbol)
-            points = np.where(wide, 0x4E00 if wide.any() else 0, points) if wide.any() else points
-            s = symbol[points]
+            points = np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.where(points < len(symbol), points, np.where((points >= WIDE[0]) & (points < WIDE[1]), 0x4E00, 0))
             known[k] |= bool(letter[points].any())
-            s = np.concatenate([[0], s, [0]]).astype(np.uint8)
-            s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
-            if len(s) > 2:
-                held.append(s)
-                owner.append(k)
-                size += len(s)
+            parts.append(symbol[points])
+        s = np.concatenate([*parts, np.zeros(1, np.uint8)])
+        s = s[np.concatenate([[True], (s[1:] > 0) | (s[:-1] > 0)])]
+        for i in range(0, len(s) - 2, PIECE):
+            held.append(s[i : i + PIECE + 2])
+            owner.append(k)
+            size += len(held[-1])
             if size >= PIECE:
                 flush()
     flush()
