@@ -43,9 +43,10 @@ BLOCK_BYTES, PART_BYTES, PIECE = 4 << 20, 8 << 20, 1 << 18
 #: A context in more blocks than this, or in more distinct snippets of one block, goes window by window.
 HOT_BLOCKS, HOT_SNIPPETS = 512, 64
 #: Suffixes that are sorted at once, and padded bytes of snippets that are.
-GROUP, PADDED = 50_000, 16 << 20
+GROUP, PADDED = 100_000, 16 << 20
 U = np.uint64
 _LOW = U((1 << 20) - 1)
+_NONE = U(2**64 - 1)
 _GRAMS, _SPANS = K.byte_values(3), K.byte_values(33)
 _C = 0x9FB21C651E98DF25
 
@@ -53,21 +54,38 @@ _C = 0x9FB21C651E98DF25
 # ---- enhanced suffix array of one task -------------------------------------------------------------------------
 
 
-def suffix_array(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes data[at:ends] (no longer than a few hundred bytes) and the longest common prefix of each with the one before."""
+def suffix_array(data: np.ndarray, at: np.ndarray, width: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at data[at : at + width], which zeros close, and the longest common prefix of each with the one before, 0 for one below `least`.
+
+    Suffixes that are equal but for zeros at their ends are told apart by the caller, who knows their lengths.
+    """
     n = len(at)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    length = ends - at
-    width = int(length.max())
-    padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]  # a copy
-    rows[np.arange(width)[None, :] >= length[:, None]] = 0
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
-    rows, length = rows[order], length[order]
-    same = rows[1:] == rows[:-1]
-    common = np.where(same.all(1), width, same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
-    return order, np.concatenate([[0], np.minimum(common, np.minimum(length[1:], length[:-1]))]).astype(np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[at]  # a copy
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    rows = rows[order]
+    words = rows.view("<u8") if width % 8 == 0 else rows
+    sure = least // 8 if width % 8 == 0 else 0
+    alike = np.flatnonzero((words[1:, :sure] == words[:-1, :sure]).all(1)) + 1
+    same = rows[alike] == rows[alike - 1]
+    common = np.zeros(n, np.int64)
+    common[alike] = np.where(same.all(1), width, same.argmin(1))
+    common[common < least] = 0
+    return order, common
+
+
+def padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """The snippets, each followed by at least `room` zeros, one after another at a fixed distance; and that distance."""
+    n, width = len(starts), int(lengths.max(initial=0))
+    out = np.zeros((n + 1, width + room), np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width + 1, np.uint8)]), width)
+    step = max(1, PADDED // max(width, 1))
+    for i in range(0, n, step):
+        some = view[starts[i : i + step]]
+        some[np.arange(width)[None, :] >= lengths[i : i + step, None]] = 0
+        out[i : i + step, :width][: len(some)] = some
+    return out.ravel(), width + room
 
 
 def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -98,20 +116,29 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[t
 
 def repeat_groups(texts: list[bytes], least: int = LEAST) -> list[tuple[bytes, list[tuple[int, int]]]]:
     """Maximal repeats of a few texts, each with all its (text, start) occurrences: the same steps on whole suffixes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    at = K.aranges(bounds[:-1], np.maximum(np.diff(bounds) - least + 1, 0))
-    of = np.searchsorted(bounds, at, "right") - 1
-    order, lcp = suffix_array(data, at, bounds[of + 1])
-    at, of = at[order], of[order]
-    left = np.where(at > bounds[of], data[at - 1].astype(np.int64), -1) if len(at) else at
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    width = max(8, -(-int(sizes.max(initial=0)) // 8) * 8)
+    data, stride = padded(flat, np.cumsum(sizes) - sizes, sizes, width)
+    count = np.maximum(sizes - least + 1, 0)
+    of = np.repeat(np.arange(len(texts)), count)
+    start = K.aranges(np.zeros(len(texts), np.int64), count)
+    order, lcp = suffix_array(data, of * stride + start, width, least)
+    of, start = of[order], start[order]
+    lcp = _within(lcp, (sizes[of] - start))
+    left = np.where(start > 0, data[np.maximum(of * stride + start - 1, 0)].astype(np.int64), -1)
     out = []
     for length, a, b in maximal_repeats(lcp, left, least):
-        places = sorted((int(k), int(p - bounds[k])) for k, p in zip(of[a : b + 1], at[a : b + 1], strict=True))
-        out.append((bytes(data[at[a] : at[a] + length]), places))
+        places = sorted(zip(of[a : b + 1].tolist(), start[a : b + 1].tolist(), strict=True))
+        out.append((texts[of[a]][start[a] : start[a] + length], places))
     return sorted(out)
 
 
+def _within(lcp: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Common prefixes no longer than the suffixes themselves."""
+    return np.minimum(lcp, np.minimum(lengths, np.concatenate([lengths[:1], lengths[:-1]]))) if len(lcp) else lcp
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one place of each distinct snippet, the distinct snippet of each), by the bytes themselves."""
     n = len(starts)
@@ -161,25 +188,27 @@ class Snippets:
         """Groups of maximal repeats (length, first, last, snippet of each suffix in order, start of each suffix in its snippet)."""
         least = self.least
         count = self.lengths - least + 1
-        at = K.aranges(self.starts, count)
-        of = np.repeat(np.arange(len(count)), count)
-        # Suffixes that share `least` bytes are in one group, and a group is sorted in little memory; a hash deals them out and decides nothing.
-        groups = max(1, -(-len(at) // GROUP))
+        width = -(-int(self.lengths.max(initial=0)) // 8) * 8
+        of = np.repeat(np.arange(len(count)), count).astype(np.int32)
+        within = K.aranges(np.zeros(len(count), np.int64), count).astype(np.uint8)
+        # Suffixes that share `least` bytes are in one group, and a group is sorted in little memory; some of their bytes deal them out and decide nothing.
+        groups = max(1, -(-len(of) // GROUP))
+        data, stride = padded(self.data, self.starts, self.lengths, width)
         if groups > 1:
-            order = np.argsort(at, kind="stable")
-            h = np.empty(len(at), U)
-            h[order] = K.span_hashes(self.data, at[order], at[order] + least, _SPANS)
-            group = (h % U(groups)).astype(np.int64)
+            eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))  # 8 bytes from each place
+            at = of * np.int64(stride) + within
+            group = (K.mix(eight[at] * U(31) + eight[at + least - 8]) % U(groups)).astype(np.int32)
+            del at
             by = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[by], np.arange(groups + 1))
         else:
-            by, edges = np.arange(len(at)), np.array([0, len(at)])
+            by, edges = np.arange(len(of)), np.array([0, len(of)])
         for x, y in zip(edges[:-1], edges[1:], strict=True):
-            some = by[x:y]
-            order, lcp = suffix_array(self.data, at[some], self.starts[of[some]] + self.lengths[of[some]])
-            some = some[order]
-            snippet, start = of[some], at[some] - self.starts[of[some]]
-            left = np.where(start > 0, self.data[np.maximum(at[some] - 1, 0)].astype(np.int64), -1)
+            snippet, start = of[by[x:y]].astype(np.int64), within[by[x:y]].astype(np.int64)
+            order, lcp = suffix_array(data, snippet * stride + start, width, least)
+            snippet, start = snippet[order], start[order]
+            lcp = _within(lcp, self.lengths[snippet] - start)
+            left = np.where(start > 0, data[np.maximum(snippet * stride + start - 1, 0)].astype(np.int64), -1)
             found = np.array(list(maximal_repeats(lcp, left, least)), np.int64).reshape(-1, 3)
             # a whole snippet that occurs more than once is a repeat of its own, at its first suffix
             own = np.flatnonzero((start == 0) & (self.copies[snippet] > 1))
@@ -244,40 +273,50 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def halves(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, hash of the context) of the half runs."""
     half = (least - GRAM) // 2
+    wide = 2 * GRAM if half + 1 >= GRAM else GRAM
     out: list[list[np.ndarray]] = [[], [], [], []]
     for i, j in K.slices(offsets, PIECE):
         for low in range(int(offsets[i]), max(int(offsets[j]) - least + 1, int(offsets[i]) + 1), PIECE):
             high = min(int(offsets[j]), low + PIECE + least - 1) if j == i + 1 else int(offsets[j])
             part = data[low:high]
             n = len(part)
-            if n < least:
+            if n < max(least, wide):
                 continue
             h = _GRAMS[part]
             step, factor = 1, _C
             while step < GRAM:
-                h = h[:-step] * U(factor) + h[step:]
-                step, factor = step * 2, factor * factor % 2**64
-            h ^= h >> U(29)
+                left = h[:-step] * U(factor)
+                left += h[step:]
+                h, step, factor = left, step * 2, factor * factor % 2**64
+            context = h
+            if wide > GRAM:
+                context = h[:-GRAM] * U(factor)
+                context += h[GRAM:]
+            h = h ^ (h >> U(29))
             h *= U(0xBF58476D1CE4E5B9)
-            h = (h & ~_LOW) | np.arange(len(h), dtype=U)
+            h &= ~_LOW
+            h |= np.arange(len(h), dtype=U)
             m = _sliding_min(h, least - GRAM + 1)
-            inner = np.clip(offsets[i : j + 1] - low, 0, n)
-            end = np.repeat(inner[1:], np.diff(inner))[: len(m)]
-            p = np.flatnonzero(np.arange(len(m)) + least <= end)
-            if len(p):
-                anchor = (m[p] & _LOW).astype(np.int64)
-                right = anchor - p <= half
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1) | (right[1:] != right[:-1])])
-                first, last = p[new], p[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
-                anchor, right = anchor[new], right[new]
-                # the bytes that all windows of a half contain
-                key = np.empty(len(first), U)
-                for side, before, after in ((right, 0, least - half), (~right, half + 1, GRAM)):
-                    key[side] = K.span_hashes(part, anchor[side] - before, anchor[side] + after, _SPANS)
-                out[0].append(np.searchsorted(offsets, first + low, "right") - 1)
-                out[1].append(first + low)
-                out[2].append(last + low)
-                out[3].append(K.mix(key + right.astype(U)))
+            # no window crosses a bound of two rows
+            inner = offsets[i + 1 : j] - low
+            crossing = (inner[:, None] - np.arange(1, least)[None, :]).ravel()
+            m[crossing[(crossing >= 0) & (crossing < len(m))]] = _NONE
+            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+            last = np.append(first[1:] - 1, len(m) - 1)
+            held = m[first] != _NONE
+            first, last = first[held], last[held]
+            anchor = (m[first] & _LOW).astype(np.int64)
+            # the windows that begin more than `half` before the anchor, and the others
+            turn = np.clip(anchor - half, first, last + 1)
+            first, last = np.stack([first, turn], 1).ravel(), np.stack([turn - 1, last], 1).ravel()
+            some = first <= last
+            first, last, anchor, right = first[some], last[some], np.repeat(anchor, 2)[some], (np.arange(len(some)) % 2 == 1)[some]
+            # bytes that all windows of a half contain
+            key = context[np.where(right, anchor, anchor - (wide - GRAM))]
+            out[0].append(np.searchsorted(offsets, first + low, "right") - 1)
+            out[1].append(first + low)
+            out[2].append(last + low)
+            out[3].append(K.mix(key + right.astype(U)))
             if j > i + 1:
                 break
     if not out[0]:
