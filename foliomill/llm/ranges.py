@@ -1,36 +1,47 @@
-"""Ranges of an id that hold about the same number of rows, numbered in the order of the id."""
+"""Ranges of an id that hold about the same number of bytes of text, numbered in the order of the id."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import written
 
-#: Splits that are taken from a quantile sketch; more ranges than that divide each of them evenly.
+#: Splits that are taken from a quantile sketch at once; more ranges than that come from a second sketch in each of them.
 SPLITS = 1024
+#: Bytes of text that weigh as one row in the sketches.
+GRAIN = 4096
 
 
-def range_buckets(df: DataFrame, id_col: str, text_col: str, most_bytes: int) -> tuple[Column, int]:
-    """A column with the range of each row, and the number of ranges, of about `most_bytes` of text each.
+def _quantiles(weighted: DataFrame, name: str, parts: int, *by: str) -> DataFrame:
+    marks = F.percentile_approx(name, [k / parts for k in range(1, parts)], 20 * SPLITS)
+    return weighted.groupBy(*by).agg(F.array_distinct(marks).alias("marks__"))
 
-    Rows with equal ids share a range; null ids are in the first. What comes to the driver is at most SPLITS + 3 numbers.
+
+def with_ranges(df: DataFrame, id_col: str, text_col: str, most_bytes: int, name: str) -> tuple[DataFrame, int]:
+    """df with the range of each row of a bigint id, and the number of ranges, of about `most_bytes` of text each.
+
+    Rows with equal ids share a range; null ids are in the first. What comes to the driver is at most SPLITS numbers; at most SPLITS arrays of
+    as many are broadcast, so ranges grow beyond SPLITS ** 2 of them.
     """
-    size, least, most = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.min(id_col), F.max(id_col)).first()
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = max(1, -(-size // most_bytes))
-    if n == 1 or least is None or least == most:
-        return F.lit(0), 1
+    if n == 1:
+        return df.withColumn(name, F.lit(0)), 1
+    weighted = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i__"), F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / GRAIN).cast("int"))))
+    below = lambda marks, x: F.greatest(F.coalesce(F.size(F.filter(marks, lambda m: m < x)), F.lit(0)), F.lit(0))
     coarse = min(n, SPLITS)
-    marks = df.agg(F.percentile_approx(id_col, [k / coarse for k in range(1, coarse)], 20 * SPLITS)).first()[0]
-    edges = sorted({least, *marks, most + 1})
-    fine = -(-n // (len(edges) - 1))
-    x = F.col(id_col)
-    at = F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:-1]]), lambda e: e <= x)) if len(edges) > 2 else F.lit(0)
-    if fine > 1:
-        low = F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), at + 1)
-        high = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), at + 1)
-        at = at * fine + F.least(F.lit(fine - 1), F.floor((x - low).cast("double") * fine / (high - low)).cast("int"))
-    return F.when(x.isNull(), 0).otherwise(at).cast("int"), fine * (len(edges) - 1)
+    marks = _quantiles(weighted, "i__", coarse).first()[0] or []
+    at = below(F.array(*[F.lit(m).cast("bigint") for m in sorted(marks)]), F.col(id_col)) if marks else F.lit(0)
+    at = F.when(F.col(id_col).isNull(), 0).otherwise(at)
+    fine = min(-(-n // coarse), SPLITS)
+    if fine == 1:
+        return df.withColumn(name, at.cast("int")), coarse
+    inner = weighted.withColumn("c__", F.when(F.col("i__").isNull(), 0).otherwise(below(F.array(*[F.lit(m).cast("bigint") for m in sorted(marks)]), F.col("i__"))))
+    inner = _quantiles(inner, "i__", fine, "c__")
+    out = df.withColumn("c__at", at).join(F.broadcast(inner), F.col("c__at") == F.col("c__"), "left")
+    where = F.col("c__at") * fine + F.when(F.col(id_col).isNull(), 0).otherwise(below(F.col("marks__"), F.col(id_col)))
+    return out.withColumn(name, where.cast("int")).drop("c__at", "c__", "marks__"), coarse * fine
 
 
 def numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:

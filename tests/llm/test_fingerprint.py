@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foliomill.llm import fingerprint as P
+from foliomill.llm import ranges as R
 
 
 def points(x):
@@ -24,6 +25,10 @@ def test_spans_and_extensions(a, b, data):
     while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
         n += 1
     assert x.extension(i, y, j) == n
+    n = 0
+    while n < min(i, j) and a[i - n - 1] == b[j - n - 1]:
+        n += 1
+    assert x.extension(i, y, j, back=True) == n
     k = data.draw(st.integers(0, min(len(a) - i, len(b) - j)))
     assert (x.span(i, i + k) == y.span(j, j + k)) == (a[i : i + k] == b[j : j + k])
 
@@ -50,9 +55,26 @@ def test_likeness():
     assert P.likeness(again, f(long)) == 1 and P.likeness(again, f(other)) == none
 
 
-@pytest.mark.parametrize("bucket", [40, 1 << 20])
-def test_op1_is_the_definition(docs, monkeypatch, bucket):
+def brute_likeness(a, b):
+    """The exact common ends, or the share of common spans if it is larger."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n) if a[-1 - k] != b[-1 - k]), n)
+    x, y = P.fingerprint(a)[2], P.fingerprint(b)[2]
+    least = sorted(set(x.tolist()) | set(y.tolist()))[: max(min(len(x), len(y)), 1) if max(len(x), len(y)) == P.MINIMA else None]
+    spans = sum(v in x and v in y for v in least) / len(least)
+    return max(spans, min(head + tail, n) / max(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("bucket", "splits"), [(40, 1024), (1 << 20, 1024), (100, 4), (30, 3)])
+def test_op1_is_the_definition(docs, monkeypatch, bucket, splits):
     monkeypatch.setattr(P, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(R, "SPLITS", splits)
+    monkeypatch.setattr(R, "GRAIN", 16)
     r = random.Random(3)
     rows = [(k * 7 % 101, "".join(r.choices("abé \n", k=r.randrange(0, 60)))) for k in range(60)] + [(500, None), (501, ""), (502, "x"), (503, "same"), (504, "same"), (900, "long " * 3000)]
     rows = list({i: (i, t) for i, t in rows}.values())
@@ -65,7 +87,7 @@ def test_op1_is_the_definition(docs, monkeypatch, bucket):
         g = got[i]
         assert (g.n_chars, g.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
         assert g.fingerprint == P.encoded(P.fingerprint(t)) and g.edited_fingerprint == P.encoded(P.fingerprint(new))
-        assert 0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1
+        assert g.near_edited == pytest.approx(brute_likeness(t, new)) and g.near_next == pytest.approx(brute_likeness(t, after))
     assert got[503].fingerprint == got[504].fingerprint
 
 
@@ -74,3 +96,11 @@ def test_empty_single_and_repeated_rows(docs):
     (one,) = P.fingerprints(docs([(1, "abcd")])).collect()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
     assert P.fingerprints(docs([(1, "a"), (1, "a"), (2, "b"), (None, "c")])).count() == 4
+
+
+def test_ids_of_other_types(docs, spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_BYTES", 40)
+    rows = [(k, "".join(random.Random(k).choices("ab ", k=30))) for k in range(40)]
+    named = spark.createDataFrame([(f"d{i:03d}", t) for i, t in rows], "doc_id string, text string")
+    want = {f"d{x.doc_id:03d}": (x.edited_sha256, x.near_next) for x in P.fingerprints(docs(rows)).collect()}
+    assert {x.doc_id: (x.edited_sha256, x.near_next) for x in P.fingerprints(named).collect()} == want
