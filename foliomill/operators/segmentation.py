@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import written
 
 
 def rejected_books(toc: DataFrame) -> DataFrame:
@@ -56,6 +57,7 @@ def first_hits(entries: DataFrame, units: DataFrame, texts: list[str], at: str,
 def hits(toc: DataFrame, elements: DataFrame, *, both_ways: bool = True) -> DataFrame:
     """Entries with `hit` (an element) or, where no element matches, `line_hit` (a line), and `opens` if either is there."""
     found = toc.join(first_hits(toc, elements.withColumnRenamed("seq", "el"), ["text_head", "text_inline"], "el", both_ways=both_ways), ["book", "seq"], "left")
+    found = written(found, "hits")  # narrow rows, read by both of what follows
     missed = found.where("hit is null").drop("hit")
     by_line = first_hits(missed, lines(elements), ["text"], "line", both_ways=both_ways).withColumnRenamed("hit", "line_hit")
     return found.join(by_line, ["book", "seq"], "left").withColumn("opens", F.col("hit").isNotNull() | F.col("line_hit").isNotNull())
@@ -83,10 +85,12 @@ def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None,
     pages = elements if pages is None else pages
     if exclude:
         toc = toc.where(~F.col("book").isin(exclude))
+    # Outlines are narrow beside the text, and read many times: they are made once, and so are their matches.
+    toc = written(toc, "outline")
     good = toc.join(rejected_books(toc), "book", "left_anti")
     if mode == "full":
         return _full(good, elements)
-    found = owners(hits(reachable(good, pages), elements))
+    found = written(owners(hits(written(reachable(good, pages), "reachable"), elements)), "owners")
     choice = F.coalesce(F.nullif(F.col("text_head"), F.lit("")), F.col("text_inline"))
     el = elements.select("book", "page", F.col("seq").alias("el"), choice.alias("text"))
     # What stands before the hit, or all of the page, goes to the open section; then the lines before a line hit do as well.
@@ -104,7 +108,7 @@ def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None,
 
 def _full(toc: DataFrame, elements: DataFrame) -> DataFrame:
     """Every element in the section of the last hit at or before it, in reading order; a heading must be contained in the text."""
-    found = hits(toc, elements, both_ways=False).where("opens")
+    found = written(hits(toc, elements, both_ways=False).where("opens"), "opened")
     starts = found.select("book", "page", F.coalesce("hit", "line_hit").alias("el"), "seq", "level", "heading")
     first = starts.groupBy("book", "page", "el").agg(F.min("seq").alias("seq"))  # two headings on one element: the first opens it
     choice = F.coalesce(F.nullif(F.col("text_head"), F.lit("")), F.col("text_inline"))
@@ -117,7 +121,7 @@ def _full(toc: DataFrame, elements: DataFrame) -> DataFrame:
 
 def unmatched(toc: DataFrame, elements: DataFrame, *, mode: str = "full") -> DataFrame:
     """Entries whose heading was found nowhere on their page. In compat, all entries of a page whose last entry missed."""
-    found = hits(reachable(toc, elements), elements)
+    found = hits(written(reachable(toc, elements), "reachable"), elements)
     if mode == "full":
         return found.where("not opens").select("book", "page", "seq", "heading")
     last = found.groupBy("book", "page").agg(F.max_by("opens", "seq").alias("last"))
