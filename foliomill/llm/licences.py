@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .session import table
 
-COPYRIGHT = r"(^|\n)[ \t#*/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+# A line that states a copyright: with a year, a sign or "by" after it; a wrapped line that only goes on with the word stays.
+COPYRIGHT = r"(^|\n)[ \t#*/;-]*(?:copyright[ \t:,]*(?:\(c\)|©|by\b|[^\n]*?(?:19|20)[0-9][0-9])|\(c\)[^\n]*?(?:19|20)[0-9][0-9]|©|all rights reserved)[^\n]*"
 # Spellings that count as one; fixed values.
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"),
@@ -84,11 +85,42 @@ LICENCES |= {
         "3. This notice may not be removed or altered from any source distribution."
     ),
 }
+LICENCES |= {
+    "MIT-0": _MIT.replace(", subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n", ".\n"),
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, '
+        "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+        "subject to the following:\n"
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in "
+        "whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n"
+        f"{_AS_IS}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT "
+        "SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    # The notices that the longer licences ask to be put into each file.
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n'
+        "http://www.apache.org/licenses/LICENSE-2.0\n"
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
+        "implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+for _name, _title, _what, _version in (
+    ("GPL-3.0-or-later", "GNU General Public License", "program", "version 3"), ("GPL-2.0-or-later", "GNU General Public License", "program", "version 2"),
+    ("AGPL-3.0-or-later", "GNU Affero General Public License", "program", "version 3"), ("LGPL-3.0-or-later", "GNU Lesser General Public License", "library", "version 3"),
+    ("LGPL-2.1-or-later", "GNU Lesser General Public License", "library", "version 2.1"),
+):
+    LICENCES[_name] = (
+        f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the {_title} as published by the Free Software Foundation, either {_version} of the License, or (at your "
+        f"option) any later version.\nThis {_what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        f"PURPOSE. See the {_title} for more details.\nYou should have received a copy of the {_title} along with this {_what}. If not, see <https://www.gnu.org/licenses/>."
+    )
 # Titles that may stand before a text; fixed values.
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
-    "Zlib": ["zlib License", "The zlib/libpng License"], "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib/libpng License"], "Unlicense": ["The Unlicense"], "MIT-0": ["MIT No Attribution"], "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
 }
 #: (licence, text) for each text as it is and after each of its titles.
 KNOWN = [(name, title + text) for name, text in LICENCES.items() for title in ["", *(t + "\n" for t in TITLES.get(name, []))]]
@@ -121,10 +153,14 @@ def canonical(text: Column) -> Column:
     return _entire(_lines_kept(text))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", licences: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, text_digest, license, notices) for every row: the licence that is the entire text, or null, and the licences that whole lines name."""
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", licences: list[tuple[str, str]] | DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, text_digest, license, notices) for every row: the licence that is the entire text, or null, and the licences that whole lines name.
+
+    licences may be a table (license, known_text) of any size, such as a collection of the long texts; the built-in list is short and broadcast.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(licences or KNOWN, "license string, known_text string")
+    given = isinstance(licences, DataFrame)
+    known = licences.select("license", "known_text") if given else spark.createDataFrame(licences or KNOWN, "license string, known_text string")
     known = known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("text_digest")).groupBy("text_digest").agg(F.min("license").alias("license"))
     listed = notices or NOTICES
     # One pass over a text: its lines are looked up in a small constant map of notice digests, and only the digest of the whole goes on to the join.
@@ -132,7 +168,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lic
     rows = docs.select(F.col(id_col).alias("doc_id"), _lines_kept(F.col(text_col)).alias("lines"))
     found = F.transform(F.split("lines", "\n"), lambda x: F.try_element_at(named, F.sha2(F.trim(x), 256)))
     rows = rows.select("doc_id", F.sha2(_entire(F.col("lines")), 256).alias("text_digest"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("notices"))
-    return rows.join(F.broadcast(known), "text_digest", "left").select("doc_id", "text_digest", "license", "notices")
+    return rows.join(known if given else F.broadcast(known), "text_digest", "left").select("doc_id", "text_digest", "license", "notices")
 
 
 def _key(line: str) -> str:

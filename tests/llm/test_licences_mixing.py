@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,38 @@ def test_op5(docs):
     assert L.scan(docs([])).count() == 0
 
 
+def test_op5_wrapped_texts_match_in_spark_and_sql(spark, tmp_path):
+    """Every known text, wrapped and commented as in source files, below a copyright line; the SQL sees the same."""
+    rows, want = [], {}
+    for name, text in L.LICENCES.items():
+        for width, prefix in ((30, ""), (60, "# "), (72, " * "), (79, "// ")):
+            lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False)]
+            k = len(rows)
+            rows.append((k, "\n".join(prefix + x for x in ["Copyright (c) 2021 The Authors", "(C) 2020 Other", "© Someone", *lines])))
+            want[k] = name
+    rows += [(9_000, None), (9_001, "Copyright by me"), (9_002, "copyright notice and this permission notice appear in all copies")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in L.op5_licences(spark, str(tmp_path)).collect()}
+    assert {k: got[k].license for k in want} == want
+    assert got[9_000].text_digest == got[9_001].text_digest != got[9_002].text_digest
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {r[0]: r[1:] for r in con.execute(L.ORACLE_SQL).fetchall()} == {k: (x.text_digest, x.license, x.notices) for k, x in got.items()}
+    more = spark.createDataFrame([("X", "Some Long Licence text.")], "license string, known_text string")
+    assert L.scan(spark.createDataFrame([(1, "some long license: TEXT")], "doc_id bigint, text string"), licences=more).first().license == "X"
+
+
+def test_op6_column_names_cannot_clash(spark):
+    rows = [(k, f"t{k}", f"s{k % 3}") for k in range(100)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    other = plain
+    for name in ("w", "blocks", "period", "s", "k", "p", "c", "t", "at", "phase", "rank", "members", "class", "block_", "s_", "r_", "count", "mix_slot", "mix_block"):
+        other = other.withColumn(name, F.lit(7))
+    key = lambda df: sorted((r.doc_id, r.mix_block, r.mix_slot, r.mix_position) for r in df.collect())
+    out = M.mix(other)
+    assert key(out) == key(M.mix(plain)) and len(set(out.columns)) == len(out.columns) and out.where("w = 7 and s = 7 and blocks = 7").count() == 100
+
+
 def test_op5_runs_no_python(docs):
     plan = L.scan(docs([(1, "a")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
