@@ -1,11 +1,12 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over hashed features: the distinct lower-cased words of a text and the leading bytes of each (LEADS),
-every feature counted once per distinct word. Fitting adds to the likelihood, for every labelled text, the squared change of
-its logit when its identity terms are swapped for others; a text that mentions none is paired with itself plus one
-term. So a group's mention on its own moves no score. The loss also has an L1 term, which leaves few weights.
+every feature counted once per distinct word. Fitting adds to the likelihood, for every labelled text, the squared changes of
+its logit under MOVES counterfactual edits: its identity terms are swapped for others and taken out; a text that mentions none
+gets one term, and that term swapped for another. So a group's mention on its own moves no score, neither by a weight of the term nor by one of a lead that it
+shares with other words. The loss also has an L1 term, which leaves few weights.
 
-The labelled texts are a bounded sample: the SAMPLE rows with the smallest hash of doc_id. Scoring reads whole texts, and
+The labelled texts are a bounded sample: the SAMPLE rows with the smallest hash of doc_id among texts of at most SAMPLE_BYTES bytes. Scoring reads whole texts, and
 the weights (one array of WIDTH floats) are the only thing broadcast.
 
 Edge cases: a null or empty text has no features and gets the score of the bias alone; without labels, or with one class
@@ -27,6 +28,8 @@ from .session import bounded_batches, table
 
 #: Features are hashed to this many weights; leads are in bytes; labelled rows that are fitted on, at most.
 WIDTH, LEADS, SAMPLE = 1 << 18, (4, 5, 6, 7, 8), 5_000
+#: Bytes of a text that is fitted on, at most, and counterfactual edits of each.
+SAMPLE_BYTES, MOVES = 1 << 17, 2
 #: L1 is in texts: a feature of so many texts, or fewer, hardly gets a weight, whatever the size of the sample.
 STEPS, RATE, L1, L2, SWAP = 100, 0.08, 1.5, 1e-4, 1.0
 
@@ -84,9 +87,11 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
     terms = term_features()
     change_row, change_feature, change_sign = [], [], []
     for i, has in enumerate(mentions):
-        out = [(t, -1.0) for t in has] + [((int(t) + 1 + i) % len(terms), 1.0) for t in has] if len(has) else [(i % len(terms), 1.0)]
-        for t, sign in out:
-            change_row += [i] * len(terms[t])
+        away, other = [(t, -1.0) for t in has], [((int(t) + 1 + i) % len(terms), 1.0) for t in has]
+        one, two = (i % len(terms), 1.0), ((i * 7 + 3) % len(terms), -1.0)
+        edits = [away + other, away] if len(has) else [[one], [one, two]]
+        for t, sign, move in [(*x, MOVES * i + k) for k, edit in enumerate(edits) for x in edit]:
+            change_row += [move] * len(terms[t])
             change_feature += terms[t].tolist()
             change_sign += [sign] * len(terms[t])
     # Features of a single text get no weight; the others, and those of the terms, are numbered anew.
@@ -104,6 +109,7 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
     del feature, keep
     cr, cs = np.array(change_row), np.array(change_sign)
     rare = ~frequent[used]
+    rare[cf] = False  # the features of terms stay live, whatever texts they are in
     w, b = np.zeros(len(used), np.float32), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     y = labels.astype(float)
@@ -113,7 +119,7 @@ def fit(labels: np.ndarray, row: np.ndarray, feature: np.ndarray, mentions: list
         z = np.clip(b + np.bincount(row, w[f], n), -50, 50)
         error = (weight * (1 / (1 + np.exp(-z)) - y) / n).astype(np.float32)
         g = np.bincount(f, error[row], len(used)) + L2 * w
-        moved = np.bincount(cr, w[cf] * cs, n)
+        moved = np.bincount(cr, w[cf] * cs, MOVES * n)
         g += np.bincount(cf, 2 * swap * moved[cr] * cs / n, len(used))
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -164,13 +170,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(mentions, pa.list_(pa.int32()))], ["id", "label", "features", "mentions"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Fits on at most `sample` labelled rows, those with the smallest hash of the id."""
+def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Fits on at most `sample` labelled rows, those with the smallest hash of the id; texts of more than `sample_bytes` bytes are left out of it."""
     bounded_batches(docs.sparkSession)
     few = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
     kind = dict(texts.dtypes)["id"]
-    got = texts.join(F.broadcast(few), "id").select("id", "label", "text").mapInArrow(_gathered, f"id {kind}, label int, features binary, mentions array<int>").toArrow()
+    got = texts.join(F.broadcast(few), "id").orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample)  # rows that share an id
+    got = got.select("id", "label", "text").mapInArrow(_gathered, f"id {kind}, label int, features binary, mentions array<int>").toArrow()
     order = sorted(range(got.num_rows), key=lambda k, a=got.column("id").to_pylist(), f=got.column("features").to_pylist(): (a[k], f[k]))
     got = got.take(pa.array(order, pa.int64()))
     each = [np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()]

@@ -1,8 +1,10 @@
 """op4, op7 and op10: held-out accuracy on made-up data, contracts and edge cases."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliomill.llm import html_blocks as H
@@ -104,6 +106,69 @@ def test_op10_the_penalty_takes_weight_off_group_terms():
     assert held < 0.25 * free
 
 
+def test_op10_neutral_mentions_are_no_longer_rejected():
+    """Texts without a bad word that mention the group: false positives of the fit without and with the penalty."""
+    rows, y = labelled(4, 500)
+    where = {x: k for k, x in enumerate(T.IDENTITY)}
+    pair = [(lambda d: T.features(d, np.array([0, len(d)]))[1])(np.frombuffer(t.encode(), np.uint8)) for _, t in rows]
+    mentions = [[where[w] for w in set(t.split()) if w in where] for _, t in rows]
+    args = (np.array([x for _, x in y]), np.repeat(np.arange(len(pair)), [len(p) for p in pair]), np.concatenate(pair), mentions)
+    r = random.Random(8)
+    neutral = [" ".join(r.choices([w for w in rows[0][1].split() + rows[1][1].split() if w not in ("grolk", "grolker", "vexo", "immigrants")], k=6) + ["immigrants"]) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(neutral, pa.string())], ["text"])
+    wrong = {}
+    for swap in (0.0, 1.0):
+        (out,) = T.scores(iter([batch]), *T.fit(*args, swap=swap))
+        wrong[swap] = sum(x >= 0.5 for x in out.column(0).to_pylist())
+    print("false positives of 200 neutral mentions:", wrong)
+    assert wrong[0.0] >= 10 and wrong[1.0] == 0
+
+
+def test_op10_scores_are_the_sums_of_the_words_weights():
+    r = np.random.Generator(np.random.PCG64(3))
+    weights, texts = r.normal(0, 0.1, T.WIDTH).astype(np.float32), ["Grolk grolk, vexo! Été é", "", None, "a b c " * 50, "x" * 3_000]
+    (got,) = T.scores(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), weights, -0.5)
+    for t, s in zip(texts, got.column(0).to_pylist(), strict=True):
+        z = -0.5
+        for word in set(re.findall(rb"[a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))):
+            data = np.frombuffer(word, np.uint8)
+            z += float(weights[T.features(data, np.array([0, len(data)]))[1]].sum())
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_op4_profiles_are_the_bundles_of_bound_trigrams():
+    a, b, c = L.bound_vectors()
+    symbol, _ = L.letter_tables()
+    for text in ("Abc, déf  ghi", "a", "", "  x-y ", "ñandú 12 ñandú"):
+        s = " " + "".join(x if symbol[ord(x)] else " " for x in text) + " "
+        while "  " in s:
+            s = s.replace("  ", " ")
+        want = np.zeros(L.DIMENSIONS)
+        for x, y, z in zip(s, s[1:], s[2:], strict=False):
+            i, j, k = (0 if q == " " else int(symbol[ord(q)]) for q in (x, y, z))
+            want += a[i].astype(int) * b[j] * c[k]
+        assert (L.profiles([text])[0][0] == want).all()
+
+
+def test_op7_labels_are_those_of_one_page_and_one_block_at_a_time():
+    r = np.random.Generator(np.random.PCG64(2))
+    pages = [H.blocks(H.made_page(r)[0]) for _ in range(12)]
+    model = H.Labeller.fresh(3)
+    p, n = model.p, H.HIDDEN
+    for page, got in zip(pages, model.label(pages), strict=True):
+        x, states = H.vectors([page]).astype(float), {}
+        for w, order in (("f", range(len(page))), ("b", range(len(page) - 1, -1, -1))):
+            state, cell = np.zeros(n), np.zeros(n)
+            for t in order:
+                z = x[t] @ p[w + "x"] + p[w + "1"] + state @ p[w + "h"]
+                i, f, o = (1 / (1 + np.exp(-z[k * n : (k + 1) * n])) for k in range(3))
+                cell = f * cell + i * np.tanh(z[3 * n :])
+                state = o * np.tanh(cell)
+                states[w, t] = state
+        want = [1 / (1 + np.exp(-(np.concatenate([states["f", t], states["b", t], x[t]]) @ p["o"] + p["o1"][0]))) for t in range(len(page))]
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_op10_no_or_one_class(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert T.scored(docs([(1, "a")]), T.trained(docs([(1, "a")]), none), keep=["doc_id"]).first().score < 1e-6
