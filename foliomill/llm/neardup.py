@@ -8,11 +8,13 @@
    registers drops pairs whose most likely similarity is below DOUBT, and every other pair is confirmed on the full sets.
 4. Confirmed links make components; a task gives a spanning forest of its links, not all pairs.
 
-Two texts of similarity 0.75 share no band with probability about 1e-6; nothing else loses a link.
+Two texts of similarity 0.75 share no band with probability about 1e-6. The likelihood estimates their similarity with a standard deviation of 0.034, so
+DOUBT is seven of these below 0.75; nothing else loses a link.
 
 Edge cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing; a text of fewer words than a shingle has
 one, the whole; repeated rows are one class; rows that share an id are one node; a row without an id is its own
-component, null, and kept; an empty table gives an empty result; other columns are ignored.
+component, null, and kept; ids that aren't integers are numbered in their order first;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components, forest
+from .ranges import INTEGERS, numbered
 from .session import bounded_batches, table, written
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -289,6 +292,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id, kept) for every row; component_id is the smallest id that links reach."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in INTEGERS:
+        named = numbered(docs.select(F.col(id_col).alias("name__"), F.col(text_col).alias("text")), "name__", "doc_id")
+        found = near_duplicates(named)
+        names = named.where("doc_id is not null").select("doc_id", "name__").distinct()
+        least = names.select(F.col("doc_id").alias("component_id"), F.col("name__").alias("component__"))
+        found = found.join(names, "doc_id", "left").join(least, "component_id", "left")
+        return found.select(F.col("name__").alias("doc_id"), "n_shingles", F.col("component__").alias("component_id"), "kept")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     described = written(rows.mapInArrow(_described, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, registers binary"), "sketches")
     known = described.where("n_shingles > 0 and doc_id is not null")

@@ -11,6 +11,7 @@ from .session import written
 SPLITS = 1024
 #: Bytes of text that weigh as one row in the sketches.
 GRAIN = 4096
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def _quantiles(weighted: DataFrame, name: str, parts: int, *by: str) -> DataFrame:
@@ -46,7 +47,7 @@ def with_ranges(df: DataFrame, id_col: str, text_col: str, most_bytes: int, name
 
 def numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:
     """df with a bigint column whose order is that of the id: the id itself if it is an integer, otherwise a number for each distinct id. Null stays null."""
-    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+    if dict(df.dtypes)[id_col] in INTEGERS:
         return df.withColumn(name, F.col(id_col).cast("bigint"))
     ids = df.select(F.col(id_col).alias("id__")).where("id__ is not null").distinct()
     ids = written(ids.repartitionByRange("id__").sortWithinPartitions("id__").select("id__", F.monotonically_increasing_id().alias(name)), "numbers")

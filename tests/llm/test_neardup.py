@@ -105,3 +105,12 @@ def test_components(spark):
     assert {x.node: x.component for x in got.collect()} == {k: v for k, v in low.items() if k != v}
     a, b = components.forest(np.array([1, 2, 9]), np.array([2, 3, 8]))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {2: 1, 3: 1, 9: 8}
+
+
+def test_ids_of_other_types(docs, spark):
+    rows = [(k, f"{'abcde'[k % 5]} one two three four five six seven eight nine ten eleven twelve thirteen") for k in range(12)] + [(20, None), (21, "x y")]
+    want = sorted((f"d{x.doc_id:02d}", x.n_shingles, f"d{x.component_id:02d}", x.kept) for x in N.near_duplicates(docs(rows)).collect())
+    named = spark.createDataFrame([(f"d{i:02d}", t) for i, t in rows] + [(None, "z")], "doc_id string, text string")
+    got = N.near_duplicates(named).collect()
+    assert sorted(tuple(x) for x in got if x.doc_id is not None) == want
+    assert [(x.component_id, x.kept) for x in got if x.doc_id is None] == [(None, True)]
