@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sized
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,8 +81,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def token_count(x: Column | str) -> Column:
-    """Words between white space; the stand-in for a model's tokenizer."""
+def token_count(x: Column | str, tokenizer: Callable[[str], Sized] | None = None) -> Column:
+    """Tokens of a model's tokenizer (a function that can be pickled), or words between white space without one. Null has no count with a tokenizer."""
+    if tokenizer:
+        return F.pandas_udf(lambda t: t.map(lambda v: None if v is None else len(tokenizer(v))).astype("Int64"), "bigint")(_col(x))
     t = trimmed(x)
     return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, f"[\\s{WIDE}]+")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import candidates, metrics, references, reports, segmentation, trees
+from ..runtime import shared_folder
 from ..sources import layout_xml, outlines, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,27 @@ def outline_parse_strict_all(spark, sf_dir):
     return _parsed(headings(spark, sf_dir))
 
 
+# the lines of an outline file, as they are written
+FILE_LINES = HD + ", fl AS (SELECT book, seq, level || ',' || CASE WHEN regexp_matches(heading, '[,\"\\r\\n]') THEN '\"' || replace(heading, '\"', '\"\"') || '\"' ELSE heading END || ',' || page AS line FROM hd)"
+
+
+@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS INTEGER) AS level, regexp_replace(heading, '\\\\(.)', '\\1', 'g') AS heading, CAST(page AS INTEGER) AS page FROM hd")
+def outline_files_strict(spark, sf_dir):
+    """All headings written as outline files into the shared folder and read again by the strict reader."""
+    folder = shared_folder(spark, "outlines")
+    outlines.write_outline_csv(headings(spark, sf_dir), folder)
+    good, _ = outlines.read_strict(spark, folder, "gt")
+    return good.select("book", *big("seq"), "level", "heading", "page")
+
+
+@query(f"WITH {FILE_LINES} SELECT book, CAST(seq AS BIGINT) AS seq, TRY_CAST(string_split(line, ',')[1] AS INTEGER) AS level, {sql_clean("string_split(line, ',')[2]")} AS heading_naive FROM fl")
+def outline_files_naive(spark, sf_dir):
+    """The same files, read by the naive reader."""
+    folder = shared_folder(spark, "outlines")
+    outlines.write_outline_csv(headings(spark, sf_dir), folder)
+    return outlines.read_naive(spark, folder, "gt").select("book", *big("seq"), "level", "heading_naive")
+
+
 @query(
     f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS VARCHAR) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\"') AND page % 3 > 0"
 )
@@ -507,7 +529,7 @@ def tree_parent(spark, sf_dir):
 
 @query()
 def tree_edit_distance(spark, sf_dir):
-    """Outlines of odd against even pages of each book. No SQL expresses the kernel; tests hold it against a recursive definition."""
+    """Outlines of each book's pages in alternate blocks of 20 against those of the other blocks. No SQL expresses the kernel; tests hold it against a recursive definition."""
     toc = headings(spark, sf_dir)
     number = F.col("page") - F.pmod(F.col("page"), F.lit(20))
     return trees.edit_distances(toc.where(number % 40 == 20), toc.where(number % 40 == 0), mode="full").select("book", "etd")
@@ -523,7 +545,7 @@ def ref_resolve(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("ref"), F.lit("objref").alias("kind"), F.concat(F.lit("n"), "c_nationkey").alias("next_ref"), none.cast("int").alias("page"))
     rows = rows.unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("ref"), F.lit("dict").alias("kind"), F.concat(F.lit("r"), "n_regionkey").alias("next_ref"), none.cast("int").alias("page")))
     rows = rows.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("ref"), F.lit("list").alias("kind"), none.cast("string").alias("next_ref"), (F.col("r_regionkey") + 1).cast("int").alias("page")))
-    found = references.resolve(rows.withColumn("book", F.lit("all")), most_steps=2)
+    found = references.resolve(rows.withColumn("book", F.lit("all")))
     return found.where(F.startswith("ref", F.lit("c"))).select(F.substr("ref", F.lit(2)).cast("bigint").alias("custkey"), "page")
 
 

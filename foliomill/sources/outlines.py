@@ -15,16 +15,24 @@ from ..runtime import importable
 
 
 def slug(path: Column, prefix: int = 0) -> Column:
-    """The file's name without a 4-character suffix, and without `prefix` characters in front."""
+    """The file's name without a 4-character suffix, and without `prefix` characters in front; or the book that its folder names (book=...)."""
     name = F.element_at(F.split(path, "/"), -1)
-    return F.substr(name, F.lit(prefix + 1), F.length(name) - 4 - prefix)
+    folder = F.regexp_extract(path, "/book=([^/]+)/[^/]+$", 1)
+    return F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.substr(name, F.lit(prefix + 1), F.length(name) - 4 - prefix))
 
 
-def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, content, encoding_ok) of the files that match; text that isn't UTF-8 has content null and goes to quarantine."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    body = F.regexp_replace(F.when(ok, F.col("content").cast("string")), "^\\x{FEFF}", "")
+def files(spark: SparkSession, folder: str, pattern: str, *, single_byte: str | None = None) -> DataFrame:
+    """(path, content, encoding_ok) of the files that match, in UTF-8, or in UTF-16 with a byte order mark.
+
+    Any other is read as `single_byte` (such as ISO-8859-1) if that is given, and otherwise has content null and goes to quarantine.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    raw = reader.load(folder).select("path", "content")
+    start, utf8 = F.hex(F.substring("content", 1, 2)), F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(start.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(utf8, F.col("content").cast("string"))
+    if single_byte:
+        text = text.otherwise(F.decode("content", single_byte))
+    body, ok = F.regexp_replace(text, "^\\x{FEFF}", ""), text.isNotNull()
     return raw.select("path", body.alias("content"), ok.alias("encoding_ok"))
 
 
@@ -61,6 +69,30 @@ def write_outlines(toc: DataFrame, path: str) -> None:
     toc.where(F.col("heading").isNotNull()).write.partitionBy("system").mode("overwrite").parquet(path)
 
 
+def write_outline_csv(toc: DataFrame, folder: str, *, mark: bool = True) -> None:
+    """Outline files: a folder for each book with one file of three-field lines in the order of seq, with a byte order mark in front if `mark`.
+
+    A book's lines are sorted in one task; a book without entries leaves nothing.
+    """
+    lines = entry_lines(toc.where(F.col("heading").isNotNull()))
+    if mark:
+        first = lines.groupBy("book").agg(F.min("seq").alias("first__"))
+        lines = lines.join(first, "book").withColumn("line", F.when(F.col("seq") == F.col("first__"), F.concat(F.lit("\ufeff"), F.col("line"))).otherwise(F.col("line")))
+    lines.repartition("book").sortWithinPartitions("book", "seq").select("book", "line").write.partitionBy("book").text(folder)
+
+
+def write_candidates(rows: DataFrame, folder: str) -> DataFrame:
+    """Candidate files without a mark, of the rows that have a level, a heading and a page; returns the rows that were left out."""
+    whole = F.col("level").isNotNull() & F.col("heading").isNotNull() & F.col("page").isNotNull()
+    write_outline_csv(rows.where(whole), folder, mark=False)
+    return rows.where(~whole)
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """(book, text): responses, errors and other texts as they are, a folder for each book."""
+    texts.where(F.col("text").isNotNull()).select("book", "text").write.partitionBy("book").text(folder)
+
+
 def entry_lines(toc: DataFrame) -> DataFrame:
     """Outline rows as the three-field lines of an outline file, in order."""
     quoted = F.when(F.col("heading").rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace("heading", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("heading"))

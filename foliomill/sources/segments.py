@@ -5,9 +5,11 @@ from __future__ import annotations
 import ast
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import importable
 from .outlines import files, slug
 
 _SEGMENT = "array<struct<level: int, heading: string, content: array<string>>>"
@@ -30,6 +32,17 @@ def literal_to_json(text: str) -> str:
     return json.dumps([{"level": int(a), "heading": b, "content": c} for a, b, c in ast.literal_eval(text)])
 
 
+def _literal(items: pd.Series) -> pd.Series:
+    return items.map(lambda x: str([(int(r["level"]), r["heading"], r["content"]) for r in (x if x is not None else [])]).replace("\\n", " "))
+
+
+def write_layout(layout: DataFrame, folder: str) -> None:
+    """(book, items) as Python literals, a text file in a folder for each book; line ends inside texts become spaces. literal_to_json reads them."""
+    importable(layout.sparkSession)
+    literal = F.pandas_udf(_literal, "string")
+    layout.select("book", literal(F.transform("items", lambda r: F.struct(r["level"].alias("level"), r["heading"].alias("heading"), r["content"].alias("content")))).alias("text")).write.partitionBy("book").text(folder)
+
+
 def write_segments(sections: DataFrame, path: str, least: int = 1) -> DataFrame:
     """Writes the books with at least `least` matched headings as JSON rows and returns the rejected books."""
     good = sections.groupBy("book").agg(F.count("heading").alias("n"))

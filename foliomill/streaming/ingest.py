@@ -19,14 +19,17 @@ def outline_stream(spark: SparkSession, folder: str, system: str, *, pattern: st
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, *, once: bool = True):
-    """Writes the new books of each trigger below `path`; a book that is there already is skipped, so a trigger that is run again changes nothing."""
+    """Writes the new books of each trigger into a folder of its own below `path`; a book that an earlier trigger wrote for the same system is skipped.
+    A trigger that is run again writes its folder anew, whatever it left there.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        new = rows.join(spark.read.parquet(path).select("book").distinct(), "book", "left_anti") if there else rows
-        new.write.mode("append").partitionBy("system").parquet(path)
+        known = spark.read.option("basePath", path).schema("system string, book string, batch bigint").parquet(path).where(F.col("batch") < number) if there else None
+        new = rows.join(known.select("system", "book").distinct(), ["system", "book"], "left_anti") if there else rows
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer).start()

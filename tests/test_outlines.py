@@ -148,3 +148,38 @@ def test_S12_time_limit(spark):
     assert time.time() - began < 15
     with time_limit(spark, 60):
         assert spark.range(3).count() == 3
+
+
+def test_A14_A15_A17_files_round_trip(spark, tmp_path):
+    rows = [("a/b c", 3, 1, 'Beta, "one"', 2), ("a/b c", 1, 2, "Älpha", 1), ("x+y", 0, 1, "Gamma", None), ("none", 0, 1, None, 4)]
+    toc = spark.createDataFrame(rows, "book string, seq int, level int, heading string, page int")
+    outlines.write_outline_csv(toc, str(tmp_path / "o"))
+    files = list((tmp_path / "o").glob("book=*/part-*"))
+    assert len(files) == 2 and all(f.read_bytes().startswith(b"\xef\xbb\xbf") and f.read_bytes().count(b"\xef\xbb\xbf") == 1 for f in files)
+    good, _ = outlines.read_strict(spark, str(tmp_path / "o"), "gt")
+    assert sorted((r.book, r.seq, r.level, r.heading, r.page) for r in good.collect()) == [("a/b c", 0, 2, "Älpha", 1), ("a/b c", 1, 1, 'Beta, "one"', 2), ("x+y", 0, 1, "Gamma", None)]
+    left = outlines.write_candidates(toc, str(tmp_path / "c"))
+    assert sorted(r.book for r in left.collect()) == ["none", "x+y"]
+    assert [f.read_text() for f in (tmp_path / "c").glob("book=*/part-*")] == ['2,Älpha,1\n1,"Beta, ""one""",2\n']
+    outlines.write_texts(toc.selectExpr("book", "heading as text").where("book = 'x+y'"), str(tmp_path / "t"))
+    assert [f.read_text() for f in (tmp_path / "t").glob("book=*/part-*")] == ["Gamma\n"]
+    layout = spark.createDataFrame([("b", [(0, "H", "one\ntwo"), (1, None, None)])], "book string, items array<struct<level: int, heading: string, content: string>>")
+    segments.write_layout(layout, str(tmp_path / "l"))
+    (text,) = [f.read_text() for f in (tmp_path / "l").glob("book=*/part-*")]
+    assert text == "[(0, 'H', 'one two'), (1, None, None)]\n" and '"one two"' in segments.literal_to_json(text)
+
+
+def test_A9_encodings(spark, tmp_path):
+    line = "1,Ünder,3"
+    for name, encoding in (("u16.toc", "utf-16"), ("l1.toc", "latin-1"), ("u8.toc", "utf-8-sig")):
+        (tmp_path / name).write_bytes(line.encode(encoding))
+    found = {r.path.rsplit("/", 1)[-1]: (r.content, r.encoding_ok) for r in outlines.files(spark, str(tmp_path), "*.toc").collect()}
+    assert found == {"u16.toc": (line, True), "l1.toc": (None, False), "u8.toc": (line, True)}
+    assert {r.content for r in outlines.files(spark, str(tmp_path), "*.toc", single_byte="ISO-8859-1").collect()} == {line}
+
+
+def test_B16_tokenizer(spark):
+    from foliomill.functions import text as T
+
+    rows = spark.createDataFrame([("abc d",), (None,)], "x string")
+    assert [r[0] for r in rows.select(T.token_count("x", list)).collect()] == [5, None]
