@@ -159,6 +159,8 @@ def mix(docs: DataFrame, weights: dict | None = None, *, block: int = BLOCK, id_
     weights = WEIGHTS if weights is None else weights
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
     sized = docs.withColumn("mix__source", F.col(source_col).cast("string")).withColumn("mix__order", F.xxhash64(F.lit("mix"), F.col(id_col)))
+    # never null, so that what is joined by it stays where the numbering put it
+    sized = sized.withColumn("mix__key", F.coalesce(F.concat(F.lit("s"), "mix__source"), F.lit("")))
     counts = {r[0]: r[1] for r in sized.groupBy("mix__source").count().collect()}
     span, slot, small = _schedule(spark, phases({s: -(-n // block) for s, n in counts.items()}, {s: weights.get(s, 1) for s in counts}))
     # Every column of the schedule gets a name that no column of docs has.
@@ -166,11 +168,11 @@ def mix(docs: DataFrame, weights: dict | None = None, *, block: int = BLOCK, id_
     # A row's number in its source: the rows of the ranges before its own, and its number in the range.
     ranges = max(64, -(-max(counts.values(), default=0) // ROWS))
     sized = sized.withColumn("mix__range", F.floor((F.shiftrightunsigned("mix__order", 33) * ranges) / (1 << 31)).cast("int"))
-    before = sized.groupBy("mix__source", "mix__range").count().withColumn("mix__before", F.sum("count").over(Window.partitionBy("mix__source").orderBy("mix__range").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    before = before.select(F.col("mix__source").alias("mix__s_"), F.col("mix__range").alias("mix__r_"), F.coalesce("mix__before", F.lit(0)).alias("mix__before"))
-    own = Window.partitionBy("mix__source", "mix__range").orderBy("mix__order", id_col, F.xxhash64(text_col))
+    before = sized.groupBy("mix__key", "mix__range").count().withColumn("mix__before", F.sum("count").over(Window.partitionBy("mix__key").orderBy("mix__range").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
+    before = before.select(F.col("mix__key").alias("mix__s_"), F.col("mix__range").alias("mix__r_"), F.coalesce("mix__before", F.lit(0)).alias("mix__before"))
+    own = Window.partitionBy("mix__key", "mix__range").orderBy("mix__order", id_col, F.xxhash64(text_col))
     numbered = sized.withColumn("mix__row", F.row_number().over(own) - 1)
-    numbered = numbered.join(before, F.col("mix__source").eqNullSafe(F.col("mix__s_")) & (F.col("mix__range") == F.col("mix__r_")), "left")
+    numbered = numbered.join(before, (F.col("mix__key") == F.col("mix__s_")) & (F.col("mix__range") == F.col("mix__r_")), "left")
     numbered = numbered.withColumn("mix__row", F.col("mix__row") + F.col("mix__before")).withColumn("mix_block", F.floor(F.col("mix__row") / block)).withColumn("mix_position", (F.col("mix__row") % block).cast("int"))
     n = F.col("mix__number") - F.col("mix__first_block")
     number = n * F.col("mix__members") + F.col("mix__rank")
