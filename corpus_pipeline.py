@@ -65,7 +65,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: Stages of learning, sketches and schedules that SQL doesn't express; tests hold each against a brute-force version.
+#: Stages of learning, sketches and schedules that SQL doesn't express; tests hold the operators against brute force, and the stages against the operators and planted rows.
 ORACLE_SQL = None
 
 
