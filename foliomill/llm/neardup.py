@@ -2,13 +2,16 @@
 
 1. Every text gets its set of distinct shingles and a SetSketch of it: REGISTERS truncated minima on an exponential scale
    (base B, so a register is floor(1 - log_B h)). Texts with equal sets are one class, with the smallest id as its node.
-2. Bands of ROWS register values are hashed. Of each band value a task sends on one node, and links the others to it at once;
-   so a value that a third of the corpus has makes as many rows as there are tasks. Nodes that share a value are in one family.
+2. Bands of ROWS register values are hashed. Nodes that share a value are linked if their marks, the lowest bits of all registers, differ in NEAR
+   bits at most, so that chance collisions of unlike texts don't grow into one family. Of each band value a task sends on no node that is within
+   SAME bits of another that it sends; so a value that a third of the corpus has makes a few rows in each task. What is linked is one family.
 3. The sets of a family meet in one task, or, if it has more than CHUNK nodes, chunk by chunk. There the joint likelihood of the
    registers drops pairs whose most likely similarity is below DOUBT, and every other pair is confirmed on the full sets.
 4. Confirmed links make components; a task gives a spanning forest of its links, not all pairs.
 
-Two texts of similarity 0.75 share no band with probability about 1e-6. The likelihood estimates their similarity with a standard deviation of 0.034, so
+Two texts of similarity 0.75 share no band with probability about 1e-6. Their marks differ in 20 bits of 160 on average, with a standard deviation of 4.2,
+so NEAR is five of these off; for texts of similarity 0.3 it is 2.5 of theirs on the other side. A node that isn't sent on is represented by one of similarity 0.6 or more,
+and has other bands (15 of 64 are shared at 0.75) where it meets its partners by itself. The likelihood estimates the similarity with a standard deviation of 0.034, so
 DOUBT is seven of these below 0.75; nothing else loses a link.
 
 Edge cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing; a text of fewer words than a shingle has
@@ -34,7 +37,9 @@ from .session import bounded_batches, table, written
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, BANDS, ROWS, B, RATE, TOP = 160, 64, 5, 1.001, 20.0, 65_535
 #: Nodes of a family that are compared in one task, the similarity below which the sketches rule a pair out, and bytes of band values in a part.
-CHUNK, DOUBT, PART_BYTES = 128, 0.5, 4 << 20
+CHUNK, DOUBT, PART_BYTES = 128, 0.5, 8 << 20
+#: Differing bits of two marks of REGISTERS bits, up to which nodes of a band value are linked, and up to which one stands for the other.
+NEAR, SAME = 41, 32
 U = np.uint64
 
 IS_WORD = np.ones(256, bool)
@@ -98,6 +103,44 @@ def band_values(registers: np.ndarray) -> np.ndarray:
     return K.mix(out + np.arange(BANDS, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
+def marks_of(registers: np.ndarray) -> np.ndarray:
+    """The lowest bit of each register, packed: (rows, words) of uint32. Registers that differ have equal bits half of the time."""
+    return np.ascontiguousarray(np.packbits((registers & 1).astype(np.uint8), axis=1)).view(np.uint32)
+
+
+def linked(value: np.ndarray, node: np.ndarray, marks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by value and node; at: the row of marks of each. Edges (2, n) that connect what steps of NEAR bits connect among the rows of a
+    value, and the mask of the rows that others stand for.
+
+    All values are walked at once: in each round one row of each value is compared with those that nothing has reached yet.
+    """
+    gone = np.zeros(len(value), bool)
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else gone
+    rows = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    group = np.cumsum(new)
+    reached = np.zeros(len(value), bool)
+    edges = [np.zeros((2, 0), np.int64)]
+    while len(rows):
+        g = group[rows]
+        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        # a row that is reached but not compared yet, if there is one, or else the first
+        first = np.minimum.reduceat(np.where(reached[rows], 0, len(rows)) + np.arange(len(rows)), starts) % len(rows)
+        source = rows[np.repeat(first, sizes)]
+        bits = np.bitwise_count(marks[at[rows]] ^ marks[at[source]]).sum(1, dtype=np.int64)
+        hit = ~reached[rows] & (bits <= NEAR) & (rows != source)
+        edge = np.stack([node[rows[hit]], node[source[hit]]])
+        edges.append(edge[:, edge[0] != edge[1]])
+        gone[rows[hit & (bits <= SAME) & ~gone[source]]] = True
+        reached[rows[hit]] = True
+        open_ = ~reached[rows]
+        open_[first] = False
+        more = np.repeat(np.add.reduceat(open_, starts) > 0, sizes)
+        more[first] = False
+        rows = rows[more]
+    return np.unique(np.concatenate(edges, axis=1), axis=1), gone
+
+
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, j: float = DOUBT) -> np.ndarray:
     """Whether the most likely similarity of each pair (rows of a by rows of b) is at least j: the sign of the slope of the joint
     log-likelihood of the registers at j, which is concave. na, nb: the known sizes of the sets."""
@@ -184,26 +227,24 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Classes to blobs of (band values, nodes) by part; edges found in the task have part -1."""
-    kinds = pa.schema([("part", pa.int32()), ("values", pa.binary()), ("nodes", pa.binary())])
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Classes to blobs of (band values, nodes, marks) by part; edges found in the task have part -1."""
+    kinds = pa.schema([("part", pa.int32()), ("values", pa.binary()), ("nodes", pa.binary()), ("marks", pa.binary())])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        value, node = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.lexsort((node, value))
-        value, node = value[order], node[order]
-        new = np.concatenate([[True], value[1:] != value[:-1]])
-        head = node[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        rest = ~new & (head != node)
-        edges = np.unique(np.stack([node[rest], head[rest]]), axis=1)
-        value, node = value[new], node[new]
+        value, nodes, marks = (np.concatenate([h[k] for h in held]) for k in range(3))
+        at = np.repeat(np.arange(len(nodes)), BANDS)
+        order = np.lexsort((nodes[at], value))
+        value, at = value[order], at[order]
+        edges, gone = linked(value, nodes[at], marks, at)
+        value, at = value[~gone], at[~gone]
         part = (value >> U(40)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
-        part, value, node = part[order], value[order], node[order]
+        part, value, at = part[order], value[order], at[order]
         cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        rows = [{"part": int(part[a]), "values": value[a:b].tobytes(), "nodes": node[a:b].tobytes()} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [{"part": int(part[a]), "values": value[a:b].tobytes(), "nodes": nodes[at[a:b]].tobytes(), "marks": marks[at[a:b]].tobytes()} for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if edges.shape[1]:
-            rows.append({"part": -1, "values": edges[0].tobytes(), "nodes": edges[1].tobytes()})
+            rows.append({"part": -1, "values": edges[0].tobytes(), "nodes": edges[1].tobytes(), "marks": b""})
         held.clear()
         return pa.RecordBatch.from_pylist(rows, kinds)
 
@@ -213,7 +254,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
             continue
         registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         values = band_values(registers)
-        held.append((values.ravel(), np.repeat(batch.column(0).to_numpy(), BANDS)))
+        held.append((values.ravel(), batch.column(0).to_numpy(), marks_of(registers)))
         size += values.size
         if size > 1_000_000:
             yield flush()
@@ -223,28 +264,25 @@ def _band_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs ordered by part to edges: each node of a band value to the smallest node of it."""
+    """Blobs ordered by part to the edges among the nodes of each band value."""
     values: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
     part = None
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not values:
             return
-        v, n = np.concatenate(values), np.concatenate(nodes)
-        values.clear()
-        nodes.clear()
+        v, n, m = np.concatenate(values), np.concatenate(nodes), np.concatenate(marks)
+        for held in (values, nodes, marks):
+            held.clear()
         order = np.lexsort((n, v))
-        v, n = v[order], n[order]
-        new = np.concatenate([[True], v[1:] != v[:-1]])
-        head = n[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        rest = ~new & (head != n)
-        if rest.any():
-            e = np.unique(np.stack([n[rest], head[rest]]), axis=1)
+        e, _ = linked(v[order], n[order], m, order)
+        if e.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
 
     for batch in batches:
-        for p, v, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for p, v, n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if p == -1:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["a", "b"])
                 continue
@@ -253,6 +291,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = p
             values.append(np.frombuffer(v, U))
             nodes.append(np.frombuffer(n, np.int64))
+            marks.append(np.frombuffer(m, np.uint32).reshape(len(nodes[-1]), -1))
     yield from flush()
 
 
@@ -281,9 +320,9 @@ def _compared(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def families(classes: DataFrame, n: int) -> DataFrame:
-    """(a, b): edges between nodes that share a band value, as stars. n: the number of classes."""
-    parts = max(64, -(-n * BANDS * 16 // PART_BYTES))
-    blobs = classes.select("node", "registers").mapInArrow(lambda x: _band_rows(x, parts), "part int, values binary, nodes binary")
+    """(a, b): edges between nodes that share a band value and have marks within NEAR bits, or a chain of such nodes. n: the number of classes."""
+    parts = max(64, -(-n * BANDS * (16 + REGISTERS // 8) // PART_BYTES))
+    blobs = classes.select("node", "registers").mapInArrow(lambda x: _band_rows(x, parts), "part int, values binary, nodes binary, marks binary")
     spread = F.when(F.col("part") < 0, -1 - F.pmod(F.hash("values"), F.lit(parts))).otherwise(F.col("part"))
     return blobs.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(_met, "a bigint, b bigint")
 

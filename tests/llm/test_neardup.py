@@ -83,6 +83,44 @@ def test_sketches_merge_and_estimate():
     assert (N.band_values(x[None]) == N.band_values(x[None])).all() and N.BANDS == N.band_values(x[None]).shape[1]
 
 
+def test_linked_is_a_search_of_each_value():
+    r = np.random.Generator(np.random.PCG64(7))
+    base = r.integers(0, 2**16, (12, N.REGISTERS), dtype=np.uint16)
+    registers = base[r.integers(0, 12, 300)].copy()
+    for x in registers:
+        x[r.permutation(N.REGISTERS)[: r.integers(0, 90)]] += np.uint16(1)
+    marks, value = N.marks_of(registers), np.sort(r.integers(0, 40, 300)).astype(np.uint64)
+    node = np.arange(300)
+    edges, gone = N.linked(value, node, marks, node)
+    bits = np.bitwise_count(marks[:, None, :] ^ marks[None, :, :]).sum(2)
+    near = (bits <= N.NEAR) & (value[:, None] == value[None, :])
+    a, b = np.nonzero(near & ~np.eye(300, dtype=bool))
+    assert {tuple(x) for x in np.stack(N.forest(a, b), 1).tolist()} == {tuple(x) for x in np.stack(N.forest(*edges), 1).tolist()}
+    assert near[edges[0], edges[1]].all()
+    # a row that isn't sent on has one within SAME bits that is
+    assert gone.any() and all((~gone & (value == value[k]) & (bits[k] <= N.SAME)).any() for k in np.flatnonzero(gone))
+    none = np.zeros(0, np.int64)
+    assert N.linked(none.astype(np.uint64), none, marks[:0], none)[0].shape == (2, 0)
+
+
+def test_marks_tell_like_from_unlike():
+    r = np.random.Generator(np.random.PCG64(8))
+    for shared, low, high in ((343, 0.999, 1), (185, 0, 0.05), (0, 0, 0.01)):  # of 400: similarities 0.75, 0.3 and 0
+        m = [N.marks_of(N.sketches(made(r, 2, shared, 400 - shared))) for _ in range(300)]
+        near = np.mean([np.bitwise_count(x[0] ^ x[1]).sum() <= N.NEAR for x in m])
+        assert low <= near <= high
+
+
+def test_unlike_texts_of_one_form_are_no_family(spark):
+    r = np.random.Generator(np.random.PCG64(9))
+    sets = made(r, 400, 180, 220)  # all pairs have a similarity of 0.29
+    rows = [(k, x.tobytes()) for k, x in enumerate(N.sketches(sets))]
+    classes = spark.createDataFrame([(k, bytearray(x)) for k, x in rows], "node bigint, registers binary").repartition(5)
+    found = components.connected_components(N.families(classes, 400), 400)
+    assert (found.groupBy("component").count().agg({"count": "max"}).first()[0] or 0) < 200
+    assert N.families(classes, 400).where("a = b").isEmpty()
+
+
 def test_common_counts_in_blocks():
     r = np.random.Generator(np.random.PCG64(6))
     sets = [np.unique(r.integers(0, 90, r.integers(1, 60), dtype=np.uint64)) for _ in range(9)]
