@@ -5,9 +5,11 @@
 2. Bands of ROWS register values are hashed. Nodes that share a value are linked if their marks, the lowest bits of all registers, differ in NEAR
    bits at most, so that chance collisions of unlike texts don't grow into one family. Of each band value a task sends on no node that is within
    SAME bits of another that it sends; so a value that a third of the corpus has makes a few rows in each task. What is linked is one family.
-3. The sets of a family meet in one task, or, if it has more than CHUNK nodes, chunk by chunk. There the joint likelihood of the
+3. The sets of a family meet in one task, or, if it has more than CHUNK nodes, chunk by chunk: each chunk with the first one, so that a set
+   is sent twice on average whatever the size of the family. There the joint likelihood of the
    registers drops pairs whose most likely similarity is below DOUBT, and every other pair is confirmed on the full sets.
-4. Confirmed links make components; a task gives a spanning forest of its links, not all pairs.
+4. Confirmed links make components; a task gives a spanning forest of its links, not all pairs. If a family of three chunks or more is in several components then,
+   the nodes outside its largest one are compared with all of its nodes. Pairs inside the largest one are linked already, so nothing is lost.
 
 Two texts of similarity 0.75 share no band with probability about 1e-6. Their marks differ in 20 bits of 160 on average, with a standard deviation of 4.2,
 so NEAR is five of these off; for texts of similarity 0.3 it is 2.5 of theirs on the other side. A node that isn't sent on is represented by one of similarity 0.6 or more,
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import connected_components, forest
 from .ranges import INTEGERS, numbered
-from .session import bounded_batches, table, written
+from .session import bounded_batches, discard, table, written
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, BANDS, ROWS, B, RATE, TOP = 160, 64, 5, 1.001, 20.0, 65_535
@@ -327,6 +329,31 @@ def families(classes: DataFrame, n: int) -> DataFrame:
     return blobs.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(_met, "a bigint, b bigint")
 
 
+def _links(dealt: DataFrame, *, whole: bool) -> DataFrame:
+    """Confirmed links (a, b) among the nodes of dealt (node, component, chunk, meets: the chunks to be compared with, shingles).
+
+    whole: all nodes that are sent to a chunk are compared with each other; else those of one chunk with those of the other.
+    """
+    own = F.col("other") if whole else F.col("chunk")
+    sent = dealt.withColumn("other", F.explode("meets"))
+    sent = sent.select("component", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"), own.alias("chunk"), "node", "shingles")
+    return sent.groupBy("component", "low", "high").applyInArrow(_compared, "a bigint, b bigint")
+
+
+def unsettled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, component, chunk, meets) of the families that links leave in several components. The nodes outside the largest component of a family
+    come first in its chunks and meet all; those of the largest one meet only these."""
+    found = linked.select(F.col("node").alias("x"), F.col("component").alias("y"))
+    now = members.join(found, F.col("node") == F.col("x"), "left").select("node", "component", F.coalesce("y", "node").alias("y"))
+    sizes = now.groupBy("component", "y").agg(F.count(F.lit(1)).alias("k")).groupBy(F.col("component").alias("f"))
+    sizes = sizes.agg(F.max(F.struct("k", "y")).alias("top"), F.sum("k").alias("size")).where("size > top.k")
+    rest, most = (F.ceil(x / CHUNK).cast("int") for x in (F.col("size") - F.col("top.k"), F.col("top.k")))
+    now = now.join(sizes, F.col("component") == F.col("f")).withColumn("outside", F.col("y") != F.col("top.y"))
+    chunk = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), rest)).otherwise(rest + F.pmod(F.xxhash64("node"), most)).cast("int")
+    last = F.when(F.col("outside"), rest + most - 1).otherwise(rest - 1)
+    return now.select("node", "component", chunk.alias("chunk"), F.sequence(F.lit(0), last).alias("meets"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -350,12 +377,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = family.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size")).withColumnRenamed("component", "f")
     members = members.join(sizes, F.col("component") == F.col("f")).select("node", "component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     members = written(members, "members")
+    # texts move once: later comparisons of a large family read its sets
     sets = rows.join(members.hint("merge"), rows.doc_id == members.node).select("node", "component", "chunks", "text").mapInArrow(_with_sets, "node bigint, component bigint, chunks int, shingles binary")
+    sets = written(sets, "sets")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "shingles")
-    links = dealt.groupBy("component", "low", "high").applyInArrow(_compared, "a bigint, b bigint")
-    linked = connected_components(links, n)
+    meets = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") > 1, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
+    linked = connected_components(_links(sets.withColumn("chunk", chunk).withColumn("meets", meets), whole=True), n)
+    rest = written(unsettled(members.where("chunks > 2"), linked), "unsettled")
+    if not rest.isEmpty():
+        large = sets.where("chunks > 2").select(F.col("node").alias("x"), "shingles").join(rest.hint("merge"), F.col("x") == F.col("node"))
+        linked = connected_components(_links(large, whole=False).unionAll(linked.select("node", "component")), n)
+    for done in (sets, rest, members):
+        discard(done)
     final = classes.select("k1", "k2", F.col("n_shingles").alias("n"), "node").join(linked, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
     out = described.select("doc_id", "n_shingles", F.col("k1").alias("x1"), F.col("k2").alias("x2")).join(final, (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2")) & (F.col("n_shingles") == F.col("n")), "left")
     # rows that share an id have the smallest component of any of them only if they are one class; a row without a class is alone

@@ -59,6 +59,47 @@ def test_op8_is_all_pairs(docs, monkeypatch, chunk):
     assert got == brute(rows)
 
 
+def test_large_family_in_several_components(docs, spark, monkeypatch):
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(5000)]
+
+    def edited(w, edits):
+        w = list(w)
+        for k in r.sample(range(0, len(w), 10), edits):
+            w[k] = r.choice(vocabulary)
+        return w
+
+    base = r.choices(vocabulary, k=400)
+    centres = [edited(base, 9) for _ in range(5)]  # pairwise about 0.63
+    texts = [" ".join(edited(c, 1)) for c in centres for _ in range(r.randrange(2, 8))]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    seen = []
+    unsettled = N.unsettled
+    monkeypatch.setattr(N, "CHUNK", 3)
+    monkeypatch.setattr(N, "unsettled", lambda *x: seen.append(unsettled(*x).count()) or unsettled(*x))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in N.near_duplicates(docs(rows)).collect()}
+    want = brute(rows)
+    assert got == want and len({c for _, c, _ in want.values()}) == 5
+    assert seen == [len(rows)]
+
+
+def test_unsettled_meets_every_open_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "CHUNK", 4)
+    family = {7: range(7, 67), 100: range(100, 130), 200: range(200, 230)}
+    joined = {k: 7 if k < 50 else 50 if k < 55 else k for k in family[7]} | {k: 100 for k in family[100]} | {k: k for k in family[200]}
+    members = spark.createDataFrame([(k, f, -(-len(v) // 4)) for f, v in family.items() for k in v], "node bigint, component bigint, chunks int")
+    linked = spark.createDataFrame([x for x in joined.items() if x[0] != x[1]], "node bigint, component bigint")
+    got = {x.node: x for x in N.unsettled(members, linked).collect()}
+    assert set(got) == {*family[7], *family[200]}  # the family of 100 is one component
+    for a in got:
+        for b in got:
+            if got[a].component == got[b].component and joined[a] != joined[b]:
+                assert got[b].chunk in got[a].meets and got[a].chunk in got[b].meets
+    # the 43 nodes of the largest component meet only the chunks of the 17 others
+    assert {len(got[k].meets) for k in range(7, 50)} == {5}
+
+
 def test_nulls_repeats_and_nothing(docs):
     got = sorted((tuple(x) for x in N.near_duplicates(docs([(1, "a b"), (1, "a b"), (2, "a b"), (None, "a b"), (3, None)])).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, None, True), (3, 0, 3, True)], key=str)
