@@ -33,13 +33,11 @@ ITEM_BYTES = 4 << 20
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x80:] = IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = True
-_VALUES = K.byte_values(9)
+SEED = 9
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = K.lowered(data)
-    starts, ends = K.words(data, bounds, IS_WORD)
-    return starts, ends, K.span_hashes(data, starts, ends, _VALUES)
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return K.words(data, bounds, IS_WORD)
 
 
 class Windows:
@@ -49,11 +47,15 @@ class Windows:
         self.window = window
         self.items = sorted({"" if i is None else str(i) for i, t in items})
         at = {x: k for k, x in enumerate(self.items)}
-        hashes = [word_hashes(data, np.array([0, len(data)]))[2] for data in (np.frombuffer((t or "").encode(), np.uint8) for _, t in items)]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        size = np.array([len(h) for h in hashes], np.int64)
-        codes = np.searchsorted(self.vocabulary, np.concatenate(hashes)).astype(np.int32) + np.int32(1) if hashes else np.zeros(0, np.int32)
-        del hashes
+        texts = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        #: the items' bytes, where encode() looks words up
+        self.data = K.lowered(np.frombuffer(b"".join(texts), np.uint8))
+        starts, ends = words(self.data, bounds)
+        size = np.diff(np.searchsorted(starts, bounds))
+        self.seed, self.vocabulary, once, at_word = K.vocabulary(self.data, starts, ends, SEED)
+        self.start, self.end = starts[once], ends[once]
+        codes = at_word.astype(np.int32) + np.int32(1)
         item = np.array([at["" if i is None else str(i)] for i, _ in items], np.int32)
         first = np.cumsum(size) - size
         count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
@@ -74,12 +76,17 @@ class Windows:
         self.cut = np.searchsorted(pair // max(len(self.items), 1), np.arange(len(once) + 1))
         self.least = int(self.length.min()) if len(once) else window
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int32)
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The code of each word of lower-cased bytes: found by its hash, and confirmed byte by byte."""
+        out = np.zeros(len(starts), np.int32)
+        if len(self.vocabulary) and len(starts):
+            hashes = K.word_hashes(data, starts, ends, self.seed)
+            at = np.searchsorted(self.vocabulary, hashes)
+            at[at == len(self.vocabulary)] = 0
+            some = np.flatnonzero(self.vocabulary[at] == hashes)
+            some = some[K.same_spans(data, starts[some], ends[some], self.data, self.start[at[some]], self.end[at[some]])]
+            out[some] = at[some] + 1
+        return out
 
 
 class FMIndex:
@@ -184,9 +191,9 @@ def hits(batches: Iterator[pa.RecordBatch], windows: Windows, spans: bool) -> It
             codes, counts = [], []
             for a, b in K.slices(offsets[i : j + 1]):
                 a, b = a + i, b + i
-                part = data[offsets[a] : offsets[b]]
-                starts, _, h = word_hashes(part, offsets[a : b + 1] - offsets[a])
-                codes.append(windows.encode(h))
+                part = K.lowered(data[offsets[a] : offsets[b]])
+                starts, ends = words(part, offsets[a : b + 1] - offsets[a])
+                codes.append(windows.encode(part, starts, ends))
                 counts.append(np.diff(np.searchsorted(starts, offsets[a : b + 1] - offsets[a])))
             codes, counts = np.concatenate(codes), np.concatenate(counts)
             first = np.concatenate([[0], np.cumsum(counts)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -96,6 +98,55 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return mix(out)
 
 
+#: Words longer than this are hashed one by one, by a cryptographic digest.
+LONG_WORD = 128
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each span that has no algebraic collisions: its bytes go through the finaliser eight at a time.
+
+    Spans of one length of at most 8 bytes never collide. span_hashes() is for spans of one fixed length of some tens of bytes; its polynomial
+    maps some different texts of 1,024 bytes and more onto one value.
+    """
+    length = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(length.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+    for k in range(0, LONG_WORD, 8):
+        live = np.flatnonzero((length > k) & (length <= LONG_WORD)) if k else np.flatnonzero(length <= LONG_WORD)
+        if not len(live):
+            break
+        spare = (8 - np.minimum(length[live] - k, 8)).astype(U64) * U64(8)
+        some = spare < U64(64)
+        chunk = np.where(some, eight[np.minimum(starts[live] + k, len(data))] << (spare % U64(64)), U64(0))
+        out[live] = mix(out[live] ^ chunk)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Whether spans of equal word_hashes() are equal byte by byte. Of at most 8 bytes, they are if their lengths are."""
+    size = until - at
+    same = ends - starts == size
+    long = np.flatnonzero(same & (size > 8))
+    for i, j in slices(np.concatenate([[0], np.cumsum(size[long])])) if len(long) else ():
+        some = long[i:j]
+        differs = data[aranges(starts[some], size[some])] != other[aranges(at[some], size[some])]
+        same[some] = np.add.reduceat(differs, np.cumsum(size[some]) - size[some], dtype=np.int64) == 0
+    return same
+
+
+def vocabulary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, sorted hashes of the distinct words, a span that has each, each span's word). The seed is raised until no two words share a hash."""
+    while True:
+        hashes, once, at = np.unique(word_hashes(data, starts, ends, seed), return_index=True, return_inverse=True)
+        if same_spans(data, starts, ends, data, starts[once][at], ends[once][at]).all():
+            return seed, hashes, once, at
+        seed += 1_000
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """ASCII capitals to small letters, byte by byte."""
     return _LOWER[data]

@@ -46,7 +46,7 @@ U = np.uint64
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
-_VALUES = K.byte_values(8)
+SEED = 8
 _random = np.random.Generator(np.random.PCG64(88))
 _ODD = _random.integers(1, 2**63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 _FLIP = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -58,7 +58,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int = SHINGLE) ->
     """The sorted distinct shingle hashes of each row."""
     data = K.lowered(data)
     starts, ends = K.words(data, bounds, IS_WORD)
-    h = K.span_hashes(data, starts, ends, _VALUES)
+    h = K.word_hashes(data, starts, ends, SEED)
     n = len(h)
     rolled = np.zeros(max(n - words + 1, 0), U)
     for i in range(words):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_blocks, language, licences, mixing, neardup, suffixes, toxicity, warc
+from . import centroids, decontaminate, fingerprint, hamming, html_blocks, language, lexical, licences, mixing, neardup, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_neighbours": hamming.op12_neighbours,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_licences": licences.ORACLE_SQL,
     "op8_neardup": neardup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_lexical": lexical.ORACLE_SQL,
+    "op13_centroids": centroids.ORACLE_SQL,
 }

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..runtime import discard, importable, shared_folder, written  # noqa: F401  (the operators take both from here)
 
@@ -16,5 +23,31 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def in_blocks(df: DataFrame, size: Column, most: int) -> Iterator[list[Row]]:
+    """The rows of df, collected in blocks of about `most` bytes by their cumulated size; a longer row is a block."""
+    spark = df.sparkSession
+    sized = df.withColumn("size__", F.coalesce(size.cast("bigint"), F.lit(0)) + 64)
+    total = sized.agg(F.coalesce(F.sum("size__"), F.lit(0))).first()[0]
+    if total <= most:
+        yield df.collect()
+        return
+
+    names = [*df.columns, "block__"]
+
+    def numbered(batches):
+        held = 0
+        base = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ends = held + np.cumsum(batch.column(batch.num_columns - 1).to_numpy())
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base + ends // most)], names)
+
+    schema = StructType([*df.schema.fields, StructField("block__", LongType())])
+    rows = written(sized.repartition(-(-total // most)).mapInArrow(numbered, schema), "blocks")
+    for number in sorted(r[0] for r in rows.select("block__").distinct().collect()):
+        yield rows.where(F.col("block__") == number).drop("block__").collect()
+    discard(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -109,3 +109,23 @@ def test_every_repeated_row_has_its_answer(spark, docs, monkeypatch, most):
     got = D.decontaminate(docs(rows), bench, spans=True).collect()
     assert sorted(((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in got), key=repr) == want
     assert all(sum(s["last"] - s["first"] + 1 for s in x.spans) == x.n_hit for x in got)
+
+
+def test_long_words_that_polynomials_confuse(spark, docs):
+    x = [0]
+    for _ in range(10):
+        x += [1 - k for k in x]
+    x, y = ("".join("ab"[k ^ flip] for k in x) for flip in (0, 1))
+    got = {r.doc_id: r.n_hit for r in D.decontaminate(docs([(1, x), (2, y), (3, f"{y} {x}")]), spark.createDataFrame([(1, x)], "item_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_hashes_that_collide_are_told_apart_by_bytes(monkeypatch):
+    """With a hash of the length alone, words are still found by their bytes and the vocabulary is made with another seed."""
+    real = D.K.word_hashes
+    monkeypatch.setattr(D.K, "word_hashes", lambda data, s, e, seed: real(data, s, e, seed) if seed > 500 else (e - s).astype(np.uint64))
+    windows = D.Windows([(1, "abcdefghij1 abcdefghij2")], 1)
+    assert windows.seed > 500 and len(windows.vocabulary) == 2
+    windows = D.Windows([(1, "abcdefghij1")], 1)
+    data = np.frombuffer(b"abcdefghij1 abcdefghij2", np.uint8)
+    assert windows.encode(data, *D.words(data, np.array([0, len(data)]))).tolist() == [1, 0]

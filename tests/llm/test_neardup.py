@@ -193,3 +193,17 @@ def test_ids_of_other_types(docs, spark):
     got = N.near_duplicates(named).collect()
     assert sorted(tuple(x) for x in got if x.doc_id is not None) == want
     assert [(x.component_id, x.kept) for x in got if x.doc_id is None] == [(None, True)]
+
+
+def thue_morse(a, b, steps=10):
+    """Words of 2 ** steps bytes that a polynomial modulo 2 ** 64 can't tell apart."""
+    x = [0]
+    for _ in range(steps):
+        x += [1 - k for k in x]
+    return "".join(a if k else b for k in x), "".join(b if k else a for k in x)
+
+
+def test_long_words_that_polynomials_confuse(docs):
+    x, y = thue_morse("a", "b")
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_duplicates(docs([(1, x), (2, y), (3, x + " "), (4, f"{x} {x} {x} {x} {x} {x}"), (5, f"{y} {y} {y} {y} {y} {y}")])).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
