@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,20 +44,22 @@ def without_candidates(books: DataFrame, candidates: DataFrame) -> DataFrame:
     return books.join(candidates.select("book").distinct(), "book", "left_anti").select("book", F.lit("NO_CANDIDATES").alias("reason"))
 
 
-def batch_numbers(tokens: Column, limit: int | Column) -> Column:
-    """For an ordered array of token counts, the batch of each: a batch is closed before the item that would take it beyond the limit.
+def greedy_batches(tokens: np.ndarray, limit: int) -> np.ndarray:
+    """The batch of each item: a batch is closed before the item that would take it beyond the limit, even an empty one. One step a batch, by search in prefix sums."""
+    ends = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+    closed = np.zeros(len(tokens), np.int32)
+    at = 0
+    first = int(np.searchsorted(ends, limit, "right")) - 1
+    while (start := at + first) < len(tokens):  # item `start` would go beyond the limit
+        closed[start] = 1
+        at = start
+        first = max(1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1 - at)
+    return np.cumsum(closed, dtype=np.int32)
 
-    An item that alone is beyond the limit closes the batch before it, even an empty one.
-    """
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, t: Column) -> Column:
-        over = acc["used"] + t > limit
-        batch = acc["batch"] + over.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(over, F.lit(0)).otherwise(acc["used"]) + t).cast("bigint").alias("used"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    return F.aggregate(tokens, start, step)["out"]
+def batch_numbers(tokens: Column, limit: int) -> Column:
+    """For an ordered array of token counts, the batch of each. An item that alone is beyond the limit closes the batch before it, even an empty one."""
+    return F.pandas_udf(lambda t: t.map(lambda x: None if x is None else greedy_batches(x, limit)), "array<int>")(tokens)
 
 
 def last_per_level(rows: DataFrame, level: str = "level", order: str = "seq", book: str = "book") -> DataFrame:

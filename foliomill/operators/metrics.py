@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import importable
+from .scan import scanned
+
+
+#: Characters up to which a heading has a key for each of them; longer ones have keys of their halves.
+SHORT = 64
 
 
 def near_keys(heading: F.Column) -> F.Column:
-    """The heading and every form with one character left out. Two headings at edit distance 0 or 1 share one of them."""
+    """64-bit keys of which two headings at edit distance 0 or 1 share one.
+
+    Up to SHORT + 1 characters: the hash of the heading, and of each form with one character left out. From SHORT characters on: the one edit is in one
+    half, so the other half stands unchanged at its end, whatever the length of the heading that was edited: the halves for the own length, and the
+    beginnings and ends as long as the halves of headings that are one character shorter or longer. So keys are few and of fixed size for any heading.
+    """
     n = F.length(heading)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(heading, F.lit(1), i - 1), F.substr(heading, i + 1)))
-    return F.array_distinct(F.concat(F.array(heading), F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<bigint>")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.concat(F.substr(heading, F.lit(1), i - 1), F.substr(heading, i + 1))))
+    short = F.when(n <= SHORT + 1, F.concat(F.array(F.xxhash64(heading)), F.when(n > 0, cut).otherwise(none))).otherwise(none)
+
+    def halves(length: F.Column) -> list[F.Column]:
+        first = F.floor(length / 2).cast("int")
+        return [F.xxhash64(F.lit("p"), length, F.substr(heading, F.lit(1), first)), F.xxhash64(F.lit("s"), length, F.substr(heading, n - (length - first) + 1))]
+
+    long = F.when(n >= SHORT, F.array(*halves(n - 1), *halves(n), *halves(n + 1))).otherwise(none)
+    return F.array_distinct(F.concat(short, long))
 
 
 def _matched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -48,12 +63,12 @@ def precision_recall(system: DataFrame, truth: DataFrame, key: str = "book") ->
 def boundaries(units: DataFrame, *, book: str = "book", order: tuple[str, ...] = ("sec_seq", "pos"), text: str = "text") -> DataFrame:
     """(book, total, positions): a unit of text is its characters but spaces, then a boundary; a null unit is a boundary alone; the last boundary is dropped.
 
-    positions are those of the boundaries among `total` places.
+    positions are those of the boundaries among `total` places. The ends are a scan over ranges of order[0]; only sizes go through it, no text.
     """
-    w = Window.partitionBy(book).orderBy(*order)
     size = F.coalesce(F.length(T.squeezed(text)), F.lit(0)) + 1
-    rows = units.withColumn("end", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead(F.lit(True)).over(w).isNull())
-    return rows.groupBy(book).agg((F.max("end") - 1).alias("total"), F.array_sort(F.collect_list(F.when(~F.col("last"), F.col("end") - 1))).alias("positions"))
+    rows = scanned(units.select(book, *order, size.alias("size")), (book,), order, sums={"end": F.col("size")}, inclusive=True)
+    ends = rows.groupBy(book).agg((F.max("end") - 1).alias("total"), F.array_sort(F.collect_list(F.col("end") - 1)).alias("ends"))
+    return ends.select(book, "total", F.slice("ends", 1, F.size("ends") - 1).alias("positions"))
 
 
 def window_size(total: F.Column, a: F.Column, b: F.Column, default: int = 5) -> F.Column:
@@ -61,32 +76,42 @@ def window_size(total: F.Column, a: F.Column, b: F.Column, default: int = 5) ->
     return F.when((a > 0) & (b > 0), F.floor((total / a + total / b) / 2)).otherwise(default).cast("int")
 
 
-def window_scores(total: int, a: np.ndarray, b: np.ndarray, k: int) -> tuple[float | None, float | None]:
-    """Pk and WindowDiff over all windows of k places, by prefix sums; None if a window doesn't fit."""
-    if k > total or k < 1:
-        return None, None
-    sums = []
-    for positions in (a, b):
-        x = np.zeros(total + 1, np.int64)
-        x[np.asarray(positions, np.int64) + 1] = 1
-        s = np.cumsum(x)
-        sums.append(s[k:] - s[:-k])
-    return float(np.mean((sums[0] > 0) != (sums[1] > 0))), float(np.mean(sums[0] != sums[1]))
+def window_scores(total: F.Column, a: F.Column, b: F.Column, k: F.Column) -> tuple[F.Column, F.Column]:
+    """Pk and WindowDiff over all windows of k places, from sorted arrays of boundaries; null if a window doesn't fit.
+
+    A sweep over the windows' starts: a boundary at p enters with the window that starts at p - k + 1 and leaves with the one after p. Between these events the counts of
+    both sides stand still, so the work grows with the boundaries alone, not with the places.
+    """
+    n = (total - k + 1).cast("bigint")
+
+    def events(positions: F.Column, x: int, y: int) -> F.Column:
+        enters = F.transform(positions, lambda p: F.struct(F.greatest(p - k + 1, F.lit(0)).cast("bigint").alias("at"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+        leaves = F.transform(positions, lambda p: F.struct(F.least(p + 1, n).cast("bigint").alias("at"), F.lit(-x).alias("x"), F.lit(-y).alias("y")))
+        return F.concat(enters, leaves)
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.lit(0).alias("x"), F.lit(0).alias("y"), zero.alias("pk"), zero.alias("wd"))
+
+    def step(acc: F.Column, e: F.Column) -> F.Column:
+        width = e["at"] - acc["at"]
+        return F.struct(
+            e["at"].alias("at"), (acc["x"] + e["x"]).alias("x"), (acc["y"] + e["y"]).alias("y"), (acc["pk"] + F.when((acc["x"] > 0) != (acc["y"] > 0), width).otherwise(zero)).alias("pk"),
+            (acc["wd"] + F.when(acc["x"] != acc["y"], width).otherwise(zero)).alias("wd"),
+        )
+
+    swept = F.aggregate(F.array_sort(F.concat(events(a, 1, 0), events(b, 0, 1))), start, step)
+    fits = (k >= 1) & (n >= 1)
+    return F.when(fits, F.try_divide(swept["pk"], n)), F.when(fits, F.try_divide(swept["wd"], n))
 
 
 def segmentation_scores(truth: DataFrame, system: DataFrame, book: str = "book", exclude: list[str] | None = None) -> DataFrame:
     """(book, total, k, pk, windowdiff) for the books of both boundary tables but those in `exclude`; the shorter one is padded."""
     if exclude:
         truth = truth.where(~F.col(book).isin(exclude))
-    importable(truth.sparkSession)
     both = truth.select(book, F.col("total").alias("t1"), F.col("positions").alias("a")).join(system.select(book, F.col("total").alias("t2"), F.col("positions").alias("b")), book)
     both = both.withColumn("total", F.greatest("t1", "t2")).withColumn("k", window_size(F.col("total"), F.size("a"), F.size("b")))
-
-    @F.pandas_udf("pk double, windowdiff double")
-    def scores(total: pd.Series, a: pd.Series, b: pd.Series, k: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([window_scores(int(t), x, y, int(w)) for t, x, y, w in zip(total, a, b, k, strict=True)], columns=["pk", "windowdiff"])
-
-    return both.withColumn("s", scores("total", "a", "b", "k")).select(book, "total", "k", "s.pk", "s.windowdiff")
+    pk, wd = window_scores(F.col("total"), F.col("a"), F.col("b"), F.col("k"))
+    return both.select(book, "total", "k", pk.alias("pk"), wd.alias("windowdiff"))
 
 
 def section_units(sections: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import written
+from .matching import first_hits
+from .scan import numbered, scanned
 
 
 def rejected_books(toc: DataFrame) -> DataFrame:
@@ -21,12 +23,12 @@ def rejected_books(toc: DataFrame) -> DataFrame:
 
 
 def reachable(toc: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entries that a single forward pass over the pages comes to."""
-    known = pages.select("book", F.col("page").alias("page")).distinct().withColumn("there", F.lit(True))
-    in_order = Window.partitionBy("book").orderBy("seq")
-    bad = F.coalesce(F.col("page") < F.lag("page").over(in_order), F.lit(False)) | F.col("there").isNull()
-    rows = toc.join(known, ["book", "page"], "left").withColumn("bad", bad.cast("int"))
-    return rows.withColumn("stall", F.sum("bad").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).where("stall = 0").drop("bad", "stall", "there")
+    """Entries that a single forward pass over the pages comes to: those of a book before its first bad one."""
+    known = pages.select("book", "page").distinct().withColumn("there", F.lit(True))
+    before = scanned(toc, ("book",), ("seq",), lasts={"before": F.col("page")})
+    bad = F.coalesce(F.col("page") < F.col("before"), F.lit(False)) | F.col("there").isNull()
+    stall = before.join(known, ["book", "page"], "left").where(bad).groupBy("book").agg(F.min("seq").alias("stall"))
+    return toc.join(stall, "book", "left").where("stall is null or seq < stall").drop("stall")
 
 
 def lines(elements: DataFrame) -> DataFrame:
@@ -37,44 +39,29 @@ def lines(elements: DataFrame) -> DataFrame:
     return rows.select("book", "page", "line", "top", T.trimmed(joined).alias("text"))
 
 
-def with_keys(toc: DataFrame, exact: str = "h_exact", loose: str = "h_loose") -> DataFrame:
-    return toc.withColumn(exact, T.key_exact("heading")).withColumn(loose, T.key_loose("heading"))
-
-
-def first_hits(entries: DataFrame, units: DataFrame, texts: list[str], at: str, *, both_ways: bool = True) -> DataFrame:
-    """(book, seq, hit): for each entry the first unit of its page, by `at`, any of whose texts matches. The keys of a unit are made once."""
-    keyed = units
-    for k, t in enumerate(texts):
-        keyed = keyed.withColumn(f"e{k}", T.key_exact(t)).withColumn(f"l{k}", T.key_loose(t))
-    keyed = keyed.select("book", "page", at, *[f"{x}{k}" for k in range(len(texts)) for x in "el"])
-    match = F.lit(False)
-    for k in range(len(texts)):
-        match = match | F.coalesce(F.col(f"e{k}") == F.col("h_exact"), F.lit(False)) | T.keys_contain(F.col(f"l{k}"), F.col("h_loose"), both_ways=both_ways)
-    pairs = with_keys(entries).join(keyed, ["book", "page"])
-    return pairs.where(match).groupBy("book", "seq").agg(F.min(at).alias("hit"))
-
-
 def hits(toc: DataFrame, elements: DataFrame, *, both_ways: bool = True) -> DataFrame:
     """Entries with `hit` (an element) or, where no element matches, `line_hit` (a line), and `opens` if either is there."""
     found = toc.join(first_hits(toc, elements.withColumnRenamed("seq", "el"), ["text_head", "text_inline"], "el", both_ways=both_ways), ["book", "seq"], "left")
     found = written(found, "hits")  # narrow rows, read by both of what follows
     missed = found.where("hit is null").drop("hit")
+    if missed.isEmpty():
+        return found.withColumn("line_hit", F.lit(None).cast("int")).withColumn("opens", F.lit(True))
+    elements = elements.join(missed.select("book", "page").distinct(), ["book", "page"], "left_semi")
     by_line = first_hits(missed, lines(elements), ["text"], "line", both_ways=both_ways).withColumnRenamed("hit", "line_hit")
     return found.join(by_line, ["book", "seq"], "left").withColumn("opens", F.col("hit").isNotNull() | F.col("line_hit").isNotNull())
 
 
 def owners(matched: DataFrame) -> DataFrame:
     """Adds `owner`: the last entry before this one that opened a section."""
-    before = Window.partitionBy("book").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return matched.withColumn("owner", F.last(F.when(F.col("opens"), F.col("seq")), ignorenulls=True).over(before))
+    return scanned(matched, ("book",), ("seq",), lasts={"owner": F.when(F.col("opens"), F.col("seq"))})
 
 
 def _collected(headings: DataFrame, content: DataFrame) -> DataFrame:
     """Sections (book, sec_seq, level, heading, content) from headings (book, seq) and content (book, owner, at..., text)."""
     texts = content.groupBy("book", "owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "c", "text"))), lambda x: x["text"]).alias("content"))
-    rows = headings.join(texts, (headings.book == texts.book) & (headings.seq == texts.owner), "left").select(headings.book, "seq", "level", "heading", F.coalesce("content", F.array().cast("array<string>")).alias("content"))
-    order = Window.partitionBy("book").orderBy("seq")
-    return rows.select("book", F.row_number().over(order).alias("sec_seq"), "level", "heading", "content")
+    headings = numbered(headings.select("book", "seq", "level", "heading"), ("book",), ("seq",), "sec_seq", 1)
+    rows = headings.join(texts, (headings.book == texts.book) & (headings.seq == texts.owner), "left").select(headings.book, F.col("sec_seq").cast("int").alias("sec_seq"), "level", "heading", F.coalesce("content", F.array().cast("array<string>")).alias("content"))
+    return rows.select("book", "sec_seq", "level", "heading", "content")
 
 
 def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None, *, mode: str = "compat", strict_unopened: bool = False, exclude: list[str] | None = None) -> DataFrame:
@@ -95,8 +82,11 @@ def segment(toc: DataFrame, elements: DataFrame, pages: DataFrame | None = None,
     el = elements.select("book", "page", F.col("seq").alias("el"), choice.alias("text"))
     # What stands before the hit, or all of the page, goes to the open section; then the lines before a line hit do as well.
     prefix = found.join(el, ["book", "page"]).where(F.col("hit").isNull() | (F.col("el") < F.col("hit")))
-    ln = lines(elements).select("book", "page", "line", F.col("text"))
-    second = found.where("hit is null").join(ln, ["book", "page"]).where(F.col("line_hit").isNull() | (F.col("line") < F.col("line_hit")))
+    missed = found.where("hit is null")
+    ln = lines(elements.join(missed.select("book", "page").distinct(), ["book", "page"], "left_semi")).select("book", "page", "line", F.col("text"))
+    second = missed.join(ln, ["book", "page"]).where(F.col("line_hit").isNull() | (F.col("line") < F.col("line_hit")))
+    if not strict_unopened and missed.isEmpty():
+        second = second.limit(0)
     if strict_unopened:
         failing = second.where("owner is null").select("book").distinct()
         found, prefix, second = (x.join(failing, "book", "left_anti") for x in (found, prefix, second))
@@ -113,8 +103,10 @@ def _full(toc: DataFrame, elements: DataFrame) -> DataFrame:
     first = starts.groupBy("book", "page", "el").agg(F.min("seq").alias("seq"))  # two headings on one element: the first opens it
     choice = F.coalesce(F.nullif(F.col("text_head"), F.lit("")), F.col("text_inline"))
     marked = elements.select("book", "page", F.col("seq").alias("el"), choice.alias("text")).join(first, ["book", "page", "el"], "left")
-    order = Window.partitionBy("book").orderBy("page", "el")
-    owned = marked.withColumn("owner", F.last("seq", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    on_page = Window.partitionBy("book", "page").orderBy("el").rowsBetween(Window.unboundedPreceding, 0)
+    ends = starts.groupBy("book", "page").agg(F.max_by("seq", F.struct("el", -F.col("seq"))).alias("last"))
+    pages = scanned(elements.select("book", "page").distinct().join(ends, ["book", "page"], "left"), ("book",), ("page",), lasts={"carried": F.col("last")}).drop("last")
+    owned = marked.withColumn("near", F.last("seq", ignorenulls=True).over(on_page)).join(pages, ["book", "page"]).withColumn("owner", F.coalesce("near", "carried"))
     content = owned.where("owner is not null and seq is null").select("book", "owner", F.col("page").alias("a"), F.lit(0).alias("b"), F.col("el").alias("c"), "text")
     return _collected(starts.select("book", "seq", "level", "heading").join(first.select("book", "seq"), ["book", "seq"], "left_semi"), content)
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..runtime import importable
+from .scan import SPAN, scanned
 
 
 def depth(toc: DataFrame, *, compat_plus_one: bool = False, keys: tuple[str, ...] = ("book",)) -> DataFrame:
@@ -20,20 +26,68 @@ def one_based(toc: DataFrame) -> DataFrame:
 
 def skips(toc: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
     """For each book how often a level is more than one below the one before (0 before the first): such an outline has no balanced tree."""
-    before = F.coalesce(F.lag("level").over(Window.partitionBy(*keys).orderBy("seq")), F.lit(0))
-    return toc.withColumn("skip", (F.col("level") > before + 1).cast("int")).groupBy(*keys).agg(F.sum("skip").alias("skips"))
-
-
-def parents(toc: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
+    rows = scanned(toc.select(*keys, "seq", "level"), keys, ("seq",), lasts={"before": F.col("level")})
+    return rows.withColumn("skip", (F.col("level") > F.coalesce("before", F.lit(0)) + 1).cast("int")).groupBy(*keys).agg(F.sum("skip").alias("skips"))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Adds to rows (keys..., range, seq, level, ...), sorted by these, the seq of the latest earlier row of the same range with a smaller level."""
+    last, stack = None, []
+    for batch in batches:
+        near = []
+        key = list(zip(*(batch.column(c).to_pylist() for c in range(keys + 1)), strict=True))
+        for k, seq, level in zip(key, batch.column(keys + 1).to_pylist(), batch.column(keys + 2).to_pylist(), strict=True):
+            if k != last:
+                last, stack = k, []
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            near.append(stack[-1][1] if stack else None)
+            stack.append((level, seq))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int64())], [*batch.schema.names, "near__"])
+
+
+def carried_parents(ranges: pd.DataFrame) -> pd.DataFrame:
+    """Of one book's rows (range__, level, last): for each level of a range the seq that the ranges before it offer as parent.
+
+    What is kept of the ranges before is the stack of open levels; that of two neighbours together is what the later one leaves open of the first, and its own.
+    """
+    stack: list[tuple[int, int]] = []
+    out = []
+    for _, part in ranges.sort_values("last").groupby("range__", sort=True):
+        for level in part["level"]:
+            above = [seq for l, seq in stack if l < level]
+            out.append(above[-1] if above else None)
+        for level, seq in zip(part["level"], part["last"], strict=True):
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, seq))
+    found = ranges.sort_values(["range__", "last"], kind="stable")
+    return found.assign(carried=pd.array(out, dtype="Int64"))
+
+
+def parents(toc: DataFrame, keys: tuple[str, ...] = ("book",), span: int | None = None) -> DataFrame:
     """Adds `parent`: the seq of the latest earlier row with a smaller level, null below the root.
 
-    One window and no self-join: a running map keeps the latest seq of each level, and the parent is the largest of the smaller levels.
+    The entries of a book are cut into ranges of seq, and each range is read with a stack of its own. A row whose parent isn't in its range has it from the last row
+    of each level in the ranges before: a few summary rows for each range, which are combined book by book. Rows without a level have no parent and are nobody's.
     """
-    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    depth_cap = toc.agg(F.max("level")).first()[0] or 0
-    latest = [F.max(F.when(F.col("level") == k, F.col("seq"))).over(before) for k in range(0, depth_cap)]
-    smaller = [F.when(F.col("level") > k, x) for k, x in enumerate(latest)]
-    return toc.withColumn("parent", F.greatest(*smaller, F.lit(None)) if len(smaller) else F.lit(None).cast("int"))
+    importable(toc.sparkSession)
+    rows = toc.where("level is not null").select(*keys, F.floor(F.col("seq") / F.lit(span or SPAN)).alias("range__"), F.col("seq").cast("bigint").alias("seq__"), "level", *[c for c in toc.columns if c not in (*keys, "level")])
+    dealt = rows.repartition(*keys, "range__").sortWithinPartitions(*keys, "range__", "seq__")
+    schema = StructType([*rows.schema.fields, StructField("near__", LongType())])
+    n = len(keys)
+    near = dealt.mapInArrow(lambda x: _nearest(x, n), schema)
+    summaries = rows.groupBy(*keys, "range__", "level").agg(F.max("seq__").alias("last"))
+    of_book = Window.partitionBy(*keys)
+    summaries = summaries.withColumn("m__", F.min("range__").over(of_book) < F.max("range__").over(of_book)).where("m__").drop("m__")  # books of one range need none
+    carry = summaries.groupBy(*keys).applyInPandas(carried_parents, StructType([*summaries.schema.fields, StructField("carried", LongType())]))
+    carry = carry.select(*[F.col(k).alias(f"k__{k}") for k in (*keys, "range__", "level")], "carried")
+    same = F.col("range__") == F.col("k__range__")
+    for k in (*keys, "level"):
+        same &= F.col(k).eqNullSafe(F.col(f"k__{k}"))
+    parent = F.coalesce("near__", "carried").cast(dict(toc.dtypes)["seq"])
+    found = near.join(carry, same, "left").select(*toc.columns, parent.alias("parent"))
+    return found.unionByName(toc.where("level is null").withColumn("parent", F.lit(None).cast(dict(toc.dtypes)["seq"])))
 
 
 def outline_tree(items: list[tuple[int, str]]) -> tuple[list[str], list[int]]:
@@ -52,17 +106,23 @@ def has_skip(levels: list[int]) -> bool:
     return any(b > a + 1 for a, b in zip([0, *levels[:-1]], levels, strict=True))
 
 
-def tree_edit_distance(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> float:
-    """Ordered tree edit distance of two outlines (level, label) by keyroots. Renaming costs 1 if the labels differ; inserting or deleting a node
-    costs 1, and nothing if its label is empty."""
+class _Tree:
+    """An outline in postorder, for one of the two decompositions: labels, leftmost leaves, key roots and how deep key roots are nested in them.
+
+    With `mirrored` children are taken from right to left. cost: how many rows of forest distances its key roots need.
+    """
 
-    def prepare(items):
+    def __init__(self, items: list[tuple[int, str]], mirrored: bool, codes: dict[str, int]):
         labels, parent = outline_tree(items)
         children: list[list[int]] = [[] for _ in labels]
         for k, p in enumerate(parent):
             if p >= 0:
                 children[p].append(k)
-        order, leftmost, at = [], [], {}
+        if mirrored:
+            for c in children:
+                c.reverse()
+        order, left, nested = [], [], []
+        at = [0] * len(labels)
         stack = [(0, 0)]
         while stack:
             node, k = stack.pop()
@@ -70,53 +130,78 @@ def tree_edit_distance(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> fl
                 stack.append((node, k + 1))
                 stack.append((children[node][k], 0))
             else:
-                leftmost.append(leftmost[at[children[node][0]]] if children[node] else len(order))
+                mine = [at[c] for c in children[node]]
+                left.append(left[mine[0]] if mine else len(order))
+                nested.append(max([nested[mine[0]], *[nested[c] + 1 for c in mine[1:]]]) if mine else 0)
                 at[node] = len(order)
                 order.append(labels[node])
-        roots = sorted({l: k for k, l in enumerate(leftmost)}.values())
-        return order, leftmost, roots
-
-    la, lefta, ra = prepare(a)
-    lb, leftb, rb = prepare(b)
-    costa, costb = [int(x != "") for x in la], [int(x != "") for x in lb]
-    tree = [[0] * len(lb) for _ in la]
-    for i in ra:
-        for j in rb:
-            x0, y0 = lefta[i], leftb[j]
-            n, m = i - x0 + 2, j - y0 + 2
-            prev = [0] * m
-            for y in range(1, m):
-                prev[y] = prev[y - 1] + costb[y0 + y - 1]
-            rows = [prev]
-            for x in range(1, n):
-                p = x0 + x - 1
-                ca, lp, label, tp = costa[p], lefta[p], la[p], tree[p]
-                up = rows[x - 1]
-                row = [up[0] + ca] + [0] * (m - 1)
-                whole = lp == x0
-                base = rows[lp - x0]
-                for y in range(1, m):
-                    q = y0 + y - 1
-                    best = up[y] + ca
-                    other = row[y - 1] + costb[q]
-                    if other < best:
-                        best = other
-                    if whole and leftb[q] == y0:
-                        other = up[y - 1] + (label != lb[q])
-                        if other < best:
-                            best = other
-                        tp[q] = best
-                    else:
-                        other = base[leftb[q] - y0] + tp[q]
-                        if other < best:
-                            best = other
-                    row[y] = best
-                rows.append(row)
-    return float(tree[-1][-1])
+        self.label = np.array([codes.setdefault(x, len(codes)) for x in order])
+        self.weight = np.array([int(x != "") for x in order])
+        self.left, self.nested = np.array(left), np.array(nested)
+        self.roots = np.array(sorted({l: k for k, l in enumerate(left)}.values()))
+        self.cost = int((self.roots - self.left[self.roots] + 1).sum())
+
+
+def tree_edit_distance(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> float:
+    """Ordered tree edit distance of two outlines (level, label). Renaming costs 1 if the labels differ; inserting or deleting a node costs 1, and nothing
+    if its label is empty.
+
+    Forest distances by key roots, of the left or of the right (mirrored) decomposition, whichever has fewer subproblems. The forests of all key roots of one tree are
+    the columns of one vector, so that each node of the other tree's key roots is one vector step; nested key roots go one level after the other where a
+    step needs its own tree distances. A row is kept only while a later one starts from it.
+    """
+    codes: dict[str, int] = {}
+    x, y = min(((_Tree(a, m, codes), _Tree(b, m, codes)) for m in (False, True)), key=lambda t: t[0].cost * t[1].cost)
+    if x.cost > y.cost:  # the costs are symmetric; vectors are longer than the rows are many
+        x, y = y, x
+    roots = y.roots[np.argsort(y.nested[y.roots], kind="stable")]
+    size = roots - y.left[roots] + 2  # the empty forest, then one more node each
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(roots)), size)
+    place = np.arange(int(size.sum())) - start[of]
+    node = y.left[roots][of] + place - 1  # the node that a column adds, if place > 0
+    inner = place > 0
+    gain = np.where(inner, y.weight[node], 0)
+    whole = np.cumsum(gain)
+    whole = whole - (whole - gain)[start][of]  # the cost of all nodes up to a column
+    shift = whole + of * (2 * (len(x.label) + len(y.label)) + 2)  # makes running minima of one forest independent of those before it
+    base = np.where(inner, start[of] + y.left[node] - y.left[roots][of], 0)
+    path = inner & (y.left[node] == y.left[roots][of])
+    side = inner & ~path
+    nest = y.nested[roots][of]
+    levels = [(s := slice(*np.searchsorted(nest, [k, k + 1])), s.start + np.flatnonzero(path[s]), s.start + np.flatnonzero(side[s])) for k in range(int(nest[-1]) + 1)]
+    columns = np.flatnonzero(inner)
+    c_node, c_base = node[columns], base[columns]
+    tree = np.zeros((len(x.label), len(y.label)), np.int32)
+    last_use = np.zeros(len(x.label), np.int64)  # of the row before each leaf: the key root whose leftmost leaf it is
+    last_use[x.left[x.roots]] = x.roots
+    for i in x.roots.tolist():
+        x0 = int(x.left[i])
+        row = whole.copy()
+        kept = {x0: row}
+        for p in range(x0, i + 1):
+            lp, cost = int(x.left[p]), int(x.weight[p])
+            if lp == p and p != x0:
+                kept[p] = row
+            best = row + cost
+            if lp != x0:
+                best[columns] = np.minimum(best[columns], kept[lp][c_base] + tree[p, c_node])
+                row = np.minimum.accumulate(best - shift) + shift
+                if last_use[lp] == p:
+                    del kept[lp]
+            else:
+                new = np.empty_like(best)
+                for s, on, off in levels:
+                    best[on] = np.minimum(best[on], row[on - 1] + (x.label[p] != y.label[node[on]]))
+                    best[off] = np.minimum(best[off], whole[base[off]] + tree[p, node[off]])
+                    new[s] = np.minimum.accumulate(best[s] - shift[s]) + shift[s]
+                    tree[p, node[on]] = new[on]
+                row = new
+    return float(tree[-1, -1])
 
 
 def edit_distances(system: DataFrame, truth: DataFrame, *, mode: str = "compat", keys: tuple[str, ...] = ("book",)) -> DataFrame:
-    """(book, etd) for the books of both; null in compat where an outline skips a level. One task for each pair of outlines."""
+    """(book, etd) for the books of both; null in compat where an outline skips a level. Pairs are dealt out again by their keys, many parts for each core, before they are compared."""
     importable(system.sparkSession)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -132,7 +217,7 @@ def edit_distances(system: DataFrame, truth: DataFrame, *, mode: str = "compat",
             out.append(None if bad else tree_edit_distance(x, y))
         return pd.Series(out, dtype="float64")
 
-    both = packed(system, "a").join(packed(truth, "b"), list(keys))
+    both = packed(system, "a").join(packed(truth, "b"), list(keys)).repartition(8 * system.sparkSession.sparkContext.defaultParallelism, *keys)
     return both.select(*keys, distance("a", "b").alias("etd"))
 
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import candidates, metrics, references, reports, segmentation, trees
-from ..runtime import shared_folder
+from ..operators import candidates, matching, metrics, references, reports, scan, segmentation, trees
+from ..runtime import importable, shared_folder
 from ..sources import layout_xml, outlines, pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,10 +44,21 @@ def as_layout(rows: DataFrame) -> DataFrame:
     return rows.select("book", "page", "seq", F.col("seq").alias("top"), F.col("text").alias("text_head"), F.col("text").alias("text_inline"))
 
 
+def is_heading(text: Column) -> Column:
+    return F.length(text).between(1, 39)
+
+
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = elements(spark, sf_dir).where(F.length("text").between(1, 39))
-    order = Window.partitionBy("book").orderBy("page", "seq")
-    return rows.select("book", "page", (F.row_number().over(order) - 1).alias("seq"), (F.length("text") % 3 + 1).alias("level"), F.col("text").alias("heading"))
+    """The headings with their number in the book: that of the first of a page comes from a scan over the pages' counts, so no window sees the lines of a book."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.filter(lines, lambda x: is_heading(x["x"])).alias("found"))
+    pages = scan.scanned(pages, ("book",), ("page",), sums={"before": F.coalesce(F.size("found"), F.lit(0))})
+    rows = pages.select("book", "page", "before", F.posexplode("found").alias("at", "one"))
+    return rows.select("book", "page", (F.col("before") + F.col("at")).cast("int").alias("seq"), (F.length("one.x") % 3 + 1).alias("level"), F.col("one.x").alias("heading"))
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
 
 
 def big(*names: str) -> list:
@@ -131,12 +142,6 @@ def outline_parse_naive(spark, sf_dir):
     return line.select("book", *big("seq"), T.safe_int(F.get("f", F.lit(0))).alias("level"), T.heading_clean(F.get("f", F.lit(1))).alias("heading_naive"))
 
 
-@query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, level AS level, heading, page FROM (SELECT book, seq, CAST(level AS INTEGER) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\\'))")
-def outline_parse_strict(spark, sf_dir):
-    """The lines without a backslash; outline_parse_strict_all has all."""
-    return _parsed(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit("\\"))))
-
-
 def _parsed(rows: DataFrame) -> DataFrame:
     """Lines are written with quotes where needed and parsed again; a fourth field rejects a line."""
     lines = outlines.entry_lines(rows)
@@ -170,14 +175,6 @@ def outline_files_naive(spark, sf_dir):
     return outlines.read_naive(spark, folder, "gt").select("book", *big("seq"), "level", "heading_naive")
 
 
-@query(
-    f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS VARCHAR) AS level, heading, CAST(page AS INTEGER) AS page FROM hd WHERE NOT contains(heading, '\"') AND page % 3 > 0"
-)
-def response_validate(spark, sf_dir):
-    """The headings without a quote; response_validate_all has all."""
-    return _validated(headings(spark, sf_dir).where(~F.contains(F.col("heading"), F.lit('"'))))
-
-
 def _validated(rows: DataFrame) -> DataFrame:
     """Every third page number is spelt wrongly, so its row has no page and isn't valid. A quote is doubled."""
     page = F.when(F.col("page") % 3 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.col("page").cast("string"))
@@ -270,6 +267,7 @@ SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch FROM r"""
 def token_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("n", T.token_count("text"))
     lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("items"))
+    importable(spark)
     numbered = lists.withColumn("batch", candidates.batch_numbers(F.transform("items", lambda x: x["n"]), LIMIT))
     return numbered.select("conv_id", F.explode(F.arrays_zip("items", "batch")).alias("z")).select("conv_id", "z.items.turn", F.col("z.batch").cast("bigint").alias("batch"))
 
@@ -296,34 +294,12 @@ def title_h1_exact_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.matches_exact(title, h1).alias("title_is_h1"), T.matches_exact(title, bold).alias("title_is_bold"))
 
 
-#: Bytes of items of fewer than five words that are broadcast at once.
-SHORT_BYTES = 8 << 20
-
-
 @query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {sql_loose('text')} AS d FROM documents) JOIN (SELECT item_id, {sql_loose('text')} AS h FROM benchmark) ON contains(d, h)")
 def heading_contains_match(spark, sf_dir):
-    """Items that a document contains.
-
-    For items of five words or more the pairs come from an equality join on an item's words 2 to 4, which stand whole in any text that contains
-    it, found among all triples of words; contains() confirms. Items of fewer words may match parts of words only: their list is broadcast, in
-    blocks of about SHORT_BYTES, and each is looked for in each document.
-    """
-    white = f"[\\s{T.WIDE}]+"
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.key_loose("text").alias("h")).where("h is not null")
-    words = F.split("h", white)
-    long = items.where(F.size(words) >= 5).withColumn("gram", F.array_join(F.slice(words, 2, 3), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.key_loose("text").alias("d")).withColumn("w", F.split("d", white))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 3), " "))
-    found = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(grams)).alias("gram")).join(long.select(F.col("item_id").alias("item"), "gram"), "gram").select("doc", "item").distinct()
-    sure = found.join(docs.select("doc_id", "d"), F.col("doc").eqNullSafe(F.col("doc_id"))).join(long.select("item_id", "h"), F.col("item").eqNullSafe(F.col("item_id")))
-    out = sure.where(F.contains("d", "h")).select("doc_id", "item_id")
-    short = items.where(F.size(words) < 5)
-    size = short.agg(F.coalesce(F.sum(F.octet_length("h") + 16), F.lit(0))).first()[0]
-    many = -(-size // SHORT_BYTES)
-    for k in range(many):
-        block = short.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(many)) == k)
-        out = out.unionAll(docs.select("doc_id", "d").join(F.broadcast(block), F.contains("d", "h")).select("doc_id", "item_id"))
-    return out
+    """Items that a document contains, by their loose keys."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.key_loose("text").alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.key_loose("text").alias("text"))
+    return matching.containing(docs, items, "doc_id", "item_id")
 
 
 KEYS = HD + f", ek AS (SELECT book, page, seq AS el, text, {sql_exact('text')} AS t_e, {sql_loose('text')} AS t_l FROM el), hk AS (SELECT *, {sql_exact('heading')} AS h_e, {sql_loose('heading')} AS h_l FROM hd)"
@@ -333,7 +309,7 @@ HITS = KEYS + f", ht AS (SELECT hk.book, hk.seq, min(el) AS hit FROM hk JOIN ek
 @query(f"WITH {HITS} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(hit AS BIGINT) AS hit FROM ht")
 def heading_first_hit(spark, sf_dir):
     el = elements(spark, sf_dir).withColumnRenamed("seq", "el")
-    return segmentation.first_hits(headings(spark, sf_dir), el, ["text"], "el").select("book", *big("seq", "hit"))
+    return matching.first_hits(headings(spark, sf_dir), el, ["text"], "el").select("book", *big("seq", "hit"))
 
 
 @query(
@@ -343,8 +319,8 @@ SELECT book, page, CAST(seq AS BIGINT) AS seq, heading FROM mv WHERE NOT EXISTS
 )
 def unmatched_headings(spark, sf_dir):
     """Headings looked for on the page after their own."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page")).distinct()
-    after = pages.withColumn("next", F.lead("page").over(Window.partitionBy("book").orderBy("page")))
+    pages = pages_of(spark, sf_dir).distinct().withColumn("back", -F.col("page"))
+    after = scan.scanned(pages, ("book",), ("back",), lasts={"next": F.col("page")}).select("book", "page", "next")
     moved = headings(spark, sf_dir).join(after, ["book", "page"]).where("next is not null").drop("page").withColumnRenamed("next", "page")
     return segmentation.unmatched(moved, as_layout(elements(spark, sf_dir))).select("book", "page", *big("seq"), "heading")
 
@@ -355,9 +331,12 @@ b AS (SELECT *, sum(CASE WHEN page < lg THEN 1 ELSE 0 END) OVER (PARTITION BY bo
 SELECT book, CAST(seq AS BIGINT) AS seq, page FROM b WHERE stall = 0"""
 )
 def toc_reachable(spark, sf_dir):
-    order = Window.partitionBy("book").orderBy("level", "page", "seq")
-    toc = headings(spark, sf_dir).withColumn("s", F.row_number().over(order) - 1).drop("seq").withColumnRenamed("s", "seq")
-    return segmentation.reachable(toc, elements(spark, sf_dir)).select("book", *big("seq"), "page")
+    """The outline in the order of its levels, so that pages go back: numbered within each level, after the entries of the levels before."""
+    found = headings(spark, sf_dir)
+    before = found.groupBy("book", "level").count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("book").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    toc = scan.numbered(found, ("book", "level"), ("page", "seq"), "at").join(before.drop("count"), ["book", "level"])
+    toc = toc.select("book", "page", (F.col("before") + F.col("at")).alias("seq"), "level", "heading")
+    return segmentation.reachable(toc, pages_of(spark, sf_dir)).select("book", *big("seq"), "page")
 
 
 @query(f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(last_value(CASE WHEN length(heading) % 2 = 0 THEN seq END IGNORE NULLS) OVER (PARTITION BY book ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS owner FROM hd")
@@ -370,10 +349,13 @@ def section_owner(spark, sf_dir):
 SELECT book, owner, CAST(count(*) AS BIGINT) AS n_items, md5(string_agg(text, chr(10) ORDER BY page, seq)) AS content_md5 FROM o WHERE owner IS NOT NULL AND NOT length(text) BETWEEN 1 AND 39 GROUP BY book, owner"""
 )
 def section_content(spark, sf_dir):
-    """Every line in the section of the last heading before it, across pages."""
-    order = Window.partitionBy("book").orderBy("page", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    is_heading = F.length("text").between(1, 39)
-    rows = elements(spark, sf_dir).withColumn("is_heading", is_heading).withColumn("owner", F.last(F.when(F.col("is_heading"), F.col("page") * 100_000 + F.col("seq")), ignorenulls=True).over(order))
+    """Every line in the section of the last heading before it, across pages: the last of its page so far, or the last of the pages before."""
+    rows = elements(spark, sf_dir).withColumn("is_heading", is_heading(F.col("text")))
+    mark = F.when(F.col("is_heading"), F.col("page") * 100_000 + F.col("seq"))
+    pages = rows.groupBy("book", "page").agg(F.max(mark).alias("mark"))
+    before = scan.scanned(pages, ("book",), ("page",), lasts={"carried": F.col("mark")}).select("book", "page", "carried")
+    near = F.max(mark).over(Window.partitionBy("book", "page").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("near", near).join(before, ["book", "page"]).withColumn("owner", F.coalesce("near", "carried"))
     body = rows.where("owner is not null and not is_heading").groupBy("book", "owner").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("page", "seq", "text"))).alias("c"))
     return body.select("book", "owner", "n_items", F.md5(F.array_join(F.transform("c", lambda x: x["text"]), "\n")).alias("content_md5"))
 
@@ -387,19 +369,13 @@ FROM m LEFT JOIN g ON g.book = m.book AND g.owner = m.seq
 UNION ALL SELECT DISTINCT book, 0, NULL, NULL, NULL, NULL FROM m"""
 )
 def section_compat_prefix(spark, sf_dir):
-    found = segmentation.segment(headings(spark, sf_dir), as_layout(elements(spark, sf_dir)), mode="compat")
+    found = segmentation.segment(headings(spark, sf_dir), as_layout(elements(spark, sf_dir)), pages_of(spark, sf_dir), mode="compat")
     return found.select("book", *big("sec_seq", "level"), "heading", F.size("content").cast("bigint").alias("n_items"), F.md5(F.array_join("content", "\n")).alias("content_md5")).withColumn("n_items", F.when(F.col("heading").isNotNull(), F.col("n_items")))
 
 
-@query(f"WITH {HITS}, n AS (SELECT book, count(*) AS n FROM ht GROUP BY book HAVING count(*) >= 70) SELECT book, CAST(n AS BIGINT) AS n_matched FROM n")
-def accepted_books(spark, sf_dir):
-    """Books with 70 matched headings or more; accepted_books_any has the reference's rule."""
-    return _matched_headings(spark, sf_dir).where("n_matched >= 70")
-
-
 def _matched_headings(spark, sf_dir) -> DataFrame:
     el = elements(spark, sf_dir).withColumnRenamed("seq", "el")
-    return segmentation.first_hits(headings(spark, sf_dir), el, ["text"], "el").groupBy("book").agg(F.count(F.lit(1)).alias("n_matched"))
+    return matching.first_hits(headings(spark, sf_dir), el, ["text"], "el").groupBy("book").agg(F.count(F.lit(1)).alias("n_matched"))
 
 
 @query(f"WITH {HITS} SELECT book, CAST(count(*) AS BIGINT) AS n_matched FROM ht GROUP BY book")
@@ -430,22 +406,6 @@ def outline_precision_recall(spark, sf_dir):
     return got.select("lang", *big("n_truth", "n_system"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
-ASCII = "^[\\x20-\\x7E]+$"
-
-
-@query(
-    f"""WITH {SIDES.replace('BETWEEN 1 AND 39', f"BETWEEN 1 AND 39 AND regexp_matches(heading, '{ASCII}')")},
-dg AS (SELECT DISTINCT lang, heading FROM gt), ds AS (SELECT DISTINCT lang, heading FROM sy),
-nr AS (SELECT DISTINCT dg.lang, dg.heading AS g, ds.heading AS s FROM dg JOIN ds ON dg.lang = ds.lang AND abs(length(dg.heading) - length(ds.heading)) <= 1 AND levenshtein(dg.heading, ds.heading) <= 1)
-SELECT lang, round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = sy.lang AND nr.s = sy.heading) THEN 1.0 ELSE 0.0 END) FROM sy WHERE sy.lang = l.lang), 9) AS tolerant_precision,
-  round((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nr WHERE nr.lang = gt.lang AND nr.g = gt.heading) THEN 1.0 ELSE 0.0 END) FROM gt WHERE gt.lang = l.lang), 9) AS tolerant_recall
-FROM (SELECT DISTINCT lang FROM gt) l"""
-)
-def tolerant_precision_recall(spark, sf_dir):
-    """Headings of printable ASCII, where bytes and characters are the same in every engine; tolerant_precision_recall_all has all."""
-    return _tolerant(*(x.where(F.col("heading").rlike(ASCII)) for x in sides(spark, sf_dir)))
-
-
 def _tolerant(system: DataFrame, truth: DataFrame) -> DataFrame:
     got = metrics.precision_recall(system, truth, key="lang")
     return got.select("lang", F.round("tolerant_precision", 9).alias("tolerant_precision"), F.round("tolerant_recall", 9).alias("tolerant_recall"))
@@ -530,9 +490,26 @@ def tree_parent(spark, sf_dir):
 @query()
 def tree_edit_distance(spark, sf_dir):
     """Outlines of each book's pages in alternate blocks of 20 against those of the other blocks. No SQL expresses the kernel; tests hold it against a recursive definition."""
-    toc = headings(spark, sf_dir)
+    return trees.edit_distances(*sides_by_page(headings(spark, sf_dir)), mode="full").select("book", "etd")
+
+
+def sides_by_page(toc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(system, truth): the entries of each book's pages in alternate blocks of 20."""
     number = F.col("page") - F.pmod(F.col("page"), F.lit(20))
-    return trees.edit_distances(toc.where(number % 40 == 20), toc.where(number % 40 == 0), mode="full").select("book", "etd")
+    return toc.where(number % 40 == 20), toc.where(number % 40 == 0)
+
+
+@query(
+    f"""WITH RECURSIVE {HD}, a AS (SELECT book, list(heading ORDER BY seq) AS x FROM hd WHERE (page - page % 20) % 40 = 20 GROUP BY book), b AS (SELECT book, list(heading ORDER BY seq) AS y FROM hd WHERE (page - page % 20) % 40 = 0 GROUP BY book),
+ab AS (SELECT * FROM a JOIN b USING (book)),
+d AS (SELECT book, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: CAST(j AS BIGINT)) AS r FROM ab
+  UNION ALL SELECT d.book, d.i + 1, list_reduce(list_transform(range(1, len(y) + 1), lambda j: [least(r[j + 1] + 1, r[j] + CASE WHEN x[d.i + 1] <> y[j] THEN 1 ELSE 0 END)]),
+    lambda acc, v: list_append(acc, least(v[1], acc[len(acc)] + 1)), [CAST(d.i + 1 AS BIGINT)]) FROM d JOIN ab USING (book) WHERE d.i < len(x))
+SELECT d.book, CAST(d.r[len(d.r)] AS DOUBLE) AS etd FROM d JOIN ab USING (book) WHERE d.i = len(x)"""
+)
+def flat_edit_distance(spark, sf_dir):
+    """tree_edit_distance of the same outlines with all levels 1: the edit distance of their headings as sequences, which SQL can express."""
+    return trees.edit_distances(*sides_by_page(headings(spark, sf_dir).withColumn("level", F.lit(1))), mode="full").select("book", "etd")
 
 
 # ---- references and reports -----------------------------------------------------------------------------------

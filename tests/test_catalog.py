@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from foliomill.operators import matching
 from foliomill.plans import catalog
 
 
@@ -57,9 +58,9 @@ def test_parsing_of_headings_with_backslash_and_quote(spark, tables):
     assert rows("response_validate_all", spark, sf_dir) == want == oracle("response_validate_all", sf_dir)
 
 
-@pytest.mark.parametrize("most", [8 << 20, 60])
+@pytest.mark.parametrize("most", [4 << 20, 300])
 def test_items_of_any_number_of_words(spark, tables, monkeypatch, most):
-    monkeypatch.setattr(catalog, "SHORT_BYTES", most)
+    monkeypatch.setattr(matching, "ITEM_BYTES", most)
     docs = [(1, "one two three four five six"), (2, "someone two three fourteen"), (3, ""), (4, None), (5, "x"), (5, "two  three"), (None, "one two three four fives")]
     texts = ["", "...", None, "two", "one two", "one two three", "one two three four", "one two three four five", "e two three four five s", "two three", "two  three", "One, two!", "zzz"]
     sf_dir = tables([(k, t, "en", "s") for k, t in docs], [*enumerate(texts), (None, "ne two three four fiv")])

@@ -4,6 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from foliomill.operators import matching as M
+from foliomill.operators import scan
 from foliomill.operators import segmentation as S
 
 E = "book string, page int, seq int, top int, text_head string, text_inline string"
@@ -86,6 +90,68 @@ def test_compat_is_the_sequential_procedure(spark):
         assert missed.get(b, []) == lost, (b, t, pages)
 
 
+def brute_hits(toc, els, both_ways):
+    out = {}
+    for book, seq, _, heading, page in toc:
+        h = norm(heading)
+        for b, p, at, _, x, y in els:
+            for t in (x, y):
+                k = None if t is None else norm(t)
+                if b == book and p == page and k is not None and ((t.strip().lower().replace(" ", "") == heading.strip().lower().replace(" ", "")) or h in k or (both_ways and k and k in h)):
+                    out[book, seq] = min(at, out.get((book, seq), at))
+    return out
+
+
+@pytest.mark.parametrize(("rows", "both_ways"), [(50_000, True), (50_000, False), (3, True)])
+def test_S4_matching_is_all_pairs(spark, monkeypatch, rows, both_ways):
+    """The automaton against every pair of a heading and an element, also with pages that are cut into parts of three rows."""
+    monkeypatch.setattr(M, "PAGE_ROWS", rows)
+    r = random.Random(rows + both_ways)
+    words = ["alpha", "al", "beta", "Chap ter 1", "chapter1", "1", "Ünï", "ünï code", "!", "", " ", "delta " * 90, "x" * 40_000]
+    text = lambda: " ".join(r.choices(words, k=r.randrange(0, 4)))
+    toc, els = [], []
+    for book in "abc":
+        for page in (1, 2, 3):
+            toc += [(book, page * 100 + k, 1, text(), page) for k in range(r.randrange(0, 9))]
+            els += [(book, page, k, 0, r.choice([None, text()]), text()) for k in range(r.randrange(0, 12))]
+    t, e = spark.createDataFrame(toc, TOC), spark.createDataFrame(els, E).withColumnRenamed("seq", "el")
+    got = {(x.book, x.seq): x.hit for x in M.first_hits(t, e, ["text_head", "text_inline"], "el", both_ways=both_ways).collect()}
+    assert got == brute_hits(toc, els, both_ways)
+
+
+@pytest.mark.parametrize("span", [1 << 16, 10, 1])
+def test_a_scan_over_ranges_is_a_scan_over_the_book(spark, span):
+    r = random.Random(2)
+    rows = [(b, k * step, r.choice([None, 1, 2, 5])) for b, n, step in (("a", 80, 1), ("b", 9, 37), (None, 20, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "book string, seq int, v int").repartition(7)
+    got = {(x.book, x.seq): (x.s, x.l) for x in scan.scanned(df, ("book",), ("seq",), sums={"s": F.col("v")}, lasts={"l": F.col("v")}, span=span).collect()}
+    same = {(x.book, x.seq): (x.s, x.l) for x in scan.scanned(df, ("book",), ("seq",), sums={"s": F.col("v")}, lasts={"l": F.col("v")}, span=span, inclusive=True).collect()}
+    number = {(x.book, x.seq): x.n for x in scan.numbered(df, ("book",), ("seq",), "n", 1, span=span).collect()}
+    for book in {b for b, _, _ in rows}:
+        s, last = 0, None
+        for n, (seq, v) in enumerate(sorted(((q, v) for b, q, v in rows if b == book), key=lambda x: x[0]), 1):
+            assert got[book, seq] == (s, last) and number[book, seq] == n
+            s, last = s + (v or 0), last if v is None else v
+            assert same[book, seq] == (s, last)
+
+
+def test_segments_are_the_same_in_many_ranges(spark, monkeypatch):
+    """Books of eight ranges of pages and entries give the rows of books in one range, in both modes."""
+    r = random.Random(11)
+    toc, els = [], []
+    for book in ("x", "y"):
+        seq = 0
+        for page in range(1, 41):
+            els += [(book, page, k, k, r.choice([None, "", *WORDS]), r.choice(["", *WORDS])) for k in range(3)]
+            for _ in range(r.randrange(0, 3)):
+                toc.append((book, seq, r.randrange(1, 4), r.choice([*WORDS, "nowhere at all"]), page))
+                seq += 1
+    t, e = spark.createDataFrame(toc, TOC), spark.createDataFrame(els, E)
+    want = [sorted(map(tuple, S.segment(t, e, mode=m).collect()), key=repr) for m in ("compat", "full")]
+    monkeypatch.setattr(scan, "SPAN", 5)
+    assert want == [sorted(map(tuple, S.segment(t, e, mode=m).collect()), key=repr) for m in ("compat", "full")]
+
+
 def test_S1_null_page_rejects_the_book(spark):
     t, e = frames(spark, [(1, "alpha", 1), (1, "beta", None)], {1: [(0, "alpha", "")]})
     assert [tuple(r) for r in S.rejected_books(t).collect()] == [("b", "NULL_PAGE")] and S.segment(t, e).count() == 0
