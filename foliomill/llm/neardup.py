@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import connected_components, forest
 from .ranges import INTEGERS, numbered
-from .session import bounded_batches, discard, table, written
+from .session import bounded_batches, discard, table, tidied, written
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 REGISTERS, BANDS, ROWS, B, RATE, TOP = 160, 64, 5, 1.001, 20.0, 65_535
@@ -324,9 +324,9 @@ def _compared(key: tuple, group: pa.Table) -> pa.Table:
 def families(classes: DataFrame, n: int) -> DataFrame:
     """(a, b): edges between nodes that share a band value and have marks within NEAR bits, or a chain of such nodes. n: the number of classes."""
     parts = max(64, -(-n * BANDS * (16 + REGISTERS // 8) // PART_BYTES))
-    blobs = classes.select("node", "registers").mapInArrow(lambda x: _band_rows(x, parts), "part int, values binary, nodes binary, marks binary")
+    blobs = classes.select("node", "registers").mapInArrow(tidied(lambda x: _band_rows(x, parts)), "part int, values binary, nodes binary, marks binary")
     spread = F.when(F.col("part") < 0, -1 - F.pmod(F.hash("values"), F.lit(parts))).otherwise(F.col("part"))
-    return blobs.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(_met, "a bigint, b bigint")
+    return blobs.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(tidied(_met), "a bigint, b bigint")
 
 
 def _links(dealt: DataFrame, *, whole: bool) -> DataFrame:
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = found.join(names, "doc_id", "left").join(least, "component_id", "left")
         return found.select(F.col("name__").alias("doc_id"), "n_shingles", F.col("component__").alias("component_id"), "kept")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(rows.mapInArrow(_described, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, registers binary"), "sketches")
+    described = written(rows.mapInArrow(tidied(_described), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, registers binary"), "sketches")
     known = described.where("n_shingles > 0 and doc_id is not null")
     classes = written(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "classes")
     n = classes.count()
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = members.join(sizes, F.col("component") == F.col("f")).select("node", "component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     members = written(members, "members")
     # texts move once: later comparisons of a large family read its sets
-    sets = rows.join(members.hint("merge"), rows.doc_id == members.node).select("node", "component", "chunks", "text").mapInArrow(_with_sets, "node bigint, component bigint, chunks int, shingles binary")
+    sets = rows.join(members.hint("merge"), rows.doc_id == members.node).select("node", "component", "chunks", "text").mapInArrow(tidied(_with_sets), "node bigint, component bigint, chunks int, shingles binary")
     sets = written(sets, "sets")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     meets = F.when(F.col("chunk") > 0, F.array("chunk")).when(F.col("chunks") > 1, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))

@@ -10,7 +10,8 @@ snippets that suffixes are dealt by: equal windows are in snippets with equal co
    has another; those of a context with very many go window by window to the part of the window, so that no context has to fit into
    one task. A part builds the suffix array of its distinct snippets and the longest common prefixes of neighbours, scans the intervals of common
    prefixes of at least `least` bytes with a stack, and keeps those whose suffixes are preceded by different bytes: the maximal repeats, with all their
-   occurrences. The smallest document of an interval marks the windows of the others; nothing else removes a byte.
+   occurrences. Equal snippets are one leaf of that tree with its copies counted: the innermost interval there, under the same test. The smallest document of an
+   interval marks the windows of the others; nothing else removes a byte.
 3. Blocks turn the marks into spans of bytes.
 
 Answers come in the order of what was asked, so positions don't travel. The texts move once; the three passes share that exchange.
@@ -88,10 +89,16 @@ def padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, room: int)
     return out.ravel(), width + room
 
 
-def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int, leaves: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) of the maximal repeats of at least `least`: intervals of the suffix array, found by a stack scan of the
-    common prefixes, whose suffixes are preceded by different bytes. left: the byte before each suffix in order, -1 for none (unlike any other)."""
+    common prefixes, whose suffixes are preceded by different bytes. left: the byte before each suffix in order, -1 for none (unlike any other).
+
+    leaves: for suffixes that stand for several equal ones their length, else 0. The equal ones are the innermost interval there; it is left-diverse only if
+    they begin their texts, since copies that begin further in are preceded by the same byte."""
     n = len(lcp)
+    if leaves is not None:
+        several = np.flatnonzero((leaves >= least) & (left < 0))
+        yield from zip(leaves[several].tolist(), several.tolist(), several.tolist(), strict=True)
     unlike = np.zeros(n + 1, np.int64)
     if n > 1:
         unlike[2:] = np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))
@@ -209,10 +216,8 @@ class Snippets:
             snippet, start = snippet[order], start[order]
             lcp = _within(lcp, self.lengths[snippet] - start)
             left = np.where(start > 0, data[np.maximum(snippet * stride + start - 1, 0)].astype(np.int64), -1)
-            found = np.array(list(maximal_repeats(lcp, left, least)), np.int64).reshape(-1, 3)
-            # a whole snippet that occurs more than once is a repeat of its own, at its first suffix
-            own = np.flatnonzero((start == 0) & (self.copies[snippet] > 1))
-            found = np.concatenate([found, np.stack([self.lengths[snippet[own]], own, own], 1)])
+            leaves = np.where(self.copies[snippet] > 1, self.lengths[snippet] - start, 0)
+            found = np.array(list(maximal_repeats(lcp, left, least, leaves)), np.int64).reshape(-1, 3)
             yield found[:, 0], found[:, 1], found[:, 2], snippet, start
 
     def smallest(self) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .session import bounded_batches, shared_folder, table, written
 
 #: Bytes of a block above which it is cut, bytes of a transfer chunk, bytes of payload in one archive, and bytes of a record in one gzip member.
-SEGMENT, CHUNK, ARCHIVE, MEMBER = 4 << 10, 1 << 10, 8 << 20, 60_000
+SEGMENT, CHUNK, ARCHIVE, MEMBER = 2 << 10, 1 << 10, 8 << 20, 60_000
 END, MEMBER_END = b"\r\n\r\n", b"\0\0"
 
 
@@ -82,20 +82,56 @@ def members(record: bytes) -> list[bytes]:
     return out
 
 
-def unzipped(raw: bytes) -> bytes:
-    """An archive as it is, or the content of all its gzip members."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out, at, view = [], 0, memoryview(raw)
-    while at < len(raw):
-        z = zlib.decompressobj(31)
-        while not z.eof:
-            if at >= len(raw):
+class Archive:
+    """The bytes of an archive, plain or of gzip members, from front to back: no more is held than a record and a step of FED bytes."""
+
+    FED = 64 << 10
+
+    def __init__(self, raw: bytes | memoryview):
+        self.raw, self.at, self.zipped = memoryview(raw), 0, bytes(raw[:2]) == b"\x1f\x8b"
+        self.held, self.open = bytearray(), None
+
+    def more(self) -> bool:
+        """Takes another step; False at the end."""
+        if self.at >= len(self.raw):
+            if self.open:
                 raise ValueError("gzip member cut short")
-            fed = view[at : at + (64 << 10)]
-            out.append(z.decompress(fed))
-            at += len(fed) - len(z.unused_data)
-    return b"".join(out)
+            return False
+        fed = self.raw[self.at : self.at + self.FED]
+        self.at += len(fed)
+        if not self.zipped:
+            self.held += fed
+            return True
+        self.open = self.open or zlib.decompressobj(31)
+        self.held += self.open.decompress(fed)
+        if self.open.eof:
+            self.at -= len(self.open.unused_data)
+            self.open = None
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, which goes as well; None if it doesn't come."""
+        seen = 0
+        while (end := self.held.find(mark, max(seen - len(mark), 0))) < 0:
+            seen = len(self.held)
+            if not self.more():
+                return None
+        out = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def ended(self) -> bool:
+        while not self.held:
+            if not self.more():
+                return True
+        return False
 
 
 def _clean(value: str | None) -> str:
@@ -165,23 +201,22 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     lines.write.option("lineSep", MEMBER_END.decode()).text(folder)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(raw: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in small letters) and block of each record of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+    archive, number = Archive(raw), 0
+    while not archive.ended():
+        lines = archive.until(END)
+        if lines is None or not lines.startswith(b"WARC/"):
+            raise ValueError(f"record {number} doesn't begin as one")
         head = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in lines.decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             head[name.strip().lower()] = value.strip()
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if data[stop : stop + 4] != END:
-            raise ValueError(f"record at byte {at} is not {head['content-length']} bytes long")
-        yield head, data[start:stop]
-        at = stop + 4
+        block = archive.take(int(head["content-length"]))
+        if archive.take(4) != END:
+            raise ValueError(f"record {number} is not {head['content-length']} bytes long")
+        yield head, block
+        number += 1
 
 
 def payload_of(block: bytes) -> bytes:
@@ -225,29 +260,34 @@ def _answer(head: dict[str, str], block: bytes) -> dict:
         return out | {"problem": str(e)}
 
 
+_BOTH = pa.schema([("whole", pa.struct(_RESULT)), ("part", pa.struct(_PIECE))])
+#: Records and bytes of their pieces that a task sends on at once.
+SENT_ROWS, SENT_BYTES = 2_000, 4 << 20
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives to rows of `whole` (records in one piece) and `part` (segments)."""
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = raw.as_py()
-            whole, part = [], []
+            found, size = [], 0
             try:
-                for head, block in records(unzipped(raw)):
+                for head, block in records(memoryview(raw.as_buffer())):
                     number = head.get("warc-segment-number")
                     if number is None:
-                        whole.append(_answer(head, block))
+                        found.append({"whole": _answer(head, block), "part": None})
                     else:
                         total = head.get("warc-segment-total-length")
                         origin = head.get("warc-segment-origin-id", head.get("warc-record-id"))
                         keep = "\n".join(f"{k}:{v}" for k, v in head.items() if number == "1")
-                        part.append({"origin": origin, "number": int(number), "total": int(total) if total else None, "head": keep, "piece": block})
+                        found.append({"whole": None, "part": {"origin": origin, "number": int(number), "total": int(total) if total else None, "head": keep, "piece": block}})
+                        size += len(block)
+                    if len(found) >= SENT_ROWS or size >= SENT_BYTES:
+                        yield pa.RecordBatch.from_pylist(found, _BOTH)
+                        found, size = [], 0
             except (ValueError, KeyError, zlib.error) as e:
-                whole.append({"record_id": path, "problem": f"archive: {e}"})
-            both = pa.schema([("whole", pa.struct(_RESULT)), ("part", pa.struct(_PIECE))])
-            for kind, found in (("whole", whole), ("part", part)):
-                for i in range(0, len(found), 2_000):
-                    rows = found[i : i + 2_000]
-                    yield pa.RecordBatch.from_pylist([{"whole": x, "part": None} if kind == "whole" else {"whole": None, "part": x} for x in rows], both)
+                found.append({"whole": {"record_id": path, "problem": f"archive: {e}"}, "part": None})
+            if found:
+                yield pa.RecordBatch.from_pylist(found, _BOTH)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +317,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(found, _RESULT)
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """A row for each record of the archives below a folder: RESULT. Only segments and what revisits name are shuffled."""
+def read_archives(spark, folder: str, *, pattern: str = "*") -> DataFrame:
+    """A row for each record of the archives below a folder whose names match: RESULT. Only segments and what revisits name are shuffled.
+
+    An archive is one value of a task, so of less than 2 GiB; its records are taken from it one by one.
+    """
     bounded_batches(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "content")
     both = files.mapInArrow(_read, f"whole struct<{_ddl(RESULT)}>, part struct<{_ddl(PIECE)}>")
     # One pass over the archives: what needs no joining goes to the origin null, spread by its own id.
     dealt = both.repartition(F.coalesce("part.origin", "whole.record_id"))

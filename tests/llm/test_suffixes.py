@@ -108,6 +108,22 @@ def test_without_the_suffix_array_nothing_is_removed():
     assert sum(map(len, text)) == len(blank.data)
 
 
+@pytest.mark.parametrize("nothing", [False, True])
+def test_without_intervals_nothing_is_removed(monkeypatch, nothing):
+    """One block through all steps: with a scan that yields no interval not a byte goes, with the real one what has to."""
+    if nothing:
+        monkeypatch.setattr(S, "maximal_repeats", lambda *_: iter(()))
+    rows = [r for r in corpus(4) if r[1]] + [(700, "copied text " * 9), (701, "copied text " * 9), (702, "copied text " * 9)]
+    block = S.Block(table_of(rows), 8)
+    flags = np.ones(len(block.key), np.uint8)
+    part, place, length, low, others, *_ = block.asked(flags)
+    found = {p: S.window_masks(block.data[S.K.aranges(place[a:b], length[a:b])], length[a:b], low[a:b], others[a:b].astype(np.uint8)).tobytes() for p, a, b in S.cuts(part)}
+    covered = block.covered(flags, found)
+    removed = [int(covered[a:b].sum()) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
+    want = brute(rows)
+    assert removed == [0 if nothing else want[i][0][1] for i, _ in rows] and any(v[0][1] for v in want.values())
+
+
 def table_of(rows):
     import pyarrow as pa
 

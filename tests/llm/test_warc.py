@@ -79,6 +79,36 @@ def test_members(spark, tmp_path):
     assert len(got) == 301 and all(got[f"<{k}>"].payload_digest == sha(b"x" * k) for k in range(300)) and got["part-2"].problem
 
 
+def test_archives_of_any_name_are_read(spark, tmp_path):
+    one = W.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<a>")], b"abc") + W.END
+    for name in ("part-0.warc.gz", "CC-0001.warc.gz", "sub/x"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(gzip.compress(one))
+    (tmp_path / "plain.warc").write_bytes(one * 3)
+    assert W.read_archives(spark, str(tmp_path)).count() == 6
+    assert W.read_archives(spark, str(tmp_path), pattern="CC-*").count() == 1
+
+
+def test_records_are_taken_one_by_one(monkeypatch):
+    """Any step, any cut of records into members: no more is held than a record and a step."""
+    r = random.Random(6)
+    some = [W.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{k}>")], bytes(r.choices(b"ab\r\n", k=r.choice([0, 1, 50, 3_000])))) + W.END for k in range(60)]
+    raw = b"".join(some)
+    for step in (1, 7, 1_000, 1 << 16):
+        monkeypatch.setattr(W.Archive, "FED", step)
+        for cut in (1 << 20, 997):
+            for data in (raw, b"".join(gzip.compress(raw[i : i + cut]) for i in range(0, len(raw), cut))):
+                found = list(W.records(data))
+                assert [h["warc-record-id"] for h, _ in found] == [f"<{k}>" for k in range(60)]
+                assert b"".join(W.record([("WARC-Type", "resource"), ("WARC-Record-ID", h["warc-record-id"])], b) + W.END for h, b in found) == raw
+    with pytest.raises(ValueError, match="cut short"):
+        list(W.records(gzip.compress(raw)[:-9]))
+
+
+def test_most_pages_go_out_in_segments():
+    assert len(list(W.page_records(1, "u", b"x" * 2_151, None, W.SEGMENT))) == 2
+
+
 def test_revisits_are_checked(spark, tmp_path):
     one = list(W.page_records(1, "u", b"abc", None, 2)) + list(W.page_records(2, "u", b"abc", 1, 9)) + list(W.page_records(3, "u", b"abd", 1, 9)) + list(W.page_records(4, "u", b"abc", 9, 9))
     (tmp_path / "part-1").write_bytes(b"".join(x + W.END for x in one))
