@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import signal
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import importable
+from ..runtime import importable, written
 
 #: Elements of a font up to which its text is a candidate; share of the largest count that makes a size a baseline.
 RARE, BASELINE = 220, 0.5
@@ -96,10 +98,40 @@ def style_refiner(batch: list[dict], context: list[dict]) -> list[dict]:
     return [{"level": r.get("level") or 1, "heading": r["heading"], "page": r["page"]} for r in batch if r["heading"]]
 
 
+@contextmanager
+def _deadline(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError inside once so many seconds have gone, whatever runs there."""
+    if seconds is None:
+        yield
+        return
+
+    def late(*_) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def refine(candidates: DataFrame, refiner: Refiner = style_refiner, *, limit: int = 8192 - 1800 - 1000, fixed: int = 0) -> DataFrame:
     """Refined outlines (book, seq, level, heading, page). Within a book batches go one after another, since the context of each is what came out
     of those before; books go in parallel. candidates: book, seq, level, heading, page, tokens."""
+    return _refined(candidates, refiner, limit, fixed, None).drop("reason")
+
+
+def refine_within(candidates: DataFrame, seconds: float, refiner: Refiner = style_refiner, *, limit: int = 8192 - 1800 - 1000, fixed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): as refine(), with a limit of time for each book. A book that takes longer has no rows and is a reject (book, reason); the others go on."""
+    found = written(_refined(candidates, refiner, limit, fixed, seconds), "refined")
+    return found.where("reason is null").drop("reason"), found.where("reason is not null").select("book", "reason")
+
+
+def _refined(candidates: DataFrame, refiner: Refiner, limit: int, fixed: int, seconds: float | None) -> DataFrame:
     importable(candidates.sparkSession)
+    names = ["book", "seq", "level", "heading", "page", "reason"]
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
@@ -116,16 +148,33 @@ def refine(candidates: DataFrame, refiner: Refiner = style_refiner, *, limit: in
             found = refiner(batch, context())
             out.extend(r for r in found if {"level", "heading", "page"} <= r.keys())
 
-        for row in frame.sort_values("seq").to_dict("records"):
-            around = fixed + sum(len(str(c["heading"]).split()) for c in context())
-            if around + used + row["tokens"] > limit:
-                flush()
-                batch, used = [], 0
-            batch.append(row)
-            used += row["tokens"]
-        if batch:
-            flush()
-        rows = [(frame["book"].iloc[0], k, r["level"], r["heading"], r["page"]) for k, r in enumerate(out)]
-        return pd.DataFrame(rows, columns=["book", "seq", "level", "heading", "page"])
-
-    return candidates.groupBy("book").applyInPandas(one, "book string, seq int, level int, heading string, page int")
+        book = frame["book"].iloc[0]
+        try:
+            with _deadline(seconds):
+                for row in frame.sort_values("seq").to_dict("records"):
+                    around = fixed + sum(len(str(c["heading"]).split()) for c in context())
+                    if around + used + row["tokens"] > limit:
+                        flush()
+                        batch, used = [], 0
+                    batch.append(row)
+                    used += row["tokens"]
+                if batch:
+                    flush()
+        except TimeoutError:
+            return pd.DataFrame([(book, None, None, None, None, "TIME_LIMIT")], columns=names)
+        return pd.DataFrame([(book, k, r["level"], r["heading"], r["page"], None) for k, r in enumerate(out)], columns=names)
+
+    return candidates.groupBy("book").applyInPandas(one, "book string, seq int, level int, heading string, page int, reason string")
+
+
+def replayed(batches: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of stored responses (book, batch, raw) to the batches (book, batch) that were asked: an equality join instead of a remote call.
+
+    A batch without a response, or with a line that doesn't parse, has a reject (book, batch, line_no, line, reason). Of several responses to a batch the smallest text counts.
+    """
+    one = responses.groupBy("book", "batch").agg(F.min("raw").alias("raw"))
+    asked = batches.select("book", "batch").distinct().join(one, ["book", "batch"], "left")
+    good, bad = parsed_response(asked.where("raw is not null"))
+    none = asked.where("raw is null").select("book", "batch", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit("NO_RESPONSE").alias("reason"))
+    rejects = bad.select("book", "batch", "line_no", "line", F.lit("NOT_A_ROW").alias("reason")).unionByName(none)
+    return valid(good).select("book", "batch", "line_no", "level", "heading", "page"), rejects

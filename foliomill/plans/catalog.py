@@ -6,15 +6,19 @@ A book is a source of `documents`, a page one document, an element a line of its
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import encoding
 from ..functions import text as T
 from ..operators import candidates, matching, metrics, references, reports, scan, segmentation, trees
 from ..runtime import importable, shared_folder
-from ..sources import layout_xml, outlines, pdf
+from ..sources import layout_xml, outlines, pdf, segments, spreadsheets
+from ..streaming import batching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,6 +197,28 @@ def candidate_dedup(spark, sf_dir):
     return candidates.unique_candidates(headings(spark, sf_dir)).select("book", "heading", "page", *big("seq"))
 
 
+def _encoded(batches):
+    """Texts as bytes in one encoding after another by id, in UTF-8 where it has no place for a character."""
+    for batch in batches:
+        out = []
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = text.encode("utf-8")
+            with contextlib.suppress(UnicodeEncodeError):
+                data = text.encode(encoding.ENCODINGS[k % len(encoding.ENCODINGS)])
+            out.append(data)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def detected_encodings(spark, sf_dir):
+    """Documents written in six encodings without marks come back by what their bytes say."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null and doc_id is not null")
+    models = outlines.learned_encodings(docs)
+    importable(spark)
+    raw = docs.mapInArrow(_encoded, "doc_id bigint, content binary")
+    return outlines.decoded(raw, models).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def book_semi_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "source")
@@ -272,6 +298,43 @@ def token_batches(spark, sf_dir):
     return numbered.select("conv_id", F.explode(F.arrays_zip("items", "batch")).alias("z")).select("conv_id", "z.items.turn", F.col("z.batch").cast("bigint").alias("batch"))
 
 
+BATCHED = f"""c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, role, text,
+  CASE WHEN length(t) = 0 THEN 0 ELSE len(string_split_regex(t, '[\\s{T.WIDE}]+')) END AS n FROM (SELECT *, {sql_trimmed('text')} AS t FROM conversations)),
+r AS (SELECT conv_id, k, turn, n AS used, CASE WHEN n > {LIMIT} THEN 1 ELSE 0 END AS batch FROM c WHERE k = 1
+  UNION ALL SELECT c.conv_id, c.k, c.turn, CASE WHEN r.used + c.n > {LIMIT} THEN c.n ELSE r.used + c.n END, r.batch + CASE WHEN r.used + c.n > {LIMIT} THEN 1 ELSE 0 END
+  FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BATCHED}, f AS (SELECT conv_id, batch, min(turn) AS first FROM r GROUP BY conv_id, batch)
+SELECT r.conv_id AS book, r.turn AS seq, CAST(r.batch AS BIGINT) AS batch, CAST((SELECT count(DISTINCT role) FROM c WHERE c.conv_id = r.conv_id AND c.turn < f.first) AS BIGINT) AS context_levels
+FROM r JOIN f ON f.conv_id = r.conv_id AND f.batch = r.batch"""
+)
+def token_batch_stream(spark, sf_dir):
+    """token_batches as a stream with state: a conversation's role is the level, and a batch has as context the roles that spoke before it was opened."""
+    kinds = table(spark, sf_dir, "conversations").schema
+    path = f"{sf_dir}/conversations.parque[t]"  # a pattern may name a file or a folder, a plain path only a folder
+    rows = spark.readStream.schema(kinds).parquet(path).select(F.col("conv_id").alias("book"), F.col("turn").cast("bigint").alias("seq"), F.col("role").alias("level"), T.token_count("text").cast("bigint").alias("tokens"))
+    found = batching.collected(batching.token_batches(rows, LIMIT), shared_folder(spark, "stream"))
+    return found.select("book", "seq", *big("batch", "context_levels"))
+
+
+# of the turns a response's line has the first words as heading; every fifth conversation has no response
+@query(
+    f"""WITH RECURSIVE {BATCHED}, l AS (SELECT r.conv_id AS book, r.batch, row_number() OVER (PARTITION BY r.conv_id, r.batch ORDER BY r.turn) - 1 AS line_no, role AS level, left(regexp_replace(text, '[\\s"]+', ' ', 'g'), 30) AS heading, CAST(r.turn AS INTEGER) AS page
+  FROM r JOIN c USING (conv_id, k) WHERE r.conv_id % 5 > 0)
+SELECT book, CAST(batch AS BIGINT) AS batch, CAST(line_no AS BIGINT) AS line_no, level, heading, page FROM l"""
+)
+def replayed_responses(spark, sf_dir):
+    """Stored responses to the batches of each conversation, joined to them and parsed."""
+    turns = token_batches(spark, sf_dir).join(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    heading = F.substring(F.regexp_replace("text", '[\\s"]+', " "), 1, 30)
+    line = F.format_string('"%s","%s","%d"', "role", heading, "turn")
+    stored = turns.where("conv_id % 5 > 0").groupBy(F.col("conv_id").alias("book"), "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    good, _ = candidates.replayed(turns.select(F.col("conv_id").alias("book"), "batch"), stored)
+    return good.select("book", "batch", *big("line_no"), "level", "heading", "page")
+
+
 # ---- matching and segmentation ---------------------------------------------------------------------------------
 
 
@@ -554,6 +617,17 @@ def dimension_join_rank(spark, sf_dir):
     return reports.with_group(suppliers.select(F.col("s_suppkey").alias("book"), F.col("s_acctbal").alias("value")), groups).select("book", "value", "publisher_group", *big("marker"))
 
 
+@query("SELECT s_suppkey AS book_key, lower(left(s_name, length(s_name) - 4)) AS book, n_name AS publisher_group, CAST(s_acctbal AS VARCHAR) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def dimension_from_workbooks(spark, sf_dir):
+    """Suppliers as one workbook for each nation, with columns that nobody needs, read again as the dimension of publishers: these go, and File becomes the slug."""
+    nations = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("n_name").alias("publisher_group"), F.col("s_name").alias("File"), F.col("s_suppkey").alias("book_key"), F.col("s_acctbal").cast("string").alias("balance"), F.col("s_nationkey").alias("Nation"), F.lit(None).cast("string").alias("Notes"))
+    books = spreadsheets.workbooks(rows, "publisher_group")
+    found = spreadsheets.dimension(books.select(F.concat("publisher_group", F.lit(".xlsx")).alias("path"), "content"), ["File", "book_key", "balance", "Nation", "Notes"], drop=["Nation", "Notes"])
+    return found.select(F.col("book_key").cast("bigint").alias("book_key"), "book", F.regexp_replace("path", "\\.xlsx$", "").alias("publisher_group"), "balance")
+
+
 @query(f"WITH {HD} SELECT heading, min(page) AS page FROM hd GROUP BY heading")
 def first_seen_labels(spark, sf_dir):
     return reports.first_seen(headings(spark, sf_dir), "heading", "page")
@@ -608,3 +682,97 @@ def outline_from_destinations(spark, sf_dir):
 def part_of_a_run(spark, sf_dir):
     """Books number 3 to 7 by name: the limit is the operator."""
     return outlines.nth(table(spark, sf_dir, "documents").select(F.col("source").alias("book")), 3, 7).select(F.col("book").alias("source"))
+
+
+# ---- sinks, tiers and rejects -------------------------------------------------------------------------------
+
+
+@query(f"WITH {HD} SELECT DISTINCT book, 'NULL_PAGE' AS reason FROM hd WHERE seq % 90 = 89")
+def rejected_books(spark, sf_dir):
+    """Books with an entry without a page: every 90th loses it."""
+    toc = headings(spark, sf_dir)
+    return segmentation.rejected_books(toc.withColumn("page", F.when(F.col("seq") % 90 < 89, F.col("page"))))
+
+
+@query(f"WITH {HD} SELECT DISTINCT source AS book, 'NO_CANDIDATES' AS reason FROM documents WHERE source NOT IN (SELECT book FROM hd WHERE length(heading) = 39 AND page % 10 = 0)")
+def books_without_candidates(spark, sf_dir):
+    found = headings(spark, sf_dir).where((F.length("heading") == 39) & (F.col("page") % 10 == 0))
+    return candidates.without_candidates(pages_of(spark, sf_dir).select("book").distinct(), found)
+
+
+@query(
+    f"""WITH {EL}, r AS (SELECT book, page, seq, 'f' || (length(text) % 7) AS font_id, CAST(8 + length(text) % 7 AS DOUBLE) AS font_size, seq % 9 = 0 AS bold, seq % 11 = 0 AS italic FROM el),
+fs AS (SELECT book, font_size, count(*) AS n FROM r GROUP BY book, font_size), body AS (SELECT book, max(font_size) AS body FROM fs WHERE n > 0.5 * (SELECT max(n) FROM fs b WHERE b.book = fs.book) GROUP BY book),
+few AS (SELECT book, font_id FROM r GROUP BY book, font_id HAVING count(*) <= 70)
+SELECT book, page, CAST(seq AS BIGINT) AS seq, CAST(dense_rank() OVER (PARTITION BY book ORDER BY font_size DESC) AS BIGINT) AS level FROM r JOIN few USING (book, font_id) LEFT JOIN body USING (book) WHERE font_size > body OR bold OR italic"""
+)
+def style_candidates(spark, sf_dir):
+    """Lines in fonts by their length: larger than the books' body sizes, bold or italic, in a font of at most 70 lines."""
+    n = F.length("text") % 7
+    rows = elements(spark, sf_dir).select("book", "page", "seq", F.concat(F.lit("f"), n.cast("string")).alias("font_id"), (n + 8).cast("double").alias("font_size"), (F.col("seq") % 9 == 0).alias("bold"), (F.col("seq") % 11 == 0).alias("italic"))
+    return candidates.by_style(rows, 70).select("book", "page", *big("seq", "level"))
+
+
+@query(
+    f"""WITH {HD}, k AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY seq) - 1 AS seq, level, heading, page FROM hd WHERE seq % 10 < 9)
+SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS INTEGER) AS level, regexp_replace(heading, '\\\\(.)', '\\1', 'g') AS heading, CAST(page AS INTEGER) AS page FROM k"""
+)
+def candidate_files(spark, sf_dir):
+    """Candidates written as files, but for every tenth, which has no page; read again by the strict reader."""
+    folder = shared_folder(spark, "candidates")
+    rows = headings(spark, sf_dir)
+    outlines.write_candidates(rows.withColumn("page", F.when(F.col("seq") % 10 < 9, F.col("page"))), folder)
+    good, _ = outlines.read_strict(spark, folder, "llm")
+    return good.select("book", *big("seq"), "level", "heading", "page")
+
+
+@query(
+    "SELECT source || '_' || (doc_id // 500) AS book, CAST(row_number() OVER (PARTITION BY source || '_' || (doc_id // 500) ORDER BY doc_id) - 1 AS BIGINT) AS pos, CAST(doc_id % 4 AS BIGINT) AS level, lang AS heading,"
+    " replace(text, chr(10), ' ') AS content FROM documents WHERE text IS NOT NULL"
+)
+def hierarchy_files(spark, sf_dir):
+    """Documents as the items of a layout parser, some hundred to a book, written as literals and read again."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    book = F.concat_ws("_", "source", F.floor(F.col("doc_id") / 500).cast("string"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text"))), lambda d: F.struct((d["doc_id"] % 4).cast("int").alias("level"), d["lang"].alias("heading"), d["text"].alias("content")))
+    folder = shared_folder(spark, "hierarchies")
+    segments.write_layout(docs.groupBy(book.alias("book")).agg(items.alias("items")), folder)
+    rows = segments.read_literals(spark, folder).select("book", F.posexplode("items").alias("pos", "i"))
+    return rows.select("book", *big("pos"), F.col("i.level").cast("bigint").alias("level"), "i.heading", "i.content")
+
+
+@query(
+    f"""WITH {EL}, w AS (SELECT book, page, seq, text, regexp_extract(text, '^[^ ]*') AS a FROM el WHERE seq % 5 < 4), x AS (SELECT *, substr(text, length(a) + 1) AS b FROM w),
+y AS (SELECT *, {sql_trimmed("concat_ws(' ', nullif(" + sql_trimmed('a') + ", ''), nullif(" + sql_trimmed('b') + ", ''))")} AS ab FROM x WHERE {sql_trimmed('text')} <> '')
+SELECT book, page, CAST(seq AS BIGINT) AS seq, CASE seq % 3 WHEN 0 THEN ab WHEN 1 THEN CASE WHEN a <> '' THEN a ELSE {sql_trimmed('b')} END ELSE text END AS content, seq % 3 = 1 AS italic FROM y"""
+)
+def xml_mixed_content(spark, sf_dir):
+    """Lines as XML with leading, bold and italic parts, every fifth in a font that isn't specified: usable elements, and the text that is chosen of each."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first = F.regexp_extract("text", "^[^ ]*", 0)
+    a, b = esc(first), esc(F.substr(F.col("text"), F.length(first) + 1))
+    body = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("<b>"), a, F.lit("</b>"), b)).when(F.col("seq") % 3 == 1, F.concat(a, F.lit("<i>"), b, F.lit("</i>"))).otherwise(esc(F.col("text")))
+    one = F.concat(F.lit('<text top="0" left="0" font="'), F.when(F.col("seq") % 5 < 4, "f").otherwise("g"), F.lit('">'), body, F.lit("</text>"))
+    rows = elements(spark, sf_dir)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("t")))), lambda p: p["t"])
+    files = rows.groupBy("book", "page").agg(F.concat(F.lit('<pdf2xml><page number="1"><fontspec id="f" size="9"/>'), F.array_join(parts, ""), F.lit("</page></pdf2xml>")).alias("content"))
+    found = layout_xml.usable(layout_xml.elements(files.select(F.concat_ws("\t", "book", "page").alias("book"), "content")))
+    key = F.split("book", "\t")
+    return found.select(key[0].alias("book"), key[1].cast("bigint").alias("page"), *big("seq"), layout_xml.content_choice().alias("content"), "italic")
+
+
+@query(
+    f"""WITH {HD}, cut AS (SELECT book, page, seq, left(text, CAST(length(text) // 2 AS BIGINT)) AS a, substr(text, CAST(length(text) // 2 + 1 AS BIGINT)) AS b FROM el),
+un AS (SELECT book, page, 2 * seq AS pos, a AS text FROM cut UNION ALL SELECT book, page, 2 * seq + 1, b FROM cut), ln AS (SELECT book, page, 2 * seq AS pos, {sql_trimmed("concat_ws(' ', nullif(a, ''), nullif(b, ''))")} AS text FROM cut),
+hk AS (SELECT *, {sql_exact('heading')} AS h_e, {sql_loose('heading')} AS h_l FROM hd), uk AS (SELECT *, {sql_exact('text')} AS t_e, {sql_loose('text')} AS t_l FROM un), lk AS (SELECT *, {sql_exact('text')} AS t_e, {sql_loose('text')} AS t_l FROM ln),
+h1 AS (SELECT hk.book, hk.seq, min(pos) AS hit FROM hk JOIN uk USING (book, page) WHERE t_e = h_e OR contains(t_l, h_l) GROUP BY hk.book, hk.seq),
+h2 AS (SELECT hk.book, hk.seq, min(pos) AS line_hit FROM hk JOIN lk USING (book, page) WHERE t_e = h_e OR contains(t_l, h_l) GROUP BY hk.book, hk.seq)
+SELECT hd.book, CAST(hd.seq AS BIGINT) AS seq, CAST(hit AS BIGINT) AS hit, CAST(CASE WHEN hit IS NULL THEN line_hit END AS BIGINT) AS line_hit FROM hd LEFT JOIN h1 USING (book, seq) LEFT JOIN h2 USING (book, seq)"""
+)
+def line_hits(spark, sf_dir):
+    """Every line cut into two elements on one height: headings that no element contains are found by the line tier."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    two = F.array(F.substr(F.col("text"), F.lit(1), half), F.substr(F.col("text"), half + 1))
+    rows = elements(spark, sf_dir).select("book", "page", F.col("seq").alias("top"), F.posexplode(two).alias("k", "text_inline"))
+    els = rows.select("book", "page", (2 * F.col("top") + F.col("k")).alias("seq"), "top", F.lit(None).cast("string").alias("text_head"), "text_inline")
+    return segmentation.hits(headings(spark, sf_dir), els, both_ways=False).select("book", *big("seq", "hit", "line_hit"))

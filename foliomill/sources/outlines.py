@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.encoding import Models
 from ..runtime import importable
 
 
@@ -21,13 +22,32 @@ def slug(path: Column, prefix: int = 0) -> Column:
     return F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.substr(name, F.lit(prefix + 1), F.length(name) - 4 - prefix))
 
 
-def files(spark: SparkSession, folder: str, pattern: str, *, single_byte: str | None = None) -> DataFrame:
+def decoded(rows: DataFrame, models: Models, column: str = "content") -> DataFrame:
+    """rows with `text`, `encoding` and `sure` (0 to 1) of a binary column, by models of the encodings; text null where none is possible."""
+    importable(rows.sparkSession)
+
+    @F.pandas_udf("text string, encoding string, sure double")
+    def found(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([models.decode(None if x is None else bytes(x)) for x in content], columns=["text", "encoding", "sure"])
+
+    return rows.withColumn("d__", found(column)).select(*rows.columns, "d__.text", "d__.encoding", "d__.sure")
+
+
+def learned_encodings(texts: DataFrame, column: str = "text", *, rows: int = 500, characters: int = 20_000) -> Models:
+    """Models from a bounded sample: the `rows` texts with the smallest hashes, of each the first `characters`."""
+    x = F.substring(column, 1, characters)
+    return Models(r[0] for r in texts.where(F.col(column).isNotNull()).orderBy(F.xxhash64(column), column).limit(rows).select(x).collect())
+
+
+def files(spark: SparkSession, folder: str, pattern: str, *, single_byte: str | None = None, models: Models | None = None) -> DataFrame:
     """(path, content, encoding_ok) of the files that match, in UTF-8, or in UTF-16 with a byte order mark.
 
-    Any other is read as `single_byte` (such as ISO-8859-1) if that is given, and otherwise has content null and goes to quarantine.
+    Any other is read as `single_byte` (such as ISO-8859-1) if that is given, or in the encoding that `models` find, and otherwise has content null and goes to quarantine.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     raw = reader.load(folder).select("path", "content")
+    if models:
+        return decoded(raw, models).select("path", F.col("text").alias("content"), F.col("text").isNotNull().alias("encoding_ok"))
     start, utf8 = F.hex(F.substring("content", 1, 2)), F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(start.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(utf8, F.col("content").cast("string"))
     if single_byte:
@@ -36,9 +56,9 @@ def files(spark: SparkSession, folder: str, pattern: str, *, single_byte: str |
     return raw.select("path", body.alias("content"), ok.alias("encoding_ok"))
 
 
-def read_naive(spark: SparkSession, folder: str, system: str, *, pattern: str = "*", prefix: int = 0) -> DataFrame:
+def read_naive(spark: SparkSession, folder: str, system: str, *, pattern: str = "*", prefix: int = 0, single_byte: str | None = None, models: Models | None = None) -> DataFrame:
     """(system, book, seq, level, heading_naive): a line is cut at commas, so a heading ends at its first one; cleaned for scoring."""
-    lines = files(spark, folder, pattern).where("encoding_ok").select(slug(F.col("path"), prefix).alias("book"), F.posexplode(F.split("content", "\n")).alias("seq", "line")).where("line <> ''")
+    lines = files(spark, folder, pattern, single_byte=single_byte, models=models).where("encoding_ok").select(slug(F.col("path"), prefix).alias("book"), F.posexplode(F.split("content", "\n")).alias("seq", "line")).where("line <> ''")
     cut = F.split(F.col("line"), ",")
     return lines.select(F.lit(system).alias("system"), "book", "seq", T.safe_int(F.get(cut, F.lit(0))).alias("level"), T.heading_clean(F.get(cut, F.lit(1))).alias("heading_naive"))
 
@@ -52,13 +72,13 @@ def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["book", "seq", "fields"])
 
 
-def read_strict(spark: SparkSession, folder: str, system: str, *, pattern: str = "*", prefix: int = 0) -> tuple[DataFrame, DataFrame]:
+def read_strict(spark: SparkSession, folder: str, system: str, *, pattern: str = "*", prefix: int = 0, single_byte: str | None = None, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
     """(toc, rejects). Records are parsed with a backslash as escape, which drops it; those without exactly 3 fields are rejected.
 
     One small Arrow function for each file: the escape and quote rules differ from those of Spark's own reader.
     """
     importable(spark)
-    found = files(spark, folder, pattern).where("encoding_ok").select(slug(F.col("path"), prefix).alias("book"), "content")
+    found = files(spark, folder, pattern, single_byte=single_byte, models=models).where("encoding_ok").select(slug(F.col("path"), prefix).alias("book"), "content")
     rows = found.mapInPandas(_parsed, "book string, seq int, fields array<string>")
     good = rows.where("size(fields) = 3").select(F.lit(system).alias("system"), "book", "seq", T.safe_int(F.col("fields")[0]).alias("level"), F.col("fields")[1].alias("heading"), T.safe_int(F.col("fields")[2]).alias("page"))
     return good, rows.where("size(fields) <> 3").withColumn("system", F.lit(system))

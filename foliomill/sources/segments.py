@@ -43,6 +43,14 @@ def write_layout(layout: DataFrame, folder: str) -> None:
     layout.select("book", literal(F.transform("items", lambda r: F.struct(r["level"].alias("level"), r["heading"].alias("heading"), r["content"].alias("content")))).alias("text")).write.partitionBy("book").text(folder)
 
 
+def read_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """(book, items) of the files that write_layout() made."""
+    importable(spark)
+    rows = spark.read.schema("value string, book string").text(folder)
+    as_json = F.pandas_udf(lambda t: t.map(literal_to_json), "string")
+    return rows.select("book", F.from_json(as_json("value"), _ITEMS).alias("items"))
+
+
 def write_segments(sections: DataFrame, path: str, least: int = 1) -> DataFrame:
     """Writes the books with at least `least` matched headings as JSON rows and returns the rejected books."""
     good = sections.groupBy("book").agg(F.count("heading").alias("n"))
