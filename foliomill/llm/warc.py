@@ -279,7 +279,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         total = head.get("warc-segment-total-length")
                         origin = head.get("warc-segment-origin-id", head.get("warc-record-id"))
                         keep = "\n".join(f"{k}:{v}" for k, v in head.items() if number == "1")
-                        found.append({"whole": None, "part": {"origin": origin, "number": int(number), "total": int(total) if total else None, "head": keep, "piece": block}})
+                        found.append({"whole": None, "part": {"origin": origin, "number": int(number), "total": int(total) if total else None, "head": keep, "piece": zlib.compress(block, 1)}})
                         size += len(block)
                     if len(found) >= SENT_ROWS or size >= SENT_BYTES:
                         yield pa.RecordBatch.from_pylist(found, _BOTH)
@@ -298,7 +298,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [r["head"] for r in rows if r["number"] == 1 and r["head"]]
         head = dict(x.split(":", 1) for x in heads[0].split("\n")) if heads else {"warc-record-id": origin}
         try:
-            found.append(_answer(head, reassembled([(r["number"], r["total"], r["piece"]) for r in rows])))
+            found.append(_answer(head, reassembled([(r["number"], r["total"], zlib.decompress(r["piece"])) for r in rows])))
         except ValueError as e:
             found.append({"record_id": origin, "record_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "problem": str(e)})
         rows.clear()
@@ -318,7 +318,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark, folder: str, *, pattern: str = "*") -> DataFrame:
-    """A row for each record of the archives below a folder whose names match: RESULT. Only segments and what revisits name are shuffled.
+    """A row for each record of the archives below a folder whose names match: RESULT. Only segments, compressed, and what revisits name are shuffled.
 
     An archive is one value of a task, so of less than 2 GiB; its records are taken from it one by one.
     """
