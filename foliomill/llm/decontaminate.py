@@ -14,7 +14,8 @@ columns other than the two named are ignored. No row is shuffled, but for benchm
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import bounded_batches
+from .session import bounded_batches, in_blocks
 
 WINDOW = 10
 #: Bytes of text in one FM-index, and the distance of the sampled suffix positions.
@@ -30,6 +31,8 @@ SHARD_BYTES, SAMPLE = 8 << 20, 8
 #: The items are broadcast below this size and go through the corpus in blocks of this size beyond it. Their windows take 8 bytes a byte
 #: (a word of 6 bytes is a row of 40), and about 20 while they are made.
 ITEM_BYTES = 4 << 20
+#: A longer item is cut into pieces of so many bytes.
+PIECE_BYTES = 1 << 20
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x80:] = IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = True
@@ -232,6 +235,34 @@ def hits(batches: Iterator[pa.RecordBatch], windows: Windows, spans: bool) -> It
             yield pa.RecordBatch.from_arrays(out, fields)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Items, those of more than PIECE_BYTES in pieces of whole words that share window - 1 words with the next: they have the same windows together."""
+    for batch in batches:
+        row, out = [], []
+        for k, text in enumerate(batch.column(1)):
+            size = text.as_buffer().size if text.is_valid else 0
+            if size <= PIECE_BYTES:
+                row.append(k)
+                out.append(text.as_py())
+                continue
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            starts, ends = words(K.lowered(data), np.array([0, size]))
+            i = 0
+            while i < len(starts):
+                j = max(int(np.searchsorted(ends, starts[i] + PIECE_BYTES, "right")), min(i + window, len(starts)))
+                row.append(k)
+                out.append(data[starts[i] : ends[j - 1]].tobytes().decode())
+                i = len(starts) if j >= len(starts) else j - window + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.string())], ["item_id", "text"])
+
+
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple]]:
+    """The items in blocks of about ITEM_BYTES, by their cumulated size and whatever their ids are."""
+    items = benchmark.select(F.col("item_id"), F.col("text"))
+    items = items.mapInArrow(lambda x: _pieces(x, window), items.schema)
+    return ([tuple(r) for r in rows] for rows in in_blocks(items, F.octet_length("text"), ITEM_BYTES))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spans: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items[, spans]) for each document: spans are word ranges to remove.
 
@@ -240,16 +271,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id"), F.col("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = _blocks(benchmark, window)
+    first, second = next(blocks, []), next(blocks, None)
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_words bigint, n_hit bigint, n_items bigint, items array<string>"
-    many = -(-size // ITEM_BYTES)
     with_spans = schema + ", spans array<struct<first: bigint, last: bigint>>"
-    if many <= 1:
-        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+    if second is None:
+        shared = spark.sparkContext.broadcast(Windows(first, window))
         return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda x: hits(x, shared.value, spans), with_spans if spans else schema)
     keyed = docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _in_blocks(keyed, items, many, window).withColumnRenamed("doc_id", "k__")
+    found = _in_blocks(keyed, chain([first, second], blocks), window).withColumnRenamed("doc_id", "k__")
     out = keyed.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("k__")), "left")
     out = out.select(F.col("doc_id.id").alias("doc_id"), "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
     return out if spans else out.drop("spans")
@@ -259,13 +289,13 @@ def _key(id_col: str, text_col: str):
     return F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
 
 
-def _in_blocks(keyed: DataFrame, items: DataFrame, many: int, window: int) -> DataFrame:
+def _in_blocks(keyed: DataFrame, blocks: Iterable[list[tuple]], window: int) -> DataFrame:
     """(doc_id, n_words, items, spans) for each distinct doc_id, a struct of id and text hash: the items go through in blocks, and the answers are merged."""
     spark = keyed.sparkSession
     schema = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<first: bigint, last: bigint>>"
     parts = []
-    for k in range(many):
-        block = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == k).collect()], window))
+    for items in blocks:
+        block = spark.sparkContext.broadcast(Windows(items, window))
         parts.append(keyed.mapInArrow(lambda x, b=block: hits(x, b.value, True), schema))
     out = parts[0]
     for p in parts[1:]:
@@ -308,17 +338,16 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """docs with the hit words cut from the texts; chars_col is counted anew where something went. No row is shuffled up to ITEM_BYTES of items; beyond, spans are joined by id and text hash."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id"), F.col("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    many = -(-size // ITEM_BYTES)
+    blocks = _blocks(benchmark, window)
+    first, second = next(blocks, []), next(blocks, None)
     kinds = dict(docs.dtypes)
     rest = [c for c in docs.columns if c != text_col]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "text__cut string", "touched__cut boolean"])
-    if many <= 1:
-        shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+    if second is None:
+        shared = spark.sparkContext.broadcast(Windows(first, window))
         out = docs.select(*rest, text_col).mapInArrow(lambda x: _cut(x, shared.value), schema)
     else:
-        spans = _in_blocks(docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text")), items, many, window).select(F.col("doc_id").alias("k__"), F.col("spans").alias("spans__"))
+        spans = _in_blocks(docs.select(_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text")), chain([first, second], blocks), window).select(F.col("doc_id").alias("k__"), F.col("spans").alias("spans__"))
         here = docs.withColumn("key__", _key(id_col, text_col))
         out = here.join(spans, F.col("key__").eqNullSafe(F.col("k__")), "left").select(*rest, text_col, "spans__").mapInArrow(lambda x: _cut(x, None), schema)
     columns = [F.col("text__cut").alias(c) if c == text_col else F.when(F.col("touched__cut"), F.length("text__cut").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c == chars_col else F.col(c) for c in docs.columns]

@@ -129,3 +129,19 @@ def test_hashes_that_collide_are_told_apart_by_bytes(monkeypatch):
     windows = D.Windows([(1, "abcdefghij1")], 1)
     data = np.frombuffer(b"abcdefghij1 abcdefghij2", np.uint8)
     assert windows.encode(data, *D.words(data, np.array([0, len(data)]))).tolist() == [1, 0]
+
+
+@pytest.mark.parametrize(("most", "window"), [(30, 3), (100, 10), (1, 4)])
+def test_long_items_in_pieces_have_their_windows(monkeypatch, most, window):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "PIECE_BYTES", most)
+    r = random.Random(most)
+    rows = [(k, None if k == 3 else r.choice(["  ", ", "]).join(r.choices(["ab", "É", "x" * 40, "c3"], k=r.randrange(0, 60)))) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["item_id", "text"])
+    grams = lambda w: {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)}
+    found = {k: set() for k, _ in rows}
+    for out in D._pieces(iter([batch]), window):
+        for k, t in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            found[k] |= grams(words(t))
+    assert found == {k: grams(words(t)) for k, t in rows}
