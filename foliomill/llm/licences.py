@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .session import table
 
-# A line that states a copyright: with a year, a sign or "by" after it; a wrapped line that only goes on with the word stays.
-COPYRIGHT = r"(^|\n)[ \t#*/;-]*(?:copyright[ \t:,]*(?:\(c\)|©|by\b|[^\n]*?(?:19|20)[0-9][0-9])|\(c\)[^\n]*?(?:19|20)[0-9][0-9]|©|all rights reserved)[^\n]*"
+# A line that states a copyright: the word, perhaps after "portions" or "parts", with a sign or a name or a year after it; or a sign of its own.
+COPYRIGHT = r"(^|\n)[ \t#*/;-]*(?:(?:some[ \t]+)?(?:portions[ \t]+|parts[ \t]+)?(?:copyright(?:[ \t:,]*(?:\(c\)|©)|[ \t:,]+[^ \t\n])|\(c\)[^\n]*?(?:19|20)[0-9][0-9]|©)|all rights reserved)[^\n]*"
+# What goes on with the word in running text, where a wrapped line may begin with it; fixed values.
+RUNNING = r"copyright[ \t]+(holders?|owners?|notices?|laws?|interests?|licenses?|statements?|protections?|rights?|infringements?|terms?|status|permissions?|and|or|in|of|on|to|is|are|was)([^a-z0-9]|$)"
 # Spellings that count as one; fixed values.
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("acknowledgement", "acknowledgment"),
@@ -138,9 +140,9 @@ NOTICES = [
 def _lines_kept(text: Column) -> Column:
     """The canonical form but for line ends, which are kept."""
     x = F.lower(F.coalesce(text, F.lit("")))
-    x = F.regexp_replace(x, COPYRIGHT, "$1")
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.regexp_replace(F.regexp_replace(x, RUNNING, "copyright_$1$2"), COPYRIGHT, "$1")
     return F.regexp_replace(x, r"[^a-z0-9\n]+", " ")
 
 
@@ -185,9 +187,10 @@ def _sql_text(x: str) -> str:
 
 
 def _sql_lines(x: str) -> str:
-    x = f"regexp_replace(lower(coalesce({x}, '')), '{COPYRIGHT}', '\\1', 'g')"
+    x = f"lower(coalesce({x}, ''))"
     for a, b in SPELLINGS:
         x = f"replace({x}, {_sql_text(a)}, {_sql_text(b)})"
+    x = f"regexp_replace(regexp_replace({x}, '{RUNNING}', 'copyright_\\1\\2', 'g'), '{COPYRIGHT}', '\\1', 'g')"
     return f"regexp_replace({x}, '[^a-z0-9\\n]+', ' ', 'g')"
 
 

@@ -15,9 +15,10 @@ from foliomill.llm import mixing as M
 
 
 def canonical(text):
-    x = re.sub(L.COPYRIGHT, r"\1", (text or "").lower())
+    x = (text or "").lower()
     for a, b in L.SPELLINGS:
         x = x.replace(a, b)
+    x = re.sub(L.COPYRIGHT, r"\1", re.sub(L.RUNNING, r"copyright_\1\2", x))
     return re.sub(r"[ \n]+", " ", re.sub(r"[^a-z0-9\n]+", " ", x)).strip(" ")
 
 
@@ -38,6 +39,15 @@ def test_op5(docs):
     assert L.scan(docs([])).count() == 0
 
 
+def test_op5_copyright_lines(docs):
+    mit = L.LICENCES["MIT"]
+    heads = ["Copyright Jane Doe", "Portions copyright (c) 2019 acme", "some parts Copyright 2020 by X", "Copyright: 1999-2001 Élan", "# COPYRIGHT © Someone", "All rights reserved."]
+    kept = ["copyright holders of works before 2000 agree", "copyright owners", "the copyright of 2001 is ours"]
+    rows = [(k, f"{h}\n{mit}") for k, h in enumerate(heads + kept)]
+    got = {x.doc_id: x.license for x in L.scan(docs(rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == ["MIT"] * len(heads) + [None] * len(kept)
+
+
 def test_op5_wrapped_texts_match_in_spark_and_sql(spark, tmp_path):
     """Every known text, wrapped and commented as in source files, below a copyright line; the SQL sees the same."""
     rows, want = [], {}
