@@ -8,7 +8,7 @@ Letters are taken without case; everything else is one space between words. The
 of about SAMPLE labelled texts, chosen by a hash of the id; every text is classified whole.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned; ties go
-to the smaller name; rows without a language are classified but not learned from; repeated rows are each answered; other columns are ignored.
+to the smaller name; rows without a language are classified but not learned from, nor are rows without an id, whose held_out is null; repeated rows are each answered; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The labelled texts are a bounded sample: the SAMPLE rows with the smallest hash
 the weights (one array of WIDTH floats) are the only thing broadcast.
 
 Edge cases: a null or empty text has no features and gets the score of the bias alone; without labels, or with one class
-only, every score is the share of label 1 (0 without labels); a null label is no label; repeated rows are each scored;
+only, every score is the share of label 1 (0 without labels); a null label is no label; a row without an id is scored, has no label and a null held_out; repeated rows are each scored;
 other columns are ignored.
 """
 
