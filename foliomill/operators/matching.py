@@ -199,7 +199,7 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) ->
     spark = docs.sparkSession
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    docs, items = docs.select(doc_id, "text").where("text is not null"), items.select(item_id, "key").where("key is not null")
+    docs, items = docs.select(doc_id, "text"), items.select(item_id, "key").where("key is not null")  # a filter on text would compute it twice
     size, n = items.agg(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0)), F.count(F.lit(1))).first()
     many = max(1, -(-size // ITEM_BYTES))
     schema = StructType([docs.schema[doc_id], StructField("at__", ArrayType(LongType()))])
@@ -209,7 +209,8 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str) ->
 
         def found(batches: Iterator[pa.RecordBatch], grams=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                inside = grams.value.inside(*column_bytes(batch.column(1)))
+                inside = grams.value.inside(*column_bytes(batch.column(1).fill_null("")))
+                inside = [x if there else [] for x, there in zip(inside, batch.column(1).is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(inside, pa.list_(pa.int64()))], [doc_id, "at__"])
 
         names = F.broadcast(spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], StructType([StructField("k__", LongType()), items.schema[item_id]])))  # of one block
