@@ -17,7 +17,7 @@ from ..functions import encoding
 from ..functions import text as T
 from ..operators import candidates, matching, metrics, references, reports, scan, segmentation, trees
 from ..runtime import importable, shared_folder
-from ..sources import layout_xml, outlines, pdf, segments, spreadsheets
+from ..sources import layout_xml, outlines, pdf, segments, spreadsheets, workbook_source
 from ..streaming import batching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,19 @@ def outline_files_naive(spark, sf_dir):
     return outlines.read_naive(spark, folder, "gt").select("book", *big("seq"), "level", "heading_naive")
 
 
+@query(
+    f"WITH {HD} SELECT book, CAST(seq AS BIGINT) AS seq, CAST(level AS INTEGER) AS level, regexp_replace(heading, '\\\\(.)', '\\1', 'g') AS heading, CAST(page AS INTEGER) AS page FROM hd "
+    "WHERE book IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
+)
+def outlines_of_toxic_books(spark, sf_dir):
+    """All headings as outline files; read are those of the books with a text that is labelled toxic, and no other file is opened."""
+    folder = shared_folder(spark, "outlines")
+    outlines.write_outline_csv(headings(spark, sf_dir), folder)
+    good, _ = outlines.read_shelf(spark, folder, "gt")
+    asked = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select(F.col("source").alias("book")).distinct()
+    return good.join(asked, "book", "left_semi").select("book", *big("seq"), "level", "heading", "page")
+
+
 def _validated(rows: DataFrame) -> DataFrame:
     """Every third page number is spelt wrongly, so its row has no page and isn't valid. A quote is doubled."""
     page = F.when(F.col("page") % 3 == 0, F.concat(F.lit("p"), F.col("page").cast("string"))).otherwise(F.col("page").cast("string"))
@@ -628,6 +641,18 @@ def dimension_from_workbooks(spark, sf_dir):
     return found.select(F.col("book_key").cast("bigint").alias("book_key"), "book", F.regexp_replace("path", "\\.xlsx$", "").alias("publisher_group"), "balance")
 
 
+@query("SELECT s_suppkey AS book_key, s_name AS name, n_name AS publisher_group, CAST(s_acctbal AS VARCHAR) AS balance, count(*) OVER (PARTITION BY n_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def workbooks_read_back(spark, sf_dir):
+    """Suppliers written as one workbook for each nation by the data source, and read by it, with how many rows their workbook has."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    folder = shared_folder(spark, "workbooks")
+    workbook_source.write_workbooks(rows.select("n_name", "s_suppkey", "s_name", F.col("s_acctbal").cast("string").alias("s_acctbal"), F.lit(None).cast("string").alias("notes")), "n_name", folder)
+    found = workbook_source.scan_workbooks(spark, folder)
+    sizes = found.groupBy("workbook").agg(F.count("row").alias("n"))
+    found = found.join(sizes, "workbook")
+    return found.select(F.col("s_suppkey").cast("bigint").alias("book_key"), F.col("s_name").alias("name"), F.col("workbook").alias("publisher_group"), F.col("s_acctbal").alias("balance"), "n")
+
+
 @query(f"WITH {HD} SELECT heading, min(page) AS page FROM hd GROUP BY heading")
 def first_seen_labels(spark, sf_dir):
     return reports.first_seen(headings(spark, sf_dir), "heading", "page")

@@ -84,6 +84,33 @@ def read_strict(spark: SparkSession, folder: str, system: str, *, pattern: str =
     return good, rows.where("size(fields) <> 3").withColumn("system", F.lit(system))
 
 
+def _records(content: Column) -> Column:
+    """The records of a file's text, each a list of fields."""
+
+    @F.pandas_udf("array<array<string>>")
+    def found(content: pd.Series) -> pd.Series:
+        return content.map(lambda x: list(csv.reader(io.StringIO(x or "", newline=""), escapechar="\\")))
+
+    return found(content)
+
+
+def read_shelf(spark: SparkSession, folder: str, system: str, *, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(toc, rejects) as read_strict() gives them, of a folder with a folder book=... for each book, as write_outline_csv() leaves it.
+
+    The book is Spark's partition column and the parser a column function, so a filter on it, or a join with a table of books, reaches the scan, and
+    only the files of those books are opened. Files that aren't UTF-8 have rejects without fields; a book without a name has null.
+    """
+    importable(spark)
+    schema = "path string, modificationTime timestamp, length bigint, content binary, book string"
+    raw = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\\x{FEFF}", ""))
+    rows = raw.select("book", text.alias("text"))
+    parsed = rows.where("text is not null").select("book", F.posexplode(_records(F.col("text"))).alias("seq", "fields"))
+    good = parsed.where("size(fields) = 3").select(F.lit(system).alias("system"), "book", "seq", T.safe_int(F.col("fields")[0]).alias("level"), F.col("fields")[1].alias("heading"), T.safe_int(F.col("fields")[2]).alias("page"))
+    unread = rows.where("text is null").select("book", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("array<string>").alias("fields"))
+    return good, parsed.where("size(fields) <> 3").unionByName(unread).withColumn("system", F.lit(system))
+
+
 def write_outlines(toc: DataFrame, path: str) -> None:
     """One folder for each system; books without entries have no rows and so leave nothing."""
     toc.where(F.col("heading").isNotNull()).write.partitionBy("system").mode("overwrite").parquet(path)
