@@ -126,6 +126,20 @@ TITLES = {
 }
 #: (licence, text) for each text as it is and after each of its titles.
 KNOWN = [(name, title + text) for name, text in LICENCES.items() for title in ["", *(t + "\n" for t in TITLES.get(name, []))]]
+# SHA-256 of the canonical forms of whole licences as they are published, with their line breaks, and of their terms up to "END OF TERMS AND CONDITIONS"
+# where an appendix follows; made once from the copies in the folder /usr/share/common-licenses of Debian's base-files; fixed values.
+DIGESTS = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"), ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"), ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"), ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"), ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"), ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"), ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"), ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"), ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"), ("MPL-1.1", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
 # One-line notices and the licence they name; fixed values.
 NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -158,12 +172,15 @@ def canonical(text: Column) -> Column:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", licences: list[tuple[str, str]] | DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, text_digest, license, notices) for every row: the licence that is the entire text, or null, and the licences that whole lines name.
 
-    licences may be a table (license, known_text) of any size, such as a collection of the long texts; the built-in list is short and broadcast.
+    licences may be a table (license, known_text) of any size, such as a collection of further texts; the built-in list, with the digests of the long licences, is short and broadcast.
     """
     spark = docs.sparkSession
     given = isinstance(licences, DataFrame)
     known = licences.select("license", "known_text") if given else spark.createDataFrame(licences or KNOWN, "license string, known_text string")
-    known = known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("text_digest")).groupBy("text_digest").agg(F.min("license").alias("license"))
+    known = known.select("license", F.sha2(canonical(F.col("known_text")), 256).alias("text_digest"))
+    if licences is None:
+        known = known.union(spark.createDataFrame(DIGESTS, "license string, text_digest string"))
+    known = known.groupBy("text_digest").agg(F.min("license").alias("license"))
     listed = notices or NOTICES
     # One pass over a text: its lines are looked up in a small constant map of notice digests, and only the digest of the whole goes on to the join.
     named = F.map_from_entries(F.array(*[F.struct(F.sha2(canonical(F.lit(line)), 256), F.lit(name)) for line, name in sorted({_key(line): (line, name) for name, line in reversed(listed)}.values())]))
@@ -199,7 +216,9 @@ def _sql_entire(x: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH known AS (SELECT sha256({_sql_entire(_sql_lines("t"))}) AS text_digest, min(l) AS license FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN)}) v(l, t) GROUP BY 1),
+WITH digest AS (SELECT sha256({_sql_entire(_sql_lines("t"))}) AS text_digest, l FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in KNOWN)}) v(l, t)
+  UNION ALL SELECT text_digest, l FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in DIGESTS)}) v(l, text_digest)),
+known AS (SELECT text_digest, min(l) AS license FROM digest GROUP BY text_digest),
 notice AS (SELECT DISTINCT sha256({_sql_entire(_sql_lines("t"))}) AS line_digest, l AS named FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(v)})" for k, v in NOTICES)}) v(l, t)),
 rows AS (SELECT doc_id, {_sql_lines("text")} AS lines FROM documents),
 digests AS (SELECT doc_id, sha256({_sql_entire("lines")}) AS text_digest, lines FROM rows),

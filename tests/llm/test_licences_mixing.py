@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from foliomill.llm import licences as L
 from foliomill.llm import mixing as M
 
+WHOLE = Path("/usr/share/common-licenses")
+
 
 def canonical(text):
     x = (text or "").lower()
@@ -39,6 +42,25 @@ def test_op5(docs):
     assert L.scan(docs([])).count() == 0
 
 
+@pytest.mark.skipif(not WHOLE.is_dir(), reason="the folder of whole licences isn't here")
+def test_op5_whole_licences(docs):
+    """Whole published texts are found by their digests alone: in capitals, with other marks and a copyright line in front, but not with a word more."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    rows, want = [], []
+    for file, name in names.items():
+        text = (WHOLE / file).read_text()
+        rows += [text, "Copyright 2024 Someone\n" + text.upper(), "\n".join("// " + line for line in text.split("\n")), text + " more"]
+        want += [name, name, name, None]
+        if "END OF TERMS AND CONDITIONS" in text:
+            rows.append(text[: text.index("END OF TERMS AND CONDITIONS") + 27])
+            want.append(name)
+    found = {x.doc_id: x for x in L.scan(docs(list(enumerate(rows)))).collect()}
+    assert [found[k].license for k in range(len(rows))] == want
+    assert found[0].text_digest == hashlib.sha256(canonical(rows[0]).encode()).hexdigest() and len(L.DIGESTS) == len({d for _, d in L.DIGESTS})
+    only = {x.license for x in L.scan(docs([(0, rows[0])]), licences=[("MIT", L.LICENCES["MIT"])]).collect()}
+    assert only == {None}
+
+
 def test_op5_copyright_lines(docs):
     mit = L.LICENCES["MIT"]
     heads = ["Copyright Jane Doe", "Portions copyright (c) 2019 acme", "some parts Copyright 2020 by X", "Copyright: 1999-2001 Élan", "# COPYRIGHT © Someone", "All rights reserved."]
