@@ -641,16 +641,18 @@ def dimension_from_workbooks(spark, sf_dir):
     return found.select(F.col("book_key").cast("bigint").alias("book_key"), "book", F.regexp_replace("path", "\\.xlsx$", "").alias("publisher_group"), "balance")
 
 
-@query("SELECT s_suppkey AS book_key, s_name AS name, n_name AS publisher_group, CAST(s_acctbal AS VARCHAR) AS balance, count(*) OVER (PARTITION BY n_name) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query(
+    "SELECT doc_id, source, CAST(n_chars AS BIGINT) AS n_chars, coalesce(lang, 'none') || '-' || (doc_id // 10000) AS workbook, count(*) OVER (PARTITION BY lang, doc_id // 10000) AS n FROM documents WHERE doc_id IS NOT NULL"
+)
 def workbooks_read_back(spark, sf_dir):
-    """Suppliers written as one workbook for each nation by the data source, and read by it, with how many rows their workbook has."""
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    """The list of documents as workbooks, one for each language and 10,000 ids, written by the data source and read by it, with how many rows their workbook has."""
+    name = F.concat_ws("-", F.coalesce("lang", F.lit("none")), F.expr("doc_id div 10000").cast("string"))
+    rows = table(spark, sf_dir, "documents").where("doc_id is not null").select(name.alias("name"), "doc_id", "source", "n_chars", F.lit(None).cast("string").alias("notes"))
     folder = shared_folder(spark, "workbooks")
-    workbook_source.write_workbooks(rows.select("n_name", "s_suppkey", "s_name", F.col("s_acctbal").cast("string").alias("s_acctbal"), F.lit(None).cast("string").alias("notes")), "n_name", folder)
-    found = workbook_source.scan_workbooks(spark, folder)
+    workbook_source.write_workbooks(rows, "name", folder)
+    found = workbook_source.scan_workbooks(spark, folder, columns=["doc_id", "source", "n_chars"])
     sizes = found.groupBy("workbook").agg(F.count("row").alias("n"))
-    found = found.join(sizes, "workbook")
-    return found.select(F.col("s_suppkey").cast("bigint").alias("book_key"), F.col("s_name").alias("name"), F.col("workbook").alias("publisher_group"), F.col("s_acctbal").alias("balance"), "n")
+    return found.join(sizes, "workbook").select(*big("doc_id"), "source", *big("n_chars"), "workbook", "n")
 
 
 @query(f"WITH {HD} SELECT heading, min(page) AS page FROM hd GROUP BY heading")
