@@ -30,8 +30,8 @@ from pyspark.sql.types import StructType
 from ..runtime import importable
 from .spreadsheets import sheet_rows, workbook
 
-#: How many bytes of files a partition gets, unless the option `partition_bytes` says otherwise; a file isn't cut.
-PARTITION_BYTES = 32 << 20
+#: How many bytes of (compressed) workbooks a partition gets, unless the option `partition_bytes` says otherwise: some 50,000 rows. A workbook isn't cut.
+PARTITION_BYTES = 1 << 20
 #: Rows of an Arrow batch.
 BATCH = 10_000
 
