@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,10 +107,10 @@ def has_skip(levels: list[int]) -> bool:
     return any(b > a + 1 for a, b in zip([0, *levels[:-1]], levels, strict=True))
 
 
-class _Tree:
-    """An outline in postorder, for one of the two decompositions: labels, leftmost leaves, key roots and how deep key roots are nested in them.
+class _Forest:
+    """An outline below its root in postorder, for one of the two decompositions: labels, leftmost leaves, key roots and how deep key roots are nested in them.
 
-    With `mirrored` children are taken from right to left. cost: how many rows of forest distances its key roots need.
+    With `mirrored` children are taken from right to left. ends: after the last node of each top entry. cost: how many rows of forest distances its key roots need.
     """
 
     def __init__(self, items: list[tuple[int, str]], mirrored: bool, codes: dict[str, int]):
@@ -121,83 +122,173 @@ class _Tree:
         if mirrored:
             for c in children:
                 c.reverse()
-        order, left, nested = [], [], []
+        order, left, nested, ends = [], [], [], []
         at = [0] * len(labels)
-        stack = [(0, 0)]
-        while stack:
-            node, k = stack.pop()
-            if k < len(children[node]):
-                stack.append((node, k + 1))
-                stack.append((children[node][k], 0))
-            else:
-                mine = [at[c] for c in children[node]]
-                left.append(left[mine[0]] if mine else len(order))
-                nested.append(max([nested[mine[0]], *[nested[c] + 1 for c in mine[1:]]]) if mine else 0)
-                at[node] = len(order)
-                order.append(labels[node])
-        self.label = np.array([codes.setdefault(x, len(codes)) for x in order])
-        self.weight = np.array([int(x != "") for x in order])
-        self.left, self.nested = np.array(left), np.array(nested)
-        self.roots = np.array(sorted({l: k for k, l in enumerate(left)}.values()))
+        for top in children[0]:
+            stack = [(top, 0)]
+            while stack:
+                node, k = stack.pop()
+                if k < len(children[node]):
+                    stack.append((node, k + 1))
+                    stack.append((children[node][k], 0))
+                else:
+                    mine = [at[c] for c in children[node]]
+                    left.append(left[mine[0]] if mine else len(order))
+                    nested.append(max([nested[mine[0]], *[nested[c] + 1 for c in mine[1:]]]) if mine else 0)
+                    at[node] = len(order)
+                    order.append(labels[node])
+            ends.append(len(order))
+        self.label = np.array([codes.setdefault(x, len(codes)) for x in order], np.int64)
+        self.weight = np.array([int(x != "") for x in order], np.int64)
+        self.left, self.nested, self.ends = np.array(left, np.int64), np.array(nested, np.int64), ends
+        self._close()
+
+    def _close(self) -> None:
+        self.root_of = {l: k for k, l in enumerate(self.left.tolist())}
+        self.roots = np.array(sorted(self.root_of.values()), np.int64)
         self.cost = int((self.roots - self.left[self.roots] + 1).sum())
 
+    def tops(self) -> Iterator[tuple[int, int, bytes]]:
+        """(first node, after the last, what is equal for equal trees) of each top entry."""
+        first = 0
+        for end in self.ends:
+            yield first, end, self.label[first:end].tobytes() + (self.left[first:end] - first).tobytes()
+            first = end
+
+    def distinct(self) -> tuple[_Forest, np.ndarray]:
+        """The different trees below the root, each once, and for each node its place there."""
+        known: dict[bytes, int] = {}
+        taken, ends, place = [], [], np.zeros(len(self.label), np.int64)
+        for first, end, key in self.tops():
+            if key not in known:
+                known[key] = ends[-1] if ends else 0
+                taken.append(np.arange(first, end))
+                ends.append(known[key] + end - first)
+            place[first:end] = np.arange(end - first) + known[key]
+        out, of = object.__new__(_Forest), np.concatenate(taken)
+        out.label, out.weight, out.nested, out.ends = self.label[of], self.weight[of], self.nested[of], ends
+        out.left = np.arange(len(of)) - of + self.left[of]
+        out._close()
+        return out, place
+
+
+class _Rows:
+    """Tree distances between the nodes of a forest x, in postorder, and all nodes of a forest y, a row at a time.
+
+    The forests of all key roots of y are the columns of one vector, so that each node of x is one vector step for each key root that it is in; nested key roots of y go one level after the
+    other where a step needs its own tree distances. The key roots of x that a node is in go on side by side, the innermost first, so a row of tree distances is used up as
+    soon as it is there: what is held are a vector for each of them, and those of the rows where an open one of them began. Vectors hold distances less those from the empty forest, and less a
+    step from one forest to the next that makes running minima independent.
+    """
+
+    def __init__(self, x: _Forest, y: _Forest):
+        self.x, self.size = x, len(y.label)
+        roots = y.roots[np.argsort(y.nested[y.roots], kind="stable")]
+        size = roots - y.left[roots] + 2  # the empty forest, then one more node each
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(roots)), size)
+        place = np.arange(int(size.sum())) - start[of]
+        node = y.left[roots][of] + place - 1  # the node that a column adds, if place > 0
+        inner = place > 0
+        gain = np.where(inner, y.weight[node], 0)
+        whole = np.cumsum(gain)
+        whole = whole - (whole - gain)[start][of]  # the cost of all nodes up to a column
+        step = int((x.roots - x.left[x.roots]).max()) + int(size.max()) + 2
+        kind = np.int32 if step * (len(roots) + 2) < 1 << 30 else np.int64
+        shift = whole + of * step
+        base = np.where(inner, start[of] + y.left[node] - y.left[roots][of], 0)
+        path = inner & (y.left[node] == y.left[roots][of])
+        nest = y.nested[roots][of]
+        self.first = (whole - shift).astype(kind)
+        self.columns = np.flatnonzero(inner)
+        self.node, self.base = node[self.columns], base[self.columns]
+        self.move = (shift[self.base] - shift[self.columns]).astype(kind)
+        self.levels = []
+        for k in range(int(nest[-1]) + 1):
+            s = slice(*np.searchsorted(nest, [k, k + 1]).tolist())
+            on, off = s.start + np.flatnonzero(path[s]), s.start + np.flatnonzero((inner & ~path)[s])
+            self.levels.append((s, on, (shift[on - 1] - shift[on]).astype(kind), y.label[node[on]], node[on], shift[on].astype(kind), off, (whole[base[off]] - shift[off]).astype(kind), node[off]))
+        self.kind = kind
+
+    def of(self, first: int, end: int) -> Iterator[np.ndarray]:
+        """The rows of the nodes first to end, which are a tree below the root."""
+        x, opened = self.x, []  # (key root, its vector, the vectors of rows before open leaves), the outermost first
+        for p in range(first, end):
+            leaf, cost = int(x.left[p]), int(x.weight[p])
+            if leaf == p:
+                for o in opened:
+                    o[2][p] = o[1]
+                opened.append([x.root_of[p], self.first, {}])
+            tree = np.empty(self.size, self.kind)
+            last = opened[-1]
+            row, best = last[1], last[1] + self.kind(cost)
+            for s, on, on_move, label, on_node, on_shift, off, off_base, off_node in self.levels:
+                best[on] = np.minimum(best[on], row[on - 1] + on_move + (label != x.label[p]))
+                if len(off):
+                    best[off] = np.minimum(best[off], off_base + tree[off_node])
+                np.minimum.accumulate(best[s], out=best[s])
+                tree[on_node] = best[on] + on_shift
+            last[1] = best
+            if len(opened) > 1:
+                near = tree[self.node] + self.move
+                for o in opened[-2::-1]:
+                    best = o[1] + self.kind(cost)
+                    best[self.columns] = np.minimum(best[self.columns], o[2][leaf][self.base] + near)
+                    o[1] = np.minimum.accumulate(best)
+            if last[0] == p:
+                opened.pop()
+                for o in opened:
+                    del o[2][leaf]
+            yield tree
+
+
+#: Bytes of tree distances that are kept of trees that stand in an outline more than once.
+KEPT_BYTES = 64 << 20
+
 
 def tree_edit_distance(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> float:
     """Ordered tree edit distance of two outlines (level, label). Renaming costs 1 if the labels differ; inserting or deleting a node costs 1, and nothing
     if its label is empty.
 
-    Forest distances by key roots, of the left or of the right (mirrored) decomposition, whichever has fewer subproblems. The forests of all key roots of one tree are
-    the columns of one vector, so that each node of the other tree's key roots is one vector step; nested key roots go one level after the other where a
-    step needs its own tree distances. A row is kept only while a later one starts from it.
+    The roots are equal, and some best mapping maps one to the other, so what is compared are the forests below them: one table of forest distances, whose rows are vectors, from the tree distances of
+    the trees below the root, by key roots of the left or of the right (mirrored) decomposition, whichever has fewer subproblems. Equal trees of one outline are compared once, as far as
+    KEPT_BYTES go. A row is kept only while a later one starts from it, so memory grows with the outlines and their depth, not with the product of their sizes.
     """
     codes: dict[str, int] = {}
-    x, y = min(((_Tree(a, m, codes), _Tree(b, m, codes)) for m in (False, True)), key=lambda t: t[0].cost * t[1].cost)
-    if x.cost > y.cost:  # the costs are symmetric; vectors are longer than the rows are many
+    x, y = min(((_Forest(a, m, codes), _Forest(b, m, codes)) for m in (False, True)), key=lambda t: t[0].cost * t[1].cost)
+    if len(x.label) > len(y.label):  # the costs are symmetric; vectors are longer than the rows are many
         x, y = y, x
-    roots = y.roots[np.argsort(y.nested[y.roots], kind="stable")]
-    size = roots - y.left[roots] + 2  # the empty forest, then one more node each
-    start = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(roots)), size)
-    place = np.arange(int(size.sum())) - start[of]
-    node = y.left[roots][of] + place - 1  # the node that a column adds, if place > 0
-    inner = place > 0
-    gain = np.where(inner, y.weight[node], 0)
-    whole = np.cumsum(gain)
-    whole = whole - (whole - gain)[start][of]  # the cost of all nodes up to a column
-    shift = whole + of * (2 * (len(x.label) + len(y.label)) + 2)  # makes running minima of one forest independent of those before it
-    base = np.where(inner, start[of] + y.left[node] - y.left[roots][of], 0)
-    path = inner & (y.left[node] == y.left[roots][of])
-    side = inner & ~path
-    nest = y.nested[roots][of]
-    levels = [(s := slice(*np.searchsorted(nest, [k, k + 1])), s.start + np.flatnonzero(path[s]), s.start + np.flatnonzero(side[s])) for k in range(int(nest[-1]) + 1)]
-    columns = np.flatnonzero(inner)
-    c_node, c_base = node[columns], base[columns]
-    tree = np.zeros((len(x.label), len(y.label)), np.int32)
-    last_use = np.zeros(len(x.label), np.int64)  # of the row before each leaf: the key root whose leftmost leaf it is
-    last_use[x.left[x.roots]] = x.roots
-    for i in x.roots.tolist():
-        x0 = int(x.left[i])
-        row = whole.copy()
-        kept = {x0: row}
-        for p in range(x0, i + 1):
-            lp, cost = int(x.left[p]), int(x.weight[p])
-            if lp == p and p != x0:
-                kept[p] = row
-            best = row + cost
-            if lp != x0:
-                best[columns] = np.minimum(best[columns], kept[lp][c_base] + tree[p, c_node])
-                row = np.minimum.accumulate(best - shift) + shift
-                if last_use[lp] == p:
-                    del kept[lp]
-            else:
-                new = np.empty_like(best)
-                for s, on, off in levels:
-                    best[on] = np.minimum(best[on], row[on - 1] + (x.label[p] != y.label[node[on]]))
-                    best[off] = np.minimum(best[off], whole[base[off]] + tree[p, node[off]])
-                    new[s] = np.minimum.accumulate(best[s] - shift[s]) + shift[s]
-                    tree[p, node[on]] = new[on]
-                row = new
-    return float(tree[-1, -1])
+    if not len(x.label):
+        return float(y.weight.sum())
+    unlike, place = y.distinct()
+    rows = _Rows(x, unlike)
+    often = Counter(key for _, _, key in x.tops())
+    room, held = KEPT_BYTES, {}
+    for key, n in often.most_common():
+        nbytes = len(key) // 16 * (np.dtype(rows.kind).itemsize * len(unlike.label) + 100)
+        if n > 1 and nbytes <= room:
+            held[key] = None
+            room -= nbytes
+    whole = np.concatenate([[0], np.cumsum(y.weight)])
+    move = (whole[y.left] - whole[1:]).astype(np.int32)
+    row = np.zeros(len(whole), np.int32)  # less `whole`
+    for first, end, key in x.tops():
+        trees = held.get(key)
+        if trees is None:
+            trees = rows.of(first, end)
+            if key in held:
+                trees = held[key] = list(trees)
+        before: dict[int, np.ndarray] = {}  # of the row before each open leaf: what it has where each node's tree begins
+        for p, tree in zip(range(first, end), trees, strict=True):
+            leaf = int(x.left[p])
+            if leaf == p:
+                before[p] = row[y.left] + move
+            row = row + np.int32(x.weight[p])
+            np.minimum(row[1:], before[leaf] + tree.astype(np.int32, copy=False)[place], out=row[1:])
+            np.minimum.accumulate(row, out=row)
+            if x.root_of[leaf] == p:
+                del before[leaf]
+    return float(row[-1] + whole[-1])
 
 
 def edit_distances(system: DataFrame, truth: DataFrame, *, mode: str = "compat", keys: tuple[str, ...] = ("book",)) -> DataFrame:
@@ -205,20 +296,22 @@ def edit_distances(system: DataFrame, truth: DataFrame, *, mode: str = "compat",
     importable(system.sparkSession)
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "level", "heading"))), lambda x: F.struct(x["level"].alias("level"), x["heading"].alias("heading")))
-        return df.groupBy(*keys).agg(items.alias(name))
+        rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "level", "heading"))).alias("rows"))
+        return rows.select(*keys, F.transform("rows", lambda x: x["level"]).alias(f"{name}_levels"), F.transform("rows", lambda x: x["heading"]).alias(f"{name}_headings"))
 
     @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    def distance(a_levels: pd.Series, a_headings: pd.Series, b_levels: pd.Series, b_headings: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = ([(r["level"], r["heading"]) for r in z] for z in (x, y))
+        for al, ah, bl, bh in zip(a_levels, a_headings, b_levels, b_headings, strict=True):
+            if {al.dtype.kind, bl.dtype.kind} != {"i"}:
+                raise ValueError("an entry has no level")
+            x, y = list(zip(al.tolist(), ah.tolist(), strict=True)), list(zip(bl.tolist(), bh.tolist(), strict=True))
             bad = mode == "compat" and (has_skip([r[0] for r in x]) or has_skip([r[0] for r in y]))
             out.append(None if bad else tree_edit_distance(x, y))
         return pd.Series(out, dtype="float64")
 
     both = packed(system, "a").join(packed(truth, "b"), list(keys)).repartition(8 * system.sparkSession.sparkContext.defaultParallelism, *keys)
-    return both.select(*keys, distance("a", "b").alias("etd"))
+    return both.select(*keys, distance("a_levels", "a_headings", "b_levels", "b_headings").alias("etd"))
 
 
 def books_by_depth(toc: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import os
 import random
+import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -137,6 +139,29 @@ def test_E5_of_larger_trees_is_symmetric_and_mirrored(seed, n, depth):
     assert got == trees.tree_edit_distance(b, a) and trees.tree_edit_distance(a, a) == 0
     assert abs(sum(x != "" for _, x in a) - sum(x != "" for _, x in b)) <= got <= n + n
 
+def test_tree_edit_distance_holds_no_table_of_both_outlines():
+    rng = random.Random(3)
+    a, b = ([(rng.randint(1, 3), str(rng.randint(0, 300))) for _ in range(n)] for n in (1_500, 2_500))
+    tracemalloc.start()
+    got = trees.tree_edit_distance(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 < 4 * len(a) * len(b), peak
+    assert got == trees.tree_edit_distance(b, a)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["a", "b", ""])), max_size=7), st.lists(st.tuples(st.integers(1, 4), st.sampled_from(["a", "b", "root"])), max_size=7))
+def test_trees_that_are_not_kept_give_the_same_distance(a, b):
+    a, b = a + a, b + b
+    want, kept = trees.tree_edit_distance(a, b), trees.KEPT_BYTES
+    trees.KEPT_BYTES = 0
+    try:
+        assert trees.tree_edit_distance(a, b) == want
+    finally:
+        trees.KEPT_BYTES = kept
+
+
 
 @pytest.mark.parametrize("span", [1 << 16, 7, 1])
 def test_E1_parents_across_ranges(spark, span):
