@@ -246,14 +246,34 @@ class _Rows:
 KEPT_BYTES = 64 << 20
 
 
+def sequence_distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists of labels. All differences of a row of distances are the bits of two integers, so that a row is a dozen operations on integers of len(b) bits."""
+    at: dict[str, int] = {}
+    for k, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << k
+    full, top, score = (1 << len(b)) - 1, 1 << max(len(b) - 1, 0), len(b)
+    up, down = full, 0
+    for x in a:
+        same = at.get(x, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        more, less = down | (full & ~(zero | up)), up & zero
+        score += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(zero | more)) & full, more & zero & full
+    return score if b else len(a)
+
+
 def tree_edit_distance(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> float:
     """Ordered tree edit distance of two outlines (level, label). Renaming costs 1 if the labels differ; inserting or deleting a node costs 1, and nothing
     if its label is empty.
 
     The roots are equal, and some best mapping maps one to the other, so what is compared are the forests below them: one table of forest distances, whose rows are vectors, from the tree distances of
     the trees below the root, by key roots of the left or of the right (mirrored) decomposition, whichever has fewer subproblems. Equal trees of one outline are compared once, as far as
-    KEPT_BYTES go. A row is kept only while a later one starts from it, so memory grows with the outlines and their depth, not with the product of their sizes.
+    KEPT_BYTES go. A row is kept only while a later one starts from it, so memory grows with the outlines and their depth, not with the product of their sizes. Outlines
+    of one level are sequences.
     """
+    if len({level for level, _ in (*a, *b)}) <= 1:
+        return float(sequence_distance([x for _, x in a if x != ""], [x for _, x in b if x != ""]))  # an empty label costs nothing to leave out
     codes: dict[str, int] = {}
     x, y = min(((_Forest(a, m, codes), _Forest(b, m, codes)) for m in (False, True)), key=lambda t: t[0].cost * t[1].cost)
     if len(x.label) > len(y.label):  # the costs are symmetric; vectors are longer than the rows are many

@@ -162,6 +162,23 @@ def test_trees_that_are_not_kept_give_the_same_distance(a, b):
         trees.KEPT_BYTES = kept
 
 
+@settings(max_examples=200, deadline=None)
+@given(*[st.lists(st.sampled_from(["a", "b", "c", "root", ""]), max_size=12)] * 2)
+def test_outlines_of_one_level_are_sequences(a, b):
+    wide = [[(1, x) for x in side if x] for side in (a, b)]
+    assert trees.tree_edit_distance([(1, x) for x in a], [(1, x) for x in b]) == slow_distance(*wide)
+
+
+def test_long_outlines_of_one_level():
+    a, b = [(1, str(k % 977)) for k in range(20_000)], [(1, str(k % 977)) for k in range(3, 20_000)]
+    began = time.perf_counter()
+    tracemalloc.start()
+    assert trees.tree_edit_distance(a, b) == 3
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and time.perf_counter() - began < 20  # a table of both has 1.6 GB
+
+
 
 @pytest.mark.parametrize("span", [1 << 16, 7, 1])
 def test_E1_parents_across_ranges(spark, span):
