@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,10 +16,10 @@ from ..runtime import importable
 
 
 def slug(path: Column, prefix: int = 0) -> Column:
-    """The file's name without a 4-character suffix, and without `prefix` characters in front; or the book that its folder names (book=...)."""
+    """The file's name without a 4-character suffix, and without `prefix` characters in front; or the book that its folder names (book=...), null where that is Spark's name for none."""
     name = F.element_at(F.split(path, "/"), -1)
     folder = F.regexp_extract(path, "/book=([^/]+)/[^/]+$", 1)
-    return F.when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.substr(name, F.lit(prefix + 1), F.length(name) - 4 - prefix))
+    return F.when(folder == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).when(folder != "", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(F.substr(name, F.lit(prefix + 1), F.length(name) - 4 - prefix))
 
 
 def decoded(rows: DataFrame, models: Models, column: str = "content") -> DataFrame:
@@ -119,13 +119,12 @@ def write_outlines(toc: DataFrame, path: str) -> None:
 def write_outline_csv(toc: DataFrame, folder: str, *, mark: bool = True) -> None:
     """Outline files: a folder for each book with one file of three-field lines in the order of seq, with a byte order mark in front if `mark`.
 
-    A book's lines are sorted in one task; a book without entries leaves nothing.
+    A book's lines are sorted in one task; a book without entries leaves nothing. They are numbered by a window, which keeps a book in one task: a repartition("book") that
+    follows a join on the book is left out by Spark as already done, and then the join may be made without dealing by book, so that a book had several files.
     """
-    lines = entry_lines(toc.where(F.col("heading").isNotNull()))
-    if mark:
-        first = lines.groupBy("book").agg(F.min("seq").alias("first__"))
-        lines = lines.join(first, "book").withColumn("line", F.when(F.col("seq") == F.col("first__"), F.concat(F.lit("\ufeff"), F.col("line"))).otherwise(F.col("line")))
-    lines.repartition("book").sortWithinPartitions("book", "seq").select("book", "line").write.partitionBy("book").text(folder)
+    numbered = entry_lines(toc.where(F.col("heading").isNotNull())).withColumn("number__", F.row_number().over(Window.partitionBy("book").orderBy("seq")))
+    start = F.when(F.col("number__") == 1, F.lit("\ufeff" if mark else "")).otherwise(F.lit(""))
+    numbered.sortWithinPartitions("book", "number__").select("book", F.concat(start, "line").alias("line")).write.partitionBy("book").text(folder)
 
 
 def write_candidates(rows: DataFrame, folder: str) -> DataFrame:

@@ -72,3 +72,24 @@ def test_items_of_any_number_of_words(spark, tables, monkeypatch, most):
 def test_books_with_one_matched_heading_are_accepted(spark, tables):
     sf_dir = tables([(1, "one heading\n" + "x" * 50, "en", "small"), (2, "\n".join(f"heading {k}" for k in range(75)), "en", "large"), (3, "y" * 60, "en", "none")])
     assert rows("accepted_books_any", spark, sf_dir) == [("large", 75), ("small", 1)] == oracle("accepted_books_any", sf_dir)
+
+
+@pytest.mark.parametrize("name", ["outline_files_strict", "outline_files_naive", "candidate_files"])
+def test_outline_files_of_books_with_pages_in_several_ranges(spark, tables, name):
+    """With joins that are planned with shuffles and turn out to be small, as on large tables."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    pages = [k * 30_000 + b for k in range(40) for b in range(3)]
+    sf_dir = tables([(p, f"line {p}\n{'x' * 50}\nend of {p}, \"so\"", "en", f"s{p % 3}") for p in pages])
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert rows(name, spark, sf_dir) == oracle(name, sf_dir)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_outline_files_of_books_without_a_name(spark, tables):
+    sf_dir = tables([(1, "one", "en", "s"), (2, "two\nthree", "en", None)])
+    assert rows("outline_files_strict", spark, sf_dir) == oracle("outline_files_strict", sf_dir)
