@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.encoding import Models
+from ..functions.encoding import CharacterModels, Models
 from ..runtime import importable
 
 
@@ -34,9 +34,11 @@ def decoded(rows: DataFrame, models: Models, column: str = "content") -> DataFra
 
 
 def learned_encodings(texts: DataFrame, column: str = "text", *, rows: int = 500, characters: int = 20_000) -> Models:
-    """Models from a bounded sample: the `rows` texts with the smallest hashes, of each the first `characters`."""
-    x = F.substring(column, 1, characters)
-    return Models(r[0] for r in texts.where(F.col(column).isNotNull()).orderBy(F.xxhash64(column), column).limit(rows).select(x).collect())
+    """Models of characters from a bounded sample: the `rows` different texts with the smallest hashes, of each the first `characters`."""
+    hashed = texts.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h__"), F.substring(column, 1, characters).alias("x__"))
+    least = hashed.select("h__").distinct().orderBy("h__").limit(rows).agg(F.max("h__")).first()[0]  # copies of one text count once
+    taken = hashed.where(F.col("h__") <= F.lit(least)).groupBy("h__").agg(F.min("x__").alias("x__")).orderBy("h__")
+    return CharacterModels([r.x__ for r in taken.collect()])
 
 
 def files(spark: SparkSession, folder: str, pattern: str, *, single_byte: str | None = None, models: Models | None = None) -> DataFrame:

@@ -51,6 +51,16 @@ def test_A9_detection_is_the_likeliest_of_the_possible():
     assert models.decode(None) == (None, None, 0.0) and models.decode(b"")[0] == ""
 
 
+def test_A9_texts_in_capitals_and_copies(spark):
+    """What was learned of small letters tells encodings apart in capitals too, and a text with many copies counts once."""
+    rows = [(t,) for t in texts(1, 300)] + [("xyz",)] * 5_000
+    models = outlines.learned_encodings(spark.createDataFrame(rows, "text string"))
+    capitals = [t.upper() for t in texts(4, 60)]
+    assert [t for t in capitals for e in E.ENCODINGS if models.decode(t.encode(e))[0] != t] == []
+    nothing = outlines.learned_encodings(spark.createDataFrame([(None,)], "text string"))
+    assert [nothing.decode(x)[0] for x in (b"", None)] == ["", None]
+
+
 def test_A9_A10_files_in_many_encodings(spark, tmp_path):
     lines = [f"1,{t},{k}" for k, t in enumerate(texts(3, 24, 12))]
     for k, line in enumerate(lines):
