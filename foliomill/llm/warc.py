@@ -8,7 +8,7 @@ Spark's text writer writes the archives, so they go to any file system and a los
 ends with two zero bytes, the upper half of its length, and these are the line separator.
 
 Reading: archives, plain or of any number of gzip members, are framed by Content-Length alone. Records in one piece are decoded
-where they are read. Segments are dealt by origin, ordered by number, checked for gaps and against the total length, and then
+where they are read. Segments are dealt by origin, neighbouring ones together, ordered by number, checked for gaps and against the total length, and then
 decoded. A revisit has the length of the response it refers to, and a problem if there is none or its digest is another.
 
 Edge cases: a null page is the empty payload and an empty payload is written and revisited as any other; a null or repeated url is
@@ -156,16 +156,24 @@ def page_records(page: object, url: str | None, payload: bytes, refers_to: objec
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page}:{k}>"), ("WARC-Segment-Origin-ID", f"<urn:page:{page}>"), ("WARC-Segment-Number", k), *total], piece)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The html, which is the last column, compressed."""
+    for batch in batches:
+        html = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+        packed = pa.array([None if x is None else zlib.compress(x, 6) for x in html], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], batch.schema.names)
+
+
 def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     equal: Counter = Counter()  # rows that are equal in id and payload are all in one task
     for batch in batches:
         out = []
-        for name, sha, url, html, repeated, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for name, sha, url, packed, repeated, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             record_name = name
             if repeated:
                 record_name = f"{name};{sha};{equal[name, sha]}"
                 equal[name, sha] += 1
-            for one in page_records(record_name, url, (html or "").encode("utf-8", "surrogatepass"), refers, segment):
+            for one in page_records(record_name, url, zlib.decompress(packed) if packed else b"", refers, segment):
                 out += members(one + END)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
@@ -178,7 +186,7 @@ def plan(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", l
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT, least_revisit: int = 0, archive: int = ARCHIVE) -> None:
-    """Writes gzip archives of about `archive` payload bytes. The html is shuffled once, dealt by the id and payload."""
+    """Writes gzip archives of about `archive` payload bytes. The html is shuffled once, compressed, dealt by the id and payload."""
     spark = pages.sparkSession
     bounded_batches(spark)
     size = pages.agg(F.coalesce(F.sum(F.octet_length(html_col) + 600), F.lit(0))).first()[0]
@@ -195,6 +203,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     twice = light.join(repeated, "page_name").select("page_name", "payload_sha1", F.lit(None).cast("string").alias("target"), "repeated")
     marks = again.unionAll(twice).groupBy("page_name", "payload_sha1").agg(F.max("target").alias("target"), F.max("repeated").alias("repeated"))
     rows = pages.select(name(id_col).alias("page_name"), sha.alias("payload_sha1"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = rows.mapInArrow(_packed, "page_name string, payload_sha1 string, url string, html binary")
     n, key = max(1, -(-size // archive)), ["page_name", "payload_sha1"]
     rows = rows.repartition(n, *key).join(marks.repartition(n, *key), key, "left").select(*key, "url", "html", "repeated", "target")
     lines = rows.mapInArrow(lambda x: _written(x, segment), "member binary").select(F.col("member").cast("string").alias("value"))
@@ -239,9 +248,9 @@ def reassembled(segments: list[tuple[int, int | None, bytes]]) -> bytes:
 
 
 RESULT = "record_id string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, problem string"
-PIECE = "origin string, number int, total long, head string, piece binary"
+PIECE = "origin string, number int, total long, head string, sizes array<int>, piece binary"
 _RESULT = pa.schema([("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("problem", pa.string())])
-_PIECE = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("head", pa.string()), ("piece", pa.binary())])
+_PIECE = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("head", pa.string()), ("sizes", pa.list_(pa.int32())), ("piece", pa.binary())])
 
 
 def _answer(head: dict[str, str], block: bytes) -> dict:
@@ -263,13 +272,27 @@ def _answer(head: dict[str, str], block: bytes) -> dict:
 _BOTH = pa.schema([("whole", pa.struct(_RESULT)), ("part", pa.struct(_PIECE))])
 #: Records and bytes of their pieces that a task sends on at once.
 SENT_ROWS, SENT_BYTES = 2_000, 4 << 20
+#: Bytes of neighbouring segments of one record that travel as one piece.
+RUN_BYTES = 1 << 20
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives to rows of `whole` (records in one piece) and `part` (segments)."""
+    """Archives to rows of `whole` (records in one piece) and `part` (segments; such as follow each other in an archive and by number are one row, with their sizes, as they compress better together)."""
+    found: list[dict] = []
+    run: dict | None = None
+    blocks: list[bytes] = []
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            found.append({"whole": None, "part": run | {"sizes": [len(b) for b in blocks], "piece": zlib.compress(b"".join(blocks), 6)}})
+            blocks.clear()
+            run = None
+
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found, size = [], 0
+            found.clear()
+            size = held = 0
             try:
                 for head, block in records(memoryview(raw.as_buffer())):
                     number = head.get("warc-segment-number")
@@ -279,17 +302,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         total = head.get("warc-segment-total-length")
                         origin = head.get("warc-segment-origin-id", head.get("warc-record-id"))
                         keep = "\n".join(f"{k}:{v}" for k, v in head.items() if number == "1")
-                        found.append({"whole": None, "part": {"origin": origin, "number": int(number), "total": int(total) if total else None, "head": keep, "piece": zlib.compress(block, 1)}})
+                        if run and (run["origin"], run["number"] + len(blocks), run["total"]) != (origin, int(number), None) or held + len(block) > RUN_BYTES:
+                            close()
+                        if not run:
+                            run, held = {"origin": origin, "number": int(number), "head": keep}, 0
+                        run["total"] = int(total) if total else None
+                        blocks.append(block)
+                        held += len(block)
                         size += len(block)
                     if len(found) >= SENT_ROWS or size >= SENT_BYTES:
+                        close()
                         yield pa.RecordBatch.from_pylist(found, _BOTH)
-                        found, size = [], 0
+                        found.clear()
+                        size = 0
             except (ValueError, KeyError, zlib.error) as e:
                 found.append({"whole": {"record_id": path, "problem": f"archive: {e}"}, "part": None})
+            close()
             if found:
                 yield pa.RecordBatch.from_pylist(found, _BOTH)
 
 
+def _segments(run: dict) -> Iterator[tuple[int, int | None, bytes]]:
+    """(number, total or None, piece) of the segments that travelled as one row; only the last has a total."""
+    data, at = zlib.decompress(run["piece"]), 0
+    for k, size in enumerate(run["sizes"], 1):
+        yield run["number"] + k - 1, run["total"] if k == len(run["sizes"]) else None, data[at : at + size]
+        at += size
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order of origin to a row for each origin."""
     origin, rows, found = None, [], []
@@ -298,7 +338,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [r["head"] for r in rows if r["number"] == 1 and r["head"]]
         head = dict(x.split(":", 1) for x in heads[0].split("\n")) if heads else {"warc-record-id": origin}
         try:
-            found.append(_answer(head, reassembled([(r["number"], r["total"], zlib.decompress(r["piece"])) for r in rows])))
+            found.append(_answer(head, reassembled([x for r in rows for x in _segments(r)])))
         except ValueError as e:
             found.append({"record_id": origin, "record_type": head.get("warc-type"), "uri": head.get("warc-target-uri"), "problem": str(e)})
         rows.clear()

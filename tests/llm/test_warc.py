@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from foliomill.llm import warc as W
@@ -146,3 +147,19 @@ def test_op2_gives_repeated_ids_as_they_are(spark, tmp_path):
     pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
     got = {x.url: (x.page_id, x.record_type, x.refers_to, x.payload_bytes, x.problem) for x in W.op2_warc(spark, str(tmp_path)).collect()}
     assert got == {"u": (5, "response", None, 70_000, None), "v": (5, "revisit", 3, 70_000, None), "w": (3, "response", None, 70_000, None), "x": (None, "response", None, 1, None), "y": (None, "response", None, 1, None)}
+
+
+def test_neighbouring_segments_travel_together():
+    """In archives, in one of which they come in order and in the other backwards: the same segments, but fewer and smaller rows."""
+    payload = ("<p>Some text of a page, " * 1_000).encode()
+    made = list(W.page_records(7, "http://a", payload, None, 2_048))
+    sent = []
+    for part in (made, made[::-1]):
+        raw = b"".join(one + W.END for one in part)
+        batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([raw], pa.binary())], ["path", "content"])
+        rows = [r["part"] for b in W._read(iter([batch])) for r in b.to_pylist()]
+        found = [x for r in rows for x in W._segments(r)]
+        assert sorted(n for n, _, _ in found) == list(range(1, len(made) + 1))
+        assert W.payload_of(W.reassembled(found)) == payload
+        sent.append((len(rows), sum(len(r["piece"]) for r in rows)))
+    assert sent[0][0] == 1 and sent[1][0] == len(made) > 5 and 3 * sent[0][1] < sent[1][1]
