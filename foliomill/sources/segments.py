@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..runtime import importable
 from .outlines import files, slug
 
+#: Bytes of items or literals that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
 _SEGMENT = "array<struct<level: int, heading: string, content: array<string>>>"
 _ITEMS = "array<struct<level: int, heading: string, content: string>>"
 
@@ -32,20 +35,26 @@ def literal_to_json(text: str) -> str:
     return json.dumps([{"level": int(a), "heading": b, "content": c} for a, b, c in ast.literal_eval(text)])
 
 
+def bounded(spark: SparkSession) -> None:
+    """Python workers get items by so many bytes at once: a batch by rows alone holds all books of a task."""
+    importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _literal(items: pd.Series) -> pd.Series:
     return items.map(lambda x: str([(int(r["level"]), r["heading"], r["content"]) for r in (x if x is not None else [])]).replace("\\n", " "))
 
 
 def write_layout(layout: DataFrame, folder: str) -> None:
     """(book, items) as Python literals, a text file in a folder for each book; line ends inside texts become spaces. literal_to_json reads them."""
-    importable(layout.sparkSession)
+    bounded(layout.sparkSession)
     literal = F.pandas_udf(_literal, "string")
     layout.select("book", literal(F.transform("items", lambda r: F.struct(r["level"].alias("level"), r["heading"].alias("heading"), r["content"].alias("content")))).alias("text")).write.partitionBy("book").text(folder)
 
 
 def read_literals(spark: SparkSession, folder: str) -> DataFrame:
     """(book, items) of the files that write_layout() made."""
-    importable(spark)
+    bounded(spark)
     rows = spark.read.schema("value string, book string").text(folder)
     as_json = F.pandas_udf(lambda t: t.map(literal_to_json), "string")
     return rows.select("book", F.from_json(as_json("value"), _ITEMS).alias("items"))

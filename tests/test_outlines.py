@@ -183,3 +183,14 @@ def test_B16_tokenizer(spark):
 
     rows = spark.createDataFrame([("abc d",), (None,)], "x string")
     assert [r[0] for r in rows.select(T.token_count("x", list)).collect()] == [5, None]
+
+
+def test_layouts_reach_workers_by_bytes(spark, tmp_path):
+    """What a worker gets at once doesn't grow with the books of its task."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    layout = spark.range(3).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("book"), F.array(F.struct(F.lit(1).alias("level"), F.lit("h").alias("heading"), F.lit("a 'b'").alias("content"))).alias("items"))
+    segments.write_layout(layout, str(tmp_path / "layouts"))
+    sized = spark.range(2_000).coalesce(1).select(F.octet_length(F.repeat(F.lit("x"), 20_000 + F.col("id").cast("int") * 0)).alias("n"), F.repeat(F.lit("x"), 20_000 + F.col("id").cast("int") * 0).alias("text"))
+    at_once = F.pandas_udf(lambda t, n: n * 0 + len(t), "bigint")
+    assert sized.select(at_once("text", F.col("n").cast("bigint")).alias("k")).agg(F.max("k")).first()[0] * 20_000 <= 2 * (4 << 20)
+    assert sorted((r.book, r["items"][0].content) for r in segments.read_literals(spark, str(tmp_path / "layouts")).collect()) == [(f"b{k}", "a 'b'") for k in range(3)]
