@@ -101,13 +101,15 @@ def first_hits(entries: DataFrame, units: DataFrame, texts: list[str], at: str,
     """(book, seq, hit): for each entry (book, page, seq, heading) the first unit of its page, by `at`, any of whose texts matches.
 
     A text matches if the exact keys are equal, or if one loose key contains the other. Both directions are one pass of an automaton each: the page's headings over its
-    texts, and its short texts over its headings; entries and units are never paired. Pages with more than PAGE_ROWS of either are
+    texts, and its short texts over its headings; entries and units are never paired. Units of pages without entries go no further. Pages with more than PAGE_ROWS of either are
     cut into parts of that size, each part of the entries with each of the units.
     """
     importable(entries.sparkSession)
     heads = entries.select("book", "page", F.lit(0).cast("tinyint").alias("kind"), F.col("seq").cast("bigint").alias("at"), F.col("heading").alias("text"))
     text = F.explode(F.array_distinct(F.array(*[F.col(t) for t in texts]))) if len(texts) > 1 else F.col(texts[0])
     found = units.select("book", "page", F.lit(1).cast("tinyint").alias("kind"), F.col(at).cast("bigint").alias("at"), text.alias("text"))
+    asked = entries.select("book", "page").where("book is not null and page is not null").distinct()
+    found = found.join(asked, ["book", "page"], "left_semi")  # keys are made, dealt and matched for pages with entries only
     rows = heads.unionByName(found).where("text is not null and book is not null and page is not null")
     # almost no page is large; the few that are get their numbers of parts from a count
     large = rows.groupBy("book", "page").agg(F.count_if(F.col("kind") == 0).alias("h__"), F.count_if(F.col("kind") == 1).alias("u__")).where(f"h__ > {PAGE_ROWS} or u__ > {PAGE_ROWS}")

@@ -200,3 +200,12 @@ def test_S10_compat_log(spark):
 def test_S11_no_match_no_segments(spark):
     t, e = frames(spark, [(1, "nowhere", 1)], {1: [(0, "text", "")]})
     assert S.segment(t, e).count() == 0
+
+
+def test_only_pages_with_entries_are_matched(spark):
+    """Units of other pages are left out before their keys are made."""
+    entries = spark.createDataFrame([("b", 1, 0, "One"), ("b", 3, 1, "Two"), (None, 2, 2, "x")], "book string, page int, seq int, heading string")
+    units = spark.createDataFrame([("b", p, k, t) for p in (1, 2, 3) for k, t in enumerate(["zzz", "one", "two"])] + [(None, 2, 0, "x")], "book string, page int, el int, text string")
+    found = M.first_hits(entries, units, ["text"], "el")
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("b", 0, 1), ("b", 1, 2)]
